@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from . import containment, quality_rules
+from . import bpe, containment, language_id, quality_crf, quality_rules, secrets, sharding, token_counts
 
 _MODULES = {
+    "op1_token_counts": token_counts,
+    "op2_sharding": sharding,
+    "op4_bpe": bpe,
+    "op5_quality_crf": quality_crf,
+    "op6_language_id": language_id,
+    "op7_secret_scan": secrets,
     "op9_decontaminate": containment,
     "op10_quality_rules": quality_rules,
 }
