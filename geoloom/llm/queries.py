@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, containment, language_id, quality_crf, quality_rules, secrets, sharding, token_counts
+from . import archives, bpe, containment, jaccard_join, language_id, quality_crf, quality_rules, secrets, sharding, token_counts
 
 _MODULES = {
     "op1_token_counts": token_counts,
     "op2_sharding": sharding,
+    "op3_warc": archives,
     "op4_bpe": bpe,
     "op5_quality_crf": quality_crf,
     "op6_language_id": language_id,
     "op7_secret_scan": secrets,
+    "op8_jaccard_join": jaccard_join,
     "op9_decontaminate": containment,
     "op10_quality_rules": quality_rules,
 }
