@@ -19,18 +19,22 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .shared import table, text_or_empty
+from .shared import table
 from .token_counts import byte_alphabet
+from .wordhash import slices
 
-CACHE = 250_000
+CACHE, BATCH_BYTES = 200_000, 1 << 20
 #: White space as the tokenizer's pattern engine has it (Unicode's White_Space property).
 _WHITE = "\t-\r \x85\xa0  -     　"
 
@@ -131,24 +135,39 @@ def codec(path: str) -> ForcedBoundaryBPE:
     return ForcedBoundaryBPE(path)
 
 
-def encoded(column: str, path: str) -> Column:
-    """The ids of each text, as array<int>."""
+def with_ids(docs: DataFrame, path: str, column: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs with the ids of each text (array<int>) and, if a name is given for them, the texts decoded from
+    those ids. Results leave a task in batches of about BATCH_BYTES of text, however large it gets them."""
+    own = [c for c in docs.columns if c not in (ids, decoded)]
+    docs = docs.select(*(F.col(f"`{c}`") for c in own))
+    schema = StructType(docs.schema.fields + [StructField(ids, ArrayType(IntegerType()))] + ([StructField(decoded, StringType())] if decoded else []))
+    at = own.index(column)
 
-    def run(texts: pd.Series) -> pd.Series:
-        encode = codec(path).encode
-        return pd.Series([np.frombuffer(encode(t), np.int32) for t in texts], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = codec(path)
+        for batch in batches:
+            for begin, _, offsets in slices(batch.column(at), BATCH_BYTES):
+                part = batch.slice(begin, len(offsets) - 1)
+                found = [tool.encode(t) if t else b"" for t in part.column(at).to_pylist()]
+                flat = np.frombuffer(b"".join(found), np.int32)
+                ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
+                columns = [*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                if decoded:
+                    columns.append(pa.array([tool.decode(np.frombuffer(x, np.int32)) for x in found], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return F.pandas_udf(run, "array<int>")(text_or_empty(column))
+    return docs.mapInArrow(run, schema)
 
 
-def decoded(column: str, path: str) -> Column:
-    """The text of each array of ids; null ids decode to the empty text."""
+def with_decoded(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """docs with the text of each array of ids; null ids decode to the empty text."""
 
-    def run(ids: pd.Series) -> pd.Series:
+    def run(column: pd.Series) -> pd.Series:
         decode = codec(path).decode
-        return pd.Series([decode(np.asarray(x, np.int64)) if x is not None else "" for x in ids], dtype=object)
+        return pd.Series([decode(np.asarray(x, np.int64)) if x is not None else "" for x in column], dtype=object)
 
-    return F.pandas_udf(run, "string")(F.col(column))
+    run.__annotations__ = {"column": pd.Series, "return": pd.Series}
+    return docs.withColumn(decoded, F.pandas_udf(run, "string")(F.col(f"`{ids}`")))
 
 
 def default_file() -> str:
@@ -159,8 +178,7 @@ def default_file() -> str:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """docs' ids and decoded texts, as digests."""
-    ids = docs.select("doc_id", encoded("text", path).alias("ids"))
-    both = ids.select("doc_id", "ids", decoded("ids", path).alias("decoded"))
+    both = with_ids(docs.select("doc_id", "text"), path, decoded="decoded").select("doc_id", "ids", "decoded")
     joined = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -171,7 +189,4 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents' columns, their ids and the decoded texts."""
-    path = default_file()
-    own = [c for c in docs.columns if c not in ("ids", "decoded")]
-    ids = docs.select(*(F.col(f"`{c}`") for c in own), encoded("text", path).alias("ids"))
-    return ids.withColumn("decoded", decoded("ids", path))
+    return with_ids(docs, default_file(), decoded="decoded")
