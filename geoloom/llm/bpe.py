@@ -10,7 +10,7 @@ symbols and an end-of-word suffix, without post-processor or decoder. Added toke
 become their ids. Decoding joins the tokens' strings with spaces, as the tokenizers library does for a
 file without decoder.
 
-Each task keeps the ids of up to 2 * CACHE pre-tokens; that bounds memory and changes no result.
+Each task keeps the ids of up to CACHE pre-tokens; that bounds memory and changes no result.
 Defined results: null and empty texts have no ids, and decode to the empty text; repeated rows are
 encoded each; other columns pass through.
 """
@@ -18,7 +18,9 @@ encoded each; other columns pass through.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,11 +36,25 @@ from .shared import table
 from .token_counts import byte_alphabet
 from .wordhash import slices
 
-CACHE, BATCH_BYTES = 200_000, 1 << 20
+CACHE, BATCH_BYTES = 500_000, 1 << 20
 #: White space as the tokenizer's pattern engine has it (Unicode's White_Space property).
 _WHITE = "\t-\r \x85\xa0  -     　"
 
 
+class _Seen(dict):
+    """Pre-token -> its ids, found when first asked for."""
+
+    def __init__(self, tool: ForcedBoundaryBPE):
+        super().__init__()
+        self.tool = tool
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = found = self.tool.ids(word)
+        return found
+
+
 class ForcedBoundaryBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -61,11 +77,12 @@ class ForcedBoundaryBPE:
             self.inside.update(zip(s, s[1:], strict=False))
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"].replace("\\s", _WHITE))
-        self.white = regex.compile(f"[{_WHITE}]+")
+        #: The same pattern where all characters are ASCII, for the quicker engine.
+        self.ascii_pattern = re.compile(split["pattern"]["Regex"].replace("[^\\s\\p{L}\\p{N}]", r"[^\t-\r 0-9A-Za-z]").replace("[\\p{L}]", "[A-Za-z]").replace("[\\p{N}]", "[0-9]"))
         self.raw = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.bytes = {b: c for c, b in byte_alphabet().items()}
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        stand_in = {b: c for c, b in byte_alphabet().items()}
+        self.bytes = [stand_in[b] for b in range(256)]
+        self.cache = _Seen(self)
 
     def symbols(self, token: str) -> list[str]:
         if self.suffix and token.endswith(self.suffix) and token != self.suffix:
@@ -98,23 +115,21 @@ class ForcedBoundaryBPE:
                 each[k] = ranks((symbols[k], symbols[k + 1]), none)
         return [self.vocab[s] for s in symbols]
 
-    def word(self, word: str) -> bytes:
+    def ids(self, word: str) -> bytes:
         """The ids of a pre-token, four bytes each."""
-        if (found := self.new.get(word)) is None:
-            if (found := self.old.get(word)) is None:
-                symbols = [self.bytes[b] for b in word.encode()]
-                symbols[-1] += self.suffix
-                ids = [i for part in self.fragments(symbols) for i in self.merge(part)]
-                found = np.array(ids, np.int32).tobytes()
-            if len(self.new) >= CACHE:
-                self.old, self.new = self.new, {}
-            self.new[word] = found
-        return found
-
-    def normal(self, text: str) -> str:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case goes letter by letter
-        return self.white.sub(" ", text).lower()
+        bytes_of = self.bytes
+        symbols = [bytes_of[b] for b in word.encode()]
+        symbols[-1] += self.suffix
+        if self.inside.issuperset(zip(symbols, symbols[1:], strict=False)):  # no certain cut
+            return array("i", self.merge(symbols)).tobytes()
+        return array("i", [i for part in self.fragments(symbols) for i in self.merge(part)]).tobytes()
+
+    def pre_tokens(self, text: str) -> list[str]:
+        """White space is in no pre-token, so that folding it first would change none."""
+        if text.isascii():
+            return self.ascii_pattern.findall(text.lower())
+        # Lower case goes letter by letter: no final form of sigma.
+        return self.pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def encode(self, text: str) -> bytes:
         parts = self.raw.split(text) if self.raw and "<" in text else [text]
@@ -123,7 +138,7 @@ class ForcedBoundaryBPE:
             if part in self.added:
                 out.append(np.int32(self.added[part]).tobytes())
             elif part:
-                out += map(self.word, self.pattern.findall(self.normal(part)))
+                out += map(self.cache.__getitem__, self.pre_tokens(part))
         return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> str:
