@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import layers
 
-def _modules():
-    return []
+_MODULES = (layers,)
 
 
 def queries() -> dict:
-    return {name: run for m in _modules() for name, (run, _) in m.QUERIES.items()}
+    return {name: run for m in _MODULES for name, (run, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {name: sql for m in _modules() for name, (_, sql) in m.QUERIES.items() if sql}
+    return {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}
