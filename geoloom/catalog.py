@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import layers
+from .plans import buildings, layers, places
 
-_MODULES = (layers,)
+_MODULES = (layers, places, buildings)
 
 
 def queries() -> dict:

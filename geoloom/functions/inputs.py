@@ -42,10 +42,10 @@ _TYPES = ("apartments", "office", "house", "hotel", "warehouse", "unknown")
 
 
 def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rectangular footprints: (source_id, kind, building_type, data_source, real_height, levels,
+    """Rectangular footprints, in pairs that nearly coincide: (source_id, kind, building_type, data_source, real_height, levels,
     min_height, community, range_text, parts, input_pos)."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("s"))
-    p = placed(p, "k")
+    p = placed(p.withColumn("k2", F.floor(F.col("k") / 2)), "k2").withColumn("lon", F.col("lon") + F.when(F.col("k") % 2 == 0, 0.00005).otherwise(0.0))
     hx, hy = (F.col("s") * 3 + 50) / 1000000.0, (F.col("s") * 2 + 40) / 1000000.0
     west, east, south, north = F.col("lon") - hx, F.col("lon") + hx, F.col("lat") - hy, F.col("lat") + hy
     kind = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("k") % 6 + 1).cast("int"))
@@ -70,5 +70,5 @@ SELECT k, printf('part/%06d', k) AS source_id, 'building' AS kind, (['apartments
  CASE WHEN k % 2 = 0 THEN 'openstreetmap' ELSE 'openbuildingmap' END AS data_source, CASE WHEN k % 7 = 1 THEN (s + 3) * 1.5::DOUBLE ELSE 0.0::DOUBLE END AS real_height,
  CASE WHEN k % 3 = 0 THEN s ELSE 0.0::DOUBLE END AS levels, CASE WHEN k % 11 = 0 THEN 6.0::DOUBLE ELSE 0.0::DOUBLE END AS min_height, CASE WHEN k % 5 = 0 THEN 'green park' ELSE '' END AS community,
  CASE WHEN k % 4 = 1 THEN 2.0::DOUBLE END AS lo, CASE WHEN k % 4 = 1 THEN 9.0::DOUBLE END AS hi, lon, lat, lon - hx AS w, lon + hx AS e, lat - hy AS so, lat + hy AS n
-FROM (SELECT p_partkey AS k, p_size::DOUBLE AS s, {LON.format(k='p_partkey')} AS lon, {LAT.format(k='p_partkey')} AS lat, (p_size::DOUBLE * 3 + 50) / 1000000.0::DOUBLE AS hx, (p_size::DOUBLE * 2 + 40) / 1000000.0::DOUBLE AS hy FROM part)
+FROM (SELECT p_partkey AS k, p_size::DOUBLE AS s, {LON.format(k='(p_partkey // 2)')} + CASE WHEN p_partkey % 2 = 0 THEN 0.00005::DOUBLE ELSE 0.0::DOUBLE END AS lon, {LAT.format(k='(p_partkey // 2)')} AS lat, (p_size::DOUBLE * 3 + 50) / 1000000.0::DOUBLE AS hx, (p_size::DOUBLE * 2 + 40) / 1000000.0::DOUBLE AS hy FROM part)
 """
