@@ -40,7 +40,9 @@ from .components import components
 from .shared import table, text_or_empty, written
 from .wordhash import distinct, mix, shingles, slices, words
 
-BANDS, SKETCH_BITS, BLOCK_TOKENS, BLOCK_QUERIES = 6, 20, 400_000, 4096
+BANDS, SKETCH_BITS, BLOCK_TOKENS, BLOCK_QUERIES = 6, 22, 400_000, 4096
+#: Up to so many rows, the keys of texts to fetch are broadcast; beyond, texts are joined by a shuffle.
+BROADCAST_KEYS = 200_000
 _SEEDS = mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _SKETCH_PART = 1 << 14
 
@@ -101,7 +103,7 @@ def summaries(docs: DataFrame, sim: Similarity) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(count + 1) * BANDS, pa.int32()), pa.array(_signed(bands).ravel()))
                 columns += [pa.array(n.astype(np.int32)), pa.array(_signed(h1)), pa.array(_signed(h2)), lists, pa.nulls(count, pa.int32()), pa.nulls(count, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
-        parts = sketch.astype(np.int32).reshape(-1, _SKETCH_PART)
+        parts = np.minimum(sketch, 65_535).astype(np.uint16).reshape(-1, _SKETCH_PART)
         used = np.flatnonzero(parts.any(axis=1))
         columns = [pa.nulls(len(used), t) for t in kinds]
         columns[7], columns[8] = pa.array(used.astype(np.int32)), pa.array([parts[k].tobytes() for k in used], pa.binary())
@@ -114,17 +116,17 @@ def token_counts(rows: DataFrame) -> np.ndarray:
     """The sum of all tasks' sketches: 2**SKETCH_BITS counts, whatever the data. Parts are added up as they
     stream by, so that a task's memory doesn't depend on the number of sketches."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(counts.as_buffer(), np.int32).astype(np.int64)
+                own = np.frombuffer(counts.as_buffer(), kind).astype(np.int64)
                 sums[part] = sums.get(part, 0) + own
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(s, 2**31 - 1).astype(np.int32).tobytes() for s in sums.values()], pa.binary())], ["part", "counts"])
 
     total = np.zeros((1 << SKETCH_BITS) // _SKETCH_PART * _SKETCH_PART, np.int32).reshape(-1, _SKETCH_PART)
-    parts = rows.where("part IS NOT NULL").select("part", "counts").mapInArrow(add, "part int, counts binary")
-    for row in parts.repartition(16, "part").mapInArrow(add, "part int, counts binary").toLocalIterator():
+    parts = rows.where("part IS NOT NULL").select("part", "counts").mapInArrow(lambda b: add(b, np.uint16), "part int, counts binary")
+    for row in parts.repartition(16, "part").mapInArrow(lambda b: add(b, np.int32), "part int, counts binary").toLocalIterator():
         total[row["part"]] = np.frombuffer(bytes(row["counts"]), np.int32)
     return total.ravel()
 
@@ -349,10 +351,10 @@ def linked(docs: DataFrame, sim: Similarity, key: str = "doc_id", column: str =
 
     # the matrix: which group holds which token of the prefixes; queries look up their own
     place = members.select(F.col("node").alias("h1"), "gid", "cut")
-    tokens = prefixes(known.select("text"), counts, sim).groupBy("h1", "token").agg(F.lit(1).alias("_one")).drop("_one")
-    tokens = tokens.join(place, "h1")
-    lone = tokens.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo <> hi").select("token")
-    tokens = written(tokens.join(lone, "token"), "prefixes")
+    # One shuffle by token serves both the search for tokens of several classes and the join with them.
+    tokens = prefixes(known.select("text"), counts, sim).repartition("token")
+    several = tokens.groupBy("token").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("token")
+    tokens = written(tokens.join(several, "token", "left_semi").distinct().join(place, "h1"), "prefixes")
     matrix = tokens.select("token", F.col("gid").alias("to_gid"), F.col("cut").alias("to_cut")).distinct()
     meets = tokens.join(matrix, "token").where("gid < to_gid AND abs(cut - to_cut) <= 1")
     crossing = meets.select(F.col("h1").alias("node"), F.col("to_gid").alias("gid"), F.col("to_cut").alias("cut")).distinct()
@@ -369,7 +371,12 @@ def linked(docs: DataFrame, sim: Similarity, key: str = "doc_id", column: str =
     asked = queries.join(chunks, ["gid", "cut", "sub"]).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")).cast("int"))
     asked = asked.join(members.select("node", "copies", "rep"), "node").select("gid", "cut", "sub", "chunk", F.lit(1).alias("role"), "node", "copies", "rep")
     places = held.unionByName(asked).select("*", F.col("rep._row").alias("_row"), F.col("rep._th").alias("_th")).drop("rep")
-    rows = places.join(known.select("_row", "_th", "text"), ["_row", "_th"])
+    places = written(places, "places")
+    wanted = places.select("_row", "_th").distinct()
+    small = wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    texts = known.select("_row", "_th", "text")
+    texts = texts.join(F.broadcast(wanted), ["_row", "_th"], "left_semi") if small else texts
+    rows = places.join(texts, ["_row", "_th"])
     block = ["gid", "cut", "sub", "chunk"]
     rows = rows.select(*block, "role", "node", "copies", "text").repartition(*block).sortWithinPartitions(*block, "role")
     pairs = written(_verify(rows, sim), "links")
