@@ -82,7 +82,13 @@ def summaries(docs: DataFrame, sim: Similarity) -> DataFrame:
     of its count sketch, as rows with a part number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch, waiting = np.zeros(1 << SKETCH_BITS, np.int32), []
+
+        def tally() -> None:
+            if waiting:
+                np.add(sketch, np.bincount(np.concatenate(waiting), minlength=1 << SKETCH_BITS), out=sketch, casting="unsafe")
+                waiting.clear()
+
         names = ["_id", "_row", "_th", "n", "h1", "h2", "bands", "part", "counts"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
         for batch in batches:
@@ -98,11 +104,14 @@ def summaries(docs: DataFrame, sim: Similarity) -> DataFrame:
                     low = [np.minimum.reduceat(mix(values * s), at) for s in _SEEDS]
                     for k in range(BANDS):
                         bands[some, k] = mix(low[2 * k] + mix(low[2 * k + 1]) + np.uint64(k))
-                    sketch += np.bincount((values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+                    waiting.append((values >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
+                    if sum(map(len, waiting)) > 1 << SKETCH_BITS - 2:
+                        tally()
                 columns = [c.slice(begin, count) for c in batch.columns[:3]]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(count + 1) * BANDS, pa.int32()), pa.array(_signed(bands).ravel()))
                 columns += [pa.array(n.astype(np.int32)), pa.array(_signed(h1)), pa.array(_signed(h2)), lists, pa.nulls(count, pa.int32()), pa.nulls(count, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        tally()
         parts = np.minimum(sketch, 65_535).astype(np.uint16).reshape(-1, _SKETCH_PART)
         used = np.flatnonzero(parts.any(axis=1))
         columns = [pa.nulls(len(used), t) for t in kinds]

@@ -144,7 +144,7 @@ class Field:
     def scores(self, column: pa.Array) -> np.ndarray:
         """The length-weighted mean marginal of each text."""
         out = []
-        for _, data, offsets in slices(column, 1 << 20):
+        for _, data, offsets in slices(column):
             x, size, text = line_features(data, offsets)
             good = x @ self.weights
             first = np.searchsorted(text, np.arange(len(offsets)))
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Fie
     def features(batches):
         for batch in batches:
             chains, marks_out, at = [], [], batch.column(1).to_pylist()
-            for begin, data, offsets in slices(batch.column(0), 1 << 20):
+            for begin, data, offsets in slices(batch.column(0)):
                 x, _, text = line_features(data, offsets)
                 for k in range(len(offsets) - 1):
                     chains.append(x[text == k].astype(np.float32).tobytes())

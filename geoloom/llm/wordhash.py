@@ -55,7 +55,7 @@ class Ranges:
         return mix(h + (ends - starts).astype(np.uint64))
 
 
-def slices(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, most_bytes: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first row, bytes, offsets) of runs of rows of about most_bytes; nulls are empty.
     A text is never cut: one longer than that is a run of its own."""
     if isinstance(column, pa.ChunkedArray):
