@@ -36,7 +36,7 @@ from .shared import table
 from .token_counts import byte_alphabet
 from .wordhash import slices
 
-CACHE, BATCH_BYTES = 200_000, 1 << 19
+CACHE, BATCH_BYTES = 350_000, 1 << 19
 #: White space as the tokenizer's pattern engine has it (Unicode's White_Space property).
 _WHITE = "\t-\r \x85\xa0  -     　"
 
