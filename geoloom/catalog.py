@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import buildings, layers, places
+from .plans import buildings, functions, layers, places, roads, surfaces
 
-_MODULES = (layers, places, buildings)
+_MODULES = (layers, functions, places, buildings, roads, surfaces)
 
 
 def queries() -> dict:

@@ -125,12 +125,12 @@ def _cut(s: Column, west, south, east, north) -> Column:
     a, b = s["a"], s["b"]
     west, south, east, north = map(_c, (west, south, east, north))
     dx, dy = b["lon"] - a["lon"], b["lat"] - a["lat"]
-    low, high, fine = F.lit(0.0), F.lit(1.0), F.abs(dx) <= 180
+    lows, highs, fine = [F.lit(0.0)], [F.lit(1.0)], F.abs(dx) <= 180
     for p, q in ((-dx, a["lon"] - west), (dx, east - a["lon"]), (-dy, a["lat"] - south), (dy, north - a["lat"])):
-        t = q / F.when(p != 0, p)
-        low = F.when(p < 0, F.greatest(low, t)).otherwise(low)
-        high = F.when(p > 0, F.least(high, t)).otherwise(high)
+        lows.append(F.when(p < 0, q / p))  # nulls don't count in greatest and least
+        highs.append(F.when(p > 0, q / p))
         fine &= (p != 0) | (q >= 0)
+    low, high = F.greatest(*lows), F.least(*highs)
     at = lambda t: vertex(F.least(east, F.greatest(west, F.when(t == 1, b["lon"]).otherwise(a["lon"] + t * dx))), F.least(north, F.greatest(south, F.when(t == 1, b["lat"]).otherwise(a["lat"] + t * dy))))
     begin, end = at(low), at(high)
     return F.when(fine & (low <= high) & (begin != end), F.struct(begin.alias("a"), end.alias("b")))
@@ -145,20 +145,23 @@ def clip_line(path, box: tuple[float, float, float, float]) -> Column:
     box; null and invalid vertices and steps of over 180 degrees break them."""
     west, south, east, north = map(float, box)
     line = f"array<{VERTEX}>"
-    start = F.struct(F.array().cast(f"array<{line}>").alias("done"), F.array().cast(line).alias("now"), F.lit(None).cast(VERTEX).alias("last"))
+    start = F.struct(F.array().cast(f"array<{line}>").alias("done"), F.array().cast(line).alias("now"))
 
-    def step(acc: Column, p: Column) -> Column:
-        ok, last, now = valid_vertex(p), acc["last"], acc["now"]
-        piece = F.when(ok & last.isNotNull(), _cut(F.struct(last.alias("a"), p.alias("b")), west, south, east, north))
-        inside = last["lon"].between(west, east) & last["lat"].between(south, north)
+    def cut(s: Column) -> Column:
+        ok = valid_vertex(s["a"]) & valid_vertex(s["b"])
+        inside = s["a"]["lon"].between(west, east) & s["a"]["lat"].between(south, north)
+        return F.struct(F.when(ok, _cut(s, west, south, east, north)).alias("piece"), inside.alias("inside"), (ok & (s["a"] == s["b"])).alias("same"))
+
+    def step(acc: Column, x: Column) -> Column:
+        now, piece = acc["now"], x["piece"]
         closed = F.when(F.size(now) > 0, F.array_append(acc["done"], now)).otherwise(acc["done"])
-        goes_on = (F.size(now) > 0) & (F.try_element_at(now, F.lit(-1)) == piece["a"]) & inside
-        made = F.when(piece.isNull(), F.struct(closed.alias("done"), F.array().cast(line).alias("now"), F.when(ok, p).alias("last")))
-        made = made.when(F.coalesce(goes_on, F.lit(False)), F.struct(acc["done"].alias("done"), F.array_append(now, piece["b"]).alias("now"), p.alias("last")))
-        made = made.otherwise(F.struct(closed.alias("done"), F.array(piece["a"], piece["b"]).alias("now"), p.alias("last")))
-        return F.when(ok & F.coalesce(p == last, F.lit(False)), acc).otherwise(made)
+        goes_on = (F.size(now) > 0) & (F.try_element_at(now, F.lit(-1)) == piece["a"]) & x["inside"]
+        made = F.when(piece.isNull(), F.struct(closed.alias("done"), F.array().cast(line).alias("now")))
+        made = made.when(F.coalesce(goes_on, F.lit(False)), F.struct(acc["done"].alias("done"), F.array_append(now, piece["b"]).alias("now")))
+        made = made.otherwise(F.struct(closed.alias("done"), F.array(piece["a"], piece["b"]).alias("now")))
+        return F.when(F.coalesce(x["same"], F.lit(False)), acc).otherwise(made)
 
-    return F.aggregate(_c(path), start, step, lambda acc: F.when(F.size(acc["now"]) > 0, F.array_append(acc["done"], acc["now"])).otherwise(acc["done"]))
+    return F.aggregate(F.transform(pairs(_c(path)), cut), start, step, lambda acc: F.when(F.size(acc["now"]) > 0, F.array_append(acc["done"], acc["now"])).otherwise(acc["done"]))
 
 
 def _length(s: Column) -> Column:
