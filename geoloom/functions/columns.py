@@ -228,7 +228,7 @@ def normal_time(value, field: str) -> Column:
     is_year = lower.endswith("year") or any(p == "year" for p in lower.replace("-", " ").replace("_", " ").split())
     p = r"(?i)^\d{4}-\d{2}-\d{2}(?:T([01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d{1,3})?)?(?:Z|[+-](?:[01]\d|2[0-3]):[0-5]\d))?$"
     zoned = F.when(F.char_length(v) == 10, F.concat(v, F.lit("T00:00:00Z"))).otherwise(v)
-    stamp = F.when(F.regexp_like(v, F.lit(p)), F.try_to_timestamp(F.upper(zoned)))
+    stamp = F.when(F.regexp_like(v, F.lit(p)), F.try_to_timestamp(F.regexp_replace(F.upper(zoned), r"(T\d{2}:\d{2})(?=[Z+-])", "$1:00")))
     utc = F.to_utc_timestamp(stamp, F.current_timezone())
     iso = F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
     return F.when(F.regexp_like(v, F.lit(r"^[1-9]\d{3}$")), v).otherwise(iso) if is_year else iso

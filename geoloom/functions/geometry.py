@@ -33,6 +33,11 @@ def point_parts(lon, lat) -> Column:
     return F.array(F.array(F.array(vertex(lon, lat))))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def vertices(parts) -> Column:
     return F.flatten(F.flatten(_c(parts)))
 
@@ -257,29 +262,31 @@ def circle(lon, lat, metres, corners: int = 64) -> Column:
 def split_ring(ring) -> Column:
     """Rings of a ring that may cross the antimeridian, at most two, each within -180..180: the vertices
     are unrolled, and what lies beyond a seam is cut off and moved by a turn."""
-    ring = _c(ring)
-    base = ring[0]["lon"]
-    unrolled = F.transform(ring, lambda p: vertex(base + longitude_delta(base, p["lon"]), p["lat"]))
-    crosses = F.exists(unrolled, lambda p: (p["lon"] > 180) | (p["lon"] < -180))
-    seam = F.when(F.exists(unrolled, lambda p: p["lon"] > 180), F.lit(180.0)).otherwise(-180.0)
 
-    def half(keep_low: bool, shift: Column) -> Column:
-        inside = lambda p: (p["lon"] <= seam) if keep_low else (p["lon"] >= seam)
+    def halves(unrolled: Column) -> Column:
+        east = F.exists(unrolled, lambda p: p["lon"] > 180)
+        seam = F.when(east, F.lit(180.0)).otherwise(-180.0)
 
-        def step(acc: Column, s: Column) -> Column:
-            a, b = s["a"], s["b"]
-            t = (seam - a["lon"]) / F.when(b["lon"] != a["lon"], b["lon"] - a["lon"])
-            meet = vertex(seam, a["lat"] + (b["lat"] - a["lat"]) * t)
-            with_meet = F.when(inside(a) != inside(b), F.array_append(acc, meet)).otherwise(acc)
-            return F.when(inside(b), F.array_append(with_meet, b)).otherwise(with_meet)
-
-        cut = F.aggregate(pairs(unrolled), F.filter(F.slice(unrolled, 1, 1), inside), step)
-        closed = F.when((F.size(cut) > 0) & (cut[0] != F.try_element_at(cut, F.lit(-1))), F.array_append(cut, cut[0])).otherwise(cut)
-        return F.transform(closed, lambda p: vertex(p["lon"] + shift, p["lat"]))
-
-    low = half(True, F.when(seam < 0, F.lit(360.0)).otherwise(0.0))
-    high = half(False, F.when(seam > 0, F.lit(-360.0)).otherwise(0.0))
-    return F.when(crosses, F.filter(F.array(low, high), lambda r: F.size(r) >= 4)).otherwise(F.array(ring))
+        def half(low: bool) -> Column:
+            inside = lambda p: (p["lon"] <= seam) if low else (p["lon"] >= seam)
+            shift = F.when(east, 0.0 if low else -360.0).otherwise(360.0 if low else 0.0)
+
+            def step(acc: Column, s: Column) -> Column:
+                x, y = s["a"], s["b"]
+                meet = vertex(seam, x["lat"] + (y["lat"] - x["lat"]) * (seam - x["lon"]) / F.when(y["lon"] != x["lon"], y["lon"] - x["lon"]))
+                new = F.filter(F.array(F.when(inside(x) != inside(y), meet), F.when(inside(y), y)), lambda v: v.isNotNull())
+                return F.concat(acc, new)
+
+            cut = F.aggregate(pairs(unrolled), F.filter(F.slice(unrolled, 1, 1), inside), step)
+            return _let(cut, lambda c: F.transform(F.concat(c, F.when(c[0] != F.try_element_at(c, F.lit(-1)), F.slice(c, 1, 1)).otherwise(F.slice(c, 1, 0))), lambda p: vertex(p["lon"] + shift, p["lat"])))
+
+        crosses = east | F.exists(unrolled, lambda p: p["lon"] < -180)
+        return F.when(crosses, F.filter(F.array(half(True), half(False)), lambda r: F.size(r) >= 4)).otherwise(F.array(unrolled))
+
+    def unroll(r: Column) -> Column:
+        return F.transform(r, lambda p: vertex(r[0]["lon"] + longitude_delta(r[0]["lon"], p["lon"]), p["lat"]))
+
+    return _let(_c(ring), lambda r: _let(unroll(r), halves))
 
 
 def meets_box(geom_type, parts, box: tuple[float, float, float, float]) -> Column:

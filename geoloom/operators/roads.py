@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.columns import DRIVE_SPEED, distance, phrase_match
@@ -83,9 +83,11 @@ def shortest_paths(edges: DataFrame, legs: DataFrame, most_rounds: int = 10_000)
         offered = reached.groupBy("leg_id", "node").agg(F.min_by("o", rank("o")).alias("o"))
         both = offered.join(best, ["leg_id", "node"], "full_outer")
         fell = F.coalesce(F.col("o").isNotNull() & (F.col("v").isNull() | (rank("o") < rank("v"))), F.lit(False))
-        now = stored(both.select("leg_id", "node", F.when(fell, F.col("o")).otherwise(F.col("v")).alias("v"), fell.alias("fell")))
+        seen = Observation()
+        now = both.select("leg_id", "node", F.when(fell, F.col("o")).otherwise(F.col("v")).alias("v"), fell.alias("fell"))
+        now = stored(now.observe(seen, F.count_if("fell").alias("n")))
         best, front = now.drop("fell"), now.where("fell").drop("fell")
-        if front.limit(1).count() == 0:
+        if not seen.get["n"]:
             break
     else:
         raise RuntimeError(f"distances still fell after {most_rounds} rounds")

@@ -33,7 +33,7 @@ def fil10_valid(spark, sf):
     b = buildings(spark, sf).select(F.col("input_pos").alias("feature_id"), "parts")
     r = F.col("parts")[0][0]
     k = F.col("feature_id")
-    bow = F.array(r[0], r[2], r[1], r[3], r[0])
+    bow = F.array(r[0], r[2], r[1], g.vertex(r[3]["lon"], 2 * r[3]["lat"] - r[0]["lat"]), r[0])
     ring = F.when(k % 7 == 0, bow).when(k % 11 == 0, F.slice(r, 1, 4)).when(k % 13 == 0, F.array(r[0], r[1], r[0], r[0])).otherwise(r)
     _, bad = op.validated(b.withColumn("parts", F.array(F.array(ring))))
     return bad.select("feature_id", "reason")
