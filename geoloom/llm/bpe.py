@@ -17,6 +17,7 @@ encoded each; other columns pass through.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import unicodedata
@@ -36,7 +37,7 @@ from .shared import table
 from .token_counts import byte_alphabet
 from .wordhash import slices
 
-CACHE, BATCH_BYTES = 350_000, 1 << 19
+CACHE, BATCH_BYTES, LONG = 200_000, 1 << 19, 200
 #: White space as the tokenizer's pattern engine has it (Unicode's White_Space property).
 _WHITE = "\t-\r \x85\xa0  -     　"
 
@@ -103,6 +104,8 @@ class ForcedBoundaryBPE:
 
     def merge(self, symbols: list[str]) -> list[int]:
         """The ids of a fragment: the merge of lowest rank first, and of those the leftmost."""
+        if len(symbols) > LONG:
+            return self.merge_long(symbols)
         ranks, none = self.ranks.get, len(self.ranks)
         each = [ranks(p, none) for p in zip(symbols, symbols[1:], strict=False)]
         while each and (low := min(each)) < none:
@@ -115,6 +118,27 @@ class ForcedBoundaryBPE:
                 each[k] = ranks((symbols[k], symbols[k + 1]), none)
         return [self.vocab[s] for s in symbols]
 
+    def merge_long(self, symbols: list[str]) -> list[int]:
+        """The same in n log n steps: a heap of pairs by rank and place, over a linked list."""
+        n, ranks = len(symbols), self.ranks
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [(ranks[p], k, *p) for k, p in enumerate(zip(symbols, symbols[1:], strict=False)) if p in ranks]
+        heapq.heapify(heap)
+        now: list[str | None] = list(symbols)
+        while heap:
+            _, k, a, b = heapq.heappop(heap)
+            to = after[k]
+            if now[k] != a or to < 0 or now[to] != b:
+                continue
+            now[k], now[to] = a + b, None
+            after[k] = after[to]
+            if after[k] >= 0:
+                before[after[k]] = k
+            for x, y in ((before[k], k), (k, after[k])):
+                if x >= 0 and y >= 0 and (pair := (now[x], now[y])) in ranks:
+                    heapq.heappush(heap, (ranks[pair], x, *pair))
+        return [self.vocab[s] for s in now if s is not None]
+
     def ids(self, word: str) -> bytes:
         """The ids of a pre-token, four bytes each."""
         bytes_of = self.bytes

@@ -21,7 +21,6 @@ matched each; an empty benchmark or table gives no match; all other columns pass
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,15 +130,16 @@ _indexes: dict = {}
 
 
 def _finder(items, threshold: float):
-    @F.pandas_udf(_MATCHES)
-    def find(text: pd.Series) -> pd.Series:
+    def find(text: pa.Array) -> pa.Array:
         key = getattr(items, "_path", None) or id(items)
         if key not in _indexes:
             _indexes.clear()
             _indexes[key] = Index(*items.value)
-        return pd.Series(matches(pa.array(text, pa.string()), _indexes[key], threshold), dtype=object)
+        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64()), ("item_shingles", pa.int32())]))
+        return pa.array(matches(text, _indexes[key], threshold), kind)
 
-    return find
+    find.__annotations__ = {"text": pa.Array, "return": pa.Array}
+    return F.arrow_udf(find, _MATCHES)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -18,7 +18,6 @@ score is 0.5.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -196,11 +195,11 @@ def scored(docs: DataFrame, field: Field | None, column: str = "text") -> DataFr
     if field is None:
         return docs.withColumn("_quality", F.lit(0.5))
 
-    def run(text: pd.Series) -> pd.Series:
-        return pd.Series(field.scores(pa.array(text, pa.string())))
+    def run(text: pa.Array) -> pa.Array:
+        return pa.array(field.scores(text))
 
-    run.__annotations__ = {"text": pd.Series, "return": pd.Series}
-    return docs.withColumn("_quality", F.pandas_udf(run, "double")(text_or_empty(column)))
+    run.__annotations__ = {"text": pa.Array, "return": pa.Array}
+    return docs.withColumn("_quality", F.arrow_udf(run, "double")(text_or_empty(column)))
 
 
 def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,13 +93,14 @@ def count_texts(column: pa.Array) -> pd.DataFrame:
     return pd.DataFrame({n: np.concatenate([p[n] for p in parts]) if parts else np.zeros(0, np.int64) for n in names}, dtype=np.int64)
 
 
-def _counts_batch(text: pd.Series) -> pd.DataFrame:
-    return count_texts(pa.array(text, pa.string()))
+def _counts_batch(text: pa.Array) -> pa.Array:
+    counts = count_texts(text)
+    return pa.StructArray.from_arrays([pa.array(counts[c].to_numpy()) for c in counts], list(counts))
 
 
 def counts_of(column: str = "text") -> Column:
     """A struct of the counts."""
-    return F.pandas_udf(_counts_batch, _COUNTS)(text_or_empty(column))
+    return F.arrow_udf(_counts_batch, _COUNTS)(text_or_empty(column))
 
 
 def _share(part: str, whole: str) -> Column:
