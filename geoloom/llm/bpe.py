@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .shared import table
+from .shared import small_batches, table
 from .token_counts import byte_alphabet
 from .wordhash import slices
 
@@ -195,7 +195,7 @@ def with_ids(docs: DataFrame, path: str, column: str = "text", ids: str = "ids",
                     columns.append(pa.array([tool.decode(np.frombuffer(x, np.int32)) for x in found], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def with_decoded(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, text_or_empty
+from .shared import small_batches, table, text_or_empty
 from .wordhash import mix, shingles, slices, words
 
 SHINGLE, THRESHOLD, PERMS = 5, 0.8, 24
@@ -116,7 +116,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """docs with _matches, the items (item_id, containment, item_shingles) that each text contains."""
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     pieces = max(1, -(-size["b"] // item_bytes), -(-size["n"] // 50_000))
-    out, names = docs, []
+    out, names = small_batches(docs), []
     for k in range(pieces):
         piece = benchmark.where("text IS NOT NULL").where(F.pmod(F.xxhash64("item_id"), F.lit(pieces)) == k) if pieces > 1 else benchmark.where("text IS NOT NULL")
         rows = piece.select("item_id", "text").collect()

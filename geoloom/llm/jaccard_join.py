@@ -37,10 +37,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import table, text_or_empty, written
+from .shared import small_batches, table, text_or_empty, written
 from .wordhash import distinct, mix, shingles, slices, words
 
-BANDS, SKETCH_BITS, BLOCK_TOKENS, BLOCK_QUERIES = 6, 22, 400_000, 4096
+BANDS, SKETCH_BITS, BLOCK_TOKENS, BLOCK_QUERIES = 6, 21, 400_000, 4096
 #: Up to so many rows, the keys of texts to fetch are broadcast; beyond, texts are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 _SEEDS = mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
@@ -341,7 +341,7 @@ def linked(docs: DataFrame, sim: Similarity, key: str = "doc_id", column: str =
     have no key."""
     text = F.coalesce(F.col(f"`{column}`"), F.lit(""))
     known = docs.select(F.col(f"`{key}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{key}`").cast("long"), F.xxhash64(text)).alias("_row"), F.xxhash64(text).alias("_th"), text.alias("text"))
-    found = written(summaries(known, sim), "summaries")
+    found = written(summaries(small_batches(known), sim), "summaries")
     counts = token_counts(found)
     light = found.where("part IS NULL")
     sets = light.where("n > 0")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .language_id import held_out
 from .quality_rules import _repeats
-from .shared import table, text_or_empty
+from .shared import small_batches, table, text_or_empty
 from .wordhash import SPACE, Ranges, slices, words
 
 TRAIN_DOCS, TRAIN_LINES, ROUNDS, RATE, DECAY = 3000, 64, 250, 0.15, 1e-5
@@ -199,7 +199,7 @@ def scored(docs: DataFrame, field: Field | None, column: str = "text") -> DataFr
         return pa.array(field.scores(text))
 
     run.__annotations__ = {"text": pa.Array, "return": pa.Array}
-    return docs.withColumn("_quality", F.arrow_udf(run, "double")(text_or_empty(column)))
+    return small_batches(docs).withColumn("_quality", F.arrow_udf(run, "double")(text_or_empty(column)))
 
 
 def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table, text_or_empty, written
+from .shared import small_batches, table, text_or_empty, written
 from .wordhash import SPACE, Ranges, _spans, shingles, slices, words
 
 SYMBOLS = "#*$%&|<>"
@@ -153,7 +153,7 @@ def thresholds(counted: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
 def judged(docs: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
     """docs with _q (counts), _base_failed and _kept. The text is counted twice, once for the sketches
     and once for the verdicts, rather than shuffled or stored."""
-    counted = docs.withColumn("_q", counts_of())
+    counted = small_batches(docs).withColumn("_q", counts_of())
     limits = written(thresholds(counted, least), "limits").select(F.struct("*").alias("_l"))
     small = limits.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     on = F.col("lang").eqNullSafe(F.col("_l.lang")) & F.col("source").eqNullSafe(F.col("_l.source"))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, text_or_empty
+from .shared import small_batches, table, text_or_empty
 
 CACHE = 300_000
 
@@ -161,5 +161,5 @@ def default_vocabulary() -> str:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", token_counts("text", default_vocabulary()).alias("c"))
+    docs = small_batches(table(spark, sf_dir, "documents")).select("doc_id", token_counts("text", default_vocabulary()).alias("c"))
     return docs.select("doc_id", "c.n_words", "c.n_tokens", "c.n_unknown")
