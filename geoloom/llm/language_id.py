@@ -76,7 +76,7 @@ class Model:
                 self.trees[place[lang]][k][(window >> 8) & ((1 << 8 * k) - 1)][window & 255] += times
         self.trees = [[{c: dict(s) for c, s in by.items()} for by in tree] for tree in self.trees]
         self.known = np.unique(np.array([c[1] for c in counts], np.uint32))
-        self.costs = np.array([self.code_lengths(int(w)) for w in self.known], np.float32).reshape(-1, len(self.languages))
+        self.costs = np.array([self.code_lengths(int(w)) for w in self.known], np.float32).reshape(len(self.known), len(self.languages))
 
     def code_lengths(self, window: int) -> list[float]:
         """Bits for the last byte of the window, under each language."""
