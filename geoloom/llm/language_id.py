@@ -149,6 +149,8 @@ class Scorer:
 
 
 def predict(texts: pd.Series, scorer: Scorer) -> pd.DataFrame:
+    if not scorer.model.languages:
+        return pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": [0.0] * len(texts)})
     names, langs, scores, run, size = scorer.model.languages, [], [], [], 0
 
     def flush() -> None:
@@ -161,7 +163,7 @@ def predict(texts: pd.Series, scorer: Scorer) -> pd.DataFrame:
         run.clear()
 
     for text in texts:
-        run.append(folded(text) if names else b"")
+        run.append(folded(text))
         size += len(run[-1])
         if size > 1 << 20:
             flush()
