@@ -163,6 +163,30 @@ def prefixes(docs: DataFrame, counts: np.ndarray, sim: Similarity) -> DataFrame:
     return docs.select(text_or_empty()).mapInArrow(run, "h1 long, token long")
 
 
+def several(tokens: DataFrame) -> DataFrame:
+    """(h1, token), once each, of the tokens that more than one h1 has. Rows come sorted by token, so that a
+    task holds one row back and no group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, h, shared = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t, h = np.concatenate((t, batch.column(1).to_numpy())), np.concatenate((h, batch.column(0).to_numpy()))
+            new = np.append(True, (t[1:] != t[:-1]) | (h[1:] != h[:-1]))
+            t, h = t[new], h[new]
+            same = t[1:] == t[:-1]
+            many = np.append(same, False) | np.append(False, same)
+            many[0] |= shared
+            keep = many[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(h[:-1][keep]), pa.array(t[:-1][keep])], ["h1", "token"])
+            t, h, shared = t[-1:], h[-1:], bool(many[-1])
+        if shared:
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(t)], ["h1", "token"])
+
+    return tokens.repartition("token").sortWithinPartitions("token", "h1").mapInArrow(run, "h1 long, token long")
+
+
 class _Members:
     """Token sets of some classes: node, size, copies, and the tokens one after the other."""
 
@@ -360,10 +384,8 @@ def linked(docs: DataFrame, sim: Similarity, key: str = "doc_id", column: str =
 
     # the matrix: which group holds which token of the prefixes; queries look up their own
     place = members.select(F.col("node").alias("h1"), "gid", "cut")
-    # One shuffle by token serves both the search for tokens of several classes and the join with them.
-    tokens = prefixes(known.select("text"), counts, sim).repartition("token")
-    several = tokens.groupBy("token").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("token")
-    tokens = written(tokens.join(several, "token", "left_semi").distinct().join(place, "h1"), "prefixes")
+    tokens = several(prefixes(known.select("text"), counts, sim))
+    tokens = written(tokens.join(place, "h1"), "prefixes")
     matrix = tokens.select("token", F.col("gid").alias("to_gid"), F.col("cut").alias("to_cut")).distinct()
     meets = tokens.join(matrix, "token").where("gid < to_gid AND abs(cut - to_cut) <= 1")
     crossing = meets.select(F.col("h1").alias("node"), F.col("to_gid").alias("gid"), F.col("to_cut").alias("cut")).distinct()
@@ -381,11 +403,8 @@ def linked(docs: DataFrame, sim: Similarity, key: str = "doc_id", column: str =
     asked = asked.join(members.select("node", "copies", "rep"), "node").select("gid", "cut", "sub", "chunk", F.lit(1).alias("role"), "node", "copies", "rep")
     places = held.unionByName(asked).select("*", F.col("rep._row").alias("_row"), F.col("rep._th").alias("_th")).drop("rep")
     places = written(places, "places")
-    wanted = places.select("_row", "_th").distinct()
-    small = wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    texts = known.select("_row", "_th", "text")
-    texts = texts.join(F.broadcast(wanted), ["_row", "_th"], "left_semi") if small else texts
-    rows = places.join(texts, ["_row", "_th"])
+    small = places.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    rows = known.select("_row", "_th", "text").join(F.broadcast(places) if small else places, ["_row", "_th"])
     block = ["gid", "cut", "sub", "chunk"]
     rows = rows.select(*block, "role", "node", "copies", "text").repartition(*block).sortWithinPartitions(*block, "role")
     pairs = written(_verify(rows, sim), "links")
