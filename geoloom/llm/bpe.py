@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .shared import small_batches, table
+from .shared import hand_back, small_batches, table
 from .token_counts import byte_alphabet
 from .wordhash import slices
 
-CACHE, BATCH_BYTES, LONG = 200_000, 1 << 19, 200
+CACHE, BATCH_BYTES, LONG = 150_000, 1 << 19, 200
 #: White space as the tokenizer's pattern engine has it (Unicode's White_Space property).
 _WHITE = "\t-\r \x85\xa0  -     　"
 
@@ -194,6 +194,7 @@ def with_ids(docs: DataFrame, path: str, column: str = "text", ids: str = "ids",
                 if decoded:
                     columns.append(pa.array([tool.decode(np.frombuffer(x, np.int32)) for x in found], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
+        hand_back()
 
     return small_batches(docs).mapInArrow(run, schema)
 

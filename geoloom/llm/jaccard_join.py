@@ -33,11 +33,12 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import small_batches, table, text_or_empty, written
+from .shared import hand_back, small_batches, table, text_or_empty, written
 from .wordhash import distinct, mix, shingles, slices, words
 
 BANDS, SKETCH_BITS, BLOCK_TOKENS, BLOCK_QUERIES = 6, 21, 400_000, 4096
@@ -117,6 +118,7 @@ def summaries(docs: DataFrame, sim: Similarity) -> DataFrame:
         columns = [pa.nulls(len(used), t) for t in kinds]
         columns[7], columns[8] = pa.array(used.astype(np.int32)), pa.array([parts[k].tobytes() for k in used], pa.binary())
         yield pa.RecordBatch.from_arrays(columns, names)
+        hand_back()
 
     return docs.mapInArrow(run, "_id long, _row long, _th long, n int, h1 long, h2 long, bands array<long>, part int, counts binary")
 
@@ -140,9 +142,8 @@ def token_counts(rows: DataFrame) -> np.ndarray:
     return total.ravel()
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, sim: Similarity) -> DataFrame:
-    """(h1, token) of each document's rarest tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+def prefixes(docs: DataFrame, shared: Broadcast, sim: Similarity) -> DataFrame:
+    """(h1, token) of each document's rarest tokens, by the counts that are shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rareness = shared.value
@@ -159,6 +160,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, sim: Similarity) -> DataFrame:
                 h1 = np.zeros(len(n), np.uint64)
                 h1[some] = mix(np.add.reduceat(mix(values), first[:-1][some]) + n[some].astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(h1[owner[chosen]])), pa.array(_signed(values[order][chosen]))], ["h1", "token"])
+        hand_back()
 
     return docs.select(text_or_empty()).mapInArrow(run, "h1 long, token long")
 
@@ -351,6 +353,7 @@ def _verify(rows: DataFrame, sim: Similarity) -> DataFrame:
                 found = []
         found += ended()
         yield _edges(found)
+        hand_back()
 
     return rows.mapInArrow(run, "a long, b long, links long")
 
@@ -384,8 +387,10 @@ def linked(docs: DataFrame, sim: Similarity, key: str = "doc_id", column: str =
 
     # the matrix: which group holds which token of the prefixes; queries look up their own
     place = members.select(F.col("node").alias("h1"), "gid", "cut")
-    tokens = several(prefixes(known.select("text"), counts, sim))
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    tokens = several(prefixes(known.select("text"), shared, sim))
     tokens = written(tokens.join(place, "h1"), "prefixes")
+    shared.unpersist()  # workers would keep it; a task that is run again fetches it anew
     matrix = tokens.select("token", F.col("gid").alias("to_gid"), F.col("cut").alias("to_cut")).distinct()
     meets = tokens.join(matrix, "token").where("gid < to_gid AND abs(cut - to_cut) <= 1")
     crossing = meets.select(F.col("h1").alias("node"), F.col("to_gid").alias("gid"), F.col("to_cut").alias("cut")).distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -46,3 +47,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
         conf.set(key, str(BATCH_ROWS))
     return df
+
+
+def hand_back() -> None:
+    """Gives memory that a task has freed back to the system: workers go on to other tasks, and would keep
+    the most that any of them took."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
