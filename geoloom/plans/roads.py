@@ -11,14 +11,25 @@ from ..operators import raster, roads
 from ..operators.places import near_pairs
 
 SIDE = 40
+#: Keys of a block of SIDE by SIDE nodes.
+BLOCK = 4000
+
+
+def _block(b):
+    """(x, y) of the first node of block b: blocks lie in a square, whose side grows with their number."""
+    s = F.floor(F.sqrt(b))
+    r = b - s * s
+    return F.least(r, s) * SIDE, F.least(2 * s - r, s) * SIDE
 
 
 def _ways(spark, sf):
     """A street a customer order: from a lattice node to the one east or north of it."""
-    o = table(spark, sf, "orders").where("o_orderkey < 4000").select(F.col("o_orderkey").alias("k"))
-    x, y = F.col("k") % SIDE, F.floor(F.col("k") / SIDE) % SIDE
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    x0, y0 = _block(F.floor(F.col("k") / BLOCK))
+    i = F.col("k") % BLOCK
+    x, y = x0 + i % SIDE, y0 + F.floor(i / SIDE) % SIDE
     at = lambda dx, dy: g.vertex(77.0 + (x + dx) / 1000.0, 28.5 + (y + dy) / 1000.0)
-    east = F.floor(F.col("k") / (SIDE * SIDE)) % 2 == 0
+    east = F.floor(i / (SIDE * SIDE)) % 2 == 0
     klass = F.element_at(F.array(*map(F.lit, ("residential", "primary", "footway", "service"))), (F.floor(F.col("k") / 7) % 4 + 1).cast("int"))
     tags = F.map_filter(F.create_map(F.lit("highway"), klass, F.lit("name"), F.concat(F.lit("Street No "), (F.col("k") % 50).cast("string")), F.lit("oneway"), F.when(F.col("k") % 9 == 0, "yes").when(F.col("k") % 10 == 0, "-1"), F.lit("access"), F.when(F.col("k") % 11 == 0, "private")), lambda k, v: v.isNotNull())
     return o.select(F.col("k").alias("way_id"), tags.alias("tags"), F.when(east, F.array(at(0, 0), at(1, 0))).otherwise(F.array(at(0, 0), at(0, 1))).alias("geometry"))
@@ -35,12 +46,13 @@ def pipe7_graph(spark, sf):
 
 
 def pipe8_routes(spark, sf):
-    """A route a supplier, of three waypoints."""
+    """A route a supplier, of three waypoints, in the block of the supplier's share of the orders (150 each)."""
     nodes, edges = roads.driving_graph(_ways(spark, sf))
     nodes, edges = roads.stored(nodes), roads.stored(edges)
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("route_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("pos"))
     x, y = (F.col("route_id") * 7 + F.col("pos") * 3) % (SIDE - 1), (F.col("route_id") * 5 + F.col("pos") * 2) % (SIDE - 1)
-    w = s.withColumns({"lon": 77.0003 + x / 1000.0, "lat": 28.5002 + y / 1000.0})
+    x0, y0 = _block(F.floor(F.col("route_id") * 150 / BLOCK))
+    w = s.withColumns({"lon": 77.0003 + (x0 + x) / 1000.0, "lat": 28.5002 + (y0 + y) / 1000.0})
     return roads.routes(w, nodes, edges).select("route_id", F.round("metres", 3).alias("metres"), F.round("seconds", 3).alias("seconds"), "legs")
 
 
