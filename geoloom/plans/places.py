@@ -79,8 +79,7 @@ def win4_saved(spark, sf):
 
 
 def join14_geocode(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 5 = 0")
-    q = o.select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit("Block "), (F.col("o_custkey") % 900).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(", ward "), (F.col("o_custkey") % 9).cast("string"))).otherwise("")).alias("query"))
+    q = table(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit("Block "), (F.col("o_custkey") % 900).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(", ward "), (F.col("o_custkey") % 9).cast("string"))).otherwise("")).alias("query"))
     return op.geocode(q, _places(spark, sf, 2))
 
 
@@ -91,7 +90,7 @@ def fil14_category(spark, sf):
 
 
 def set2_lookup(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit("block "), (F.col("o_custkey") % 3000).cast("string")).alias("q"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit("block "), (F.col("o_custkey") % 3000).cast("string")).alias("q"))
     p = _places(spark, sf)
     cached = o.where("query_id % 3 = 0").select("query_id", F.lit("cached").alias("place_id"))
     osm = o.join(p.where("provider = 'openstreetmap'").select("place_id", F.col("normalized_name").alias("q")), "q").select("query_id", "place_id")
@@ -109,7 +108,7 @@ def join13_boundaries(spark, sf):
 
 def join8_table(spark, sf):
     p = _places(spark, sf, 2).withColumn("place_type", F.when(F.col("input_pos") % 5 == 0, "school").otherwise("village"))
-    rows = table(spark, sf, "orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("row_index"), F.concat(F.lit(" BLOCK-"), (F.col("o_orderkey") % 2000).cast("string")).alias("name"), F.concat(F.lit("1,"), F.format_string("%03d", F.col("o_custkey") % 1000)).alias("value_text"), F.concat(F.lit("ward "), (F.col("o_orderkey") % 2000 % 9).cast("string")).alias("region"))
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_index"), F.concat(F.lit(" BLOCK-"), (F.col("o_orderkey") % 2000).cast("string")).alias("name"), F.concat(F.lit("1,"), F.format_string("%03d", F.col("o_custkey") % 1000)).alias("value_text"), F.concat(F.lit("ward "), (F.col("o_orderkey") % 2000 % 9).cast("string")).alias("region"))
     return op.join_table(rows, p).select("row_index", "place_id", "value", "ambiguous")
 
 
