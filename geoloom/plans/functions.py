@@ -205,20 +205,20 @@ def fil12_links(spark, sf):
     return web.host_counts(web.link_table(pages.select("page_id", "links").unionByName(own)))
 
 
-def _candidates(spark, sf):
-    """A source candidate of each document's beginning; every tenth speaks of a check of browsers."""
-    d = table(spark, sf, "documents")
+def _candidates(spark, sf, urls: int = 300):
+    """A source candidate of each document: its first words and its whole text; every tenth speaks of a check of browsers."""
+    d = table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     snippet = F.concat(F.col("text"), F.when(F.col("doc_id") % 10 == 0, "\nPlease wait\nChecking your browser now").otherwise(""))
-    return d.select(F.col("doc_id").alias("pos"), F.concat(F.lit("Item "), F.substring_index("text", " ", 2)).alias("title"), F.concat(F.lit("https://"), "source", F.when(F.col("doc_id") % 20 == 0, ".census.gov/").otherwise(".org/"), F.col("doc_id") % 300, F.when(F.col("doc_id") % 7 == 0, ".csv").otherwise("")).alias("url"), snippet.alias("snippet"))
+    return d.select(F.col("doc_id").alias("pos"), F.concat(F.lit("Item "), F.substring_index("text", " ", 2)).alias("title"), F.concat(F.lit("https://"), "source", F.when(F.col("doc_id") % 20 == 0, ".census.gov/").otherwise(".org/"), F.col("doc_id") % urls, F.when(F.col("doc_id") % 7 == 0, ".csv").otherwise("")).alias("url"), snippet.alias("snippet"))
 
 
 def fil13_useful(spark, sf):
-    u = web.useful_sources(_candidates(spark, sf).withColumn("title", F.when(F.col("pos") % 3 == 0, "Just a  moment!").otherwise(F.col("title"))).withColumn("snippet", F.when(F.col("pos") % 6 == 0, "Please wait.").otherwise("Some words. Please wait now. More words")))
+    u = web.useful_sources(_candidates(spark, sf).withColumn("title", F.when(F.col("pos") % 3 == 0, "Just a  moment!").otherwise(F.col("title"))).withColumn("snippet", F.concat("snippet", F.when(F.col("pos") % 6 == 0, "\nPlease wait.").otherwise("\nSome words. Please wait now. More words"))))
     return u.select("pos", "snippet")
 
 
 def win5_sources(spark, sf):
-    r = web.rank_sources(_candidates(spark, sf).withColumn("snippet", F.concat(F.lit("thnd "), F.col("pos") % 40)), "population of thnd 17 csv data in 23", 8)
+    r = web.rank_sources(_candidates(spark, sf).withColumn("snippet", F.concat("snippet", F.lit("\nthnd "), F.col("pos") % 40)), "population of thnd 17 csv data in 23", 8)
     return r.select("pos", F.round("score", 6).alias("score"))
 
 
@@ -231,8 +231,9 @@ b AS (SELECT arg_max(pos, (score, -pos)) AS pos, max(score) AS score FROM s GROU
 
 
 def set3_results(spark, sf):
-    c = _candidates(spark, sf).select("pos", "url", "title")
-    return web.joined_results(c.where("pos % 2 = 0"), c.where("pos % 3 = 0")).select("list", "pos", "url")
+    """Two lists of all documents, some of whose URLs are the same."""
+    a, b = (_candidates(spark, sf, n).select("pos", "url", "title") for n in (300, 450))
+    return web.joined_results(a, b).select("list", "pos", "url")
 
 
 QUERIES = {

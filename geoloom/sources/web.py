@@ -185,7 +185,7 @@ def useful_sources(sources: DataFrame) -> DataFrame:
     snippet = F.array_join(parts, " ")
     bare = F.regexp_replace(F.regexp_replace(F.lower(F.trim("title")), r"\s+", " "), r"^[ .!?:]+|[ .!?:]+$", "")
     useful = ~bare.isin(*PLACEHOLDERS) & ~F.regexp_like("title", F.lit(f"(?i)^(?:{BOILERPLATE})"))
-    return sources.withColumn("snippet", snippet).where(useful | F.regexp_like("snippet", F.lit(r"[^\W_]")))
+    return sources.withColumn("snippet", snippet).where(useful | F.regexp_like("snippet", F.lit(r"[\p{L}\p{N}]")))
 
 
 def rank_sources(sources: DataFrame, query: str, most: int = 8) -> DataFrame:
@@ -196,7 +196,7 @@ def rank_sources(sources: DataFrame, query: str, most: int = 8) -> DataFrame:
     real = sorted(words - DISCOVERY_WORDS)
     population = bool(words & POPULATION_WORDS)
     about_data = population or bool(words & DATA_WORDS)
-    s = useful_sources(sources).withColumn("_w", F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "title", "snippet", "url")), F.lit(r"([^\W_]+)"), F.lit(1))))
+    s = useful_sources(sources).withColumn("_w", F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "title", "snippet", "url")), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))))
     counts = s.agg(F.count("*").alias("_n"), *(F.count_if(F.array_contains("_w", w)).alias(f"_df{k}") for k, w in enumerate(real)))
     s = s.crossJoin(F.broadcast(counts))
     has = lambda w: F.array_contains("_w", w)
