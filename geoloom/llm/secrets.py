@@ -51,9 +51,13 @@ BASE = (
     Rule("access", "AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", "[0-9a-f]{24,}", 0, 24),
 )
+_KEY_BEGIN = "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+#: A key goes on over its headers and its base64 (line breaks may be escaped) to the END line, or without one
+#: to the end of the base64 run.
+_KEY_REST = r"(?:\s+(?:Proc-Type|DEK-Info):[^\r\n]*+){0,2}+(?:[A-Za-z0-9+/=\\\s]*+-----END [A-Z ]{0,20}PRIVATE KEY-----|\s*+[A-Za-z0-9+/=\\]{16,}+[A-Za-z0-9+/=\\\r\n]*+|)"
 #: Published formats of tokens and keys.
 FURTHER = (
-    Rule("private_key", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("private_key", _KEY_BEGIN + _KEY_REST),
     Rule("code_host", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", "xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("payment", "[rs]k_live_[A-Za-z0-9]{16,}"),
@@ -233,7 +237,7 @@ def _sql() -> str:
     quoted = lambda p: p.replace("'", "''")
     parts = []
     for k, rule in enumerate(RULES):
-        p = quoted(rule.pattern)
+        p = quoted(_KEY_BEGIN if rule.kind == "private_key" else rule.pattern)  # DuckDB has no possessive repeats
         parts.append(
             f"SELECT rid, {k} AS place, '{rule.kind}' AS kind, {rule.least} AS least, string_split_regex(text, '{p}') AS gaps, regexp_extract_all(text, '{p}', 0) AS found, "
             f"regexp_extract_all(text, '{p}', {rule.group}) AS judged FROM d WHERE regexp_matches(text, '{p}')"
