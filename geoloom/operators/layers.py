@@ -264,7 +264,7 @@ def category_codes(features: DataFrame, field: str, palette: int) -> DataFrame:
     sizes = values.groupBy(head.alias("head")).agg(F.count("*").alias("n")).withColumn("_one", F.lit(1))
     offsets = sizes.select("head", (F.sum("n").over(Window.partitionBy("_one").orderBy("head")) - F.col("n")).alias("before"))
     ranked = values.withColumn("head", head).withColumn("k", F.row_number().over(Window.partitionBy("head").orderBy(text)))
-    return ranked.join(F.broadcast(offsets.limit(70_000)), "head").select("value", F.pmod(F.col("before") + F.col("k") - 1, F.lit(palette)).cast("int").alias("code"))
+    return ranked.join(offsets, "head").select("value", F.pmod(F.col("before") + F.col("k") - 1, F.lit(palette)).cast("int").alias("code"))
 
 
 def inventory(features: DataFrame) -> DataFrame:
