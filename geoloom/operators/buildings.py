@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import LATTICE_X, LATTICE_Y, NEIGHBOUR_RADIUS, above_base, ascii_key, distance, height_prior, known_height
-from .places import stored
+from .places import cell_width, stored
 
 RANGE_LOW, RANGE_HIGH, MOST_EXAMPLES = 2.4, 4.0, 256
 VECTOR_WEIGHTS = (0.7, 0.35, 2.4, 0.5, 0.8, 0.65)
@@ -78,10 +78,10 @@ def matched_reference(targets: DataFrame, references: DataFrame) -> DataFrame:
     40 % of the side (8 to 30 m), score = distance share + area difference of at most 0.75; ties by input
     order. Joined over 30 m cells."""
     step = 30 / 110_540 * 1.001
-    wide = step / max(0.2, math.cos(math.radians(60)))
-    cell = lambda c, s: F.floor(F.col(c) / s)
-    a = targets.select("tile", F.col("id").alias("a_id"), F.col("lon").alias("a_lon"), F.col("lat").alias("a_lat"), F.col("area").alias("a_area"), cell("lon", wide).alias("gx"), cell("lat", step).alias("gy"))
-    around = F.explode(F.array(*(F.struct((cell("lon", wide) + i).alias("gx"), (cell("lat", step) + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    gy = F.floor(F.col("lat") / step)
+    gx = lambda row: F.floor(F.col("lon") / cell_width(row, step))
+    a = targets.select("tile", F.col("id").alias("a_id"), F.col("lon").alias("a_lon"), F.col("lat").alias("a_lat"), F.col("area").alias("a_area"), gx(gy).alias("gx"), gy.alias("gy"))
+    around = F.explode(F.array(*(F.struct((gx(gy + j) + i).alias("gx"), (gy + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     b = references.select("tile", "id", "lon", "lat", "area", "height", "height_source", around.alias("c")).select("*", "c.gx", "c.gy").drop("c")
     most = F.least(F.lit(30.0), F.greatest(F.lit(8.0), F.sqrt("a_area") * 0.4))
     ratio = F.least("a_area", "area") / F.greatest("a_area", "area")

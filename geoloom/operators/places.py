@@ -46,19 +46,28 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def near_pairs(left: DataFrame, right: DataFrame, metres: float, max_latitude: float = 85.0) -> DataFrame:
+def cell_width(row: Column, step: float) -> Column:
+    """Degrees of longitude of the cells of a row of the lattice, at least `step` degrees of latitude wide also
+    at the far edge of the row beside it."""
+    edge = F.least(F.lit(90.0), (F.greatest(F.abs(row), F.abs(row + 1)) + 1) * step)
+    return F.lit(step) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-9))
+
+
+def near_pairs(left: DataFrame, right: DataFrame, metres: float, max_latitude: float | None = None) -> DataFrame:
     """Pairs (l, r: structs of the rows) whose cells touch: cells have a side of `metres` at least, one side
-    takes the nine cells around, and cells are joined by equality. A residual distance is up to the caller."""
+    takes the nine cells around, and cells are joined by equality. Cells are as wide as their row needs, or all
+    as wide as max_latitude needs where rows are known to lie below it. A residual distance is up to the caller."""
     step = metres / 111_320 * 1.001
-    wide = step / max(0.1, math.cos(math.radians(max_latitude)))
-    cell = lambda c, s: F.floor(F.col(c) / s)
-    a = left.select(F.struct("*").alias("l"), cell("lon", wide).alias("cx"), cell("lat", step).alias("cy"))
-    around = F.explode(F.array(*(F.struct((cell("lon", wide) + dx).alias("cx"), (cell("lat", step) + dy).alias("cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
+    wide = lambda row: cell_width(row, step) if max_latitude is None else F.lit(step / max(0.1, math.cos(math.radians(max_latitude))))
+    cy = F.floor(F.col("lat") / step)
+    cx = lambda row: F.floor(F.col("lon") / wide(row))
+    a = left.select(F.struct("*").alias("l"), cx(cy).alias("cx"), cy.alias("cy"))
+    around = F.explode(F.array(*(F.struct((cx(cy + dy) + dx).alias("cx"), (cy + dy).alias("cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
     b = right.select(F.struct("*").alias("r"), around.alias("c")).select("r", "c.cx", "c.cy")
     return a.join(b, ["cx", "cy"]).select("l", "r")
 
 
-def same_places(places: DataFrame, max_latitude: float = 60.0) -> DataFrame:
+def same_places(places: DataFrame, max_latitude: float | None = None) -> DataFrame:
     """(place_id, other_id) of pairs within 35 m whose names say the same, other being earlier in
     (created_at, place_id). Rows need normalized_name."""
     p = places.select("place_id", "normalized_name", "lon", "lat", "created_at")
@@ -68,7 +77,7 @@ def same_places(places: DataFrame, max_latitude: float = 60.0) -> DataFrame:
     return pairs.where(earlier & close & same_place_name(F.col("l.normalized_name"), F.col("r.normalized_name"))).select(F.col("l.place_id").alias("place_id"), F.col("r.place_id").alias("other_id"))
 
 
-def canonical_places(places: DataFrame, max_latitude: float = 60.0, most_rounds: int = 200) -> DataFrame:
+def canonical_places(places: DataFrame, max_latitude: float | None = None, most_rounds: int = 200) -> DataFrame:
     """(place_id, canonical_id): in (created_at, place_id) order a place is canonical unless it matches an
     earlier canonical one, of which the first is its canonical. Not components: of A~B~C with A and C apart,
     A and C are canonical. Rounds decide all places whose earlier neighbours are decided."""

@@ -59,7 +59,7 @@ def driving_graph(ways: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def snapped(points: DataFrame, nodes: DataFrame, max_latitude: float = 60.0) -> DataFrame:
+def snapped(points: DataFrame, nodes: DataFrame, max_latitude: float | None = None) -> DataFrame:
     """points (point_id, lon, lat) with the nearest node within 250 m (the lowest id among equals)."""
     hit = near_pairs(points.select("point_id", "lon", "lat"), nodes.select("node_id", "lon", "lat"), SNAP_METRES, max_latitude)
     hit = hit.select(F.col("l.point_id").alias("point_id"), F.col("r.node_id").alias("node_id"), distance("l.lon", "l.lat", "r.lon", "r.lat").alias("metres")).where(F.col("metres") <= SNAP_METRES)
