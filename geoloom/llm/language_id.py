@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .shared import small_batches, table
 
-ORDER, TRAIN_DOCS, MAX_LANGUAGES, CACHE, SLOTS = 3, 600, 400, 1_000_000, 1 << 21
+ORDER, TRAIN_DOCS, CACHE, SLOTS = 3, 600, 1_000_000, 1 << 21
 _FOLD = bytes(b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
 _PAD = b" " * ORDER
 
@@ -175,7 +175,7 @@ def predict(texts: pd.Series, scorer: Scorer) -> pd.DataFrame:
 
 def training_counts(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> list[tuple[str, int, int]]:
     """(lang, window, times) of the sample; its size is bounded by train_docs for each language."""
-    sizes = {r[0]: r[1] for r in docs.where("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r[0]: r[1] for r in docs.where("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").count().collect()}
     if not sizes:
         return []
     share = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(train_docs / n))))
