@@ -9,8 +9,8 @@ blocks and the item share a minimum. Candidates are verified by exact containmen
 item's distinct shingles that the whole document has.
 
 Words are runs of letters and digits (and all bytes beyond ASCII), A-Z lower-cased; shingles have five
-words; an item with fewer words is one shingle of all of them and matches documents that are just that
-sequence. Text is read once and never shuffled. Items go to the tasks in pieces of at most
+words. An item with fewer words is one shingle of all of them, in a partition of the items of that length,
+and is looked up among all runs of so many words of a document. Text is read once and never shuffled. Items go to the tasks in pieces of at most
 ITEM_BYTES of text, one pass over the documents for each piece, so that what is broadcast doesn't grow
 with the benchmark.
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import small_batches, table, text_or_empty
-from .wordhash import mix, shingles, slices, words
+from .wordhash import Words, mix, shingles, slices, words
 
 SHINGLE, THRESHOLD, PERMS = 5, 0.8, 24
 ITEM_BYTES = 4 << 20
@@ -36,9 +36,9 @@ _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = T
 _SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _sets(column: pa.Array):
+def _words(column: pa.Array):
     for _, data, offsets in slices(column):
-        yield shingles(words(data, offsets, inside=_INSIDE[data]), SHINGLE)
+        yield words(data, offsets, inside=_INSIDE[data])
 
 
 def _hash(values: np.ndarray, perm: int) -> np.ndarray:
@@ -49,13 +49,17 @@ class Index:
     """Items by size partition: for each hash function the items' minima, sorted."""
 
     def __init__(self, ids: list[int], texts: list[str]):
-        parts = list(_sets(pa.array(texts, pa.string())))
-        self.sets = [s for values, first in parts for s in (np.unique(values[a:b]) for a, b in zip(first[:-1], first[1:], strict=True))]
+        parts = list(_words(pa.array(texts, pa.string())))
+        lengths = [int(n) for w in parts for n in np.diff(w.first)]
+        self.sets = [s for values, first in (shingles(w, SHINGLE) for w in parts) for s in (np.unique(values[a:b]) for a, b in zip(first[:-1], first[1:], strict=True))]
         self.ids = ids
         self.classes: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         by_class: dict[int, list[int]] = {}
+        by_length: dict[int, list[int]] = {}
         for k, s in enumerate(self.sets):
-            if len(s):
+            if 0 < lengths[k] < SHINGLE:
+                by_length.setdefault(lengths[k], []).append(k)
+            elif len(s):
                 by_class.setdefault(int(len(s)).bit_length() - 1, []).append(k)
         for p, members in by_class.items():
             self.classes[p] = []
@@ -63,6 +67,12 @@ class Index:
                 minima = np.array([_hash(self.sets[k], perm).min() for k in members], np.uint64)
                 order = np.argsort(minima)
                 self.classes[p].append((minima[order], np.array(members)[order]))
+        #: Items of fewer words than a shingle, by length: their hashes, sorted.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n, members in by_length.items():
+            own = np.array([self.sets[k][0] for k in members], np.uint64)
+            order = np.argsort(own)
+            self.short[n] = (own[order], np.array(members)[order])
         #: The low bits of all minima of a partition: most blocks are passed over by one lookup.
         self.bits = {p: [np.zeros(1 << 16, bool) for _ in range(PERMS)] for p in self.classes}
         for p, tables in self.classes.items():
@@ -95,17 +105,35 @@ class Index:
         return found
 
 
+    def short_matches(self, w: Words) -> set[tuple[int, int]]:
+        """(text, item) pairs of the items of fewer words than a shingle that stand in a text."""
+        found: set[tuple[int, int]] = set()
+        for n, (own, members) in self.short.items():
+            values, first = shingles(w, n)
+            hits = np.flatnonzero(np.isin(values, own))
+            texts = np.searchsorted(first, hits, "right") - 1
+            a, b = np.searchsorted(own, values[hits], "left"), np.searchsorted(own, values[hits], "right")
+            for k in range(len(hits)):
+                found.update((int(texts[k]), int(m)) for m in members[a[k] : b[k]])
+        return found
+
+
 def matches(column: pa.Array, index: Index, threshold: float = THRESHOLD) -> list[list[dict]]:
     """For each text, the items that it contains."""
     out: list[list[dict]] = []
-    for values, first in _sets(column):
+    for w in _words(column):
+        values, first = shingles(w, SHINGLE)
         rows: list[list[dict]] = [[] for _ in range(len(first) - 1)]
         own: dict[int, np.ndarray] = {}
-        for text, item in sorted(index.candidates(values, first)):
-            if text not in own:
-                own[text] = np.unique(values[first[text] : first[text + 1]])
+        short = index.short_matches(w)
+        for text, item in sorted(index.candidates(values, first) | short):
             s = index.sets[item]
-            shared = int(np.isin(s, own[text], assume_unique=True).sum())
+            if (text, item) in short:
+                shared = len(s)
+            else:
+                if text not in own:
+                    own[text] = np.unique(values[first[text] : first[text + 1]])
+                shared = int(np.isin(s, own[text], assume_unique=True).sum())
             if shared >= threshold * len(s) - 1e-9:
                 rows[text].append({"item_id": index.ids[item], "containment": shared / len(s), "item_shingles": len(s)})
         out.extend(rows)
