@@ -10,12 +10,15 @@ item's distinct shingles that the whole document has.
 
 Words are runs of letters and digits (and all bytes beyond ASCII), A-Z lower-cased; shingles have five
 words. An item with fewer words is one shingle of all of them, in a partition of the items of that length,
-and is looked up among all runs of so many words of a document. Text is read once and never shuffled. Items go to the tasks in pieces of at most
-ITEM_BYTES of text, one pass over the documents for each piece, so that what is broadcast doesn't grow
-with the benchmark.
+and is looked up among all runs of so many words of a document. Text is read where it is and never
+shuffled. A benchmark of more than ITEM_BYTES of text is dealt into pieces of about that size, and the
+documents are searched for one piece after the other: each pass sends one piece, and writes only what it
+found, by a hash of the text, so that what tasks hold doesn't grow with the benchmark.
 
 Defined results: null and empty texts, and items without words, match nothing; repeated rows are
-matched each; an empty benchmark or table gives no match; all other columns pass through unread.
+matched each; an item at the threshold matches; a text's matches are in the order of their item_id;
+very long texts are cut into blocks whole; an empty benchmark or table gives no match; all other columns
+pass through, whatever their names (`with_matches` adds its column under its name or the first free one).
 """
 
 from __future__ import annotations
@@ -25,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, table, text_or_empty
+from .shared import Scratch, free, own_columns, small_batches, table, text_or_empty
 from .wordhash import Words, mix, shingles, slices, words
 
 SHINGLE, THRESHOLD, PERMS = 5, 0.8, 24
-ITEM_BYTES = 4 << 20
+ITEM_BYTES, PIECE_ITEMS = 4 << 20, 50_000
+#: Up to so many texts with matches are broadcast where the benchmark has several pieces.
+BROADCAST_TEXTS = 100_000
 _MATCHES = "array<struct<item_id:bigint,containment:double,item_shingles:int>>"
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -104,7 +109,6 @@ class Index:
                         found.update((int(owner[hits[k]]), int(m)) for m in members[a[k] : b[k]])
         return found
 
-
     def short_matches(self, w: Words) -> set[tuple[int, int]]:
         """(text, item) pairs of the items of fewer words than a shingle that stand in a text."""
         found: set[tuple[int, int]] = set()
@@ -126,7 +130,7 @@ def matches(column: pa.Array, index: Index, threshold: float = THRESHOLD) -> lis
         rows: list[list[dict]] = [[] for _ in range(len(first) - 1)]
         own: dict[int, np.ndarray] = {}
         short = index.short_matches(w)
-        for text, item in sorted(index.candidates(values, first) | short):
+        for text, item in sorted(index.candidates(values, first) | short, key=lambda f: (f[0], index.ids[f[1]])):
             s = index.sets[item]
             if (text, item) in short:
                 shared = len(s)
@@ -142,16 +146,32 @@ def matches(column: pa.Array, index: Index, threshold: float = THRESHOLD) -> lis
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """docs with _matches, the items (item_id, containment, item_shingles) that each text contains."""
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
-    pieces = max(1, -(-size["b"] // item_bytes), -(-size["n"] // 50_000))
-    out, names = small_batches(docs), []
+    name = free(docs, "_matches")
+    items = benchmark.where("text IS NOT NULL").select("item_id", "text")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
+    pieces = max(1, -(-size["b"] // item_bytes), -(-size["n"] // PIECE_ITEMS))
+    if pieces == 1:
+        return docs.withColumn(name, _finder(_sent(items), threshold)(text_or_empty()))
+    scratch, found = Scratch(docs.sparkSession), None
+    text = docs.select(text_or_empty().alias("text"))
     for k in range(pieces):
-        piece = benchmark.where("text IS NOT NULL").where(F.pmod(F.xxhash64("item_id"), F.lit(pieces)) == k) if pieces > 1 else benchmark.where("text IS NOT NULL")
-        rows = piece.select("item_id", "text").collect()
-        items = docs.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-        out = out.withColumn(f"_m{k}", _finder(items, threshold)(text_or_empty()))
-        names.append(f"_m{k}")
-    return out.withColumn("_matches", F.concat(*names)).drop(*names)
+        sent = _sent(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(pieces)) == k))
+        hits = text.withColumn("m", _finder(sent, threshold)(F.col("text"))).where(F.size("m") > 0)
+        one = scratch.written(hits.select(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "m").dropDuplicates(["h1", "h2"]), f"piece-{k}")
+        sent.destroy()
+        found = one if found is None else found.unionByName(one)
+    # Each text is one row for a piece, however many copies it has.
+    each = scratch.written(found.groupBy("h1", "h2").agg(F.array_sort(F.flatten(F.collect_list("m"))).alias("m")), "found").select(F.struct("h1", "h2", "m").alias(to := free(docs, "_to")))
+    on = [F.xxhash64(text_or_empty()) == F.col(f"{to}.h1"), F.xxhash64(F.lit(1), text_or_empty()) == F.col(f"{to}.h2")]
+    few = each.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
+    joined = docs.join(F.broadcast(each) if few else each, on, "left")
+    return joined.withColumn(name, F.coalesce(F.col(f"{to}.m"), F.array().cast(_MATCHES))).drop(to)
+
+
+def _sent(items: DataFrame):
+    """A piece of the benchmark, which is about ITEM_BYTES at most, for the tasks."""
+    rows = items.collect()
+    return items.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
 
 
 _indexes: dict = {}
@@ -160,7 +180,7 @@ _indexes: dict = {}
 def _finder(items, threshold: float):
     def find(text: pa.Array) -> pa.Array:
         key = getattr(items, "_path", None) or id(items)
-        if key not in _indexes:
+        if key not in _indexes:  # a plan has one piece, so a worker makes its index once
             _indexes.clear()
             _indexes[key] = Index(*items.value)
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64()), ("item_shingles", pa.int32())]))
@@ -172,28 +192,29 @@ def _finder(items, threshold: float):
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that contain no item, with their own columns."""
-    return with_matches(docs, benchmark, threshold).where(F.size("_matches") == 0).drop("_matches")
+    return with_matches(docs, benchmark, threshold).where(F.size(free(docs, "_matches")) == 0).select(*own_columns(docs))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and item that it contains."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = small_batches(table(spark, sf_dir, "documents")).select("doc_id", "text")
     found = with_matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("_matches").alias("m"))
     return found.select("doc_id", "m.item_id", F.round("m.containment", 6).alias("containment"), "m.item_shingles")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminated(small_batches(docs), table(spark, sf_dir, "benchmark"))
 
 
 SQL = r"""
 WITH t AS (SELECT 'd' AS kind, row_number() OVER () AS rid, doc_id AS id, coalesce(text, '') AS text FROM documents
            UNION ALL SELECT 'i', row_number() OVER (), item_id, coalesce(text, '') FROM benchmark),
 w AS (SELECT kind, rid, id, list_filter(regexp_split_to_array(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM t),
-s AS (SELECT DISTINCT kind, rid, id, array_to_string(ws[i : i + least(5, len(ws)) - 1], ' ') AS s
-      FROM (SELECT kind, rid, id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+z AS (SELECT DISTINCT least(5, len(ws)) AS z FROM w WHERE kind = 'i' AND len(ws) > 0),
+s AS (SELECT DISTINCT kind, rid, id, z, array_to_string(ws[i : i + z - 1], ' ') AS s
+      FROM (SELECT kind, rid, id, ws, z, unnest(range(1, len(ws) - z + 2)) AS i FROM w JOIN z ON len(ws) >= z AND (kind = 'd' OR z = least(5, len(ws))))),
 n AS (SELECT rid, count(*) AS n FROM s WHERE kind = 'i' GROUP BY rid)
 SELECT d.id AS doc_id, i.id AS item_id, round(count(*) / any_value(n.n)::DOUBLE, 6) AS containment, any_value(n.n)::INTEGER AS item_shingles
-FROM s i JOIN s d ON i.s = d.s AND i.kind = 'i' AND d.kind = 'd' JOIN n ON n.rid = i.rid
+FROM s i JOIN s d ON i.s = d.s AND i.z = d.z AND i.kind = 'i' AND d.kind = 'd' JOIN n ON n.rid = i.rid
 GROUP BY d.rid, d.id, i.rid, i.id HAVING count(*) >= 0.8 * any_value(n.n) - 1e-9
 """

@@ -1,18 +1,24 @@
 """Quality rules with thresholds that adapt to each language and source.
 
 Counts of words, symbols, repeated lines and repeated words are taken from the whole text. The base
-rules (at least 50 words, at most half of them in repeated windows) are fixed. Four further rules have
-no fixed cutoff: for each (lang, source) a quantile sketch of the measure gives its quartiles, and a
-document fails that lies more than three interquartile ranges above the third one.
-
-A sketch is a histogram of the measure in parts per thousand: at most 1001 buckets whatever the rows,
-exact to one bucket, merged by adding counts. Spark pre-aggregates it before the shuffle, so a source
-with a third of all rows sends one row per bucket and task. Groups with fewer than `least` rows use the
-merged sketch of their language, and languages with fewer than that the merged sketch of all rows.
+rules (at least 50 words, at most half of them in repeated windows) are fixed by contract. Five further
+rules have no fixed cutoff: for each (lang, source) a quantile sketch of the measure gives its quartiles,
+and a document fails that lies more than FENCE spreads outside them, on either side. The spread is the
+interquartile range; where that is smaller than the measure's standard error in a text of the document's
+own size (a share of n units varies by sqrt(p (1 - p) / n), a mean length by sqrt(mean / n)), the
+standard error counts. So short texts have more room, and there is no least margin to choose.
+
+A sketch is a histogram of whole buckets, parts per thousand for shares and hundredths of a character for
+the mean word length: at most BUCKETS of them whatever the rows, exact to one bucket, merged by adding
+counts. (Measures of unknown range would need another sketch.) Spark pre-aggregates it before the shuffle,
+so a source with a third of all rows sends one row per bucket and task. Groups with fewer than `least`
+rows use the merged sketch of their language, and languages with fewer than that the merged sketch of all
+rows.
 
 Defined results: null text counts as empty (no words, base rules fail); null lang and null source are
-groups of their own; other columns, whatever their names, pass through `keep`; an empty table gives an
-empty table; repeated rows are judged alike and all returned.
+groups of their own; a value at a fence passes; other columns, whatever their names, pass through `keep`;
+`judged` adds its columns under their names or the first free ones (name_1, ...); an empty table gives an
+empty table; repeated rows are judged alike and all returned; very long texts are counted whole.
 """
 
 from __future__ import annotations
@@ -23,15 +29,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import small_batches, table, text_or_empty, written
+from .shared import Scratch, free, own_columns, small_batches, table, text_or_empty
 from .wordhash import SPACE, Ranges, _spans, shingles, slices, words
 
 SYMBOLS = "#*$%&|<>"
-#: The least spread, in parts per thousand, that a fence assumes; below it quartiles are chance.
-MEASURES = {"symbol": 20, "dup_line": 60, "repeat_word": 60, "capital": 60}
-LEAST_ROWS, FENCE, MIN_WORDS, MAX_REPEAT = 100, 3, 50, 50
-#: Thresholds are broadcast up to this many groups (a row has four numbers), and joined by key beyond.
-BROADCAST_GROUPS = 50_000
+#: The measures, and the count whose units they vary by: a repeated line repeats all its words.
+MEASURES = {"symbol": "n_words", "dup_line": "n_lines", "repeat_word": "n_lines", "capital": "n_words", "word_length": "n_words"}
+LEAST_ROWS, FENCE, MIN_WORDS, MAX_REPEAT, BUCKETS = 100, 3, 50, 50, 3001
+#: Quartiles are broadcast up to this many groups (a row has two names and ten numbers), and joined by a
+#: salted key beyond.
+BROADCAST_GROUPS, SALTS = 200_000, 64
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS.encode())] = True
@@ -115,68 +122,94 @@ def measures(q: str = "_q") -> dict[str, Column]:
         "dup_line": _share(f("n_dup_lines"), f("n_lines")),
         "repeat_word": _share(f("n_repeat_words"), f("n_words")),
         "capital": F.least(F.lit(1000), _share(f("n_capitals"), f("word_chars"))),
+        "word_length": F.when(F.col(f("n_words")) > 0, F.least(F.lit(BUCKETS - 1), F.floor(F.col(f("word_chars")) * 100 / F.col(f("n_words"))))).otherwise(0).cast("int"),
     }
 
 
-def sketches(counted: DataFrame, by: list[str]) -> DataFrame:
+def sketches(counted: DataFrame, by: list[str], q: str = "_q") -> DataFrame:
     """(by..., measure, bucket, n): the mergeable sketch of every measure of every group."""
-    pairs = F.array(*(F.struct(F.lit(k).alias("measure"), v.alias("bucket")) for k, v in measures().items()))
+    pairs = F.array(*(F.struct(F.lit(k).alias("measure"), v.alias("bucket")) for k, v in measures(q).items()))
     return counted.select(*by, F.explode(pairs).alias("_p")).groupBy(*by, "_p.measure", "_p.bucket").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., rows, one column for each measure): the largest bucket that passes. A group of a sketch
-    has at most 1001 rows, so each window is bounded."""
+def quartiles(sketch: DataFrame, by: list[str], least: int) -> DataFrame:
+    """(by..., and a struct (q1, q3) for each measure) of the groups with at least `least` rows. A group of a
+    sketch has at most BUCKETS rows, so each window is bounded."""
     within = Window.partitionBy(*by, "measure")
-    ranked = sketch.select("*", F.sum("n").over(within.orderBy("bucket")).alias("_upto"), F.sum("n").over(within).alias("_all"))
+    ranked = sketch.select("*", F.sum("n").over(within.orderBy("bucket")).alias("_upto"), F.sum("n").over(within).alias("_all")).where(F.col("_all") >= least)
     quartile = lambda k: F.min(F.when(F.col("_upto") * 4 >= F.col("_all") * k, F.col("bucket")))
-    per = ranked.groupBy(*by, "measure").agg(quartile(1).alias("q1"), quartile(3).alias("q3"), F.max("_all").alias("_rows"))
-    least = F.create_map(*(F.lit(x) for pair in MEASURES.items() for x in pair))
-    per = per.withColumn("_fence", F.col("q3") + FENCE * F.greatest(F.col("q3") - F.col("q1"), least[F.col("measure")]))
-    return per.groupBy(*by).agg(F.max("_rows").alias("_rows"), *(F.max(F.when(F.col("measure") == m, F.col("_fence"))).alias(m) for m in MEASURES))
+    per = ranked.groupBy(*by, "measure").agg(F.struct(quartile(1).alias("q1"), quartile(3).alias("q3")).alias("_q13"))
+    return per.groupBy(*by).agg(*(F.max(F.when(F.col("measure") == m, F.col("_q13"))).alias(m) for m in MEASURES))
 
 
-def thresholds(counted: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
-    """(lang, source, measures): every group's own fences, or those of the smallest merged sketch that
-    holds at least `least` rows."""
-    fine = written(sketches(counted, ["lang", "source"]), "sketch")
-    by_lang = fine.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
-    total = fine.groupBy("measure", "bucket").agg(F.sum("n").alias("n")).withColumn("_one", F.lit(1))
-    own = fences(fine, ["lang", "source"])
-    lang = fences(by_lang, ["lang"]).select(F.col("lang").alias("_lang"), F.col("_rows").alias("_lang_rows"), *(F.col(m).alias(f"_lang_{m}") for m in MEASURES))
-    every = fences(total, ["_one"]).select("_one", *(F.col(m).alias(f"_all_{m}") for m in MEASURES))
-    both = own.join(lang, F.col("lang").eqNullSafe(F.col("_lang"))).withColumn("_one", F.lit(1)).join(F.broadcast(every), "_one")
-    pick = lambda m: F.when(F.col("_rows") >= least, F.col(m)).when(F.col("_lang_rows") >= least, F.col(f"_lang_{m}")).otherwise(F.col(f"_all_{m}"))
-    return both.select("lang", "source", *(pick(m).alias(m) for m in MEASURES))
+def _of_all(sketch: DataFrame) -> dict[str, tuple[int, int]]:
+    """The quartiles of all rows, from the wholly merged sketch: BUCKETS rows a measure at most."""
+    total = sketch.groupBy("measure", "bucket").agg(F.sum("n").alias("n")).collect()
+    out = {}
+    for m in MEASURES:
+        rows = sorted((r["bucket"], r["n"]) for r in total if r["measure"] == m)
+        upto, n = np.cumsum([r[1] for r in rows]), sum(r[1] for r in rows)
+        out[m] = tuple(rows[int(np.argmax(upto * 4 >= n * k))][0] for k in (1, 3)) if rows else (0, 0)
+    return out
+
+
+def spread(measure: str, q1: Column, q3: Column, q: str = "_q") -> Column:
+    """What a fence is measured in: the interquartile range, or the standard error at the text's own size."""
+    n = F.col(f"{q}.{MEASURES[measure]}").cast("double")
+    if measure == "word_length":
+        error = 100 * F.sqrt(q3 / 100.0 / F.greatest(n, F.lit(1.0)))
+    else:
+        p = F.greatest(q3 / 1000.0, 1 / (n + 1))
+        error = 1000 * F.sqrt(p * (1 - p) / F.greatest(n, F.lit(1.0)))
+    return F.greatest((q3 - q1).cast("double"), error)
 
 
 def judged(docs: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
-    """docs with _q (counts), _base_failed and _kept. The text is counted twice, once for the sketches
-    and once for the verdicts, rather than shuffled or stored."""
-    counted = small_batches(docs).withColumn("_q", counts_of())
-    limits = written(thresholds(counted, least), "limits").select(F.struct("*").alias("_l"))
-    small = limits.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    on = F.col("lang").eqNullSafe(F.col("_l.lang")) & F.col("source").eqNullSafe(F.col("_l.source"))
-    joined = counted.join(F.broadcast(limits) if small else limits, on, "left")
-    base = (F.col("_q.n_words") < MIN_WORDS) | (100 * F.col("_q.n_repeat_words") > MAX_REPEAT * F.col("_q.n_words"))
-    passes = F.lit(True)
-    for name, value in measures().items():
-        passes &= value <= F.col(f"_l.{name}")
-    return joined.withColumn("_base_failed", base).withColumn("_kept", ~base & F.coalesce(passes, F.lit(True))).drop("_l")
+    """docs with _q (counts), _base_failed, _kept and _failed (the measures that lie outside). The text is
+    counted twice, once for the sketches and once for the verdicts, rather than shuffled or stored."""
+    q, base_name, kept, failed = (free(docs, n) for n in ("_q", "_base_failed", "_kept", "_failed"))
+    counted = docs.withColumn(q, counts_of())
+    scratch = Scratch(docs.sparkSession)
+    fine = scratch.written(sketches(counted.select("lang", "source", q), ["lang", "source"], q), "sketch")
+    every = _of_all(fine)
+    by_lang = fine.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
+    own = scratch.written(quartiles(fine, ["lang", "source"], least), "own")
+    lang = scratch.written(quartiles(by_lang, ["lang"], least), "lang")
+
+    def joined(rows: DataFrame, limits: DataFrame, by: list[str], name: str) -> DataFrame:
+        one = limits.select(F.struct("*").alias(name))
+        on = lambda: [F.col(c).eqNullSafe(F.col(f"{name}.{c}")) for c in by]
+        if limits.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+            return rows.join(F.broadcast(one), on(), "left")
+        salt, at = free(rows, "_salt"), free(rows, "_at")
+        salted = rows.withColumn(salt, F.pmod(F.xxhash64(text_or_empty()), F.lit(SALTS)).cast("int"))
+        dealt = one.withColumn(at, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return salted.join(dealt, [*on(), F.col(salt) == F.col(at)], "left").drop(salt, at)
+
+    l_own, l_lang = free(docs, "_own"), free(docs, "_lang")
+    out = joined(joined(counted, own, ["lang", "source"], l_own), lang, ["lang"], l_lang)
+    outside = []
+    for m, value in measures(q).items():
+        q1, q3 = (F.coalesce(F.col(f"{l_own}.{m}.{k}"), F.col(f"{l_lang}.{m}.{k}"), F.lit(every[m][i])) for i, k in enumerate(("q1", "q3")))
+        room = FENCE * spread(m, q1, q3, q)
+        outside.append(F.when((value > q3 + room) | (value < q1 - room), F.lit(m)))
+    base = (F.col(f"{q}.n_words") < MIN_WORDS) | (100 * F.col(f"{q}.n_repeat_words") > MAX_REPEAT * F.col(f"{q}.n_words"))
+    out = out.withColumns({base_name: base, failed: F.array_compact(F.array(*outside))})
+    return out.withColumn(kept, ~F.col(base_name) & (F.size(failed) == 0)).drop(l_own, l_lang)
 
 
 def keep(docs: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
     """The documents that pass, with their own columns."""
-    return judged(docs, least).where("_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return judged(docs, least).where(F.col(free(docs, "_kept"))).select(*own_columns(docs))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return judged(docs).select("doc_id", *(F.col(f"_q.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+    docs = small_batches(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source")
+    return judged(docs).select("doc_id", *(F.col(f"_q.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.array_join("_failed", ",").alias("failed"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep(docs)
+    return keep(small_batches(docs))
 
 
 SQL = r"""
@@ -194,19 +227,22 @@ c AS (SELECT w.rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(l
 m AS (SELECT *, CASE WHEN word_chars > 0 THEN least(1000, n_symbols * 1000 // word_chars) ELSE 0 END AS symbol,
       CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END AS dup_line,
       CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END AS repeat_word,
-      CASE WHEN word_chars > 0 THEN least(1000, n_capitals * 1000 // word_chars) ELSE 0 END AS capital FROM c),
-long AS (SELECT rid, lang, source, 'symbol' AS measure, symbol AS b FROM m UNION ALL SELECT rid, lang, source, 'dup_line', dup_line FROM m
-         UNION ALL SELECT rid, lang, source, 'repeat_word', repeat_word FROM m UNION ALL SELECT rid, lang, source, 'capital', capital FROM m),
+      CASE WHEN word_chars > 0 THEN least(1000, n_capitals * 1000 // word_chars) ELSE 0 END AS capital,
+      CASE WHEN n_words > 0 THEN least(3000, word_chars * 100 // n_words) ELSE 0 END AS word_length FROM c),
+long AS (SELECT rid, lang, source, 0 AS place, 'symbol' AS measure, symbol AS b, n_words AS n FROM m UNION ALL SELECT rid, lang, source, 1, 'dup_line', dup_line, n_lines FROM m
+         UNION ALL SELECT rid, lang, source, 2, 'repeat_word', repeat_word, n_lines FROM m UNION ALL SELECT rid, lang, source, 3, 'capital', capital, n_words FROM m
+         UNION ALL SELECT rid, lang, source, 4, 'word_length', word_length, n_words FROM m),
 own AS (SELECT lang, source, measure, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM long GROUP BY ALL),
 bylang AS (SELECT lang, measure, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM long GROUP BY ALL),
 alls AS (SELECT measure, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM long GROUP BY ALL),
 pick AS (SELECT own.lang, own.source, own.measure, CASE WHEN own.n >= 100 THEN own.q1 WHEN bylang.n >= 100 THEN bylang.q1 ELSE alls.q1 END AS q1,
          CASE WHEN own.n >= 100 THEN own.q3 WHEN bylang.n >= 100 THEN bylang.q3 ELSE alls.q3 END AS q3
          FROM own JOIN bylang ON own.lang IS NOT DISTINCT FROM bylang.lang AND own.measure = bylang.measure JOIN alls ON own.measure = alls.measure),
-fence AS (SELECT lang, source, measure, q3 + 3 * greatest(q3 - q1, CASE measure WHEN 'symbol' THEN 20 ELSE 60 END) AS f FROM pick),
-bad AS (SELECT long.rid, bool_or(long.b > fence.f) AS bad FROM long JOIN fence ON long.lang IS NOT DISTINCT FROM fence.lang
-        AND long.source IS NOT DISTINCT FROM fence.source AND long.measure = fence.measure GROUP BY long.rid)
+j AS (SELECT long.*, q1, q3, greatest(q3 / 1000.0::DOUBLE, 1 / (n::DOUBLE + 1)) AS p FROM long JOIN pick ON long.lang IS NOT DISTINCT FROM pick.lang
+      AND long.source IS NOT DISTINCT FROM pick.source AND long.measure = pick.measure),
+room AS (SELECT *, 3 * greatest((q3 - q1)::DOUBLE, CASE WHEN place = 4 THEN 100 * sqrt(q3 / 100.0::DOUBLE / greatest(n::DOUBLE, 1)) ELSE 1000 * sqrt(p * (1 - p) / greatest(n::DOUBLE, 1)) END) AS room FROM j),
+bad AS (SELECT rid, coalesce(string_agg(measure, ',' ORDER BY place) FILTER (b > q3 + room OR b < q1 - room), '') AS failed FROM room GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT bad AS kept
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND failed = '' AS kept, failed
 FROM m JOIN bad USING (rid)
 """

@@ -1,21 +1,26 @@
 """Secret scans over a trigram inverted index, in DataFrame functions only.
 
 From each rule's pattern a Boolean query over trigrams is derived: which three-letter sequences any match
-must contain, as alternatives (OR) of sets (AND). Postings say which texts have which of these trigrams;
-intersecting them gives each rule's candidate texts, and only those are searched with the pattern. Rules
-whose patterns have no mandatory trigram (long hexadecimal runs) search every text.
+must contain, as alternatives (OR) of sets (AND). The index is a table of postings, (trigram, key of the
+text), written to the shared folder and dealt by trigram: one pass over the texts gathers each one's
+distinct trigrams out of a dictionary. Rules are looked up in it: the postings of a query's trigrams are
+intersected, and only the texts that remain are searched with the pattern. Rules whose patterns have no
+mandatory trigram (long hexadecimal runs) search every text in the same scan.
 
 Texts and trigrams are lower-cased for the index, and texts are keyed by a hash: copies share their
-postings, and texts whose hashes collide only become candidates of each other's rules. The trigram
-dictionary is that of the rules, so it doesn't grow with the data; postings are aggregated as bit sets
-before they are shuffled.
+postings, and texts whose hashes collide only become candidates of each other's rules. The dictionary is
+by default that of the rules, so it doesn't grow with the data; texts without any of its trigrams have no
+postings, and texts themselves are never shuffled while the candidates' keys are few enough to be sent to
+the scan. Beyond that, keys meet texts by a join dealt by key and salt.
 
 The base kinds are assign, access and hex; the further ones are added to them and never replace them.
 Matches of a kind are leftmost and don't overlap; matches that are too short are dropped afterwards.
 Positions are code points, the end exclusive.
 
-Defined results: null text counts as empty (no secrets); repeated rows are scanned each; all other
-columns, whatever their names, pass through `redacted`; an empty table gives an empty one.
+Defined results: null text counts as empty (no secrets); repeated rows are scanned each; spans that begin
+at one place are listed in the order of the rules; very long texts are searched whole; all other columns,
+whatever their names, pass through (`scanned` adds its column under its name or the first free one,
+name_1, ...); an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import Scratch, free, own_columns, table, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -67,6 +72,10 @@ FURTHER = (
 RULES = BASE + FURTHER
 #: At most so many exact strings are followed before they are turned into trigrams.
 _MOST = 64
+#: Up to so many keys of candidates (16 bytes each) are broadcast; beyond, they are joined by key and salt.
+BROADCAST_KEYS, SALTS = 2_000_000, 32
+#: A trigram's postings are dealt over so many parts, so that a common one isn't one task's work.
+POSTING_PARTS = 16
 
 
 def _and(a: frozenset, b: frozenset) -> frozenset:
@@ -147,22 +156,46 @@ def trigram_query(pattern: str) -> list[list[str]]:
     return [] if frozenset() in clauses else sorted(sorted(c) for c in clauses)
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, column: str = "text") -> DataFrame:
-    """(_key, _rules): for the texts that have candidates, the rules to search them for, as a bit set."""
-    spark = docs.sparkSession
+def dictionary(rules: tuple[Rule, ...] = RULES) -> list[str]:
+    return sorted({t for rule in rules for clause in trigram_query(rule.pattern) for t in clause})
+
+
+def _one_of(trigrams: list[str]) -> str:
+    """A pattern of a place where one of the trigrams begins, its letters shared from the left."""
+    tree: dict[str, dict[str, str]] = {}
+    for t in trigrams:
+        tree.setdefault(t[0], {}).setdefault(t[1], "")
+        tree[t[0]][t[1]] += t[2]
+    sign = lambda c: c if c.isalnum() else f"\\x{{{ord(c):x}}}"
+    third = lambda cs: sign(cs) if len(cs) == 1 else "[" + "".join(map(sign, cs)) + "]"
+    parts = [sign(a) + "(?:" + "|".join(sign(b) + third(cs) for b, cs in more.items()) + ")" for a, more in tree.items()]
+    return "(?=[" + "".join(map(sign, tree)) + "])(?=(" + "|".join(parts) + "))"
+
+
+def postings(docs: DataFrame, trigrams: list[str], column: str = "text") -> DataFrame:
+    """(trigram, key): the inverted index of the texts over a dictionary of trigrams, each posting once for
+    each row that has it."""
+    low = F.lower(text_or_empty(column))
+    had = F.array_distinct(F.regexp_extract_all(low, F.lit(_one_of(trigrams)), F.lit(1)))
+    rows = docs.select(F.xxhash64(text_or_empty(column)).alias("key"), F.explode(had).alias("trigram"))
+    return rows.select("trigram", "key")
+
+
+def build_index(docs: DataFrame, scratch: Scratch, rules: tuple[Rule, ...] = RULES, column: str = "text") -> DataFrame:
+    """The postings, written to the shared folder with those of a trigram together."""
+    return scratch.written(postings(docs, dictionary(rules), column).repartition("trigram", F.pmod("key", F.lit(POSTING_PARTS))).sortWithinPartitions("trigram"), "postings")
+
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(key, rules): for the texts that have candidates, the rules to search them for, as a bit set."""
     terms, clause = [], 0
     for k, rule in enumerate(rules):
         for wanted in trigram_query(rule.pattern):
             terms += [(t, clause, 1 << k, 1 << place, (1 << len(wanted)) - 1) for place, t in enumerate(wanted)]
             clause += 1
-    dictionary = sorted({t[0] for t in terms})
-    low = F.lower(F.coalesce(F.col(column), F.lit("")))
-    had = F.filter(F.array(*map(F.lit, dictionary)), lambda t: F.contains(F.col("_low"), t))
-    keyed = docs.select(F.xxhash64(F.coalesce(F.col(column), F.lit(""))).alias("_key"), low.alias("_low"))
-    postings = keyed.select("_key", F.explode(had).alias("trigram"))
-    query = spark.createDataFrame(terms, "trigram string, clause int, rule long, bit long, whole long")
-    met = postings.join(F.broadcast(query), "trigram").groupBy("_key", "clause").agg(F.bit_or("bit").alias("bits"), F.first("whole").alias("whole"), F.first("rule").alias("rule"))
-    return met.where("bits = whole").groupBy("_key").agg(F.bit_or("rule").alias("_rules"))
+    query = index.sparkSession.createDataFrame(terms, "trigram string, clause int, rule long, bit long, whole long")
+    met = index.join(F.broadcast(query), "trigram").groupBy("key", "clause").agg(F.bit_or("bit").alias("bits"), F.first("whole").alias("whole"), F.first("rule").alias("rule"))
+    return met.where("bits = whole").groupBy("key").agg(F.bit_or("rule").alias("rules"))
 
 
 def _spans(text: Column, rule: Rule, place: int) -> Column:
@@ -184,37 +217,50 @@ def _spans(text: Column, rule: Rule, place: int) -> Column:
 
 def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES, column: str = "text") -> DataFrame:
     """docs with _spans, all spans by start and then by rule."""
-    text = F.coalesce(F.col(f"`{column}`"), F.lit(""))
-    keyed = docs.withColumn("_key", F.xxhash64(text))
-    joined = keyed.join(candidates(docs.select(F.col(f"`{column}`").alias("text")), rules), "_key", "left")
+    text, scratch = text_or_empty(column), Scratch(docs.sparkSession)
+    found = scratch.written(candidates(build_index(docs, scratch, rules, column), rules), "candidates")
+    scratch.remove("postings")
+    spans, to = free(docs, "_spans"), free(docs, "_to")
+    one = found.select(F.struct("key", "rules").alias(to))
+    key = F.xxhash64(text) == F.col(f"{to}.key")
+    if found.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        joined = docs.join(F.broadcast(one), key, "left")
+    else:  # rows with the same text are told apart by their other columns
+        salt, at = free(docs, "_salt"), free(docs, "_at")
+        plain = [c for c, f in zip(own_columns(docs), docs.schema.fields, strict=True) if not any(k in f.dataType.simpleString() for k in ("map", "variant"))]
+        salted = docs.withColumn(salt, F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
+        dealt = one.withColumn(at, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(dealt, key & (F.col(salt) == F.col(at)), "left").drop(salt, at)
     each = []
     none = F.array().cast("array<struct<start:int,place:int,end:int,kind:string>>")
     for k, rule in enumerate(rules):
         own = _spans(text, rule, k)
-        each.append(F.when(F.col("_rules").bitwiseAND(F.lit(1 << k)) != 0, own).otherwise(none) if trigram_query(rule.pattern) else own)
-    return joined.withColumn("_spans", F.array_sort(F.concat(*each))).drop("_key", "_rules")
+        each.append(F.when(F.col(f"{to}.rules").bitwiseAND(F.lit(1 << k)) != 0, own).otherwise(none) if trigram_query(rule.pattern) else own)
+    return joined.withColumn(spans, F.array_sort(F.concat(*each))).drop(to)
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES, column: str = "text") -> DataFrame:
     """docs with every span of the text replaced by a mark, overlapping spans by one; n_chars, where
     there is such a column, follows. Texts without a secret stay as they are, nulls included."""
-    text = F.col(f"`{column}`")
+    text, spans = F.col(f"`{column}`"), free(docs, "_spans")
 
     def step(acc: Column, s: Column) -> Column:
         more = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"))
         inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
         return F.when(s["start"] >= acc["at"], more).otherwise(inside)
 
-    whole = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))))
-    out = scanned(docs, rules, column).withColumn("_clean", F.when(F.size("_spans") > 0, whole).otherwise(text))
+    whole = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))))
+    out = scanned(docs, rules, column)
+    clean = free(out, "_clean")
+    out = out.withColumn(clean, F.when(F.size(spans) > 0, whole).otherwise(text))
     own = []
-    for c in docs.columns:
+    for c, as_is in zip(docs.columns, own_columns(docs), strict=True):
         if c == column:
-            own.append(F.col("_clean").alias(c))
+            own.append(F.col(clean).alias(c))
         elif c == "n_chars":
-            own.append(F.when(F.size("_spans") > 0, F.char_length("_clean").cast(docs.schema[c].dataType)).otherwise(F.col("n_chars")).alias(c))
+            own.append(F.when(F.size(spans) > 0, F.char_length(clean).cast(docs.schema[c].dataType)).otherwise(F.col("n_chars")).alias(c))
         else:
-            own.append(F.col(f"`{c}`"))
+            own.append(as_is)
     return out.select(*own)
 
 
@@ -237,7 +283,7 @@ def _sql() -> str:
     quoted = lambda p: p.replace("'", "''")
     parts = []
     for k, rule in enumerate(RULES):
-        p = quoted(_KEY_BEGIN if rule.kind == "private_key" else rule.pattern)  # DuckDB has no possessive repeats
+        p = quoted(rule.pattern.replace("*+", "*").replace("}+", "}"))  # DuckDB has no possessive repeats; these need none
         parts.append(
             f"SELECT rid, {k} AS place, '{rule.kind}' AS kind, {rule.least} AS least, string_split_regex(text, '{p}') AS gaps, regexp_extract_all(text, '{p}', 0) AS found, "
             f"regexp_extract_all(text, '{p}', {rule.group}) AS judged FROM d WHERE regexp_matches(text, '{p}')"

@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: tables, the shared folder, batches of rows."""
+"""What the operators of this subpackage share: tables, the shared folder, names, batches of rows."""
 
 from __future__ import annotations
 
@@ -19,30 +19,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a folder of this machine serves local
+    sessions (tests); on a cluster, where executors wouldn't share it, that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _OWN_FOLDER:
             _OWN_FOLDER.append("file://" + tempfile.mkdtemp(prefix="geoloom-"))
         base = _OWN_FOLDER[0]
     return f"{base.rstrip('/')}/geoloom-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """A folder for the tables of one run: each is written and read again, so that later jobs don't compute
+    it anew and a lost executor doesn't take it along, and can be removed once nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base = spark, shared_folder(spark)
+
+    def path(self, name: str) -> str:
+        return f"{self.base}/{name}"
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    def remove(self, *names: str) -> None:
+        """Removes tables that no result still to be computed reads."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """The same rows, written to the shared folder and read again: later jobs don't compute them
-    anew, and a lost executor doesn't take them along."""
-    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """The same rows, written to a folder of their own in the shared folder and read again."""
+    return Scratch(df.sparkSession).written(df, name)
 
 
 def text_or_empty(column: str = "text") -> F.Column:
-    return F.coalesce(F.col(column), F.lit(""))
+    return F.coalesce(F.col(f"`{column}`"), F.lit(""))
+
+
+def free(df: DataFrame, name: str) -> str:
+    """The name, or the first of name_1, name_2, ... that no column of df has, in either case."""
+    taken, k, out = {c.lower() for c in df.columns}, 0, name
+    while out.lower() in taken:
+        k += 1
+        out = f"{name}_{k}"
+    return out
+
+
+def own_columns(df: DataFrame) -> list[F.Column]:
+    """All columns, whatever signs their names have."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session that hands rows to Python BATCH_ROWS at a time where nothing smaller is set: texts
-    are long, and a batch is held by the JVM and by Python at once."""
+    """df, for queries and pipeline stages, which own their session: it hands rows to Python BATCH_ROWS at a
+    time from then on where nothing smaller is set, as texts are long, and a batch is held by the JVM and by
+    Python at once. Operators leave the session as it is."""
     key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
     if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
         conf.set(key, str(BATCH_ROWS))

@@ -12,8 +12,9 @@ byte-level tokenizer file, whose path is a parameter: entries with the leading s
 the others continue them.
 
 Each task keeps the counts of up to CACHE words it has seen; that bounds memory and changes no result.
-Defined results: null and empty texts have 0 words and 0 tokens; repeated rows are counted each; other
-columns are not read.
+Defined results: null and empty texts have 0 words and 0 tokens; repeated rows are counted each; a word may
+be of any length, and very long texts are counted whole; an empty table gives an empty one; other columns
+are not read, so that their names don't matter.
 """
 
 from __future__ import annotations
