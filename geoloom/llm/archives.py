@@ -8,14 +8,22 @@ or resource as the type, and SHA-1 digests of block and payload. Records whose p
 become revisits of one response.
 
 Archives are lists of rows, each the bytes of a record but for its last line feed, that Spark's text
-writer ends and puts into gzip files; a file has at most FILE_RECORDS records, so it is read again
-whole. All reading and writing goes through Spark, so archives can be in any store that it reaches.
-What is shuffled is record keys and digests, and the compressed files once, to meet their decisions.
+writer ends and puts into gzip files; a file has at most FILE_RECORDS records of up to LARGE bytes, or
+LARGE_RECORDS larger ones, so it is read again whole. All reading and writing goes through Spark, so
+archives can be in any store that it reaches.
+
+Which records become revisits is decided on an index of keys and digests. The decisions go to the files
+rather than the files to them: a conversion scans the archives with the places to leave out, and revisits,
+which have no payload, are made from the index. (Where even the list of places is too long to be sent to
+the scan, the compressed files are dealt by path to meet it, a few to a task.)
 
 Payloads of at least LEAST_BYTES that are equal: the one with the largest key is the response. Defined
 results: a null payload is empty; a null URL is written as an empty one's stand-in `urn:none`; records
-with a null key count as smaller than all others, and of equal records the last one by file and place
-is the response; a file that isn't an ARC file, or whose declared lengths don't fit, fails with its path.
+with a null key count as smaller than all others, and of equal records (repeated rows) the last one by
+file and place is the response; a file that isn't an ARC file, or whose declared lengths don't fit, fails
+with its path; an empty table gives archives without records, and they an empty result; other columns
+aren't read; very long payloads are written whole, up to what a row of Spark holds (2 GB); identifiers
+come from a file's path below the archive folder and the record's place.
 """
 
 from __future__ import annotations
@@ -29,9 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_folder, table, written
+from .shared import Scratch, small_batches, table
 
 FILE_RECORDS, LEAST_BYTES = 1000, 1000
+LARGE, LARGE_RECORDS = 1 << 20, 16
+#: Lists of places are sent to the scan up to so many files and places; responses up to so many rows.
+BROADCAST_FILES, BROADCAST_PLACES, BROADCAST_RESPONSES, FILES_A_TASK = 100_000, 2_000_000, 200_000, 8
+#: The folders that write_arc makes, with the records of a file.
+WRITTEN = (("small", FILE_RECORDS), ("large", LARGE_RECORDS))
 #: Header fields after the URL, by version of the ARC format (fixed values).
 ARC_FIELDS = {
     1: ["IP-address", "Archive-date", "Content-type", "Archive-length"],
@@ -80,23 +93,25 @@ def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url
             if rows:
                 yield _rows(rows)
 
-    out = pages.select(F.col(key).cast("long"), F.col(url).cast("string"), F.col(payload).cast("string")).mapInArrow(records, "record binary")
-    _write(out, path)
+    rows = pages.select(F.col(key).cast("long"), F.col(url).cast("string"), F.col(payload).cast("string").alias("_payload"))
+    large = F.coalesce(F.octet_length("_payload") > LARGE, F.lit(False))
+    for (part, most), of in zip(WRITTEN, (~large, large), strict=True):
+        _write(rows.where(of).mapInArrow(records, "record binary"), f"{path}/{part}", most)
 
 
 def _rows(rows: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["record"])
 
 
-def _write(records: DataFrame, path: str) -> None:
-    """Each row's bytes and a line feed, in gzip files of FILE_RECORDS rows. A cast from binary to string
-    keeps the bytes as they are."""
+def _write(records: DataFrame, path: str, most: int = FILE_RECORDS) -> None:
+    """Each row's bytes and a line feed, in gzip files of so many rows. A cast from binary to string keeps the
+    bytes as they are."""
     text = records.select(F.col("record").cast("string").alias("value"))
-    text.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    text.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\n").option("maxRecordsPerFile", most).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
 # Reading ARC
@@ -158,10 +173,18 @@ def _sha1(data: bytes) -> str:
 
 
 def _record_id(path: str, place: int) -> str:
-    h = hashlib.sha256(f"{path.rsplit('/', 1)[-1]}#{place}".encode()).hexdigest()
+    h = hashlib.sha256(f"{path}#{place}".encode()).hexdigest()
     return f"urn:uuid:{h[:8]}-{h[8:12]}-5{h[13:16]}-a{h[17:20]}-{h[20:32]}"
 
 
+def _below(path: str, folder: str) -> str:
+    """A file's path below the archive folder, whatever the store is called."""
+    bare = lambda p: p.split("://", 1)[-1].removeprefix("file:").strip("/")
+    whole, top = f"/{bare(path)}", f"/{bare(folder)}/"
+    at = whole.find(top)
+    return whole[at + len(top) :] if at >= 0 else whole
+
+
 def warc_date(date: str) -> str:
     """An ARC date of 14 digits, or fewer from the left, as a WARC timestamp."""
     d = (date + "00000101000000"[len(date) :])[:14] if date.isdigit() and len(date) < 14 else date[:14]
@@ -171,21 +194,25 @@ def warc_date(date: str) -> str:
 
 
 def warc_record(path: str, record: dict, refers_to: tuple[str, str, str] | None) -> bytes:
-    """The equivalent WARC record, without its last line feed. refers_to: (identifier, URL, ARC date) of
-    the response that it revisits."""
+    """The equivalent WARC record, without its last line feed. path: the file's below the archive folder;
+    refers_to: (identifier, URL, ARC date) of the response that it revisits."""
     head, payload = _http_parts(record)
-    kind = "revisit" if refers_to else "response" if head else "resource"
-    block = head if refers_to else record["content"]
+    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    return _warc(_record_id(path, record["place"]), record["url"], record["ip"], record["date"], record["mime"], digest, head if refers_to else record["content"], bool(head), refers_to)
+
+
+def _warc(ident: str, url: str, ip: str, date: str, mime: str, digest: str, block: bytes, http: bool, refers_to: tuple[str, str, str] | None) -> bytes:
+    kind = "revisit" if refers_to else "response" if http else "resource"
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <{_record_id(path, record['place'])}>",
-        f"WARC-Date: {warc_date(record['date'])}",
-        f"WARC-Target-URI: {record['url']}",
-        f"WARC-IP-Address: {record['ip']}",
-        f"WARC-Payload-Digest: {_sha1(payload)}",
+        f"WARC-Record-ID: <{ident}>",
+        f"WARC-Date: {warc_date(date)}",
+        f"WARC-Target-URI: {url}",
+        f"WARC-IP-Address: {ip}",
+        f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: {_sha1(block)}",
-        f"Content-Type: {'application/http; msgtype=response' if head else record['mime']}",
+        f"Content-Type: {'application/http; msgtype=response' if http else mime}",
     ]
     if refers_to:
         lines += [
@@ -198,59 +225,86 @@ def warc_record(path: str, record: dict, refers_to: tuple[str, str, str] | None)
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r"
 
 
-def index_arc(spark: SparkSession, path: str) -> DataFrame:
-    """(path, place, record_id, key, url, date, digest, payload_bytes) of every record of ARC files."""
+_INDEX = "path string, place int, record_id string, key long, url string, ip string, date string, mime string, digest binary, payload_bytes long, head binary"
+
+
+def index_arc(spark: SparkSession, path: str, least: int = LEAST_BYTES) -> DataFrame:
+    """(path, place, record_id, key, url, ip, date, mime, digest, payload_bytes, head) of every record of ARC
+    files; the HTTP header block of those that may become revisits."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                out: dict[str, list] = {c: [] for c in ("path", "place", "record_id", "key", "url", "date", "digest", "payload_bytes")}
+                out: list[list] = [[] for _ in range(11)]
                 try:
-                    for r in parse_arc(gzip.decompress(content.as_py())):
+                    below = _below(name, path)
+                    for r in parse_arc(gzip.decompress(content.as_buffer())):
                         head, payload = _http_parts(r)
                         key = _header(head, KEY_HEADER)
-                        for c, v in zip(out, (name, r["place"], _record_id(name, r["place"]), int(key) if key else None, r["url"], r["date"], hashlib.sha1(payload).hexdigest(), len(payload)), strict=True):
-                            out[c].append(v)
+                        row = (name, r["place"], _record_id(below, r["place"]), int(key) if key else None, r["url"], r["ip"], r["date"], r["mime"], hashlib.sha1(payload).digest(), len(payload), head if len(payload) >= least else None)
+                        for c, v in zip(out, row, strict=True):
+                            c.append(v)
                 except ValueError as e:
                     raise ValueError(f"{name}: {e}") from e
-                kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
+                kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], [c.split()[0] for c in _INDEX.split(", ")])
 
-    return _files(spark, path).mapInArrow(rows, "path string, place int, record_id string, key long, url string, date string, digest string, payload_bytes long")
+    return _files(spark, path).mapInArrow(rows, _INDEX)
 
 
 def revisits(index: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """(path, place, to_id, to_url, to_date) of the records that become revisits."""
+    """The index rows of the records that become revisits, with to_id, to_url and to_date."""
     large = index.where(F.col("payload_bytes") >= least)
     order = F.struct(F.col("key").isNotNull(), F.coalesce("key", F.lit(0)), "path", "place", "record_id", "url", "date")
     chosen = large.groupBy("digest", "payload_bytes").agg(F.max(order).alias("_to"), F.count("*").alias("_n")).where("_n > 1")
     # The rows of a digest with very many copies are split over tasks as a skewed join.
     joined = large.join(chosen, ["digest", "payload_bytes"])
-    return joined.where("record_id <> _to.record_id").select("path", "place", F.col("_to.record_id").alias("to_id"), F.col("_to.url").alias("to_url"), F.col("_to.date").alias("to_date"))
+    return joined.where("record_id <> _to.record_id").select(*index.columns, F.col("_to.record_id").alias("to_id"), F.col("_to.url").alias("to_url"), F.col("_to.date").alias("to_date"))
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST_BYTES) -> None:
-    """Converts ARC files to WARC files."""
-    index = written(index_arc(spark, arc_path), "arc-index")
-    # A file has at most FILE_RECORDS records, so its list of revisits is bounded.
-    decided = revisits(index, least).groupBy("path").agg(F.collect_list(F.struct("place", "to_id", "to_url", "to_date")).alias("revisits"))
-    files = _files(spark, arc_path).join(decided, "path", "left").select("path", "content", "revisits")
+def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST_BYTES, folders: tuple[tuple[str, int], ...] = (("", FILE_RECORDS),)) -> None:
+    """Converts ARC files to WARC files: each folder below arc_path, with so many records a file, to one of
+    that name, and all revisits to one more."""
+    scratch = Scratch(spark)
+    index = scratch.written(index_arc(spark, arc_path, least), "arc-index")
+    decided = scratch.written(revisits(index, least), "revisits")
+    # A file has at most FILE_RECORDS records, so its list of places is bounded.
+    places = decided.groupBy("path").agg(F.collect_list("place").alias("places"))
+    size = places.agg(F.count("*").alias("files"), F.coalesce(F.sum(F.size("places")), F.lit(0)).alias("places")).first()
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                name, content, refers = (batch.column(c)[k].as_py() for c in range(3))
-                to = {r["place"]: (r["to_id"], r["to_url"], r["to_date"]) for r in refers or []}
-                rows: list[bytes] = []
-                for r in parse_arc(gzip.decompress(content)):
-                    rows.append(warc_record(name, r, to.get(r["place"])))
-                    if len(rows) >= 64:
+                name, out = batch.column(0)[k].as_py(), set(batch.column(2)[k].as_py() or ())
+                below, rows, held = _below(name, arc_path), [], 0
+                for r in parse_arc(gzip.decompress(batch.column(1)[k].as_buffer())):
+                    if r["place"] not in out:
+                        rows.append(warc_record(below, r, None))
+                        held += len(rows[-1])
+                    if len(rows) >= 64 or held > 4 << 20:
                         yield _rows(rows)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield _rows(rows)
 
-    _write(files.mapInArrow(records, "record binary"), warc_path)
+    for part, most in folders:
+        files = _files(spark, f"{arc_path}/{part}".rstrip("/"))
+        if size["files"] <= BROADCAST_FILES and size["places"] <= BROADCAST_PLACES:
+            met = files.join(F.broadcast(places), "path", "left")
+        else:
+            n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["files"] // FILES_A_TASK))
+            met = files.repartition(n, "path").join(places.repartition(n, "path"), "path", "left")
+        _write(met.select("path", "content", "places").mapInArrow(records, "record binary"), f"{warc_path}/{part or 'records'}", most)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_warc(i, u, ip, d, m, base64.b32encode(h).decode(), head or b"", bool(head), (to, tu, td)) for i, u, ip, d, m, h, head, to, tu, td in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            if rows:
+                yield _rows(rows)
+
+    made = decided.select("record_id", "url", "ip", "date", "mime", "digest", "head", "to_id", "to_url", "to_date")
+    _write(made.mapInArrow(again, "record binary"), f"{warc_path}/revisits")
+    scratch.remove("arc-index", "revisits")
 
 
 # Reading WARC
@@ -277,19 +331,20 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def read_warc(spark: SparkSession, path: str, contents: bool = False) -> DataFrame:
     """(record_id, key, url, date, record_type, to_id, payload_bytes, payload_digest[, payload]) of every
-    record. Digests are verified against the blocks; a revisit has the size and digest of what it revisits."""
+    record. Digests are verified against the blocks; a revisit's digest is its own header's, and its size is
+    null here (`resolved` takes it from the response)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 out: list[list] = [[] for _ in range(9 if contents else 8)]
-                for fields, block in parse_warc(gzip.decompress(content.as_py())):
+                for fields, block in parse_warc(gzip.decompress(content.as_buffer())):
                     if _sha1(block) != fields["warc-block-digest"]:
                         raise ValueError(f"{name}: a block doesn't have its digest")
                     kind, http = fields["warc-type"], fields["content-type"].startswith("application/http")
                     head, payload = _http_parts({"url": "", "content": block}) if http else (b"", block)
                     digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
-                    size = int(_header(head, "Content-Length") or 0) if kind == "revisit" else len(payload)
+                    size = None if kind == "revisit" else len(payload)
                     if kind != "revisit" and hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError(f"{name}: a payload doesn't have its digest")
                     key = _header(head, KEY_HEADER)
@@ -303,14 +358,24 @@ def read_warc(spark: SparkSession, path: str, contents: bool = False) -> DataFra
     return _files(spark, path).mapInArrow(rows, "record_id string, key long, url string, date string, record_type string, to_id string, payload_bytes long, payload_digest string" + ", payload binary" * contents)
 
 
+def resolved(rows: DataFrame) -> DataFrame:
+    """Rows of read_warc, with to_key: a revisit has the size of the response that it refers to, and that
+    one's key; null where the response isn't among the rows."""
+    again = rows.where("record_type = 'revisit'")
+    wanted = again.select(F.col("to_id").alias("record_id")).distinct()
+    to = rows.where("record_type <> 'revisit'").join(wanted, "record_id", "left_semi").select(F.col("record_id").alias("to_id"), F.col("key").alias("to_key"), F.col("payload_bytes").alias("_bytes"))
+    few = wanted.limit(BROADCAST_RESPONSES + 1).count() <= BROADCAST_RESPONSES
+    met = again.join(F.broadcast(to) if few else to, "to_id", "left").withColumn("payload_bytes", F.col("_bytes")).drop("_bytes")
+    return met.unionByName(rows.where("record_type <> 'revisit'").withColumn("to_key", F.lit(None).cast("long")))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = shared_folder(spark)
-    write_arc(table(spark, sf_dir, "pages"), f"{folder}/arc")
-    convert(spark, f"{folder}/arc", f"{folder}/warc")
-    rows = written(read_warc(spark, f"{folder}/warc"), "warc-index")
-    to = rows.where("record_type = 'response'").select(F.col("record_id").alias("to_id"), F.col("key").alias("refers_to"))
-    joined = rows.where("to_id IS NOT NULL").join(to, "to_id").unionByName(rows.where("to_id IS NULL").withColumn("refers_to", F.lit(None).cast("long")), allowMissingColumns=True)
-    return joined.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    scratch = Scratch(spark)
+    write_arc(small_batches(table(spark, sf_dir, "pages")), scratch.path("arc"))
+    convert(spark, scratch.path("arc"), scratch.path("warc"), folders=WRITTEN)
+    rows = scratch.written(read_warc(spark, scratch.path("warc")), "warc-index")
+    scratch.remove("arc", "warc")  # what the query returns is in the index
+    return resolved(rows).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("to_key").alias("refers_to"))
 
 
 SQL = """
