@@ -13,9 +13,11 @@ Training reads a bounded sample: about TRAIN_DOCS documents per language, chosen
 among the rows that may be learnt from. Texts are lower-cased, and everything ASCII that isn't a letter
 counts as a space.
 
-Defined results: null texts, and texts without a letter, are `und` with score 0; rows with a null lang
-are scored but not learnt from; rows with a null doc_id are never held out; repeated rows are scored
-each; with nothing to learn from every text is `und`.
+Defined results: null texts, and texts without a letter, are `und` with score 0; of languages with equal
+code lengths the first by name wins; rows with a null lang are scored but not learnt from; rows with a null
+doc_id are never held out; repeated rows are scored each; very long texts are coded whole; with nothing to
+learn from every text is `und`; an empty table gives an empty one; other columns pass through, whatever
+their names (`identified` adds its column under its name or the first free one, name_1, ...).
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, table
+from .shared import free, small_batches, table
 
 ORDER, TRAIN_DOCS, CACHE, SLOTS = 3, 600, 1_000_000, 1 << 21
 _FOLD = bytes(b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
@@ -76,7 +78,7 @@ class Model:
                 self.trees[place[lang]][k][(window >> 8) & ((1 << 8 * k) - 1)][window & 255] += times
         self.trees = [[{c: dict(s) for c, s in by.items()} for by in tree] for tree in self.trees]
         self.known = np.unique(np.array([c[1] for c in counts], np.uint32))
-        self.costs = np.array([self.code_lengths(int(w)) for w in self.known], np.float32).reshape(len(self.known), len(self.languages))
+        self.costs = np.array([self.code_lengths(int(w)) for w in self.known], np.float64).reshape(len(self.known), len(self.languages))
 
     def code_lengths(self, window: int) -> list[float]:
         """Bits for the last byte of the window, under each language."""
@@ -128,7 +130,7 @@ class Scorer:
             if new:
                 self.place.update(zip(new, range(len(self.keys), len(self.keys) + len(new)), strict=True))
                 self.keys = np.concatenate((self.keys, np.array(new, np.uint32)))
-                self.costs = np.concatenate((self.costs, np.array([self.model.code_lengths(k) for k in new], np.float32)))
+                self.costs = np.concatenate((self.costs, np.array([self.model.code_lengths(k) for k in new], np.float64)))
             found = np.fromiter((self.place[k] for k in distinct.tolist()), np.int32, len(distinct))
             self.slots[self.slot(distinct)] = found
             at = at.copy()
@@ -210,11 +212,11 @@ def identified(docs: DataFrame, model: Model, column: str = "text") -> DataFrame
         return predict(texts, _scorers[key])
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    return small_batches(docs).withColumn("_language", F.pandas_udf(run, "lang_pred string, score double")(F.col(column)))
+    return docs.withColumn(free(docs, "_language"), F.pandas_udf(run, "lang_pred string, score double")(F.col(f"`{column}`")))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = small_batches(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang")
     model = Model(training_counts(docs.where(~held_out())))
     scored = identified(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out().alias("held_out"), "_language.lang_pred", "_language.score")
