@@ -11,8 +11,10 @@ become their ids. Decoding joins the tokens' strings with spaces, as the tokeniz
 file without decoder.
 
 Each task keeps the ids of up to CACHE pre-tokens; that bounds memory and changes no result.
-Defined results: null and empty texts have no ids, and decode to the empty text; repeated rows are
-encoded each; other columns pass through.
+Defined results: null and empty texts have no ids, and decode to the empty text; of merges with equal rank
+the leftmost comes first; repeated rows are encoded each; very long texts are encoded whole, a long fragment
+in n log n steps; an empty table gives an empty one; other columns pass through, whatever their names (ids
+and decoded take the first free name, ids_1, ..., where docs has such a column).
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .shared import hand_back, small_batches, table
+from .shared import free, hand_back, small_batches, table
 from .token_counts import byte_alphabet
 from .wordhash import slices
 
@@ -65,6 +67,8 @@ class ForcedBoundaryBPE:
             raise ValueError("files with a post-processor, a decoder or continuing prefixes are not supported")
         self.suffix = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
+        if any(t.get(k) for t in spec["added_tokens"] for k in ("normalized", "lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that are normalised, stripped or single words are not supported")
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = np.empty(max([*self.vocab.values(), *self.added.values()]) + 1, object)
         for token, k in [*self.vocab.items(), *self.added.items()]:
@@ -81,6 +85,7 @@ class ForcedBoundaryBPE:
         #: The same pattern where all characters are ASCII, for the quicker engine.
         self.ascii_pattern = re.compile(split["pattern"]["Regex"].replace("[^\\s\\p{L}\\p{N}]", r"[^\t-\r 0-9A-Za-z]").replace("[\\p{L}]", "[A-Za-z]").replace("[\\p{N}]", "[0-9]"))
         self.raw = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        self.raw_starts = {t[0] for t in self.added}
         stand_in = {b: c for c, b in byte_alphabet().items()}
         self.bytes = [stand_in[b] for b in range(256)]
         self.cache = _Seen(self)
@@ -156,7 +161,7 @@ class ForcedBoundaryBPE:
         return self.pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def encode(self, text: str) -> bytes:
-        parts = self.raw.split(text) if self.raw and "<" in text else [text]
+        parts = self.raw.split(text) if any(c in text for c in self.raw_starts) else [text]
         out: list[bytes] = []
         for part in parts:
             if part in self.added:
@@ -177,10 +182,9 @@ def codec(path: str) -> ForcedBoundaryBPE:
 def with_ids(docs: DataFrame, path: str, column: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """docs with the ids of each text (array<int>) and, if a name is given for them, the texts decoded from
     those ids. Results leave a task in batches of about BATCH_BYTES of text, however large it gets them."""
-    own = [c for c in docs.columns if c not in (ids, decoded)]
-    docs = docs.select(*(F.col(f"`{c}`") for c in own))
+    at = docs.columns.index(column)
+    ids, decoded = free(docs, ids), free(docs, decoded) if decoded else None
     schema = StructType(docs.schema.fields + [StructField(ids, ArrayType(IntegerType()))] + ([StructField(decoded, StringType())] if decoded else []))
-    at = own.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
@@ -196,7 +200,7 @@ def with_ids(docs: DataFrame, path: str, column: str = "text", ids: str = "ids",
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
         hand_back()
 
-    return small_batches(docs).mapInArrow(run, schema)
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))).mapInArrow(run, schema)
 
 
 def with_decoded(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -207,7 +211,7 @@ def with_decoded(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "d
         return pd.Series([decode(np.asarray(x, np.int64)) if x is not None else "" for x in column], dtype=object)
 
     run.__annotations__ = {"column": pd.Series, "return": pd.Series}
-    return docs.withColumn(decoded, F.pandas_udf(run, "string")(F.col(f"`{ids}`")))
+    return docs.withColumn(free(docs, decoded), F.pandas_udf(run, "string")(F.col(f"`{ids}`")))
 
 
 def default_file() -> str:
@@ -224,9 +228,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"), default_file())
+    return digests(small_batches(table(spark, sf_dir, "documents")).select("doc_id", "text"), default_file())
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents' columns, their ids and the decoded texts."""
-    return with_ids(docs, default_file(), decoded="decoded")
+    return with_ids(small_batches(docs), default_file(), decoded="decoded")
