@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import Scratch
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -15,9 +15,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     neighbour, until they are stars. Minima are pre-aggregated before each shuffle, the joins that bring
     them back to the edges can be split at hubs, and each round is written to the shared folder.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    scratch = Scratch(edges.sparkSession)
+    now = scratch.written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges-0")
     before = None
-    for _ in range(most_rounds):
+    for k in range(most_rounds):
         # large star: every larger neighbour of u points to u's smallest neighbour
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -25,7 +26,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: u and its smaller neighbours point to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        now = written(small.where("u <> v").distinct(), "edges")
+        now = scratch.written(small.where("u <> v").distinct(), f"edges-{k + 1}")
+        scratch.remove(f"edges-{k}")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -3,14 +3,16 @@
 Two documents link when the Jaccard similarity of their shingle sets reaches a threshold. The join is
 exact; it returns every document's class, its number of links and its component.
 
-1. Documents with equal sets form a class (a row each from here on), found by two hashes of the set.
+1. Documents with equal sets form a class (a row each from here on), found by 96 bits of hashes of the set.
 2. Similar classes are partitioned into groups: a class has BANDS keys of two MinHash values each, and
    joins the group of the key that most classes have. Groups are cut by set size (sizes of neighbouring
    cuts only can reach the threshold) and, where they are large, into blocks of bounded size.
-3. The token-group matrix says which group holds which token. Of a query class, only a prefix has to be
-   looked up: its rarest tokens, one more than may be missing from a partner. A group none of whose
-   members shares a prefix token is never opened. Rareness comes from a count sketch of all documents;
-   it only orders the tokens, so that its errors cost time but no links.
+3. The token-group matrix says which group holds which token: each group's union of the tokens that can
+   decide. Those are the rarest of every class: if two sets link, they share at least SHARED of the tokens
+   that are among the rarest of both, counted to SHARED more than may be missing from a partner. So the
+   number of a query's rarest tokens that a group's union holds bounds its overlap with every member, and a
+   group with fewer than SHARED of them is never opened. Rareness comes from a count sketch of all
+   documents, which grows with them; it only orders the tokens, so that its errors cost time but no links.
 4. In an opened block the overlap of a query with the union of the block's tokens bounds its overlap with
    every member; queries below the bound are dropped, the rest is counted exactly, in blocks of a
    matrix product. Every pair of classes meets in one block at most. A block returns the links as a
@@ -18,11 +20,15 @@ exact; it returns every document's class, its number of links and its component.
 5. Components of the forest give the answer.
 
 Text is read three times (for sets, for prefixes, for blocks) instead of storing the sets; only texts of
-classes that meet others are shuffled. Blocks with very many queries are dealt to several tasks.
+classes that meet others are shuffled. Blocks are bounded in tokens and members, and those with very many
+queries are dealt to several tasks; groups with very many classes are few, and their sizes are sent to the
+rows rather than rows to them. Tables in between are removed when the answer is written.
 
 Defined results: null and empty texts, and texts without words, have 0 shingles, no links, and are their
 own component; documents without a doc_id are linked like others, and their component is the smallest
-doc_id among its members, or null if none has one; repeated rows are copies of each other.
+doc_id among its members, or null if none has one; repeated rows are copies of each other; a pair at the
+threshold is linked; very long texts are taken whole; an empty table gives an empty one; other columns
+pass through `one_of_each`, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,12 +44,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import hand_back, small_batches, table, text_or_empty, written
+from .shared import Scratch, free, hand_back, own_columns, small_batches, table, text_or_empty, written
 from .wordhash import distinct, mix, shingles, slices, words
 
-BANDS, SKETCH_BITS, BLOCK_TOKENS, BLOCK_QUERIES = 6, 21, 400_000, 4096
-#: Up to so many rows, the keys of texts to fetch are broadcast; beyond, texts are joined by a shuffle.
+BANDS, SHARED, BLOCK_TOKENS, BLOCK_MEMBERS, BLOCK_QUERIES = 6, 3, 400_000, 1024, 2048
+#: Counters of the sketch: one for SKETCH_BYTES of text, within these powers of two.
+SKETCH_BYTES, LEAST_BITS, MOST_BITS = 256, 21, 24
+#: Up to so many rows, the keys of texts to fetch, or of rows to drop, are broadcast; beyond, texts are
+#: joined by a shuffle.
 BROADCAST_KEYS = 200_000
+#: Groups of more classes than this, and than one in HOT_SHARE of all, are hot: HOT_SHARE of them at most.
+HOT_MEMBERS, HOT_SHARE = 1000, 100_000
 _SEEDS = mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _SKETCH_PART = 1 << 14
 
@@ -59,6 +70,10 @@ class Similarity:
         """Tokens that a set of n shares with any partner, at least."""
         return -(-n * self.percent // 100)
 
+    def least(self, shared: int) -> int:
+        """The smallest set whose partners, like itself, share so many tokens with it."""
+        return next(n for n in range(1, 100 * shared) if self.needed(n) >= shared)
+
     def linked(self, shared, n, m):
         return 100 * shared >= self.percent * (n + m - shared)
 
@@ -78,39 +93,55 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def summaries(docs: DataFrame, sim: Similarity) -> DataFrame:
+def _hashes(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes (64 and 32 bits) of each set; 0 of empty ones."""
+    n = np.diff(first)
+    h1, h2, some = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64), np.flatnonzero(n)
+    if len(values):
+        at = first[:-1][some]
+        h1[some] = mix(np.add.reduceat(mix(values), at) + n[some].astype(np.uint64))
+        h2[some] = mix(np.add.reduceat(mix(values ^ np.uint64(0x5851F42D4C957F2D)), at) ^ h1[some])
+    return h1, (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def sketch_bits(docs: DataFrame) -> int:
+    """The sketch's size, as a power of two, for documents (text) of this size in all."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(LEAST_BITS, min(MOST_BITS, (size // SKETCH_BYTES).bit_length()))
+
+
+def summaries(docs: DataFrame, sim: Similarity, bits: int = LEAST_BITS) -> DataFrame:
     """One row (n, h1, h2, bands) for each document, besides its _row and _th; and for each task the parts
     of its count sketch, as rows with a part number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, waiting = np.zeros(1 << SKETCH_BITS, np.int32), []
+        sketch, waiting = np.zeros(1 << bits, np.int32), []
 
         def tally() -> None:
             if waiting:
-                np.add(sketch, np.bincount(np.concatenate(waiting), minlength=1 << SKETCH_BITS), out=sketch, casting="unsafe")
+                tokens, times = np.unique(np.concatenate(waiting), return_counts=True)
+                sketch[tokens] += times.astype(np.int32)
                 waiting.clear()
 
         names = ["_id", "_row", "_th", "n", "h1", "h2", "bands", "part", "counts"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
         for batch in batches:
             for begin, values, first in _sets(batch.column(3), sim.size):
                 n, count = np.diff(first), len(first) - 1
-                h1, h2 = np.zeros(count, np.uint64), np.zeros(count, np.uint64)
+                h1, h2 = _hashes(values, first)
                 bands = np.zeros((count, BANDS), np.uint64)
                 some = np.flatnonzero(n)
                 if len(values):
                     at = first[:-1][some]
-                    h1[some] = mix(np.add.reduceat(mix(values), at) + n[some].astype(np.uint64))
-                    h2[some] = mix(np.add.reduceat(mix(values ^ np.uint64(0x5851F42D4C957F2D)), at) ^ h1[some])
                     low = [np.minimum.reduceat(mix(values * s), at) for s in _SEEDS]
                     for k in range(BANDS):
                         bands[some, k] = mix(low[2 * k] + mix(low[2 * k + 1]) + np.uint64(k))
-                    waiting.append((values >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
-                    if sum(map(len, waiting)) > 1 << SKETCH_BITS - 2:
+                    waiting.append((values >> np.uint64(64 - bits)).astype(np.int32))
+                    if sum(map(len, waiting)) > 1 << LEAST_BITS - 2:
                         tally()
                 columns = [c.slice(begin, count) for c in batch.columns[:3]]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(count + 1) * BANDS, pa.int32()), pa.array(_signed(bands).ravel()))
-                columns += [pa.array(n.astype(np.int32)), pa.array(_signed(h1)), pa.array(_signed(h2)), lists, pa.nulls(count, pa.int32()), pa.nulls(count, pa.binary())]
+                columns += [pa.array(n.astype(np.int32)), pa.array(_signed(h1)), pa.array(h2), lists, pa.nulls(count, pa.int32()), pa.nulls(count, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
         tally()
         parts = np.minimum(sketch, 65_535).astype(np.uint16).reshape(-1, _SKETCH_PART)
@@ -120,73 +151,83 @@ def summaries(docs: DataFrame, sim: Similarity) -> DataFrame:
         yield pa.RecordBatch.from_arrays(columns, names)
         hand_back()
 
-    return docs.mapInArrow(run, "_id long, _row long, _th long, n int, h1 long, h2 long, bands array<long>, part int, counts binary")
+    return docs.mapInArrow(run, "_id long, _row long, _th long, n int, h1 long, h2 int, bands array<long>, part int, counts binary")
 
 
-def token_counts(rows: DataFrame) -> np.ndarray:
-    """The sum of all tasks' sketches: 2**SKETCH_BITS counts, whatever the data. Parts are added up as they
-    stream by, so that a task's memory doesn't depend on the number of sketches."""
+def rareness(rows: DataFrame, bits: int = LEAST_BITS) -> np.ndarray:
+    """The sum of all tasks' sketches on a scale of six steps for a doubling: a byte for each counter. Parts are
+    added up as they stream by, first those of a sixteenth of the rows, so that neither a task's memory nor its
+    work depends on the number of sketches."""
 
-    def add(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch], kind: type, last: bool) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = np.frombuffer(counts.as_buffer(), kind).astype(np.int64)
                 sums[part] = sums.get(part, 0) + own
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(s, 2**31 - 1).astype(np.int32).tobytes() for s in sums.values()], pa.binary())], ["part", "counts"])
-
-    total = np.zeros((1 << SKETCH_BITS) // _SKETCH_PART * _SKETCH_PART, np.int32).reshape(-1, _SKETCH_PART)
-    parts = rows.where("part IS NOT NULL").select("part", "counts").mapInArrow(lambda b: add(b, np.uint16), "part int, counts binary")
-    for row in parts.repartition(16, "part").mapInArrow(lambda b: add(b, np.int32), "part int, counts binary").toLocalIterator():
-        total[row["part"]] = np.frombuffer(bytes(row["counts"]), np.int32)
+        form = (lambda s: np.minimum(6 * np.log2(1 + s), 255).astype(np.uint8)) if last else lambda s: np.minimum(s, 2**31 - 1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([form(s).tobytes() for s in sums.values()], pa.binary())], ["part", "counts"])
+
+    n = (1 << bits) // _SKETCH_PART
+    total = np.zeros((n, _SKETCH_PART), np.uint8)
+    dealt = rows.where("part IS NOT NULL").select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(16)).alias("salt"))
+    some = dealt.repartition(n, "part", "salt").select("part", "counts").mapInArrow(lambda b: add(b, np.uint16, False), "part int, counts binary")
+    for row in some.repartition(min(n, 64), "part").mapInArrow(lambda b: add(b, np.int32, True), "part int, counts binary").toLocalIterator():
+        total[row["part"]] = np.frombuffer(bytes(row["counts"]), np.uint8)
     return total.ravel()
 
 
-def prefixes(docs: DataFrame, shared: Broadcast, sim: Similarity) -> DataFrame:
-    """(h1, token) of each document's rarest tokens, by the counts that are shared."""
+def prefixes(docs: DataFrame, shared: Broadcast, sim: Similarity, bits: int = LEAST_BITS) -> DataFrame:
+    """(h1, h2, token) of each document's rarest tokens, by the sketch that is shared."""
+    many = sim.least(SHARED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rareness = shared.value
+        rare = shared.value
         for batch in batches:
             for _, values, first in _sets(batch.column(0), sim.size):
                 if not len(values):
                     continue
                 n = np.diff(first)
                 owner = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((values, rareness[(values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], owner))
+                order = np.lexsort((values, rare[(values >> np.uint64(64 - bits)).astype(np.int64)], owner))
                 rank = np.arange(len(values)) - first[:-1][owner]
-                chosen = rank <= (n - sim.needed(n))[owner]
-                some = np.flatnonzero(n)
-                h1 = np.zeros(len(n), np.uint64)
-                h1[some] = mix(np.add.reduceat(mix(values), first[:-1][some]) + n[some].astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(h1[owner[chosen]])), pa.array(_signed(values[order][chosen]))], ["h1", "token"])
+                chosen = rank < (n - sim.needed(n) + np.where(n >= many, SHARED, 1))[owner]
+                h1, h2 = _hashes(values, first)
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(h1[owner[chosen]])), pa.array(h2[owner[chosen]]), pa.array(_signed(values[order][chosen]))], ["h1", "h2", "token"])
         hand_back()
 
-    return docs.select(text_or_empty()).mapInArrow(run, "h1 long, token long")
+    return docs.select(text_or_empty()).mapInArrow(run, "h1 long, h2 int, token long")
 
 
 def several(tokens: DataFrame) -> DataFrame:
-    """(h1, token), once each, of the tokens that more than one h1 has. Rows come sorted by token, so that a
-    task holds one row back and no group."""
+    """(h1, h2, token), once each, of the tokens that more than one set has. Rows come sorted by token, so that
+    a task holds one row back and no group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, h, shared = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        held, shared = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)], False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t, h = np.concatenate((t, batch.column(1).to_numpy())), np.concatenate((h, batch.column(0).to_numpy()))
-            new = np.append(True, (t[1:] != t[:-1]) | (h[1:] != h[:-1]))
-            t, h = t[new], h[new]
+            h1, h2, t = (np.concatenate((a, c.to_numpy())) for a, c in zip(held, batch.columns, strict=True))
+            new = np.append(True, (t[1:] != t[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
+            h1, h2, t = h1[new], h2[new], t[new]
             same = t[1:] == t[:-1]
             many = np.append(same, False) | np.append(False, same)
             many[0] |= shared
             keep = many[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(h[:-1][keep]), pa.array(t[:-1][keep])], ["h1", "token"])
-            t, h, shared = t[-1:], h[-1:], bool(many[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in (h1, h2, t)], ["h1", "h2", "token"])
+            held, shared = [h1[-1:], h2[-1:], t[-1:]], bool(many[-1])
         if shared:
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(t)], ["h1", "token"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], ["h1", "h2", "token"])
+
+    return tokens.repartition("token").sortWithinPartitions("token", "h1", "h2").mapInArrow(run, "h1 long, h2 int, token long")
 
-    return tokens.repartition("token").sortWithinPartitions("token", "h1").mapInArrow(run, "h1 long, token long")
+
+def _looked_up(rows: DataFrame, facts: DataFrame, hot: DataFrame, key: list[str]) -> DataFrame:
+    """rows joined with facts by key. Rows of hot keys, of which there is a bounded number, meet them by
+    broadcast, so that no task gets all rows of one."""
+    usual = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(facts, key)
+    return usual.unionByName(rows.join(F.broadcast(hot), key))
 
 
 class _Members:
@@ -366,62 +407,74 @@ def _edges(found: list) -> pa.RecordBatch:
 def linked(docs: DataFrame, sim: Similarity, key: str = "doc_id", column: str = "text") -> DataFrame:
     """(_id, _row, _th, n, node, component, links) of each document; _row and _th tell rows apart that
     have no key."""
-    text = F.coalesce(F.col(f"`{column}`"), F.lit(""))
-    known = docs.select(F.col(f"`{key}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{key}`").cast("long"), F.xxhash64(text)).alias("_row"), F.xxhash64(text).alias("_th"), text.alias("text"))
-    found = written(summaries(small_batches(known), sim), "summaries")
-    counts = token_counts(found)
+    spark, text = docs.sparkSession, text_or_empty(column)
+    scratch = Scratch(spark)
+    ident = F.col(f"`{key}`").cast("long")
+    known = docs.select(ident.alias("_id"), F.coalesce(ident, F.xxhash64(text)).alias("_row"), F.xxhash64(text).alias("_th"), text.alias("text"))
+    bits = sketch_bits(known)
+    found = scratch.written(summaries(known, sim, bits), "summaries")
+    rare = rareness(found, bits)
     light = found.where("part IS NULL")
     sets = light.where("n > 0")
     rep = F.min(F.struct("_row", "_th")).alias("rep")
-    classes = sets.groupBy(F.col("h1").alias("node"), "h2").agg(rep, F.max("n").alias("n"), F.count("*").alias("copies"), F.min("_id").alias("least"), F.first("bands").alias("bands"))
-    classes = written(classes.withColumn("cut", sim.cut(F.col("n"))), "classes")
+    classes = sets.groupBy("h1", "h2").agg(rep, F.max("n").alias("n"), F.count("*").alias("copies"), F.min("_id").alias("least"), F.first("bands").alias("bands"))
+    # Numbers are given as the table is written, and stay.
+    classes = scratch.written(classes.withColumns({"cut": sim.cut(F.col("n")), "node": F.monotonically_increasing_id()}), "classes")
 
     # groups: the most common of a class's keys
     keys = classes.select("node", F.explode("bands").alias("band"))
     common = keys.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     chosen = keys.join(common, "band").groupBy("node").agg(F.max(F.struct("size", "band")).alias("best")).select("node", F.col("best.band").alias("gid"))
-    grouped = classes.join(chosen, "node", "left").select("node", "rep", "n", "copies", "cut", F.coalesce("gid", "node").alias("gid"))
-    size = grouped.groupBy("gid", "cut").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("subs"), F.count("*").alias("members"))
-    members = written(grouped.join(size, ["gid", "cut"]).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int")), "members")
-    size = written(size, "sizes")
-
-    # the matrix: which group holds which token of the prefixes; queries look up their own
-    place = members.select(F.col("node").alias("h1"), "gid", "cut")
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
-    tokens = several(prefixes(known.select("text"), shared, sim))
-    tokens = written(tokens.join(place, "h1"), "prefixes")
+    grouped = scratch.written(classes.join(chosen, "node", "left").select("node", "h1", "h2", "rep", "n", "copies", "cut", F.coalesce("gid", "node").alias("gid")), "grouped")
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_MEMBERS)).cast("int")
+    size = scratch.written(grouped.groupBy("gid", "cut").agg(blocks.alias("subs"), F.count("*").alias("members")), "sizes")
+    many = max(HOT_MEMBERS, light.count() // HOT_SHARE)
+    hot = scratch.written(size.where(F.col("members") > many), "hot")
+    members = scratch.written(_looked_up(grouped, size, hot, ["gid", "cut"]).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int")), "members")
+
+    # the matrix: which group holds which token of the prefixes; queries count those that they share with it
+    shared = spark.sparkContext.broadcast(rare)
+    tokens = several(prefixes(known.select("text"), shared, sim, bits))
+    tokens = scratch.written(tokens.join(members.select("h1", "h2", "node", "gid", "cut", "n"), ["h1", "h2"]).drop("h1", "h2"), "prefixes")
     shared.unpersist()  # workers would keep it; a task that is run again fetches it anew
     matrix = tokens.select("token", F.col("gid").alias("to_gid"), F.col("cut").alias("to_cut")).distinct()
     meets = tokens.join(matrix, "token").where("gid < to_gid AND abs(cut - to_cut) <= 1")
-    crossing = meets.select(F.col("h1").alias("node"), F.col("to_gid").alias("gid"), F.col("to_cut").alias("cut")).distinct()
+    bound = F.when(F.col("n") >= sim.least(sim.least(SHARED)), SHARED).otherwise(1)
+    crossing = meets.groupBy("node", F.col("to_gid").alias("gid"), F.col("to_cut").alias("cut"), bound.alias("bound")).agg(F.count("*").alias("held")).where("held >= bound").select("node", "gid", "cut")
     crossing = crossing.join(size, ["gid", "cut"]).select("node", "gid", "cut", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
     # other blocks of a class's own group: of the cut below, and earlier ones of its own cut
-    near = members.select("node", "gid", F.col("cut").alias("own_cut"), F.col("sub").alias("own_sub"), F.explode(F.array(F.col("cut") - 1, F.col("cut"))).alias("cut")).join(size, ["gid", "cut"])
-    near = near.select("node", "gid", "cut", "own_cut", "own_sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub")).where("cut < own_cut OR sub < own_sub").select("node", "gid", "cut", "sub")
-    queries = written(crossing.unionByName(near), "queries")
+    near = members.select("node", "gid", F.col("cut").alias("own_cut"), F.col("sub").alias("own_sub"), F.explode(F.array(F.col("cut") - 1, F.col("cut"))).alias("cut"))
+    near = _looked_up(near, size, hot, ["gid", "cut"]).select("node", "gid", "cut", "own_cut", "own_sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub")).where("cut < own_cut OR sub < own_sub").select("node", "gid", "cut", "sub")
+    queries = scratch.written(crossing.unionByName(near), "queries")
 
     # the rows that meet in blocks
-    chunks = queries.groupBy("gid", "cut", "sub").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("chunks"))
+    chunks = scratch.written(queries.groupBy("gid", "cut", "sub").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("chunks")), "chunks")
     held = members.join(chunks, ["gid", "cut", "sub"], "left").where("members > 1 OR chunks IS NOT NULL")
     held = held.select("gid", "cut", "sub", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("chunk"), F.lit(0).alias("role"), "node", "copies", "rep")
     asked = queries.join(chunks, ["gid", "cut", "sub"]).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")).cast("int"))
     asked = asked.join(members.select("node", "copies", "rep"), "node").select("gid", "cut", "sub", "chunk", F.lit(1).alias("role"), "node", "copies", "rep")
     places = held.unionByName(asked).select("*", F.col("rep._row").alias("_row"), F.col("rep._th").alias("_th")).drop("rep")
-    places = written(places, "places")
-    small = places.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    rows = known.select("_row", "_th", "text").join(F.broadcast(places) if small else places, ["_row", "_th"])
+    places = scratch.written(places, "places")
+    few = places.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    sent = lambda df: F.broadcast(df) if few else df
+    rows = known.select("_id", "_row", "_th", "text")
+    if light.where("_id IS NULL").limit(1).count():  # copies without a key go once to all their places
+        nameless = rows.where("_id IS NULL").join(sent(places.select("_row", "_th").distinct()), ["_row", "_th"], "left_semi")
+        rows = rows.where("_id IS NOT NULL").unionByName(nameless.dropDuplicates(["_row", "_th"]))
+    rows = rows.drop("_id").join(sent(places), ["_row", "_th"])
     block = ["gid", "cut", "sub", "chunk"]
     rows = rows.select(*block, "role", "node", "copies", "text").repartition(*block).sortWithinPartitions(*block, "role")
-    pairs = written(_verify(rows, sim), "links")
+    pairs = scratch.written(_verify(rows, sim), "links")
 
     roots = components(pairs.where("b IS NOT NULL").select("a", "b"))
     degrees = pairs.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))
-    rooted = classes.select("node", "copies", "least").join(roots, "node", "left").join(degrees, "node", "left")
+    rooted = classes.select("node", "h1", "h2", "copies", "least").join(roots, "node", "left").join(degrees, "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    answer = rooted.join(lowest, "root").select(F.col("node").alias("h1"), "component", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    answer = written(answer, "answer")
-    with_sets = sets.join(answer, "h1", "left").select("_id", "_row", "_th", "n", F.col("h1").alias("node"), "component", "links")
+    answer = rooted.join(lowest, "root").select("h1", "h2", F.col("root").alias("node"), "component", "copies", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    answer = scratch.written(answer, "answer")
+    scratch.remove("classes", "grouped", "sizes", "hot", "members", "prefixes", "queries", "chunks", "places", "links")
+    with_sets = _looked_up(sets, answer, answer.where(F.col("copies") > many), ["h1", "h2"]).select("_id", "_row", "_th", "n", "node", "component", "links")
     empty = light.where("n = 0").select("_id", "_row", "_th", "n", F.lit(None).cast("long").alias("node"), F.col("_id").alias("component"), F.lit(0).cast("long").alias("links"))
     return with_sets.unionByName(empty)
 
@@ -429,23 +482,31 @@ def linked(docs: DataFrame, sim: Similarity, key: str = "doc_id", column: str =
 def one_of_each(docs: DataFrame, sim: Similarity, key: str = "doc_id", column: str = "text") -> DataFrame:
     """The document of smallest key of each component, with its own columns; of rows without a key, and of
     repeated rows, one stays as well. Documents without words all stay."""
-    text = F.coalesce(F.col(f"`{column}`"), F.lit(""))
-    answer = linked(docs, sim, key, column).where("n > 0")
-    first = answer.groupBy(F.coalesce("component", "node").alias("_c")).agg(F.min(F.struct(F.col("_id").isNull(), "_row", "_th")).alias("_first")).select("_first._row", "_first._th")
-    named = docs.withColumn("_row", F.coalesce(F.col(f"`{key}`").cast("long"), F.xxhash64(text))).withColumn("_th", F.xxhash64(text))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    has_words = F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]"))
-    kept = named.where(has_words).join(first, ["_row", "_th"], "left_semi")
-    return kept.dropDuplicates(["_row", "_th"]).select(*own).unionByName(docs.where(~has_words))
+    text = text_or_empty(column)
+    answer = written(linked(docs, sim, key, column).where("n > 0").select("_id", "_row", "_th", "node"), "answer")
+    first = answer.groupBy("node").agg(F.min(F.struct(F.col("_id").isNull(), "_row", "_th")).alias("first"))
+    each = answer.groupBy("node", "_row", "_th").agg(F.count("*").alias("times")).join(first, "node")
+    stays = (F.col("_row") == F.col("first._row")) & (F.col("_th") == F.col("first._th"))
+    # Rows to drop, and rows to keep once, rather than those that stay: they are fewer.
+    apart = written(each.where(~stays | (F.col("times") > 1)).select("_row", "_th", stays.alias("stays")), "apart")
+    few = apart.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    one = apart.select(F.struct("*").alias(to := free(docs, "_to")))
+    on = [F.coalesce(F.col(f"`{key}`").cast("long"), F.xxhash64(text)) == F.col(f"{to}._row"), F.xxhash64(text) == F.col(f"{to}._th")]
+    met = docs.join(F.broadcast(one) if few else one, on, "left")
+    kept = met.where(F.col(to).isNull()).select(*own_columns(docs))
+    if not apart.where("stays").limit(1).count():
+        return kept
+    again = met.where(F.col(f"{to}.stays")).dropDuplicates([to]).select(*own_columns(docs))
+    return kept.unionByName(again)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answer = linked(table(spark, sf_dir, "documents").select("doc_id", "text"), Similarity(3, 90))
+    answer = linked(small_batches(table(spark, sf_dir, "documents")).select("doc_id", "text"), Similarity(3, 90))
     return answer.select(F.col("_id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), F.col("links").alias("n_links"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs, Similarity())
+    return one_of_each(small_batches(docs), Similarity())
 
 
 SQL = r"""
