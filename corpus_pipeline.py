@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from geoloom.llm import bpe, containment, jaccard_join, quality_rules, secrets
-from geoloom.llm.shared import written
+from geoloom.llm.shared import Scratch
 
 STAGES = [
     ("quality rules", quality_rules.stage),
@@ -24,7 +24,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, scratch, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = scratch.written(stage(spark, docs, sf_dir), folder := name.replace(" ", "-"))
+        if before:
+            scratch.remove(before)
+        before = folder
     return docs
