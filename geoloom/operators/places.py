@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ascii_key, dedup_distance, distance, same_place_name, text_key
+from ..functions.columns import dedup_distance, distance, same_place_name, text_key
+from ..scratch import Scratch
 
+# Fixed values that results depend on.
 DEDUP_METRES = 35
 SETTLEMENTS = ("city", "town", "village", "hamlet", "locality", "isolated_dwelling")
 #: Query words, and the tags that they search for; the first row with a word in the query counts.
@@ -29,23 +30,6 @@ TAXONOMY = (
     (("attraction", "attractions", "landmark", "landmarks"), (("tourism", "attraction"),)),
 )
 
-_own: list[str] = []
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, written below spark.checkpoint.dir (a local folder only where that is unset) and read
-    again, which ends their lineage."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="geoloom-"))
-        base = _own[0]
-    path = f"{base.rstrip('/')}/geoloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def cell_width(row: Column, step: float) -> Column:
     """Degrees of longitude of the cells of a row of the lattice, at least `step` degrees of latitude wide also
     at the far edge of the row beside it."""
@@ -77,24 +61,35 @@ def same_places(places: DataFrame, max_latitude: float | None = None) -> DataFra
     return pairs.where(earlier & close & same_place_name(F.col("l.normalized_name"), F.col("r.normalized_name"))).select(F.col("l.place_id").alias("place_id"), F.col("r.place_id").alias("other_id"))
 
 
-def canonical_places(places: DataFrame, max_latitude: float | None = None, most_rounds: int = 200) -> DataFrame:
+def canonical_places(places: DataFrame, max_latitude: float | None = None) -> DataFrame:
     """(place_id, canonical_id): in (created_at, place_id) order a place is canonical unless it matches an
     earlier canonical one, of which the first is its canonical. Not components: of A~B~C with A and C apart,
-    A and C are canonical. Rounds decide all places whose earlier neighbours are decided."""
-    edges = stored(same_places(places, max_latitude))
+    A and C are canonical. A round decides all places whose earlier neighbours are decided, at least the
+    earliest of those left, so that there are as many rounds as the longest chain of decisions has places;
+    rounds keep only what is still open."""
+    scratch = Scratch(places.sparkSession)
     order = places.select(F.col("place_id").alias("other_id"), F.struct("created_at", "place_id").alias("rank"))
-    edges = stored(edges.join(order, "other_id"))
-    open_edges, decided = edges, stored(edges.select(F.col("other_id").alias("place_id"), F.lit(True).alias("canonical")).join(edges.select("place_id"), "place_id", "left_anti").distinct())
-    for _ in range(most_rounds):
-        if open_edges.limit(1).count() == 0:
-            break
-        seen = open_edges.join(decided.select(F.col("place_id").alias("other_id"), "canonical"), "other_id", "left")
+    edges = scratch.written(same_places(places, max_latitude).join(order, "other_id"), "edges")
+    # Places with no earlier neighbour are canonical; what a round decides is written as one more part.
+    first = edges.select(F.col("other_id").alias("place_id")).distinct().join(edges.select("place_id"), "place_id", "left_anti").withColumn("canonical", F.lit(True))
+    new, left, parts = scratch.written(first, "decided-0"), edges, []
+    while left.limit(1).count():
+        k = len(parts)
+        parts.append(new)
+        # Of an open place, the decided neighbours that are canonical settle it; the others no longer count.
+        seen = left.join(new.select(F.col("place_id").alias("other_id"), "canonical"), "other_id", "left")
         state = seen.groupBy("place_id").agg(F.bool_or(F.coalesce("canonical", F.lit(False))).alias("hit"), F.bool_or(F.col("canonical").isNull()).alias("waits"))
-        new = state.where("hit OR NOT waits").select("place_id", (~F.col("hit")).alias("canonical"))
-        decided = stored(decided.unionByName(new))
-        open_edges = stored(open_edges.join(decided.select("place_id"), "place_id", "left_anti"))
-    else:
-        raise RuntimeError(f"places were not decided in {most_rounds} rounds")
+        new = scratch.written(state.where("hit OR NOT waits").select("place_id", (~F.col("hit")).alias("canonical")), f"decided-{k + 1}")
+        rest = seen.where("canonical IS NULL").select("place_id", "other_id").join(new.select("place_id"), "place_id", "left_anti")
+        left = scratch.written(rest, f"left-{k + 1}")
+        if k:
+            scratch.remove(f"left-{k}")
+    parts.append(new)
+    decided = parts[0]
+    for part in parts[1:]:
+        decided = decided.unionByName(part)
+    decided = scratch.written(decided, "decided")
+    scratch.remove(*(f"decided-{k}" for k in range(len(parts))))
     alias = edges.join(decided.where("canonical").select(F.col("place_id").alias("other_id")), "other_id").groupBy("place_id").agg(F.min_by("other_id", "rank").alias("to"))
     alias = alias.join(decided.where("NOT canonical").select("place_id"), "place_id", "left_semi")
     return places.select("place_id").join(alias, "place_id", "left").select("place_id", F.coalesce("to", "place_id").alias("canonical_id"))
@@ -143,11 +138,11 @@ def rank_by_context(places: DataFrame, country: str, lon: float, lat: float, mos
 def saved_matches(places: DataFrame, query: str, country: str = "") -> DataFrame:
     """Names that contain the query's first part, all qualifiers being in name, address and country; exact
     names, the country, and the main provider first, the latest first among equals."""
-    parts = [p.strip().lower() for p in query.split(",") if p.strip()]
+    parts = [p for p in (" ".join(unicodedata.normalize("NFKC", x).strip().casefold().split()) for x in query.split(",")) if p]
     if not parts or len(parts[0]) < 2:
         return places.limit(0)
     only = country.upper() if len(parts) == 1 else ""
-    label = ascii_key(F.concat_ws(" ", "name", "address", "country_code"))
+    label = text_key(F.concat_ws(" ", "name", "address", "country_code"))
     found = places.where(F.contains("normalized_name", F.lit(parts[0])))
     if only:
         found = found.where((F.col("country_code") == "") | (F.col("country_code") == only))
@@ -192,9 +187,9 @@ def geocode(queries: DataFrame, places: DataFrame) -> DataFrame:
     """queries (query_id, query) with status and place_id: `name, qualifier, ...` names a place whose
     normalised name is equal and whose name, address and country contain every qualifier. One place:
     resolved; several: ambiguous; none: missing."""
-    q = queries.withColumn("_parts", F.transform(F.split(ascii_key("query"), ","), lambda x: F.trim(x)))
-    q = q.withColumn("normalized_name", F.element_at("_parts", 1)).withColumn("_rest", F.filter(F.slice("_parts", 2, 99), lambda x: x != ""))
-    label = ascii_key(F.concat_ws(" ", "name", "address", "country_code"))
+    q = queries.withColumn("_parts", F.transform(F.split(text_key("query"), ","), lambda x: F.trim(x)))
+    q = q.withColumn("normalized_name", F.element_at("_parts", 1)).withColumn("_rest", F.filter(F.slice("_parts", F.lit(2), F.size("_parts")), lambda x: x != ""))
+    label = text_key(F.concat_ws(" ", "name", "address", "country_code"))
     hit = q.join(places.withColumn("_label", label).select("place_id", "normalized_name", "_label"), "normalized_name").where(F.forall("_rest", lambda x: F.contains(F.col("_label"), x)))
     found = hit.groupBy("query_id").agg(F.count("*").alias("n"), F.min("place_id").alias("place_id"))
     out = queries.select("query_id").join(found, "query_id", "left")
@@ -244,5 +239,3 @@ def public_places(places: DataFrame) -> DataFrame:
     osm = F.coalesce(F.nullif(v("$.addresstype"), F.lit("")), kind, F.lit(""))
     place_type = F.when(F.coalesce(tagged, F.lit("")) != "", tagged).when(F.col("provider") == "openstreetmap", osm).otherwise(other)
     return places.withColumn("place_type", F.substring(place_type, 1, 80)).drop("payload")
-
-

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.places import canonical_places, stored
+from ..operators.places import DEDUP_METRES, canonical_places, near_pairs
+from ..scratch import stored
 
 _COLUMNS = ["place_id", "name", "normalized_name", "lon", "lat", "created_at"]
 
 
 class PlaceStore:
-    """Canonical places and aliases as Parquet folders, a version for each batch: a batch that is run again
-    writes its own version anew, from the version before, so that the result is the same."""
+    """Canonical places and aliases as Parquet folders, to which every batch adds a version of its own new
+    rows; what is stored isn't written again. A batch that is run again writes its own version anew, from the
+    versions before, so that the result is the same."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -21,7 +23,8 @@ class PlaceStore:
     def _read(self, what: str, version: int, schema: str) -> DataFrame:
         if version < 0:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{what}/version={version}")
+        rows = self.spark.read.schema(f"{schema}, version int").parquet(f"{self.path}/{what}")
+        return rows.where(F.col("version") <= version).drop("version")
 
     def places(self, version: int) -> DataFrame:
         return self._read("places", version, "place_id string, name string, normalized_name string, lon double, lat double, created_at long")
@@ -32,17 +35,17 @@ class PlaceStore:
     def add(self, batch: DataFrame, batch_id: int) -> None:
         """Known ids and aliases stay as they are; new places become aliases of the first canonical place
         that says the same nearby, or canonical ones. The order is (created_at, place_id); stored places come
-        before new ones."""
+        before new ones. Only the stored places in the cells of new ones are looked at."""
         old, aliases = self.places(batch_id - 1), self.aliases(batch_id - 1)
         known = old.select("place_id").unionByName(aliases.select("place_id"))
         first = batch.groupBy("place_id").agg(F.min_by(F.struct(*_COLUMNS), "created_at").alias("r")).select("r.*")
         new = stored(first.join(known, "place_id", "left_anti"))
-        both = old.withColumn("created_at", F.col("created_at") - F.lit(1 << 60)).unionByName(new.select(old.columns))
-        found = canonical_places(both).join(new.select("place_id"), "place_id", "left_semi")
-        found = stored(found)
+        near = near_pairs(old.select(*_COLUMNS), new.select("lon", "lat"), DEDUP_METRES).select("l.*").dropDuplicates(["place_id"])
+        both = near.withColumn("created_at", F.col("created_at") - F.lit(1 << 60)).unionByName(new.select(near.columns))
+        found = stored(canonical_places(both).join(new.select("place_id"), "place_id", "left_semi"))
         kept = new.join(found.where("place_id = canonical_id").select("place_id"), "place_id", "left_semi").select(old.columns)
-        old.unionByName(kept).write.mode("overwrite").parquet(f"{self.path}/places/version={batch_id}")
-        aliases.unionByName(found.where("place_id <> canonical_id")).write.mode("overwrite").parquet(f"{self.path}/aliases/version={batch_id}")
+        kept.write.mode("overwrite").parquet(f"{self.path}/places/version={batch_id}")
+        found.where("place_id <> canonical_id").write.mode("overwrite").parquet(f"{self.path}/aliases/version={batch_id}")
 
 
 def ingest(places: DataFrame, store: PlaceStore, checkpoint: str) -> StreamingQuery:
