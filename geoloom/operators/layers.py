@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import longitude_near, normal_time, strict_number, wrap_longitude
+from ..scratch import stored
 
 # Fields
 
@@ -122,16 +123,51 @@ def contained(inner: tuple[Column, Column, Column, Column], outer: tuple[float,
 # Statistics
 
 
+#: A range of so many distinct values is ordered by one task; larger ones are cut into so many parts first.
+RANGE_VALUES, RANGE_PARTS = 50_000, 200
+
+
+def values_of_ranks(rows: DataFrame, value: Column, *ranks: int) -> list[float]:
+    """The values of the given ranks (from 1, in rising order) among those that aren't null. Values are
+    counted in ranges, and in ranges of the one that a rank falls into, until few distinct ones are left, so
+    that no task orders many, however they are spread."""
+    counts = stored(rows.select(value.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("c")))
+    out = []
+    for rank in ranks:
+        part, before = counts, 0
+        while True:
+            low, high, n = part.agg(F.min("v"), F.max("v"), F.count("*")).first()
+            width = high / RANGE_PARTS - low / RANGE_PARTS
+            if n <= RANGE_VALUES or not width > 0:
+                break
+            place = F.least(F.lit(RANGE_PARTS - 1), F.floor(F.col("v") / width - low / width)).cast("int")
+            sizes = {r[0]: r[1] for r in part.groupBy(place.alias("p")).agg(F.sum("c")).collect()}
+            for chosen in sorted(sizes):
+                if before + sizes[chosen] >= rank:
+                    break
+                before += sizes[chosen]
+            part = part.where(place == chosen)
+        for v, c in sorted((r["v"], r["c"]) for r in part.collect()):
+            before += c
+            if before >= rank:
+                out.append(v)
+                break
+    return out
+
+
 def summary(features: DataFrame, field: str) -> DataFrame:
     """One row: count, valid_count, min, median, max, mean, sum. Sums are of values divided by the largest
     magnitude, so that they overflow only if the result does; an overflowing sum is null."""
     v = F.col(field).cast("double")
     v = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
-    scale = F.broadcast(features.agg(F.coalesce(F.nullif(F.max(F.abs(v)), F.lit(0.0)), F.lit(1.0)).alias("_scale")))
-    scaled = features.crossJoin(scale).select(v.alias("_v"), "_scale")
-    total = F.sum(F.col("_v") / F.col("_scale"))
-    out = scaled.agg(F.count("*").alias("count"), F.count("_v").alias("valid_count"), F.min("_v").alias("min"), F.median("_v").alias("median"), F.max("_v").alias("max"), (total / F.count("_v") * F.max("_scale")).alias("mean"), (total * F.max("_scale")).alias("sum"))
-    return out.withColumn("sum", F.when(F.abs("sum") < float("inf"), F.col("sum")))
+    ends = features.agg(F.max(F.abs(v)), F.count(v)).first()
+    scale, n = ends[0] or 1.0, ends[1]
+    middle = values_of_ranks(features, v, *sorted({(n + 1) // 2, n // 2 + 1})) if n else []
+    median = F.lit(sum(m / len(middle) for m in middle) if middle else None).cast("double")
+    total = F.sum(F.col("_v") / scale)
+    out = features.select(v.alias("_v")).agg(F.count("*").alias("count"), F.count("_v").alias("valid_count"), F.min("_v").alias("min"), F.max("_v").alias("max"), (total / F.count("_v") * scale).alias("mean"), (total * scale).alias("sum"))
+    out = out.withColumn("sum", F.when(F.abs("sum") < float("inf"), F.col("sum")))
+    return out.select("count", "valid_count", "min", median.alias("median"), "max", "mean", "sum")
 
 
 def histogram(features: DataFrame, field: str, most: int = 10) -> DataFrame:
@@ -154,26 +190,11 @@ def frequencies(features: DataFrame, field: str) -> DataFrame:
 
 
 def hotspots(features: DataFrame, field: str, share: float = 0.9) -> DataFrame:
-    """Rows at or above the value of rank floor((n - 1) * share) from below. The rank is found by counts of
-    values in ranges, then of the distinct values of one range: no task sorts all rows."""
+    """Rows at or above the value of rank floor((n - 1) * share) from below."""
     v = F.col(field).cast("double")
     rows = features.where(v.isNotNull())
-    counts = rows.groupBy(v.alias("v")).agg(F.count("*").alias("c"))
     n = rows.count()
-    if not n:
-        return rows
-    rank, parts = int((n - 1) * share) + 1, 200
-    ends = counts.agg(F.min("v"), F.max("v")).first()
-    width = (ends[1] - ends[0]) / parts or 1.0
-    place = F.least(F.lit(parts - 1), F.floor((F.col("v") - ends[0]) / width)).cast("int")
-    sizes, before, chosen = {r[0]: r[1] for r in counts.groupBy(place.alias("p")).agg(F.sum("c")).collect()}, 0, 0
-    for chosen in sorted(sizes):
-        if before + sizes[chosen] >= rank:
-            break
-        before += sizes[chosen]
-    upto = F.sum("c").over(Window.partitionBy("p").orderBy("v"))
-    least = counts.withColumn("p", place).where(F.col("p") == chosen).withColumn("upto", upto).where(F.col("upto") + before >= rank).agg(F.min("v").alias("_least"))
-    return rows.crossJoin(F.broadcast(least)).where(v >= F.col("_least")).drop("_least")
+    return rows.where(v >= values_of_ranks(rows, v, int((n - 1) * share) + 1)[0]) if n else rows
 
 
 def average_duplicates(points: DataFrame, field: str) -> DataFrame:
@@ -187,8 +208,9 @@ def average_duplicates(points: DataFrame, field: str) -> DataFrame:
 def extent(arcs: DataFrame) -> DataFrame:
     """One row (west, south, east, north) of rows (a, b, lat): segments from longitude a to b the short way.
     The longitudes are the complement of the largest gap between arcs, so that a layer across the
-    antimeridian stays narrow. Arcs are merged by hundredths of a degree first; what one task orders is
-    36 000 rows at most."""
+    antimeridian stays narrow. Arcs are merged by millionths of a degree (about a tenth of a metre, below
+    which gaps don't count), those within hundredths, and these with what reaches them from the west: what one
+    task orders is 36 001 rows at most."""
     d = F.col("b") - F.col("a")
     end = F.col("a") + F.when(F.abs(d) == 360, d).when(d > 180, d - 360).when(d < -180, d + 360).otherwise(d)
     length = F.abs(end - F.col("a"))
@@ -197,23 +219,15 @@ def extent(arcs: DataFrame) -> DataFrame:
     pieces = pieces.when(start + length <= 360, F.array(F.struct(start.alias("s"), (start + length).alias("e"))))
     pieces = pieces.otherwise(F.array(F.struct(start.alias("s"), F.lit(360.0).alias("e")), F.struct(F.lit(0.0).alias("s"), (start + length - 360).alias("e"))))
     spans = arcs.select(F.explode(pieces).alias("p"), "lat").select("p.s", "p.e", "lat")
-    # Within a hundredth of a degree of starts, gaps are bounded by the cell: keep starts and furthest end,
-    # and the largest gap inside the cell by its sorted runs.
-    cell = F.floor(F.col("s") * 100).alias("cell")
-    order = Window.partitionBy("cell").orderBy("s", "e")
-    inner = spans.select(cell, "s", "e").distinct()
-    inner = inner.withColumn("reach", F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("run", F.sum(F.when(F.col("s") > F.col("reach"), 1).otherwise(0)).over(order))
-    runs = inner.groupBy("cell", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    cells = runs.groupBy("cell").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max(F.struct("e", "s")).alias("_last"))
-    # Gaps inside a cell are below a hundredth of a degree: they matter only if there are no others.
-    many = cells.limit(2).count() > 1
-    merged = (cells if many else runs).select("s", "e").withColumn("_one", F.lit(1))
-    whole = Window.partitionBy("_one").orderBy("s", "e")
-    joined = merged.withColumn("reach", F.max("e").over(whole.rowsBetween(Window.unboundedPreceding, -1)))
-    joined = joined.withColumn("run", F.sum(F.when(F.col("s") > F.col("reach"), 1).otherwise(0)).over(whole)).groupBy("_one", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    first = F.first("s").over(Window.partitionBy("_one").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    gaps = joined.select("s", "e", F.coalesce(F.lead("s").over(Window.partitionBy("_one").orderBy("s")), first + 360).alias("next"))
-    best = gaps.select((F.col("next") - F.col("e")).alias("gap"), "e", "next").agg(F.max(F.struct("gap", (-F.col("e")).alias("k"), "next", "e")).alias("g"))
+    fine = spans.groupBy(F.floor(F.col("s") * 1e6).alias("f")).agg(F.min("s").alias("s"), F.max("e").alias("e")).withColumn("cell", F.floor(F.col("f") / 10_000))
+    fine = stored(fine)
+    coarse = fine.groupBy("cell").agg(F.max("e").alias("e")).withColumn("_one", F.lit(1))
+    west = F.broadcast(coarse.select("cell", F.max("e").over(Window.partitionBy("_one").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)).alias("before")))
+    within = Window.partitionBy("cell").orderBy("f").rowsBetween(Window.unboundedPreceding, -1)
+    reached = fine.join(west, "cell").select("s", F.greatest("before", F.max("e").over(within)).alias("e"))
+    around = fine.agg(F.max("e").alias("e"), (F.min("s") + 360).alias("s")).where("s IS NOT NULL")
+    gaps = reached.where("s > e").unionByName(around.select("s", "e")).select((F.col("s") - F.col("e")).alias("gap"), "e", F.col("s").alias("next"))
+    best = gaps.agg(F.max(F.struct("gap", (-F.col("e")).alias("k"), "next", "e")).alias("g"))
     lats = arcs.agg(F.min("lat").alias("south"), F.max("lat").alias("north"))
     wide = F.col("g.gap") <= 1e-10
     return best.crossJoin(lats).where("g IS NOT NULL").select(F.when(wide, -180.0).otherwise(wrap_longitude(F.col("g.next") - 180)).alias("west"), "south", F.when(wide, 180.0).otherwise(wrap_longitude(F.col("g.e") - 180)).alias("east"), "north")
@@ -256,15 +270,19 @@ def weights(features: DataFrame, field: str, metres: bool = False) -> DataFrame:
 
 
 def category_codes(features: DataFrame, field: str, palette: int) -> DataFrame:
-    """(value, code): distinct values of the whole layer in text order, numbered modulo the palette. Codes
-    of very many values are numbered range by range rather than by one task."""
+    """(value, code): distinct values of the whole layer, of any type, in the order of their JSON text,
+    numbered modulo the palette. Values are dealt to tasks by ranges of that text, and numbered from the number
+    of values in the ranges before."""
     values = features.where(F.col(field).isNotNull()).select(F.col(field).alias("value")).distinct()
-    text = F.to_json(F.struct(F.col("value").alias("v")))
-    head = F.substring(text, 7, 2)
-    sizes = values.groupBy(head.alias("head")).agg(F.count("*").alias("n")).withColumn("_one", F.lit(1))
-    offsets = sizes.select("head", (F.sum("n").over(Window.partitionBy("_one").orderBy("head")) - F.col("n")).alias("before"))
-    ranked = values.withColumn("head", head).withColumn("k", F.row_number().over(Window.partitionBy("head").orderBy(text)))
-    return ranked.join(offsets, "head").select("value", F.pmod(F.col("before") + F.col("k") - 1, F.lit(palette)).cast("int").alias("code"))
+    whole = F.to_json(F.struct(F.col("value").alias("v")))
+    text = F.substr(whole, F.lit(6), F.char_length(whole) - 6)
+    dealt = values.withColumn("_text", text).repartitionByRange("_text").sortWithinPartitions("_text")
+    # The number of a row in its range, and the range, as they are written: they stay.
+    ranked = stored(dealt.select("value", F.monotonically_increasing_id().alias("_k")))
+    ranked = ranked.select("value", F.shiftright("_k", 33).alias("_range"), F.col("_k").bitwiseAND(F.lit((1 << 33) - 1)).alias("_k"))
+    sizes = ranked.groupBy("_range").agg(F.count("*").alias("n")).withColumn("_one", F.lit(1))
+    before = sizes.select("_range", (F.sum("n").over(Window.partitionBy("_one").orderBy("_range")) - F.col("n")).alias("_before"))
+    return ranked.join(F.broadcast(before), "_range").select("value", F.pmod(F.col("_before") + F.col("_k"), F.lit(palette)).cast("int").alias("code"))
 
 
 def inventory(features: DataFrame) -> DataFrame:

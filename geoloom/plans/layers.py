@@ -94,7 +94,10 @@ SELECT d AS dataset_id, count(*) AS feature_count, any_value(t) AS geometry_type
 
 
 def win7_category_codes(spark, sf):
-    return op.category_codes(table(spark, sf, "part"), "p_brand", 7)
+    """Codes of texts, of numbers, and of true and false, each in the order of their JSON."""
+    p = table(spark, sf, "part").select("p_brand", "p_size", (F.col("p_partkey") % 2 == 0).alias("even"))
+    codes = [op.category_codes(p, c, 7).select(F.lit(c).alias("field"), F.col("value").cast("string").alias("value"), "code") for c in p.columns]
+    return codes[0].unionByName(codes[1]).unionByName(codes[2])
 
 
 def win8_weights(spark, sf):
@@ -175,7 +178,7 @@ SELECT b.bin, round(lo * (1 - b.bin / bins) + hi * (b.bin / bins), 6) AS low, ro
     "fil6_region_and_view": (fil6_region_and_view, f"SELECT feature_id FROM ({OBS}) WHERE lon BETWEEN 77.10000000000002 AND 77.15 AND lat BETWEEN 28.52 AND 28.58"),
     "fil9_contained": (fil9_contained, f"SELECT feature_id, lat - 0.01 >= 28.51 AND lat + 0.01 <= 28.62 AND lon - 0.02 >= 77.02 AND lon + 0.02 <= 77.18 AS inside FROM ({OBS})"),
     "fil11_valid_coordinate": (fil11_valid_coordinate, "SELECT c_custkey AS feature_id, c_custkey % 5 > 2 AS valid FROM customer"),
-    "win7_category_codes": (win7_category_codes, "SELECT p_brand AS value, ((dense_rank() OVER (ORDER BY p_brand) - 1) % 7)::INT AS code FROM (SELECT DISTINCT p_brand FROM part)"),
+    "win7_category_codes": (win7_category_codes, "WITH v AS (SELECT DISTINCT 'p_brand' AS field, p_brand AS value FROM part UNION ALL SELECT DISTINCT 'p_size', p_size::VARCHAR FROM part UNION ALL SELECT DISTINCT 'even', (p_partkey % 2 = 0)::VARCHAR FROM part) SELECT field, value, ((dense_rank() OVER (PARTITION BY field ORDER BY value) - 1) % 7)::INT AS code FROM v"),
     "win8_weights": (win8_weights, "WITH e AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer) SELECT c_custkey AS feature_id, round((c_acctbal - lo) / (hi - lo), 6) AS weight, round(CASE WHEN lo >= 0 THEN c_acctbal / hi ELSE (c_acctbal - lo) / (hi - lo) END, 6) AS heat_weight, round((c_acctbal - lo) / (hi - lo) * 1500, 3) AS height FROM customer, e"),
     "set4_compare": (set4_compare, "SELECT c_custkey AS feature_id, CASE WHEN c_acctbal >= 6000 THEN 'b' WHEN c_acctbal <= 2000 THEN 'a' ELSE 'both' END AS side, CASE WHEN c_acctbal > 2000 AND c_acctbal < 6000 THEN 1.0::DOUBLE END AS delta FROM customer"),
     "pipe3_heatmap": (pipe3_heatmap, "WITH f AS (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_acctbal >= 0), e AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM f) SELECT c_custkey AS feature_id, c_mktsegment AS category, round(c_acctbal / hi, 6) AS heat_weight, round((c_acctbal - lo) / (hi - lo) * 1500, 3) AS height FROM f, e"),
