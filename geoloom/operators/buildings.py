@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import LATTICE_X, LATTICE_Y, NEIGHBOUR_RADIUS, above_base, ascii_key, distance, height_prior, known_height
-from .places import cell_width, stored
+from ..scratch import stored
+from .places import cell_width
 
 RANGE_LOW, RANGE_HIGH, MOST_EXAMPLES = 2.4, 4.0, 256
 VECTOR_WEIGHTS = (0.7, 0.35, 2.4, 0.5, 0.8, 0.65)
@@ -73,6 +74,20 @@ def neighbours(left: DataFrame, right: DataFrame, reference_lat: float) -> DataF
     return pairs.where(F.col("metres") <= NEIGHBOUR_RADIUS).select("tile", "l", "r", "metres")
 
 
+def neighbour_pairs(rows: DataFrame, reference_lat: float) -> DataFrame:
+    """neighbours of a table with itself, each pair once (l.id < r.id): a cell meets itself and four of the
+    cells around it, so that no pair is made twice and thrown away."""
+    c = _cells(rows, reference_lat)
+    one = lambda s: F.struct(*(F.col(x) for x in rows.columns)).alias(s)
+    a = c.select("tile", "cx", "cy", one("l"))
+    ahead = ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))
+    around = F.explode(F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy"), F.lit(int((i, j) == (0, 0))).alias("own")) for i, j in ahead)))
+    b = c.select("tile", one("r"), around.alias("c")).select("tile", "c.cx", "c.cy", "c.own", "r")
+    met = a.join(b, ["tile", "cx", "cy"]).where("own = 0 OR l.id < r.id").withColumn("metres", distance("l.lon", "l.lat", "r.lon", "r.lat"))
+    turned = F.col("l.id") > F.col("r.id")
+    return met.where(F.col("metres") <= NEIGHBOUR_RADIUS).select("tile", F.when(turned, F.col("r")).otherwise(F.col("l")).alias("l"), F.when(turned, F.col("l")).otherwise(F.col("r")).alias("r"), "metres")
+
+
 def matched_reference(targets: DataFrame, references: DataFrame) -> DataFrame:
     """(tile, id, height, source) of each target's best reference: area ratio of 0.45, distance within
     40 % of the side (8 to 30 m), score = distance share + area difference of at most 0.75; ties by input
@@ -109,16 +124,15 @@ def range_heights(targets: DataFrame, known: DataFrame, reference_lat: float) ->
     return joined.select("tile", "id", F.coalesce(F.when(F.col("cohort").isNotNull(), clamped), (F.col("lo") + F.col("hi")) / 2 * 3.1).alias("range_height"), F.when(F.col("cohort").isNotNull(), "hbet-range-neighbor").otherwise("hbet-range-midpoint").alias("range_source"))
 
 
-def vectors(entries: DataFrame, known: DataFrame, everything: DataFrame, center: tuple[float, float], exclude_self: bool) -> DataFrame:
-    """entries with v1..v6 and prior: log area, shape, median labelled neighbour height, log distance to the
-    centre, log number of neighbours, log prior."""
-    near = neighbours(entries.select("tile", "id", "lon", "lat"), known.select("tile", "id", "lon", "lat", "height"), center[1])
-    if exclude_self:
-        near = near.where("l.id <> r.id")
-    medians = near.groupBy("tile", F.col("l.id").alias("id")).agg(F.median("r.height").alias("near_height"))
-    crowd = neighbours(entries.select("tile", "id", "lon", "lat"), everything.select("tile", "id", "lon", "lat"), center[1]).groupBy("tile", F.col("l.id").alias("id")).agg(F.count("*").alias("near_count"))
+def vectors(entries: DataFrame, everything: DataFrame, center: tuple[float, float]) -> DataFrame:
+    """entries with v1..v6 and prior: log area, shape, median height of the labelled neighbours but for
+    itself, log distance to the centre, log number of neighbours, log prior. Neighbours are met once; both
+    numbers are aggregates of them. everything has a height where one is known."""
+    near = neighbours(entries.select("tile", "id", "lon", "lat"), everything.select("tile", "id", "lon", "lat", "height"), center[1])
+    other = F.when(F.col("l.id") != F.col("r.id"), F.col("r.height"))
+    around = near.groupBy("tile", F.col("l.id").alias("id")).agg(F.median(other).alias("near_height"), F.count("*").alias("near_count"))
     kind = F.when(F.col("building_type") == "", "unknown").otherwise(F.col("building_type"))
-    e = entries.join(medians, ["tile", "id"], "left").join(crowd, ["tile", "id"], "left").withColumn("prior", height_prior(kind, "area"))
+    e = entries.join(around, ["tile", "id"], "left").withColumn("prior", height_prior(kind, "area"))
     return e.withColumns({"v1": F.log1p("area"), "v2": F.col("perimeter") / F.sqrt("area"), "v3": F.coalesce("near_height", F.lit(0.0)), "v4": F.log1p(distance("lon", "lat", F.lit(center[0]), F.lit(center[1]))), "v5": F.log1p(F.coalesce("near_count", F.lit(0))), "v6": F.log1p("prior")})
 
 
@@ -132,20 +146,23 @@ def fitted_models(examples: DataFrame) -> DataFrame:
 
 def predicted(targets: DataFrame, examples: DataFrame) -> DataFrame:
     """(tile, id, estimate, sample_size): weighted mean of the k nearest of at most 256 examples per tile,
-    blended with the prior. Targets of a tile meet its model only; a model has at most 256 rows."""
-    models = fitted_models(examples)
+    blended with the prior. A tile's model is one row, with its examples as an array; a target meets that row
+    and measures the examples where it is, so that nothing is shuffled per pair."""
     order = Window.partitionBy("tile").orderBy("source_id", "id")
-    numbered = examples.join(models, "tile").withColumn("_i", F.row_number().over(order) - 1).where("_i % stride = 0")
     kind = F.lower(F.when(F.col("building_type") == "", "unknown").otherwise(F.col("building_type")))
-    kept = numbered.select("tile", "k", "sample_size", *(f"s{i}" for i in range(1, 7)), *(F.col(f"v{i}").alias(f"e{i}") for i in range(1, 7)), F.col("height").alias("e_height"), kind.alias("e_type"))
-    squared = F.when(kind == F.col("e_type"), 0.0).otherwise(TYPE_PENALTY)
-    for i, w in enumerate(VECTOR_WEIGHTS, 1):
-        d = (F.col(f"v{i}") - F.col(f"e{i}")) / F.col(f"s{i}")
-        squared = squared + w * d * d
-    pairs = targets.join(kept, "tile").select("tile", "id", "prior", "k", "sample_size", F.sqrt(squared).alias("d"), "e_height")
-    # At most 256 pairs a target: the k nearest come from one sorted array, without a window over the tile.
-    near = pairs.groupBy("tile", "id").agg(F.first("prior").alias("prior"), F.first("k").alias("k"), F.first("sample_size").alias("sample_size"), F.array_sort(F.collect_list(F.struct("d", "e_height"))).alias("all"))
-    near = near.withColumn("near", F.slice("all", F.lit(1), F.col("k")))
+    numbered = examples.join(fitted_models(examples), "tile").withColumn("_i", F.row_number().over(order) - 1).where("_i % stride = 0")
+    kept = F.collect_list(F.struct(*(F.col(f"v{i}") for i in range(1, 7)), F.col("height"), kind.alias("type")))
+    models = numbered.groupBy("tile").agg(F.first("k").alias("k"), F.first("sample_size").alias("sample_size"), *(F.first(f"s{i}").alias(f"s{i}") for i in range(1, 7)), kept.alias("examples"))
+    met = targets.withColumn("_kind", kind).select("tile", "id", "prior", "_kind", *(f"v{i}" for i in range(1, 7))).join(models, "tile")
+
+    def measured(x: Column) -> Column:
+        squared = F.when(F.col("_kind") == x["type"], 0.0).otherwise(TYPE_PENALTY)
+        for i, w in enumerate(VECTOR_WEIGHTS, 1):
+            d = (F.col(f"v{i}") - x[f"v{i}"]) / F.col(f"s{i}")
+            squared = squared + w * d * d
+        return F.struct(F.sqrt(squared).alias("d"), x["height"].alias("e_height"))
+
+    near = met.withColumn("near", F.slice(F.array_sort(F.transform("examples", measured)), F.lit(1), F.col("k")))
     w = lambda x: 1 / F.pow(F.greatest(x["d"], F.lit(0.05)), 2)
     total = F.aggregate("near", F.lit(0.0), lambda acc, x: acc + w(x))
     weighted = F.aggregate("near", F.lit(0.0), lambda acc, x: acc + x["e_height"] * w(x))
@@ -166,8 +183,8 @@ def inferred_heights(features: DataFrame, center: tuple[float, float]) -> DataFr
     references = known.where("calibration")
     matched = matched_reference(todo, references)
     ranged = range_heights(todo, known, center[1])
-    rest = stored(vectors(todo, known, e, center, False))
-    examples = stored(vectors(known, known, e, center, True))
+    every = stored(vectors(e.where("height IS NOT NULL OR NOT calibration"), e, center))
+    rest, examples = every.where("height IS NULL"), every.where("height IS NOT NULL")
     modelled = predicted(rest, examples)
     joined = rest.join(matched, ["tile", "id"], "left").join(ranged, ["tile", "id"], "left").join(modelled, ["tile", "id"], "left")
     plain = F.when(F.col("v3") != 0, F.col("v3") * 0.65 + F.col("prior") * 0.35).otherwise(F.col("prior"))

@@ -59,7 +59,7 @@ SELECT source_id, round(greatest(h, min_height + 0.5), 1) AS height, height_sour
 
 def join1_neighbours(spark, sf):
     e = entries(spark, sf).select("tile", "id", "lon", "lat")
-    return op.neighbours(e, e, CENTER[1]).where("l.id < r.id").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.round("metres", 4).alias("metres"))
+    return op.neighbour_pairs(e, CENTER[1]).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.round("metres", 4).alias("metres"))
 
 
 def _known(spark, sf):
@@ -82,12 +82,12 @@ def join3_cohort(spark, sf):
 def _examples(spark, sf):
     k = _known(spark, sf)
     known = k.where("height IS NOT NULL")
-    return k, known, op.vectors(known, known, k, CENTER, True)
+    return k, known, op.vectors(known, k, CENTER)
 
 
 def join4_knn(spark, sf):
-    k, known, examples = _examples(spark, sf)
-    t = op.vectors(k.where("height IS NULL AND NOT calibration"), known, k, CENTER, False)
+    k, _, examples = _examples(spark, sf)
+    t = op.vectors(k.where("height IS NULL AND NOT calibration"), k, CENTER)
     return op.predicted(t, op.stored(examples)).select("id", F.round("estimate", 4).alias("estimate"), "sample_size")
 
 
