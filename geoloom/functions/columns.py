@@ -6,7 +6,9 @@ All but `text_key` are built from Spark's own functions, so they stay in generat
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column
@@ -130,6 +132,25 @@ def text_key(text) -> Column:
     return F.coalesce(other, ascii_form)
 
 
+def plain_terms(text: str) -> list[str]:
+    """The distinct words of a text: unquoted, compatibility forms, in one case, without accents."""
+    plain = unicodedata.normalize("NFKD", unquote(text)).casefold()
+    plain = "".join(c for c in plain if not unicodedata.combining(c))
+    return sorted(set(re.findall(r"[^\W_]+", plain)))
+
+
+def terms(text) -> Column:
+    """plain_terms of each text (array<string>). ASCII texts without a percent sign need no Python."""
+    text = _c(text)
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else plain_terms(v))
+
+    run.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    other = F.pandas_udf(run, "array<string>")(F.when(~F.regexp_like(text, F.lit(r"^[\p{ASCII}&&[^%]]*$")), text))
+    return F.coalesce(other, F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+)"), F.lit(1))))
+
+
 def ascii_key(text) -> Column:
     """text_key for columns that are known to be ASCII."""
     return F.trim(F.regexp_replace(F.lower(_c(text)), r"\s+", " "))
@@ -265,9 +286,3 @@ def above_base(height, min_height) -> tuple[Column, Column]:
     """(height, whether the base raised it)"""
     least = _c(min_height) + 0.5
     return F.greatest(_c(height), least), _c(height) < least
-
-
-def lattice(lon, lat, reference_lat: float) -> tuple[Column, Column]:
-    """The cell of the neighbour lattice."""
-    scale = LATTICE_X * max(0.2, math.cos(math.radians(reference_lat)))
-    return F.floor(_c(lon) * scale / NEIGHBOUR_RADIUS), F.floor(_c(lat) * LATTICE_Y / NEIGHBOUR_RADIUS)

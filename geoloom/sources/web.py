@@ -5,6 +5,7 @@ from __future__ import annotations
 import ipaddress
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from urllib.parse import parse_qsl, urljoin, urlsplit, urlunsplit
 
@@ -12,10 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# What isn't visible text, and how much of a page is kept.
+from ..functions.columns import plain_terms, terms, text_key
+
+# Fixed values that results depend on: what isn't visible text, words and hosts that speak of data, and
+# sentences and titles that say nothing.
 HIDDEN_TAGS = frozenset("script style nav noscript template iframe object embed svg footer aside".split())
 HIDDEN_ROLES = frozenset(("navigation", "banner", "contentinfo"))
-MOST_TITLE, MOST_TABLES, MOST_ROWS, MOST_CELLS, MOST_LINKS, MOST_URL = 160, 6, 100, 30, 40, 2048
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SECRET_KEYS = re.compile(r"(?:^|[_-])(?:api[_-]?key|key|token|secret|password|auth(?:orization)?|signature|sig)$", re.I)
 STOPWORDS = frozenset("a an and are as at be by for from in is it of on or the to with".split())
@@ -32,9 +35,21 @@ BOILERPLATE = (
 PLACEHOLDERS = ("untitled", "just a moment", "please wait", "access denied", "attention required", "captcha", "security check", "human verification", "robot check")
 
 
-def clean_url(url: str | None, base: str = "") -> str | None:
+@dataclass(frozen=True)
+class Limits:
+    """How much of a page is kept: characters of titles and URLs, tables, their rows and cells, links."""
+
+    title: int = 160
+    tables: int = 6
+    rows: int = 100
+    cells: int = 30
+    links: int = 40
+    url: int = 2048
+
+
+def clean_url(url: str | None, base: str = "", most: int = Limits.url) -> str | None:
     """The canonical form of an admissible URL, else None: http or https, a public host in lower case, no
-    user, no secrets in the query, no fragment, at most MOST_URL characters."""
+    user, no secrets in the query, no fragment, at most so many characters."""
     try:
         parts = urlsplit(urljoin(base, (url or "").strip()))
         host = (parts.hostname or "").encode("idna").decode() if parts.hostname else ""
@@ -53,12 +68,13 @@ def clean_url(url: str | None, base: str = "") -> str | None:
         return None
     default = {"http": 80, "https": 443}[parts.scheme]
     out = urlunsplit((parts.scheme, host + (f":{port}" if port and port != default else ""), parts.path or "/", parts.query, ""))
-    return out if len(out) <= MOST_URL else None
+    return out if len(out) <= most else None
 
 
 class _Page(HTMLParser):
-    def __init__(self, url: str):
+    def __init__(self, url: str, limits: Limits):
         super().__init__(convert_charrefs=True)
+        self.limits = limits
         self.url, self.hidden, self.stack = url, 0, []
         self.title, self.text, self.links, self.tables = [], [], {}, []
         self.in_title, self.table, self.row, self.cell, self.link = False, None, None, None, None
@@ -75,17 +91,17 @@ class _Page(HTMLParser):
             return
         if tag in ("p", "br", "div", "li", "tr", "h1", "h2", "h3", "h4", "table"):
             self.text.append("\n")
-        if tag == "a" and len(self.links) < MOST_LINKS:
-            self.link = (clean_url(a.get("href"), self.url), [])
-        if tag == "table" and len(self.tables) < MOST_TABLES:
+        if tag == "a" and len(self.links) < self.limits.links:
+            self.link = (clean_url(a.get("href"), self.url, self.limits.url), [])
+        if tag == "table" and len(self.tables) < self.limits.tables:
             self.table = []
         elif tag == "tr":  # cells and rows may be left open
             self._end_cell()
             self._end_row()
-            self.row = [] if self.table is not None and len(self.table) < MOST_ROWS else None
+            self.row = [] if self.table is not None and len(self.table) < self.limits.rows else None
         elif tag in ("td", "th"):
             self._end_cell()
-            self.cell = (tag, []) if self.row is not None and len(self.row) < MOST_CELLS else None
+            self.cell = (tag, []) if self.row is not None and len(self.row) < self.limits.cells else None
 
     def _end_cell(self) -> None:
         if self.cell is not None and self.row is not None:
@@ -117,7 +133,7 @@ class _Page(HTMLParser):
         if tag == "a" and self.link:
             url, words = self.link
             if url and url not in self.links:
-                self.links[url] = " ".join("".join(words).split())[:MOST_TITLE]
+                self.links[url] = " ".join("".join(words).split())[:self.limits.title]
             self.link = None
 
     def handle_data(self, data: str) -> None:
@@ -131,8 +147,8 @@ class _Page(HTMLParser):
                 self.link[1].append(data)
 
 
-def read_page(url: str | None, html: str | None) -> dict:
-    page = _Page(url or "")
+def read_page(url: str | None, html: str | None, limits: Limits = Limits()) -> dict:
+    page = _Page(url or "", limits)
     page.feed(html or "")
     page.close()
     tables = []
@@ -140,21 +156,21 @@ def read_page(url: str | None, html: str | None) -> dict:
         heads = [c for _, c in rows[0]] if all(t == "th" for t, _ in rows[0]) else []
         tables.append({"headers": heads, "rows": [[c for _, c in r] for r in rows[bool(heads) :]]})
     lines = (" ".join(x.split()) for x in "".join(page.text).split("\n"))
-    return {"title": " ".join("".join(page.title).split())[:MOST_TITLE], "text": "\n".join(x for x in lines if x), "tables": tables, "links": [{"url": u, "title": t} for u, t in page.links.items()]}
+    return {"title": " ".join("".join(page.title).split())[: limits.title], "text": "\n".join(x for x in lines if x), "tables": tables, "links": [{"url": u, "title": t} for u, t in page.links.items()]}
 
 
 PAGE_SCHEMA = "page_id long, url string, title string, text string, tables array<struct<headers:array<string>,rows:array<array<string>>>>, links array<struct<url:string,title:string>>"
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, title, text, tables, links) of pages (page_id, url, html); the parser is Python's, run
-    on batches where the pages are."""
+def extract_pages(pages: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(page_id, url, title, text, tables, links) of pages (page_id, url, html), within limits; the parser is
+    Python's, run on batches where the pages are."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
-                yield pd.DataFrame([{"page_id": k, "url": u, **read_page(u, h)} for k, u, h in part.itertuples(index=False)], columns=["page_id", "url", "title", "text", "tables", "links"])
+                yield pd.DataFrame([{"page_id": k, "url": u, **read_page(u, h, limits)} for k, u, h in part.itertuples(index=False)], columns=["page_id", "url", "title", "text", "tables", "links"])
 
     return pages.select("page_id", "url", "html").mapInPandas(run, PAGE_SCHEMA)
 
@@ -180,23 +196,24 @@ def clean_urls(column: str | Column) -> Column:
 
 def useful_sources(sources: DataFrame) -> DataFrame:
     """sources (title, snippet, ...) without boilerplate sentences, and without rows that then say nothing."""
-    ask = F.lit(f"(?i){BOILERPLATE}")
-    parts = F.filter(F.split("snippet", r"(?<=[.!?])\s+|\n+"), lambda x: ~F.regexp_like(x, ask))
+    ask = F.lit(f"(?iU){BOILERPLATE}")
+    parts = F.filter(F.split("snippet", r"(?U)(?<=[.!?])\s+|\n+"), lambda x: ~F.regexp_like(x, ask))
     snippet = F.array_join(parts, " ")
-    bare = F.regexp_replace(F.regexp_replace(F.lower(F.trim("title")), r"\s+", " "), r"^[ .!?:]+|[ .!?:]+$", "")
-    useful = ~bare.isin(*PLACEHOLDERS) & ~F.regexp_like("title", F.lit(f"(?i)^(?:{BOILERPLATE})"))
+    bare = F.regexp_replace(text_key("title"), r"^[ .!?:]+|[ .!?:]+$", "")
+    useful = ~bare.isin(*PLACEHOLDERS) & ~F.regexp_like("title", F.lit(f"(?iU)^(?:{BOILERPLATE})"))
     return sources.withColumn("snippet", snippet).where(useful | F.regexp_like("snippet", F.lit(r"[\p{L}\p{N}]")))
 
 
 def rank_sources(sources: DataFrame, query: str, most: int = 8) -> DataFrame:
     """The best of useful_sources for a query: rare query words weigh most, then words that speak of data,
     trusted hosts for questions of population, and file hints; equals keep their order (pos), and a URL
-    counts once. Words are counted over all sources by one aggregation."""
-    words = set(re.findall(r"[^\W_]+", query.lower())) - STOPWORDS
+    counts once. Words are unquoted, of any script, in one case and without accents; they are counted over all
+    sources by one aggregation."""
+    words = set(plain_terms(query)) - STOPWORDS
     real = sorted(words - DISCOVERY_WORDS)
     population = bool(words & POPULATION_WORDS)
     about_data = population or bool(words & DATA_WORDS)
-    s = useful_sources(sources).withColumn("_w", F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "title", "snippet", "url")), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))))
+    s = useful_sources(sources).withColumn("_w", terms(F.concat_ws(" ", "title", "snippet", "url")))
     counts = s.agg(F.count("*").alias("_n"), *(F.count_if(F.array_contains("_w", w)).alias(f"_df{k}") for k, w in enumerate(real)))
     s = s.crossJoin(F.broadcast(counts))
     has = lambda w: F.array_contains("_w", w)
@@ -227,5 +244,3 @@ def joined_results(*lists: DataFrame) -> DataFrame:
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     first = out.groupBy("url").agg(F.min(F.struct("list", "pos")).alias("_f"))
     return out.join(first, "url").where(F.struct("list", "pos") == F.col("_f")).drop("_f")
-
-
