@@ -91,7 +91,8 @@ def metrics(parts) -> Column:
 
 def ring_area(ring: Column) -> Column:
     """Square metres on the sphere, edges going the short way round."""
-    turn = lambda s: F.radians(F.pmod(s["b"]["lon"] - s["a"]["lon"] + 540, F.lit(360.0)) - 180)
+    way = lambda d: F.when(F.abs(d) < 180, d).otherwise(F.pmod(d + 540, F.lit(360.0)) - 180)
+    turn = lambda s: F.radians(way(s["b"]["lon"] - s["a"]["lon"]))
     total = _sum(pairs(ring), lambda s: turn(s) * (2 + F.sin(F.radians(s["a"]["lat"])) + F.sin(F.radians(s["b"]["lat"]))))
     return F.abs(total) * (EARTH_RADIUS**2 / 2)
 

@@ -11,19 +11,23 @@ from pyspark.sql import functions as F
 from ..functions.columns import wrap_longitude
 from ..functions.geometry import VERTEX, pairs, point_in_ring, ring_area, valid_vertex
 from .layers import average_duplicates, plain_extent
-from .places import stored
+from ..scratch import stored
 
 GRID, LEVELS = 16, 7
 
 
 def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """Monotone chain, counter-clockwise, without collinear points."""
+    """Monotone chain, counter-clockwise, without points that are collinear to within rounding."""
     points = sorted(set(points))
 
+    def turns_left(a: tuple, b: tuple, p: tuple) -> bool:
+        bx, by, px, py = b[0] - a[0], b[1] - a[1], p[0] - a[0], p[1] - a[1]
+        return bx * py - by * px > 3e-14 * (abs(bx) + abs(by) + abs(px) + abs(py))  # what degrees are rounded to
+
     def half(items: list) -> list:
         out: list = []
         for p in items:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+            while len(out) > 1 and not turns_left(out[-2], out[-1], p):
                 out.pop()
             out.append(p)
         return out[:-1]
@@ -133,7 +137,7 @@ def validated(polygons: DataFrame, key: str = "feature_id") -> tuple[DataFrame,
     reason = F.when(F.exists(F.flatten(rings), lambda p: ~F.coalesce(valid_vertex(p), F.lit(False))), "coordinates")
     reason = reason.when(F.exists(rings, lambda r: (F.size(r) < 4)), "vertices").when(F.exists(rings, lambda r: r[0] != F.try_element_at(r, F.lit(-1))), "open ring")
     reason = reason.when(F.exists(rings, lambda r: ring_area(r) <= 0), "no area")
-    holes_out = F.exists("parts", lambda g: F.exists(F.slice(g, 2, 10_000), lambda h: ~point_in_ring(h[0]["lon"], h[0]["lat"], g[0])))
+    holes_out = F.exists("parts", lambda g: F.exists(F.slice(g, F.lit(2), F.greatest(F.size(g), F.lit(1))), lambda h: ~point_in_ring(h[0]["lon"], h[0]["lat"], g[0])))
     simple = polygons.withColumn("reason", reason.when(holes_out, "hole outside"))
     edges = simple.where("reason IS NULL").select(key, F.posexplode(F.flatten("parts")).alias("ring", "path"))
     edges = edges.select(key, "ring", F.size("path").alias("n"), F.posexplode(pairs(F.col("path"))).alias("k", "s"))

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fn
 from ..functions import geometry as g
-from ..functions.inputs import buildings, observations, placed, table
+from ..functions.inputs import BUILDINGS, buildings, observations, placed, table
 from ..operators import surfaces as op
-from ..operators.places import stored
+from ..scratch import Scratch, stored
 from ..sources import readers
 from ..streaming.places import PlaceStore
 
@@ -18,6 +18,13 @@ def agg14_hulls(spark, sf):
     return h.select("category", F.size("ring").alias("corners"), F.round(g.ring_area(F.concat("ring", F.slice("ring", 1, 1))), 0).alias("area"))
 
 
+#: An edge of the hull has all points on its left, or between its ends; on the whole numbers that positions are made of.
+AGG14 = """WITH p AS (SELECT DISTINCT c_mktsegment AS g, (c_custkey * 7919) % 20000 AS x, (c_custkey * 104729) % 15000 AS y FROM customer),
+e AS (SELECT a.g, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM p a JOIN p b ON a.g = b.g AND (a.x <> b.x OR a.y <> b.y)),
+o AS (SELECT e.g, ax, ay, bx, by_ FROM e JOIN p ON p.g = e.g GROUP BY ALL HAVING bool_and(CASE sign((bx - ax) * (y - ay) - (by_ - ay) * (x - ax)) WHEN 1 THEN true WHEN 0 THEN x BETWEEN least(ax, bx) AND greatest(ax, bx) AND y BETWEEN least(ay, by_) AND greatest(ay, by_) ELSE false END))
+SELECT g AS category, count(*)::INT AS corners, round(6371008.8 * 6371008.8 / 2 * abs(sum(radians((bx - ax) / 100000.0::DOUBLE) * (2 + sin(radians(28.5 + ay / 100000.0::DOUBLE)) + sin(radians(28.5 + by_ / 100000.0::DOUBLE))))), 0) AS area FROM o GROUP BY g"""
+
+
 def pipe4_surface(spark, sf):
     n = op.surface_nodes(observations(spark, sf), "value")
     return op.surface_cells(n).select("row", "col", F.round("value", 4).alias("value"))
@@ -40,37 +47,32 @@ def fil10_valid(spark, sf):
 
 
 def fn18_rings(spark, sf):
-    """Footprints cut into two lines each, one of them reversed, stitched again."""
+    """Footprints cut into two lines each, one of them reversed, stitched again; every sixth has a hole, and
+    every tenth has inner lines only."""
     b = buildings(spark, sf)
     r = F.col("parts")[0][0]
     parts = F.array(F.struct(F.lit(1).alias("pos"), F.slice(r, 1, 3).alias("path")), F.struct(F.lit(2).alias("pos"), F.reverse(F.slice(r, 3, 3)).alias("path")))
-    m = b.select(F.col("input_pos").alias("relation_id"), F.explode(parts).alias("m")).select("relation_id", "m.pos", F.lit("outer").alias("role"), "m.path")
-    return readers.assembled_rings(m).select("relation_id", F.size(F.col("parts")[0][0]).alias("n"), F.round(g.metrics("parts")["area"], 2).alias("area"))
+    k = F.col("relation_id")
+    m = b.select(F.col("input_pos").alias("relation_id"), F.explode(parts).alias("m")).select("relation_id", "m.pos", F.when(k % 10 == 0, "inner").otherwise("outer").alias("role"), "m.path")
+    holes = m.where(k % 6 == 0).withColumns({"pos": F.col("pos") + 2, "role": F.lit("inner")})
+    return readers.assembled_rings(m.unionByName(holes)).select("relation_id", F.size(F.col("parts")[0]).alias("rings"), F.size(F.col("parts")[0][0]).alias("n"), F.round(g.metrics("parts")["area"], 2).alias("area"))
 
 
 def str1_places(spark, sf):
     """Three batches of places, one after the other, against a store."""
     c = table(spark, sf, "customer").withColumn("k", F.floor(F.col("c_custkey") / 2))
     p = placed(c, "k").select(F.format_string("p%07d", "c_custkey").alias("place_id"), F.concat(F.lit("Block "), "k").alias("name"), fn.ascii_key(F.concat(F.lit("Block "), "k")).alias("normalized_name"), (F.col("lon") + (F.col("c_custkey") % 2) * 0.0001).alias("lon"), "lat", F.col("c_custkey").alias("created_at"))
-    store = PlaceStore(spark, _folder(spark))
+    store = PlaceStore(spark, Scratch(spark).path("places"))
     for k in range(3):
         store.add(p.where(F.col("created_at") % 3 == k), k)
     return store.aliases(2)
 
 
-def _folder(spark) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="geoloom-")
-    return f"{base.rstrip('/')}/geoloom-store-{uuid.uuid4().hex}"
-
-
 QUERIES = {
-    "agg14_hulls": (agg14_hulls, None),
+    "agg14_hulls": (agg14_hulls, AGG14),
     "pipe4_surface": (pipe4_surface, None),
     "pipe5_contours": (pipe5_contours, None),
     "fil10_valid": (fil10_valid, "SELECT p_partkey AS feature_id, CASE WHEN p_partkey % 7 = 0 THEN 'edges meet' WHEN p_partkey % 11 = 0 THEN 'open ring' ELSE 'no area' END AS reason FROM part WHERE p_partkey % 7 = 0 OR p_partkey % 11 = 0 OR p_partkey % 13 = 0"),
-    "fn18_rings": (fn18_rings, None),
+    "fn18_rings": (fn18_rings, f"SELECT k AS relation_id, CASE WHEN k % 6 = 0 THEN 2 ELSE 1 END AS rings, 5 AS n, round((e - w) * (n - so) * pow(pi() * 6371008.8 / 180, 2) * cos(radians((so * 3 + n * 2) / 5)), 2) AS area FROM ({BUILDINGS}) WHERE k % 10 <> 0"),
     "str1_places": (str1_places, f"WITH p AS (SELECT c_custkey AS c, c_custkey // 2 AS k, c_custkey % 3 AS b FROM customer), q AS (SELECT x.c AS a, y.c AS o FROM p x JOIN p y ON x.k = y.k AND x.c <> y.c AND (y.b < x.b OR (y.b = x.b AND y.c < x.c))) SELECT printf('p%07d', a) AS place_id, printf('p%07d', o) AS canonical_id FROM q"),
 }

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import level_range, parse_length, poi_category, table_number, valid_coordinate
 from ..functions.geometry import PARTS, point_parts
 
+# Names that columns go by, and columns that stay text.
 LON_NAMES, LAT_NAMES = ("lon", "lng", "longitude", "x"), ("lat", "latitude", "y")
 KEEP_TEXT = re.compile(r"(?:^|[_\s-])(?:id|name|date|time|year|code)(?:$|[_\s-])|(?:id|name|date|time|year|code)$", re.I)
 ROW_ALIASES = {
@@ -257,8 +258,8 @@ def decode_geometries(rows: DataFrame, key: str, column: str) -> tuple[DataFrame
 
 def assembled_rings(members: DataFrame) -> DataFrame:
     """(relation_id, parts) of relation members (relation_id, pos, role, path: array of vertices): lines are
-    stitched at their ends into rings; inner rings go to the first outer one. A relation is one group, as
-    large as its members."""
+    stitched at their ends into rings; inner rings go to the first outer one; relations without an outer ring
+    are left out. A relation is one group, as large as its members."""
 
     def stitch(lines: list) -> list:
         left, rings = [list(x) for x in lines if len(x) >= 2], []
@@ -281,7 +282,7 @@ def assembled_rings(members: DataFrame) -> DataFrame:
         paths = lambda rows: [[(p["lon"], p["lat"]) for p in path] for path in rows.path]
         outer, inner = stitch(paths(pdf[pdf.role != "inner"])), stitch(paths(pdf[pdf.role == "inner"]))
         if not outer:
-            return pd.DataFrame({"relation_id": [], "parts": []})
+            return pd.DataFrame({"relation_id": pd.Series([], dtype="int64"), "parts": pd.Series([], dtype=object)})
         polygons = [[r] for r in outer]
         polygons[0] += inner
         return pd.DataFrame({"relation_id": [pdf.relation_id.iloc[0]], "parts": [[[[{"lon": a, "lat": b} for a, b in ring] for ring in polygon] for polygon in polygons]]})
@@ -301,8 +302,6 @@ def geojson_rows(features: DataFrame, properties: list[str], layer: str | None =
     coordinates = coordinates.when(t == "LineString", F.to_json(xy(parts[0][0]))).when(t == "Polygon", F.to_json(F.transform(parts[0], xy)))
     coordinates = coordinates.when(t == "MultiPoint", F.to_json(F.transform(parts, lambda p: xy(p[0])[0]))).when(t == "MultiLineString", F.to_json(F.transform(parts, lambda p: xy(p[0])))).otherwise(F.to_json(F.transform(parts, lambda g: F.transform(g, xy))))
     props = [F.col(c) for c in properties] + ([F.lit(layer).alias("layer")] if layer else [])
-    head = F.concat(F.lit('{"type":"Feature","id":'), F.to_json(F.struct(F.col("feature_id").cast("string").alias("v"))).substr(F.lit(6), F.lit(1_000_000)))
-    ident = F.regexp_replace(head, r"\}$", "")
+    whole = F.to_json(F.struct(F.col("feature_id").cast("string").alias("v")))
+    ident = F.concat(F.lit('{"type":"Feature","id":'), F.regexp_replace(F.substr(whole, F.lit(6)), r"\}$", ""))
     return features.select(F.concat(ident, F.lit(',"geometry":{"type":"'), t, F.lit('","coordinates":'), coordinates, F.lit('},"properties":'), F.to_json(F.struct(*props)), F.lit("}")).alias("value"))
-
-
