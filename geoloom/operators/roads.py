@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import DRIVE_SPEED, distance, phrase_match
 from ..functions.geometry import clip_line, pairs, valid_vertex
-from .places import near_pairs, stored
+from ..scratch import stored
+from .places import near_pairs
 
 DRIVABLE = ("motorway", "trunk", "primary", "secondary", "tertiary", "unclassified", "residential", "living_street", "service")
 SNAP_METRES, MOST_EXTENT = 250, 30_000
