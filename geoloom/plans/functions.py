@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as fn
 from ..functions import geometry as g
 from ..functions.inputs import BUILDINGS, LAT, LON, OBS, buildings, observations, placed, table
+from ..scratch import Scratch
 from ..sources import readers, web
 
 _DIST = "6371008.8 * sqrt(pow(radians({b}.lon - {a}.lon) * cos(radians(({a}.lat + {b}.lat) / 2)), 2) + pow(radians({b}.lat - {a}.lat), 2))"
@@ -84,6 +85,11 @@ def fn16_circle(spark, sf):
     return o.select("feature_id", F.size(ring).alias("n"), F.round(g.ring_area(ring), 0).alias("area"))
 
 
+FN16 = f"""WITH o AS (SELECT feature_id, radians(lon) AS lo, radians(lat) AS la, 500.0::DOUBLE / 6371008.8 AS r, unnest(range(0, 65)) AS k FROM ({OBS})), b AS (SELECT *, 2 * pi() * (k % 64) / 64 AS t FROM o),
+y AS (SELECT *, asin(sin(la) * cos(r) + cos(la) * sin(r) * cos(t)) AS y FROM b), c AS (SELECT feature_id, k, lo + atan2(sin(t) * sin(r) * cos(la), cos(r) - sin(la) * sin(y)) AS x, y FROM y),
+s AS (SELECT feature_id, (lead(x) OVER w - x) * (2 + sin(y) + sin(lead(y) OVER w)) AS s FROM c WINDOW w AS (PARTITION BY feature_id ORDER BY k)) SELECT feature_id, count(*)::INT AS n, round(abs(sum(s)) * 6371008.8 * 6371008.8 / 2, 0) AS area FROM s GROUP BY 1"""
+
+
 def fn19_redact(spark, sf):
     o = table(spark, sf, "orders")
     return o.select("o_orderkey", fn.redact(F.concat(F.lit("https://h/p?api_key="), F.col("o_custkey").cast("string"), F.lit("&x="), "o_orderpriority")).alias("text"))
@@ -178,6 +184,39 @@ def src2_geojson(spark, sf):
     return features.select(F.col("feature_id").cast("long").alias("feature_id"), "geom_type", v["lon"].alias("lon"), v["lat"].alias("lat"), F.col("props")["value"].cast("double").alias("value"), F.col("props")["layer"].alias("layer"))
 
 
+def src3_points(spark, sf):
+    """Delimited text of all customers, written and read again: every tenth longitude is no number, every
+    seventh latitude out of range, every thirteenth row blank."""
+    c = placed(table(spark, sf, "customer"), "c_custkey")
+    k, there = F.col("c_custkey"), F.col("c_custkey") % 13 != 0
+    cells = {"id": F.format_string("%06d", k), "Name": F.col("c_name"), "Longitude": F.when(k % 10 == 0, "x").otherwise(F.format_string("%.5f", "lon")), "LAT": F.when(k % 7 == 0, "95").otherwise(F.format_string("%.5f", "lat")), "people": F.format_number(k * 1003, 0), "mixed": F.when(k % 5 == 0, "12,34").otherwise(k.cast("string"))}
+    scratch = Scratch(spark)
+    c.select(*(F.when(there, v).alias(n) for n, v in cells.items())).write.option("header", True).csv(scratch.path("points"))
+    good, bad = readers.read_points(spark, scratch.path("points"))
+    out = good.select("id", "Name", "lon", "lat", "people", "mixed", F.lit("point").alias("state"))
+    none = F.lit(None).cast("double")
+    return out.unionByName(bad.select("id", "Name", none.alias("lon"), none.alias("lat"), none.alias("people"), F.lit(None).cast("string").alias("mixed"), F.lit("reject").alias("state")))
+
+
+SRC3 = f"""WITH c AS (SELECT c_custkey AS k, c_name, {LON.format(k='c_custkey')} AS lon, {LAT.format(k='c_custkey')} AS lat, c_custkey % 10 <> 0 AND c_custkey % 7 <> 0 AS ok FROM customer WHERE c_custkey % 13 <> 0)
+SELECT printf('%06d', k) AS id, c_name AS Name, CASE WHEN ok THEN round(lon, 5) END AS lon, CASE WHEN ok THEN round(lat, 5) END AS lat, CASE WHEN ok THEN k * 1003::DOUBLE END AS people, CASE WHEN ok THEN CASE WHEN k % 5 = 0 THEN '12,34' ELSE k::VARCHAR END END AS mixed, CASE WHEN ok THEN 'point' ELSE 'reject' END AS state FROM c"""
+
+
+def src11_export(spark, sf):
+    """Two layers merged in one folder of GeoJSON features, each with the id of its layer, and read again."""
+    o = observations(spark, sf).withColumns({"geom_type": F.lit("Point"), "parts": g.point_parts("lon", "lat")})
+    s = placed(table(spark, sf, "supplier"), "s_suppkey").withColumns({"feature_id": F.concat(F.lit('s "'), "s_suppkey", F.lit('"')), "geom_type": F.lit("LineString"), "parts": F.array(F.array(F.array(g.vertex("lon", "lat"), g.vertex(F.col("lon") + 0.5, F.col("lat")))))})
+    scratch = Scratch(spark)
+    readers.geojson_rows(o, ["value", "category"], "customers").unionByName(readers.geojson_rows(s, ["s_name"], "suppliers")).write.text(scratch.path("layers"))
+    features, _ = readers.geojson_features(spark.read.text(scratch.path("layers")))
+    v = F.element_at(F.col("parts")[0][0], -1)
+    return features.select(F.col("props")["layer"].alias("layer"), "feature_id", "geom_type", F.round(v["lon"], 6).alias("lon"), F.round(v["lat"], 6).alias("lat"), F.coalesce(F.col("props")["category"], F.col("props")["s_name"]).alias("label"))
+
+
+SRC11 = f"""SELECT 'customers' AS layer, feature_id::VARCHAR AS feature_id, 'Point' AS geom_type, round(lon, 6) AS lon, round(lat, 6) AS lat, category AS label FROM ({OBS}) UNION ALL
+SELECT 'suppliers', 's "' || s_suppkey || '"', 'LineString', round({LON.format(k='s_suppkey')} + 0.5, 6), round({LAT.format(k='s_suppkey')}, 6), s_name FROM supplier"""
+
+
 def src9_geometries(spark, sf):
     """Footprints as WKT and as hexadecimal WKB, decoded."""
     b = buildings(spark, sf)
@@ -222,12 +261,17 @@ def win5_sources(spark, sf):
     return r.select("pos", F.round("score", 6).alias("score"))
 
 
-WIN5 = """WITH c AS (SELECT doc_id AS pos, 'https://' || source || CASE WHEN doc_id % 20 = 0 THEN '.census.gov/' ELSE '.org/' END || (doc_id % 300) || CASE WHEN doc_id % 7 = 0 THEN '.csv' ELSE '' END AS url, lower('item ' || coalesce(string_split(text, ' ')[1], '') || ' ' || coalesce(string_split(text, ' ')[2], '') || ' thnd ' || (doc_id % 40)) AS t FROM documents),
-w AS (SELECT pos, url, list_distinct(regexp_extract_all(t || ' ' || lower(url), '[\\p{L}\\p{N}]+')) AS w FROM c),
-n AS (SELECT count(*) AS n, count(*) FILTER (list_contains(w, 'population')) AS d1, count(*) FILTER (list_contains(w, 'thnd')) AS d2, count(*) FILTER (list_contains(w, '17')) AS d3, count(*) FILTER (list_contains(w, '23')) AS d4 FROM w),
-s AS (SELECT pos, url, CASE WHEN list_contains(w, 'population') THEN 1 + ln((n + 1) / (1 + d1)) ELSE 0 END + CASE WHEN list_contains(w, 'thnd') THEN 1 + ln((n + 1) / (1 + d2)) ELSE 0 END + CASE WHEN list_contains(w, '17') THEN 1 + ln((n + 1) / (1 + d3)) ELSE 0 END + CASE WHEN list_contains(w, '23') THEN 1 + ln((n + 1) / (1 + d4)) ELSE 0 END
- + 0.1 * (list_contains(w, 'csv')::INT + list_contains(w, 'data')::INT) + CASE WHEN pos % 20 = 0 THEN 1.5 ELSE 0 END + CASE WHEN pos % 7 = 0 THEN 0.25 ELSE 0 END AS score FROM w, n),
+#: Titles, URLs and snippets of the candidates; the sentences of boilerplate are lines of their own.
+_CAND = """SELECT doc_id AS pos, 'https://' || source || CASE WHEN doc_id % 20 = 0 THEN '.census.gov/' ELSE '.org/' END || (doc_id % 300) || CASE WHEN doc_id % 7 = 0 THEN '.csv' ELSE '' END AS url, 'Item ' || array_to_string(string_split(coalesce(text, ''), ' ')[1:2], ' ') AS title, coalesce(text, '') AS text FROM documents"""
+WIN5 = f"""WITH c AS (SELECT pos, url, strip_accents(lower(title || ' ' || text || chr(10) || 'thnd ' || (pos % 40) || ' ' || url)) AS t FROM ({_CAND})),
+w AS (SELECT pos, url, {", ".join(f"regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}]){x}($|[^\\p{{L}}\\p{{N}}])') AS {n}" for x, n in (("population", "w1"), ("thnd", "w2"), ("17", "w3"), ("23", "w4"), ("csv", "w5"), ("data", "w6"), ("(geotiff|geojson|geopackage|gridded|raster)", "w7")))} FROM c),
+n AS (SELECT count(*) AS n, count(*) FILTER (w1) AS d1, count(*) FILTER (w2) AS d2, count(*) FILTER (w3) AS d3, count(*) FILTER (w4) AS d4 FROM w),
+s AS (SELECT pos, url, {" + ".join(f"CASE WHEN w{k} THEN 1 + ln((n + 1) / (1 + d{k})) ELSE 0 END" for k in (1, 2, 3, 4))}
+ + 0.1 * (w5::INT + w6::INT) + CASE WHEN pos % 20 = 0 THEN 1.5 ELSE 0 END + CASE WHEN (w1 OR w2 OR w3 OR w4 OR pos % 20 = 0) AND (pos % 7 = 0 OR w7) THEN 0.25 ELSE 0 END AS score FROM w, n),
 b AS (SELECT arg_max(pos, (score, -pos)) AS pos, max(score) AS score FROM s GROUP BY url) SELECT pos, round(score, 6) AS score FROM b ORDER BY b.score DESC, pos LIMIT 8"""
+_SPLIT = "list_filter(string_split(regexp_replace({s}, '([.!?])[\\s\\x0B]+|\\n+', '\\1' || chr(1), 'g'), chr(1)), lambda x: NOT regexp_matches(x, '(?i)" + web.BOILERPLATE.replace("'", "''") + "'))"
+FIL13 = f"""WITH c AS (SELECT pos, text || CASE WHEN pos % 10 = 0 THEN chr(10) || 'Please wait' || chr(10) || 'Checking your browser now' ELSE '' END || chr(10) || CASE WHEN pos % 6 = 0 THEN 'Please wait.' ELSE 'Some words. Please wait now. More words' END AS s FROM ({_CAND})),
+p AS (SELECT pos, array_to_string({_SPLIT.format(s='s')}, ' ') AS snippet FROM c) SELECT pos, snippet FROM p WHERE pos % 3 <> 0 OR regexp_matches(snippet, '[\\p{{L}}\\p{{N}}]')"""
 
 
 def set3_results(spark, sf):
@@ -247,7 +291,7 @@ QUERIES = {
     "fn12_area": (fn12_area, f"SELECT k AS id, round(6371008.8 * 6371008.8 / 2 * abs(radians(e - w) * (2 + 2 * sin(radians(so))) - radians(e - w) * (2 + 2 * sin(radians(n)))), 3) AS area FROM ({BUILDINGS})"),
     "fn13_representatives": (fn13_representatives, f"WITH b AS (SELECT *, (e - w) * cos(radians(so)) AS dx, n - so AS dy FROM ({BUILDINGS})) SELECT k AS id, round((w + e) / 2, 7) AS lon, round((so + n) / 2, 7) AS lat, round(CASE WHEN (dx + dy) / 2 <= dx THEN w + (e - w) * ((dx + dy) / 2 / dx) ELSE e END, 6) AS mid_lon, round(CASE WHEN (dx + dy) / 2 <= dx THEN so ELSE so + (dx + dy) / 2 - dx END, 6) AS mid_lat FROM b"),
     "fn15_sub_line": (fn15_sub_line, f"SELECT feature_id, 3 AS n, round(lat + 0.03, 7) AS end_lat FROM ({OBS})"),
-    "fn16_circle": (fn16_circle, None),
+    "fn16_circle": (fn16_circle, FN16),
     "fn19_redact": (fn19_redact, "SELECT o_orderkey, 'https://h/p?api_key=[redacted]&x=' || o_orderpriority AS text FROM orders"),
     "fn20_hash": (fn20_hash, "SELECT c_custkey, sha256('{\"n\":' || c_nationkey || ',\"provider\":\"p\",\"q\":\"' || lower(c_name) || '\"}') AS hash FROM customer"),
     "fn21_coordinates": (fn21_coordinates, f"SELECT feature_id, CASE feature_id % 4 WHEN 1 THEN -printf('%.5f', lon)::DOUBLE WHEN 3 THEN NULL ELSE printf('%.5f', lon)::DOUBLE END AS lon, CASE feature_id % 4 WHEN 1 THEN -printf('%.5f', lat)::DOUBLE WHEN 3 THEN NULL ELSE printf('%.5f', lat)::DOUBLE END AS lat FROM ({OBS})"),
@@ -257,7 +301,9 @@ QUERIES = {
     "fil5_meets_box": (fil5_meets_box, f"SELECT source_id FROM ({BUILDINGS}) WHERE (w <= 77.0503 AND e >= 77.05 AND so <= 28.5503 AND n >= 28.55) OR (w <= 77.14 AND e >= 77.1 AND so <= 28.56 AND n >= 28.52)"),
     "pipe9_pin_areas": (pipe9_pin_areas, f"SELECT k AS s_suppkey, round(6371008.8 * 6371008.8 / 2 * abs(radians(0.01) * (2 + 2 * sin(radians(lat))) - radians(0.01) * (2 + 2 * sin(radians(lat + 0.01)))), 2) AS area FROM (SELECT s_suppkey AS k, {LAT.format(k='s_suppkey')} AS lat FROM supplier)"),
     "src2_geojson": (src2_geojson, f"SELECT feature_id, 'Point' AS geom_type, lon, lat, value, 'customers' AS layer FROM ({OBS})"),
+    "src3_points": (src3_points, SRC3),
     "src4_pages": (src4_pages, None),
+    "src11_export": (src11_export, SRC11),
     "src5_buildings": (src5_buildings, f"SELECT 'node/' || k AS source_id, CASE WHEN k % 3 = 0 THEN 'yes' ELSE 'tower' END AS building_type, round(CASE WHEN k % 2 = 0 THEN s * 0.3048::DOUBLE ELSE 0 END, 4) AS real_height, CASE WHEN k % 4 = 0 THEN s::DOUBLE ELSE 0 END AS levels, CASE WHEN k % 2 = 1 THEN left(p_name, 160) ELSE '' END AS name FROM ({_EL}) WHERE k % 3 = 0 OR k % 7 = 0"),
     "src6_pois": (src6_pois, f"SELECT 'node/' || k AS source_id, CASE WHEN k % 5 = 0 THEN 'fuel' ELSE 'shopping' END AS category, CASE WHEN k % 2 = 1 THEN p_name ELSE p_brand END AS name, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ({_EL}) WHERE k % 5 < 2"),
     "src7_places": (src7_places, f"SELECT 'openstreetmap:node:' || k AS place_id, CASE WHEN k % 2 = 1 THEN p_name ELSE p_brand END AS name, CASE k % 3 WHEN 0 THEN 'Road' WHEN 1 THEN 'Road, Town' ELSE '' END AS address, 'IN' AS country_code, round(lon, 6) AS w, round(lat, 6) AS n FROM ({_EL})"),
@@ -265,7 +311,7 @@ QUERIES = {
     "src9_geometries": (src9_geometries, f"SELECT k AS id, 'Polygon' AS geom_type, 5 AS n, round((e - w) * (n - so) * pow(pi() * 6371008.8 / 180, 2) * cos(radians((so * 3 + n * 2) / 5)), 2) AS area FROM ({BUILDINGS}) WHERE k % 10 <> 0"),
     "src12_snapshot": (src12_snapshot, f"SELECT source_id, 'buildings' AS layer, 'real_height' AS field, 'm' AS unit FROM ({BUILDINGS}) WHERE building_type = 'office'"),
     "fil12_links": (fil12_links, "SELECT regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, count(DISTINCT regexp_replace(url, '#.*', '')) AS urls FROM pages GROUP BY 1"),
-    "fil13_useful": (fil13_useful, "SELECT doc_id AS pos, CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'Some words. More words' END AS snippet FROM documents WHERE doc_id % 6 <> 0"),
+    "fil13_useful": (fil13_useful, FIL13),
     "win5_sources": (win5_sources, WIN5),
-    "set3_results": (set3_results, "WITH c AS (SELECT doc_id AS pos, 'https://' || source || CASE WHEN doc_id % 20 = 0 THEN '.census.gov/' ELSE '.org/' END || (doc_id % 300) || CASE WHEN doc_id % 7 = 0 THEN '.csv' ELSE '' END AS url FROM documents), a AS (SELECT 0 AS list, * FROM c WHERE pos % 2 = 0 UNION ALL SELECT 1, * FROM c WHERE pos % 3 = 0) SELECT list, pos, url FROM a QUALIFY row_number() OVER (PARTITION BY url ORDER BY list, pos) = 1"),
+    "set3_results": (set3_results, f"WITH c AS ({_CAND}), a AS (SELECT 0 AS list, pos, url FROM c UNION ALL SELECT 1, pos, regexp_replace(url, '/[0-9]+', '/' || (pos % 450)) FROM c) SELECT list, pos, url FROM a QUALIFY row_number() OVER (PARTITION BY url ORDER BY list, pos) = 1"),
 }

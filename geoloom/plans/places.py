@@ -75,7 +75,7 @@ def win3_context(spark, sf):
 
 
 def win4_saved(spark, sf):
-    return op.saved_matches(_places(spark, sf), "block 1, ward 3").limit(30).select("place_id")
+    return op.saved_matches(_places(spark, sf), "block 1, ward 3").select("place_id")
 
 
 def join14_geocode(spark, sf):
@@ -99,6 +99,7 @@ def set2_lookup(spark, sf):
 
 
 def join13_boundaries(spark, sf):
+    """Every city, against boundaries of every other place: the others are missing on purpose."""
     p = _places(spark, sf)
     cities = p.select(F.col("place_id").alias("city_id"), "name", "country_code", "lon", "lat")
     b = p.where("input_pos % 2 = 0").select(F.concat(F.lit("b-"), "place_id").alias("boundary_id"), F.upper("name").alias("name"), "country_code", F.when(F.col("input_pos") % 6 == 0, "shop").otherwise("administrative").alias("class"), (F.col("lon") - 0.01).alias("west"), (F.col("lat") - 0.01).alias("south"), (F.col("lon") + 0.01).alias("east"), (F.col("lat") + 0.01).alias("north"))
@@ -153,12 +154,12 @@ QUERIES = {
     "fil7_in_bounds": (fil7_in_bounds, f"WITH p AS (SELECT *, count(*) OVER () > 50 AS truncated FROM ({_sql()}) WHERE lat BETWEEN 28.52 AND 28.6 AND lon BETWEEN 77.05 AND 77.12) SELECT place_id, truncated FROM p ORDER BY updated_at DESC, place_id LIMIT 50"),
     "win10_search": (win10_search, f"SELECT place_id, name FROM ({_sql()}) WHERE contains(normalized_name, 'block 1') AND provider = 'openstreetmap' ORDER BY updated_at DESC, place_id LIMIT 40"),
     "win3_context": (win3_context, f"WITH p AS (SELECT *, {_M.format(lon=77.1, lat=28.57)} AS m FROM ({_sql()})), r AS (SELECT *, row_number() OVER (PARTITION BY country_code ORDER BY country_code <> 'IN', m, name, place_id) AS rank FROM p) SELECT country_code, place_id, rank::INT AS rank, round(m, 4) AS metres FROM r WHERE rank <= 8"),
-    "win4_saved": (win4_saved, f"SELECT place_id FROM ({_sql()}) WHERE contains(normalized_name, 'block 1') AND contains(lower(name || ' ' || address || ' ' || country_code), 'ward 3') ORDER BY normalized_name <> 'block 1', provider <> 'openstreetmap', updated_at DESC, place_id LIMIT 30"),
-    "join14_geocode": (join14_geocode, f"WITH p AS ({_sql(2)}), q AS (SELECT o_orderkey AS query_id, 'block ' || (o_custkey % 900) AS n, CASE WHEN o_orderkey % 2 = 0 THEN 'ward ' || (o_custkey % 9) ELSE '' END AS rest FROM orders WHERE o_orderkey % 5 = 0), h AS (SELECT query_id, count(*) AS n, min(place_id) AS id FROM q JOIN p ON p.normalized_name = q.n WHERE contains(lower(name || ' ' || address || ' ' || country_code), rest) GROUP BY query_id) SELECT q.query_id, CASE WHEN h.n = 1 THEN 'resolved' WHEN h.n > 1 THEN 'ambiguous' ELSE 'missing' END AS status, CASE WHEN h.n = 1 THEN id END AS place_id FROM q LEFT JOIN h USING (query_id)"),
+    "win4_saved": (win4_saved, f"SELECT place_id FROM ({_sql()}) WHERE contains(normalized_name, 'block 1') AND contains(lower(name || ' ' || address || ' ' || country_code), 'ward 3') ORDER BY normalized_name <> 'block 1', provider <> 'openstreetmap', updated_at DESC, place_id"),
+    "join14_geocode": (join14_geocode, f"WITH p AS ({_sql(2)}), q AS (SELECT o_orderkey AS query_id, 'block ' || (o_custkey % 900) AS n, CASE WHEN o_orderkey % 2 = 0 THEN 'ward ' || (o_custkey % 9) ELSE '' END AS rest FROM orders), h AS (SELECT query_id, count(*) AS n, min(place_id) AS id FROM q JOIN p ON p.normalized_name = q.n WHERE contains(lower(name || ' ' || address || ' ' || country_code), rest) GROUP BY query_id) SELECT q.query_id, CASE WHEN h.n = 1 THEN 'resolved' WHEN h.n > 1 THEN 'ambiguous' ELSE 'missing' END AS status, CASE WHEN h.n = 1 THEN id END AS place_id FROM q LEFT JOIN h USING (query_id)"),
     "fil14_category": (fil14_category, f"WITH p AS (SELECT place_id, ['cafe','restaurant','fuel','bank','atm','museum'][(created_at % 6 + 1)::INT] AS tag_value, {_M.format(lon=77.1, lat=28.57)} AS m FROM ({_sql()})) SELECT place_id, tag_value, round(m, 4) AS metres FROM p WHERE tag_value IN ('bank', 'atm') AND m <= 9000"),
-    "set2_lookup": (set2_lookup, f"WITH o AS (SELECT o_orderkey AS query_id, 'block ' || (o_custkey % 3000) AS q FROM orders WHERE o_orderkey % 7 = 0), p AS ({_sql()}), c AS (SELECT query_id, 'cached' AS place_id, 'osm-lookup-cache' AS stage, '' AS reason, 0 AS k FROM o WHERE query_id % 3 = 0 UNION ALL SELECT query_id, place_id, 'local-osm-cache', '', 1 FROM o JOIN p ON normalized_name = q AND provider = 'openstreetmap' UNION ALL SELECT query_id, place_id, 'local-serp-cache', 'no-usable-osm-result', 2 FROM o JOIN p ON normalized_name = q AND provider <> 'openstreetmap') SELECT query_id, place_id, stage, reason FROM c QUALIFY k = min(k) OVER (PARTITION BY query_id)"),
+    "set2_lookup": (set2_lookup, f"WITH o AS (SELECT o_orderkey AS query_id, 'block ' || (o_custkey % 3000) AS q FROM orders), p AS ({_sql()}), c AS (SELECT query_id, 'cached' AS place_id, 'osm-lookup-cache' AS stage, '' AS reason, 0 AS k FROM o WHERE query_id % 3 = 0 UNION ALL SELECT query_id, place_id, 'local-osm-cache', '', 1 FROM o JOIN p ON normalized_name = q AND provider = 'openstreetmap' UNION ALL SELECT query_id, place_id, 'local-serp-cache', 'no-usable-osm-result', 2 FROM o JOIN p ON normalized_name = q AND provider <> 'openstreetmap') SELECT query_id, place_id, stage, reason FROM c QUALIFY k = min(k) OVER (PARTITION BY query_id)"),
     "join13_boundaries": (join13_boundaries, f"WITH p AS ({_sql()}) SELECT place_id AS city_id, CASE WHEN created_at % 2 = 1 OR created_at % 6 = 0 THEN 'missing' WHEN ends_with(place_id, '4') THEN 'ambiguous' ELSE 'resolved' END AS status, CASE WHEN created_at % 2 = 0 AND created_at % 6 <> 0 AND NOT ends_with(place_id, '4') THEN 'b-' || place_id END AS boundary_id FROM p"),
-    "join8_table": (join8_table, f"WITH p AS (SELECT * FROM ({_sql(2)}) WHERE created_at % 5 <> 0), r AS (SELECT o_orderkey AS row_index, 'block ' || (o_orderkey % 2000) AS n, 1000.0::DOUBLE + o_custkey % 1000 AS value, 'ward ' || (o_orderkey % 2000 % 9) AS region FROM orders WHERE o_orderkey % 4 = 0), h AS (SELECT row_index, place_id, r.value FROM r JOIN p ON p.normalized_name = r.n AND contains(' ' || lower(replace(name || ' ' || address, ',', ' ')) || ' ', ' ' || region || ' ')) SELECT row_index, place_id, value, count(*) OVER (PARTITION BY row_index) > 1 OR count(*) OVER (PARTITION BY place_id) > 1 AS ambiguous FROM h"),
+    "join8_table": (join8_table, f"WITH p AS (SELECT * FROM ({_sql(2)}) WHERE created_at % 5 <> 0), r AS (SELECT o_orderkey AS row_index, 'block ' || (o_orderkey % 2000) AS n, 1000.0::DOUBLE + o_custkey % 1000 AS value, 'ward ' || (o_orderkey % 2000 % 9) AS region FROM orders), h AS (SELECT row_index, place_id, r.value FROM r JOIN p ON p.normalized_name = r.n AND contains(' ' || lower(replace(name || ' ' || address, ',', ' ')) || ' ', ' ' || region || ' ')) SELECT row_index, place_id, value, count(*) OVER (PARTITION BY row_index) > 1 OR count(*) OVER (PARTITION BY place_id) > 1 AS ambiguous FROM h"),
     "fil8_freshness": (fil8_freshness, "SELECT user_id, arg_max(event_id, (value + 100, event_id)) AS event_id, CASE WHEN max(value + 100) > 150 THEN 'fresh' ELSE 'stale' END AS state FROM events GROUP BY user_id"),
     "win2_latest": (win2_latest, "SELECT event_type, user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL"),
     "prj3_public": (prj3_public, f"SELECT place_id, provider, CASE created_at % 4 WHEN 0 THEN 'locality' WHEN 1 THEN 'hamlet' WHEN 2 THEN 'town' ELSE 'City' END AS place_type FROM ({_sql()})"),

@@ -35,7 +35,8 @@ def _ways(spark, sf):
     return o.select(F.col("k").alias("way_id"), tags.alias("tags"), F.when(east, F.array(at(0, 0), at(1, 0))).otherwise(F.array(at(0, 0), at(0, 1))).alias("geometry"))
 
 
-_W = f"""w AS (SELECT o_orderkey AS k, o_orderkey % {SIDE} AS x, (o_orderkey // {SIDE}) % {SIDE} AS y, (o_orderkey // {SIDE * SIDE}) % 2 = 0 AS east, ['residential','primary','footway','service'][((o_orderkey // 7) % 4 + 1)::INT] AS highway, 'Street No ' || (o_orderkey % 50) AS name FROM orders WHERE o_orderkey < 4000),
+_W = f"""b AS (SELECT o_orderkey AS k, o_orderkey % {BLOCK} AS i, floor(sqrt(o_orderkey // {BLOCK}))::BIGINT AS s, o_orderkey // {BLOCK} AS b FROM orders),
+w AS (SELECT k, least(b - s * s, s) * {SIDE} + i % {SIDE} AS x, least(2 * s - (b - s * s), s) * {SIDE} + (i // {SIDE}) % {SIDE} AS y, (i // {SIDE * SIDE}) % 2 = 0 AS east, ['residential','primary','footway','service'][((k // 7) % 4 + 1)::INT] AS highway, 'Street No ' || (k % 50) AS name FROM b),
 v AS (SELECT *, 77.0::DOUBLE + x / 1000.0::DOUBLE AS lon1, 28.5::DOUBLE + y / 1000.0::DOUBLE AS lat1, 77.0::DOUBLE + (x + CASE WHEN east THEN 1 ELSE 0 END) / 1000.0::DOUBLE AS lon2, 28.5::DOUBLE + (y + CASE WHEN east THEN 0 ELSE 1 END) / 1000.0::DOUBLE AS lat2 FROM w)"""
 _EDGES = f"""{_W}, d AS (SELECT *, round(lon1 * 1e7)::BIGINT || ',' || round(lat1 * 1e7)::BIGINT AS a, round(lon2 * 1e7)::BIGINT || ',' || round(lat2 * 1e7)::BIGINT AS b, 6371008.8 * sqrt(pow(radians(lon2 - lon1) * cos(radians((lat1 + lat2) / 2)), 2) + pow(radians(lat2 - lat1), 2)) AS m FROM v WHERE highway <> 'footway' AND k % 11 <> 0),
 ee AS (SELECT a AS src, b AS dst, m FROM d WHERE NOT (k % 9 <> 0 AND k % 10 = 0) UNION ALL SELECT b, a, m FROM d WHERE k % 9 <> 0), edges AS (SELECT src, dst, min(m) AS metres FROM ee GROUP BY ALL)"""
@@ -141,7 +142,8 @@ def pipe10_population(spark, sf):
 
 
 def _dem(spark, sf):
-    """Tiles of 8 by 8 pixels, keyed like the customers' positions."""
+    """Tiles of 8 by 8 pixels, keyed like the customers' positions; those of every third customer are missing
+    on purpose, as points without a tile are the case under test."""
     c = placed(table(spark, sf, "customer").where("c_custkey % 3 <> 0"), "c_custkey").withColumn("t", raster.tile_point(F.col("lon"), F.col("lat"), 13))
     px = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: ((F.col("t.x") + F.col("t.y") * 3 + i * 17) % 900 - 5).cast("float"))
     return c.select(F.lit(13).alias("z"), "t.x", "t.y", F.lit(8).alias("width"), F.lit(8).alias("height"), px.alias("data")).dropDuplicates(["x", "y"])
