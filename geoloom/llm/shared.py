@@ -17,17 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def remove(self, *names: str) -> None:
-        """Removes tables that no result still to be computed reads."""
-        for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """The same rows, written to a folder of their own in the shared folder and read again."""
     return Scratch(df.sparkSession).written(df, name)
