@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, free, own_columns, small_batches, table, text_or_empty
+from .shared import Scratch, free, once, own_columns, small_batches, table, text_or_empty
 from .wordhash import Words, mix, shingles, slices, words
 
 SHINGLE, THRESHOLD, PERMS = 5, 0.8, 24
@@ -187,7 +187,7 @@ def _finder(items, threshold: float):
         return pa.array(matches(text, _indexes[key], threshold), kind)
 
     find.__annotations__ = {"text": pa.Array, "return": pa.Array}
-    return F.arrow_udf(find, _MATCHES)
+    return once(F.arrow_udf(find, _MATCHES))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

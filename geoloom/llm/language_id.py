@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import free, small_batches, table
+from .shared import free, once, small_batches, table
 
 ORDER, TRAIN_DOCS, CACHE, SLOTS = 3, 600, 1_000_000, 1 << 21
 _FOLD = bytes(b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
@@ -212,7 +212,7 @@ def identified(docs: DataFrame, model: Model, column: str = "text") -> DataFrame
         return predict(texts, _scorers[key])
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    return docs.withColumn(free(docs, "_language"), F.pandas_udf(run, "lang_pred string, score double")(F.col(f"`{column}`")))
+    return docs.withColumn(free(docs, "_language"), once(F.pandas_udf(run, "lang_pred string, score double"))(F.col(f"`{column}`")))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .language_id import held_out
 from .quality_rules import _repeats
-from .shared import free, small_batches, table, text_or_empty
+from .shared import free, once, small_batches, table, text_or_empty
 from .wordhash import SPACE, Ranges, slices, words
 
 TRAIN_DOCS, ROUNDS, RATE, CUTOFF = 3000, 70, 0.3, 0.7
@@ -220,7 +220,7 @@ def scored(docs: DataFrame, field: Field | None, column: str = "text") -> DataFr
         return pa.array(field.scores(text))
 
     run.__annotations__ = {"text": pa.Array, "return": pa.Array}
-    return docs.withColumn(free(docs, "_quality"), F.arrow_udf(run, "double")(text_or_empty(column)))
+    return docs.withColumn(free(docs, "_quality"), once(F.arrow_udf(run, "double"))(text_or_empty(column)))
 
 
 def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, free, own_columns, small_batches, table, text_or_empty
+from .shared import Scratch, free, once, own_columns, small_batches, table, text_or_empty
 from .wordhash import SPACE, Ranges, _spans, shingles, slices, words
 
 SYMBOLS = "#*$%&|<>"
@@ -107,7 +107,7 @@ def _counts_batch(text: pa.Array) -> pa.Array:
 
 def counts_of(column: str = "text") -> Column:
     """A struct of the counts."""
-    return F.arrow_udf(_counts_batch, _COUNTS)(text_or_empty(column))
+    return once(F.arrow_udf(_counts_batch, _COUNTS))(text_or_empty(column))
 
 
 def _share(part: str, whole: str) -> Column:

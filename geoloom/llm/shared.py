@@ -50,6 +50,12 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def once(udf):
+    """The function, marked so that the planner evaluates it once and reads its column: a filter on what it
+    gives would otherwise be pushed below it with a second copy of it, and with workers of its own."""
+    return udf.asNondeterministic()
+
+
 def hand_back() -> None:
     """Gives memory that a task has freed back to the system: workers go on to other tasks, and would keep
     the most that any of them took."""
