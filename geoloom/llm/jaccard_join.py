@@ -171,8 +171,9 @@ def rareness(rows: DataFrame, bits: int = LEAST_BITS) -> np.ndarray:
     n = (1 << bits) // _SKETCH_PART
     total = np.zeros((n, _SKETCH_PART), np.uint8)
     dealt = rows.where("part IS NOT NULL").select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(16)).alias("salt"))
-    some = dealt.repartition(n, "part", "salt").select("part", "counts").mapInArrow(lambda b: add(b, np.uint16, False), "part int, counts binary")
-    for row in some.repartition(min(n, 64), "part").mapInArrow(lambda b: add(b, np.int32, True), "part int, counts binary").toLocalIterator():
+    tasks = max(8, min(n, dealt.count() // n))  # as many as there are sketches
+    some = dealt.repartition(tasks, "part", "salt").select("part", "counts").mapInArrow(lambda b: add(b, np.uint16, False), "part int, counts binary")
+    for row in some.repartition(min(tasks, 64), "part").mapInArrow(lambda b: add(b, np.int32, True), "part int, counts binary").toLocalIterator():
         total[row["part"]] = np.frombuffer(bytes(row["counts"]), np.uint8)
     return total.ravel()
 
