@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import DRIVE_SPEED, distance, phrase_match
 from ..functions.geometry import clip_line, pairs, valid_vertex
-from ..scratch import stored
+from ..scratch import Scratch, stored
 from .places import near_pairs
 
 DRIVABLE = ("motorway", "trunk", "primary", "secondary", "tertiary", "unclassified", "residential", "living_street", "service")
 SNAP_METRES, MOST_EXTENT = 250, 30_000
+CELL_DEGREES, LEGS_AT_ONCE = 0.02, 100
 
 
 def extract_roads(ways: DataFrame, box: tuple[float, float, float, float], classes: tuple[str, ...] = DRIVABLE, name: str | None = None) -> DataFrame:
@@ -67,35 +72,105 @@ def snapped(points: DataFrame, nodes: DataFrame, max_latitude: float | None = No
     return hit.groupBy("point_id").agg(F.min(F.struct("metres", "node_id")).alias("m")).select("point_id", "m.node_id", "m.metres")
 
 
-def shortest_paths(edges: DataFrame, legs: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """(leg_id, metres, path, examined) of legs (leg_id, start, goal), all at once: every round relaxes the
-    edges out of the nodes whose distance fell, until no distance below the leg's goal falls any more. A node
-    carries its path along. Of
-    equal distances the predecessor settled first counts. Legs without a way are left out."""
-    start = F.col("start")
-    best = stored(legs.select("leg_id", start.alias("node"), F.struct(F.lit(0.0).alias("metres"), F.lit(-1.0).alias("before"), F.array(start).alias("path")).alias("v")))
-    front, goals = best, legs.select("leg_id", F.col("goal").alias("node"))
-    for _ in range(most_rounds):
-        limit = best.join(goals, ["leg_id", "node"]).select("leg_id", F.col("v.metres").alias("limit"))
-        alive = front.join(limit, "leg_id", "left").where(F.col("limit").isNull() | (F.col("v.metres") < F.col("limit"))).select("leg_id", F.col("node").alias("src"), "v")
-        reached = alive.join(edges, "src").select("leg_id", F.col("dst").alias("node"), F.struct((F.col("v.metres") + F.col("metres")).alias("metres"), F.col("v.metres").alias("before"), F.concat("v.path", F.array("dst")).alias("path")).alias("o"))
-        # Of equal lengths the predecessor that was settled first: the shorter, then the lower one.
-        rank = lambda c: F.struct(F.col(f"{c}.metres"), F.col(f"{c}.before"), F.try_element_at(F.col(f"{c}.path"), F.lit(-2)))
-        offered = reached.groupBy("leg_id", "node").agg(F.min_by("o", rank("o")).alias("o"))
-        both = offered.join(best, ["leg_id", "node"], "full_outer")
-        fell = F.coalesce(F.col("o").isNotNull() & (F.col("v").isNull() | (rank("o") < rank("v"))), F.lit(False))
-        seen = Observation()
-        now = both.select("leg_id", "node", F.when(fell, F.col("o")).otherwise(F.col("v")).alias("v"), fell.alias("fell"))
-        now = stored(now.observe(seen, F.count_if("fell").alias("n")))
-        best, front = now.drop("fell"), now.where("fell").drop("fell")
-        if not seen.get["n"]:
+def grid_cell(node: Column) -> Column:
+    """The cell, two hundredths of a degree wide, of a node of driving_graph."""
+    at = lambda k: F.floor(F.element_at(F.split(node, ","), k).cast("long") / (CELL_DEGREES * 1e7))
+    return F.concat_ws(",", at(1), at(2))
+
+
+def _settle(state: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """What falls when the nodes of one cell whose distance fell are relaxed, for each leg: nodes of the cell,
+    relaxed in their turn, and nodes next to it, which are open. Distances beyond the leg's goal don't count."""
+    out_of, fallen = {}, []
+    for src, dst, metres, cell in edges[["src", "dst", "metres", "dst_cell"]].itertuples(index=False):
+        out_of.setdefault(src, []).append((dst, metres, cell))
+    for leg, rows in state.groupby("leg_id", sort=False):
+        goal, here, limit = rows["goal"].iat[0], rows["cell"].iat[0], rows["limit"].iat[0]
+        limit = math.inf if pd.isna(limit) else limit
+        known = {n: (m, b, p) for n, m, b, p in rows[["node", "metres", "before", "prev"]].itertuples(index=False)}
+        queue = [(m, n) for n, m, fell in rows[["node", "metres", "fell"]].itertuples(index=False) if fell]
+        heapq.heapify(queue)
+        changed = {}
+        while queue:
+            metres, node = heapq.heappop(queue)
+            if metres > known[node][0] or metres >= limit:
+                continue
+            for dst, step, cell in out_of.get(node, ()):
+                offer, inside = (metres + step, metres, node), cell == here
+                old = known.get(dst)
+                if offer[0] > limit or (old is not None and offer >= old):
+                    continue
+                known[dst], changed[dst] = offer, cell
+                if inside and (old is None or offer[0] < old[0]):
+                    heapq.heappush(queue, (offer[0], dst))
+                if dst == goal:
+                    limit = min(limit, offer[0])
+        fallen += [(leg, n, cell, *known[n], goal, cell != here) for n, cell in changed.items()]
+    return pd.DataFrame(fallen, columns=["leg_id", "node", "cell", "metres", "before", "prev", "goal", "open"])
+
+
+def _walk_back(tips: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
+    """The part of one leg's path inside a cell that ends at the tip, and the node before it ('' at the start)."""
+    if not len(tips):
+        return pd.DataFrame({"leg_id": [], "nodes": [], "tip": []})
+    prev, nodes = dict(zip(best["node"], best["prev"], strict=True)), [tips["tip"].iat[0]]
+    while prev.get(nodes[-1]):
+        nodes.append(prev[nodes[-1]])
+    outside = nodes.pop() if nodes[-1] not in prev else ""
+    return pd.DataFrame({"leg_id": tips["leg_id"].iloc[:1], "nodes": [nodes[::-1]], "tip": [outside]})
+
+
+def shortest_paths(edges: DataFrame, legs: DataFrame, cell: Callable[[Column], Column] = lambda node: node, with_path: bool = True) -> DataFrame:
+    """(leg_id, metres, path, examined) of legs (leg_id, start, goal), all at once. Nodes lie in cells, each
+    node in its own unless told otherwise; a round takes every (cell, leg) that an open node lies in, relaxes
+    the cell's nodes there, and writes only the distances that fell. So there are as many rounds as cells on
+    the way, not edges; a leg goes no further than its goal's distance; and a cell that many legs cross is
+    dealt to as many tasks as it has hundreds of legs. Of equal distances the predecessor settled first counts:
+    the nearer one, then the lower. Legs without a way are left out. Without with_path there is no path."""
+    spark = edges.sparkSession
+    scratch = Scratch(spark)
+    e = scratch.written(edges.select("src", "dst", "metres", cell(F.col("src")).alias("cell"), cell(F.col("dst")).alias("dst_cell")), "edges")
+    first = legs.select("leg_id", F.col("start").alias("node"), cell(F.col("start")).alias("cell"), F.lit(0.0).alias("metres"), F.lit(-1.0).alias("before"), F.lit("").alias("prev"), "goal", F.lit(True).alias("open"))
+    columns = [f.name for f in first.schema]
+    kind = ", ".join(f"{c} {first.schema[c].dataType.simpleString()}" for c in columns)
+    numbered = lambda n: spark.read.schema(kind).parquet(scratch.path(f"fallen-{n}")).withColumn("round", F.lit(n))
+    scratch.written(first, "fallen-0")
+    everything = newest = numbered(0)
+    for n in itertools.count(1):
+        limits = everything.where("node = goal").groupBy("leg_id").agg(F.min("metres").alias("limit"))
+        active = newest.where("open").select("leg_id", "cell").distinct()
+        state = everything.join(active, ["leg_id", "cell"], "left_semi").groupBy("leg_id", "cell", "node", "goal").agg(F.min(F.struct("metres", "before", "prev", "round", "open")).alias("v"))
+        state = state.select("leg_id", "cell", "node", "goal", "v.metres", "v.before", "v.prev", (F.col("v.open") & (F.col("v.round") == n - 1)).alias("fell")).join(limits, "leg_id", "left")
+        parts = active.groupBy("cell").agg(F.ceil(F.count("*") / LEGS_AT_ONCE).alias("parts"))
+        dealt = state.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("leg_id"), "parts")).drop("parts")
+        roads = e.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+        fallen = dealt.groupBy("cell", "part").cogroup(roads.groupBy("cell", "part")).applyInPandas(_settle, kind)
+        scratch.written(fallen, f"fallen-{n}")
+        newest = numbered(n)
+        if newest.isEmpty():
             break
-    else:
-        raise RuntimeError(f"distances still fell after {most_rounds} rounds")
-    ends = best.join(goals, ["leg_id", "node"]).select("leg_id", F.col("v.metres").alias("total"), F.col("node").alias("goal"), F.col("v.path").alias("path"))
-    settled = best.join(ends, "leg_id").where(F.struct("v.metres", "node") < F.struct("total", "goal")).select("leg_id", F.col("node").alias("src"))
-    examined = settled.join(edges, "src").groupBy("leg_id").agg(F.count("*").alias("examined"))
-    return ends.join(examined, "leg_id", "left").select("leg_id", F.col("total").alias("metres"), "path", F.coalesce("examined", F.lit(0)).alias("examined"))
+        everything = everything.unionByName(newest)
+    best = scratch.written(everything.groupBy("leg_id", "cell", "node", "goal").agg(F.min(F.struct("metres", "before", "prev")).alias("v")).select("leg_id", "cell", "node", "goal", "v.metres", "v.prev"), "best")
+    scratch.remove(*(f"fallen-{k}" for k in range(n + 1)))
+    ends = best.where("node = goal").select("leg_id", F.col("metres").alias("total"), "goal")
+    settled = best.drop("goal").join(ends, "leg_id").where(F.struct("metres", "node") < F.struct("total", "goal")).select("leg_id", F.col("node").alias("src"))
+    examined = settled.join(e.select("src"), "src").groupBy("leg_id").agg(F.count("*").alias("examined"))
+    found = ends.join(examined, "leg_id", "left").select("leg_id", F.col("total").alias("metres"), F.coalesce("examined", F.lit(0)).alias("examined"))
+    if not with_path:
+        return found
+    leg = first.schema["leg_id"].dataType.simpleString()
+    tips, walked = ends.select("leg_id", F.col("goal").alias("tip")), None
+    for n in itertools.count():
+        tips = tips.select(F.col("leg_id").alias("leg_id"), "tip", cell(F.col("tip")).alias("cell"))
+        near = best.join(tips, ["leg_id", "cell"], "left_semi").select("leg_id", "cell", "node", "prev")
+        part = tips.groupBy("leg_id", "cell").cogroup(near.groupBy("leg_id", "cell")).applyInPandas(_walk_back, f"leg_id {leg}, nodes array<string>, tip string")
+        part = scratch.written(part, f"walked-{n}")
+        walked = part.select("leg_id", F.lit(-n).alias("at"), "nodes") if walked is None else walked.unionByName(part.select("leg_id", F.lit(-n).alias("at"), "nodes"))
+        tips = part.where("tip <> ''").select("leg_id", "tip")
+        if tips.isEmpty():
+            break
+    paths = walked.groupBy("leg_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "nodes"))), lambda x: x["nodes"])).alias("path"))
+    return found.join(paths, "leg_id").select("leg_id", "metres", "path", "examined")
 
 
 def routes(waypoints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -109,7 +184,7 @@ def routes(waypoints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFram
     pts = w.join(snapped(w, nodes), "point_id", "left")
     legs = pts.select("route_id", "pos", F.col("node_id").alias("start"), F.col("metres").alias("from_metres"), F.lead("node_id").over(order).alias("goal"), F.lead("metres").over(order).alias("to_metres"), F.lead("pos").over(order).alias("next"), "lon", "lat", F.lead("lon").over(order).alias("lon2"), F.lead("lat").over(order).alias("lat2")).where("next IS NOT NULL").withColumn("leg_id", F.concat_ws(":", "route_id", "pos"))
     legs = stored(legs)
-    found = shortest_paths(edges, legs.where("start IS NOT NULL AND goal IS NOT NULL").select("leg_id", "start", "goal"))
+    found = shortest_paths(edges, legs.where("start IS NOT NULL AND goal IS NOT NULL").select("leg_id", "start", "goal"), grid_cell, with_path=False)
     j = legs.join(found, "leg_id", "left")
     total = F.sum(F.col("metres") + F.col("from_metres") + F.col("to_metres"))
     out = j.groupBy("route_id").agg(total.alias("metres"), F.count("*").alias("legs"), F.count("metres").alias("found"), F.max(distance("lon", "lat", "lon2", "lat2")).alias("across"), F.max((F.col("lon") != F.col("lon2")) | (F.col("lat") != F.col("lat2"))).alias("moves"))

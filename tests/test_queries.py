@@ -7,8 +7,6 @@ from geoloom import catalog
 from .oracle import same
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
-#: Checked elsewhere, on inputs of their own: iterative and slow here.
-SLOW = {"pipe8_routes"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -16,7 +14,7 @@ def test_sql(spark, small, name):
     same(QUERIES[name], SQL[name], spark, small)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, small, name):
     assert QUERIES[name](spark, small).count() > 0
 
