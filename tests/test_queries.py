@@ -7,6 +7,8 @@ from geoloom import catalog
 from .oracle import same
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
+#: No route exists in the smallest tables, as all their ways run east; checked elsewhere, on inputs of its own.
+NO_ROWS = {"pipe8_routes"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -14,7 +16,7 @@ def test_sql(spark, small, name):
     same(QUERIES[name], SQL[name], spark, small)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - NO_ROWS))
 def test_runs(spark, small, name):
     assert QUERIES[name](spark, small).count() > 0
 
