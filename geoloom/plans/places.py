@@ -55,6 +55,13 @@ def win1_canonical_places(spark, sf):
     return op.canonical_places(_places(spark, sf, 4), 40)
 
 
+#: A round decides the places whose earlier neighbours are all decided.
+WIN1 = f"""WITH RECURSIVE p AS ({_sql(4)}), e AS (SELECT a.place_id AS id, b.place_id AS other, b.created_at AS earlier FROM p a JOIN p b ON b.created_at < a.created_at AND {_DD} <= 35 AND {_SAME}),
+d(id, canonical) USING KEY (id) AS (SELECT place_id, true FROM p WHERE place_id NOT IN (SELECT id FROM e)
+UNION SELECT e.id, NOT bool_or(coalesce(r.canonical, false)) FROM e LEFT JOIN recurring.d r ON r.id = e.other WHERE e.id NOT IN (SELECT id FROM recurring.d) GROUP BY e.id HAVING bool_and(r.id IS NOT NULL))
+SELECT p.place_id, coalesce(c.other, p.place_id) AS canonical_id FROM p LEFT JOIN (SELECT e.id, arg_min(other, earlier) AS other FROM e JOIN d ON d.id = e.other AND d.canonical GROUP BY e.id) c ON c.id = p.place_id"""
+
+
 def join7_aliases(spark, sf):
     p = _places(spark, sf)
     aliases = p.where(F.col("input_pos") % 3 == 0).select("place_id", F.format_string("p%07d", F.col("input_pos") - 1).alias("canonical_id"))
@@ -149,7 +156,7 @@ def fn4_same_name(spark, sf):
 
 QUERIES = {
     "join6_same_places": (join6_same_places, f"WITH p AS ({_sql(4)}) SELECT a.place_id, b.place_id AS other_id FROM p a JOIN p b ON b.created_at < a.created_at AND {_DD} <= 35 AND {_SAME}"),
-    "win1_canonical_places": (win1_canonical_places, None),
+    "win1_canonical_places": (win1_canonical_places, WIN1),
     "join7_aliases": (join7_aliases, "WITH p AS (SELECT c_custkey AS k, printf('p%07d', c_custkey) AS place_id, printf('p%07d', CASE WHEN c_custkey % 3 = 0 THEN c_custkey - 1 ELSE c_custkey END) AS canonical_id FROM customer) SELECT canonical_id, min_by(place_id, k) AS place_id FROM p GROUP BY canonical_id"),
     "fil7_in_bounds": (fil7_in_bounds, f"WITH p AS (SELECT *, count(*) OVER () > 50 AS truncated FROM ({_sql()}) WHERE lat BETWEEN 28.52 AND 28.6 AND lon BETWEEN 77.05 AND 77.12) SELECT place_id, truncated FROM p ORDER BY updated_at DESC, place_id LIMIT 50"),
     "win10_search": (win10_search, f"SELECT place_id, name FROM ({_sql()}) WHERE contains(normalized_name, 'block 1') AND provider = 'openstreetmap' ORDER BY updated_at DESC, place_id LIMIT 40"),

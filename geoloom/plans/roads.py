@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fn
 from ..functions import geometry as g
+from ..functions.columns import DRIVE_SPEED
 from ..functions.inputs import LAT, LON, OBS, observations, placed, table
 from ..operators import raster, roads
 from ..operators.places import near_pairs
@@ -57,6 +58,19 @@ def pipe8_routes(spark, sf):
     return roads.routes(w, nodes, edges).select("route_id", F.round("metres", 3).alias("metres"), F.round("seconds", 3).alias("seconds"), "legs")
 
 
+#: Distances from each leg's start fall until none falls any more.
+PIPE8 = f"""WITH RECURSIVE {_EDGES}, n AS (SELECT DISTINCT a AS id, lon1 AS lon, lat1 AS lat FROM d UNION SELECT DISTINCT b, lon2, lat2 FROM d),
+r AS (SELECT s_suppkey AS k, pos, s_suppkey * 150 // {BLOCK} AS b, floor(sqrt(s_suppkey * 150 // {BLOCK}))::BIGINT AS s FROM supplier, range(3) t(pos)),
+p AS (SELECT k, pos, 77.0003::DOUBLE + (least(b - s * s, s) * {SIDE} + (k * 7 + pos * 3) % {SIDE - 1}) / 1000.0::DOUBLE AS lon, 28.5002::DOUBLE + (least(2 * s - (b - s * s), s) * {SIDE} + (k * 5 + pos * 2) % {SIDE - 1}) / 1000.0::DOUBLE AS lat FROM r),
+h AS (SELECT k, pos, p.lon, p.lat, id, 6371008.8 * sqrt(pow(radians(n.lon - p.lon) * cos(radians((p.lat + n.lat) / 2)), 2) + pow(radians(n.lat - p.lat), 2)) AS m FROM p LEFT JOIN n ON n.lat BETWEEN p.lat - 0.003 AND p.lat + 0.003 AND n.lon BETWEEN p.lon - 0.003 AND p.lon + 0.003),
+near AS (SELECT k, pos, lon, lat, min({{'m': m, 'id': id}}) FILTER (m <= 250) AS v FROM h GROUP BY ALL),
+leg AS (SELECT a.k, a.pos, a.v.id AS start, b.v.id AS goal, a.v.m + b.v.m AS off, 6371008.8 * sqrt(pow(radians(b.lon - a.lon) * cos(radians((a.lat + b.lat) / 2)), 2) + pow(radians(b.lat - a.lat), 2)) AS across FROM near a JOIN near b ON b.k = a.k AND b.pos = a.pos + 1),
+x AS MATERIALIZED (SELECT * FROM edges), y AS MATERIALIZED (SELECT * FROM leg WHERE start IS NOT NULL AND goal IS NOT NULL),
+t(k, pos, node, m) USING KEY (k, pos, node) AS (SELECT k, pos, start, 0::DOUBLE FROM y
+UNION SELECT t.k, t.pos, e.dst, min(t.m + e.metres) FROM t JOIN x e ON e.src = t.node JOIN y ON y.k = t.k AND y.pos = t.pos LEFT JOIN recurring.t o ON o.k = t.k AND o.pos = t.pos AND o.node = e.dst LEFT JOIN recurring.t g ON g.k = t.k AND g.pos = t.pos AND g.node = goal WHERE (o.m IS NULL OR t.m + e.metres < o.m) AND (g.m IS NULL OR t.m + e.metres < g.m) GROUP BY ALL)
+SELECT leg.k AS route_id, round(sum(t.m + off), 3) AS metres, round(sum(t.m + off) / {DRIVE_SPEED!r}::DOUBLE, 3) AS seconds, count(*) AS legs FROM leg LEFT JOIN t ON t.k = leg.k AND t.pos = leg.pos AND t.node = goal GROUP BY leg.k HAVING count(t.m) = count(*) AND max(across) BETWEEN 1e-9 AND 30000"""
+
+
 def join10_snap(spark, sf):
     nodes, _ = roads.driving_graph(_ways(spark, sf))
     o = observations(spark, sf).select(F.col("feature_id").alias("point_id"), "lon", "lat")
@@ -166,7 +180,7 @@ def pipe12_terrain(spark, sf):
 QUERIES = {
     "pipe6_roads": (pipe6_roads, PIPE6),
     "pipe7_graph": (pipe7_graph, f"WITH {_EDGES} SELECT src, dst, round(metres, 4) AS metres FROM edges"),
-    "pipe8_routes": (pipe8_routes, None),
+    "pipe8_routes": (pipe8_routes, PIPE8),
     "join10_snap": (join10_snap, f"WITH {_EDGES}, n AS (SELECT DISTINCT a AS id, lon1 AS lon, lat1 AS lat FROM d UNION SELECT DISTINCT b, lon2, lat2 FROM d), o AS ({OBS}), m AS (SELECT feature_id, min(6371008.8 * sqrt(pow(radians(n.lon - o.lon) * cos(radians((o.lat + n.lat) / 2)), 2) + pow(radians(n.lat - o.lat), 2))) AS d FROM o JOIN n ON abs(n.lat - o.lat) < 0.003 AND abs(n.lon - o.lon) < 0.003 GROUP BY 1) SELECT feature_id AS point_id, round(d, 4) AS metres FROM m WHERE d <= 250"),
     "join12_in_polygon": (join12_in_polygon, f"SELECT feature_id, s.k AS area_id FROM ({OBS}) o JOIN (SELECT s_suppkey AS k, {LON.format(k='s_suppkey')} AS x, {LAT.format(k='s_suppkey')} AS y FROM supplier) s ON o.lon > x - 0.004 AND o.lon < x + 0.004 AND o.lat > y - 0.003 AND o.lat < y + 0.003"),
     "fn14_clip": (fn14_clip, FN14),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fn
 from ..functions import geometry as g
-from ..functions.inputs import BUILDINGS, buildings, observations, placed, table
+from ..functions.inputs import BUILDINGS, OBS, buildings, observations, placed, table
 from ..operators import surfaces as op
 from ..scratch import Scratch, stored
 from ..sources import readers
@@ -25,6 +25,16 @@ o AS (SELECT e.g, ax, ay, bx, by_ FROM e JOIN p ON p.g = e.g GROUP BY ALL HAVING
 SELECT g AS category, count(*)::INT AS corners, round(6371008.8 * 6371008.8 / 2 * abs(sum(radians((bx - ax) / 100000.0::DOUBLE) * (2 + sin(radians(28.5 + ay / 100000.0::DOUBLE)) + sin(radians(28.5 + by_ / 100000.0::DOUBLE))))), 0) AS area FROM o GROUP BY g"""
 
 
+#: A node lies outside the hull if the samples' directions from it leave a gap of more than half a turn.
+_NODES = f"""WITH s AS (SELECT lon, lat, avg(value) AS v FROM ({OBS}) WHERE value IS NOT NULL GROUP BY ALL), k AS (SELECT k::INT AS k, k / 16.0::DOUBLE AS t FROM range(17) r(k)),
+x AS (SELECT min(lon) AS west, max(lon) AS east, min(lat) AS south, max(lat) AS north FROM s),
+g AS (SELECT r.k AS row, c.k AS col, west * (1 - c.t) + east * c.t AS x, south * (1 - r.t) + north * r.t AS y, cos(radians((south + north) / 2)) AS c FROM x, k r, k c),
+m AS (SELECT row, col, x, y, v, pow((x - lon) * c, 2) + pow(y - lat, 2) AS d, atan2(lat - y, lon - x) AS a FROM g, s),
+w AS (SELECT *, a - lag(a) OVER (PARTITION BY row, col ORDER BY a) AS gap FROM m),
+n AS (SELECT row, col, x AS lon, y AS lat, coalesce(max(v) FILTER (d < 1e-24), sum(v / d) FILTER (d >= 1e-24) / sum(1 / d) FILTER (d >= 1e-24)) AS value FROM w GROUP BY ALL HAVING bool_or(d < 1e-24) OR greatest(max(gap), min(a) + 2 * pi() - max(a)) <= pi() + 1e-9),
+q AS (SELECT a.row, a.col, [a, b, c, d] AS p FROM n a JOIN n b ON (b.row, b.col) = (a.row, a.col + 1) JOIN n c ON (c.row, c.col) = (a.row + 1, a.col + 1) JOIN n d ON (d.row, d.col) = (a.row + 1, a.col))"""
+
+
 def pipe4_surface(spark, sf):
     n = op.surface_nodes(observations(spark, sf), "value")
     return op.surface_cells(n).select("row", "col", F.round("value", 4).alias("value"))
@@ -32,7 +42,23 @@ def pipe4_surface(spark, sf):
 
 def pipe5_contours(spark, sf):
     n = op.surface_nodes(observations(spark, sf), "value")
-    return op.contours(stored(n)).select("level_index", "row", "col", "part", F.round("level", 4).alias("level"), *(F.round(f"{p}.{c}", 6).alias(f"{p}_{c}") for p in "ab" for c in ("lon", "lat")))
+    return op.contours(stored(n)).select("level_index", "row", "col", "part", F.round("level", 4).alias("level"), *(F.round(f"{p}.{c}", 9).alias(f"{p}_{c}") for p in "ab" for c in ("lon", "lat")))
+
+
+def _crossing(i: int) -> str:
+    """SQL of the point where an edge of a cell meets the level."""
+    a, b = f"p[{i + 1}]", f"p[{(i + 1) % 4 + 1}]"
+    t = f"((level - {a}.value) / ({b}.value - {a}.value))"
+    at = ", ".join(f"'{c}': {a}.{c} * (1 - {t}) + {b}.{c} * {t}" for c in ("lon", "lat"))
+    return f"CASE WHEN ({a}.value >= level) <> ({b}.value >= level) THEN {{{at}}} END"
+
+
+PIPE5 = f"""{_NODES}, z AS (SELECT min(value) AS lo, max(value) AS hi FROM n), l AS (SELECT k::INT AS level_index, lo * (1 - (k + 1) / 8.0::DOUBLE) + hi * ((k + 1) / 8.0::DOUBLE) AS level FROM z, range(7) r(k) WHERE lo < hi),
+e AS (SELECT row, col, level_index, level, (p[1].value - level) * (p[3].value - level) - (p[2].value - level) * (p[4].value - level) >= 0 AS joined, [{", ".join(map(_crossing, range(4)))}] AS e FROM q, l),
+f AS (SELECT *, list_filter(e, lambda v: v IS NOT NULL) AS f FROM e), i AS (SELECT *, CASE WHEN len(f) = 2 THEN [f] WHEN len(f) = 4 AND joined THEN [e[1:2], e[3:4]] WHEN len(f) = 4 THEN [[e[4], e[1]], e[2:3]] END AS parts FROM f),
+o AS (SELECT *, unnest(parts) AS s, generate_subscripts(parts, 1)::INT - 1 AS part FROM i)
+SELECT level_index, row, col, part, round(level, 4) AS level, {", ".join(f"round({w.format(f's[{k}].{c}')}, 9) AS {'ab'[k - 1]}_{c}" for k in (1, 2) for c, w in (("lon", "(({} + 180) % 360 - 180)"), ("lat", "{}")))}
+FROM o WHERE sqrt(pow(s[1].lon - s[2].lon, 2) + pow(s[1].lat - s[2].lat, 2)) >= 1e-14"""
 
 
 def fil10_valid(spark, sf):
@@ -70,8 +96,8 @@ def str1_places(spark, sf):
 
 QUERIES = {
     "agg14_hulls": (agg14_hulls, AGG14),
-    "pipe4_surface": (pipe4_surface, None),
-    "pipe5_contours": (pipe5_contours, None),
+    "pipe4_surface": (pipe4_surface, f"{_NODES} SELECT row, col, round((p[1].value + p[2].value + p[3].value + p[4].value) / 4, 4) AS value FROM q"),
+    "pipe5_contours": (pipe5_contours, PIPE5),
     "fil10_valid": (fil10_valid, "SELECT p_partkey AS feature_id, CASE WHEN p_partkey % 7 = 0 THEN 'edges meet' WHEN p_partkey % 11 = 0 THEN 'open ring' ELSE 'no area' END AS reason FROM part WHERE p_partkey % 7 = 0 OR p_partkey % 11 = 0 OR p_partkey % 13 = 0"),
     "fn18_rings": (fn18_rings, f"SELECT k AS relation_id, CASE WHEN k % 6 = 0 THEN 2 ELSE 1 END AS rings, 5 AS n, round((e - w) * (n - so) * pow(pi() * 6371008.8 / 180, 2) * cos(radians((so * 3 + n * 2) / 5)), 2) AS area FROM ({BUILDINGS}) WHERE k % 10 <> 0"),
     "str1_places": (str1_places, f"WITH p AS (SELECT c_custkey AS c, c_custkey // 2 AS k, c_custkey % 3 AS b FROM customer), q AS (SELECT x.c AS a, y.c AS o FROM p x JOIN p y ON x.k = y.k AND x.c <> y.c AND (y.b < x.b OR (y.b = x.b AND y.c < x.c))) SELECT printf('p%07d', a) AS place_id, printf('p%07d', o) AS canonical_id FROM q"),
