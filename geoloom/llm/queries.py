@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, bpe, containment, jaccard_join, language_id, quality_crf, quality_rules, secrets, sharding, token_counts
+from . import archives, bpe, containment, jaccard_join, language_id, manifest, personal, quality_crf, quality_rules, secrets, sharding, token_counts
 
 _MODULES = {
     "op1_token_counts": token_counts,
@@ -15,6 +15,8 @@ _MODULES = {
     "op8_jaccard_join": jaccard_join,
     "op9_decontaminate": containment,
     "op10_quality_rules": quality_rules,
+    "op11_personal_data": personal,
+    "op13_manifest": manifest,
 }
 
 
