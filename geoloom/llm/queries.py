@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, bpe, containment, jaccard_join, language_id, manifest, personal, quality_crf, quality_rules, secrets, sharding, token_counts
+from . import archives, bpe, containment, hard_negatives, jaccard_join, language_id, manifest, personal, quality_crf, quality_rules, secrets, sharding, token_counts
 
 _MODULES = {
     "op1_token_counts": token_counts,
@@ -16,6 +16,7 @@ _MODULES = {
     "op9_decontaminate": containment,
     "op10_quality_rules": quality_rules,
     "op11_personal_data": personal,
+    "op12_hard_negatives": hard_negatives,
     "op13_manifest": manifest,
 }
 
