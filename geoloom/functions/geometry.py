@@ -103,22 +103,23 @@ def polygon_area(polygon: Column) -> Column:
     return F.greatest(F.lit(0.0), ring_area(polygon[0]) - _sum(holes, ring_area))
 
 
-def _on_edge(lon: Column, lat: Column, s: Column) -> Column:
+def on_edge(lon: Column, lat: Column, s: Column) -> Column:
     a, b = s["a"], s["b"]
     c = (b["lon"] - a["lon"]) * (lat - a["lat"]) - (b["lat"] - a["lat"]) * (lon - a["lon"])
     return (F.abs(c) < 1e-12) & lon.between(F.least(a["lon"], b["lon"]), F.greatest(a["lon"], b["lon"])) & lat.between(F.least(a["lat"], b["lat"]), F.greatest(a["lat"], b["lat"]))
 
 
+def edge_crosses(lon: Column, lat: Column, s: Column) -> Column:
+    """Whether the ray to the east from a position crosses an edge."""
+    a, b = s["a"], s["b"]
+    return F.when((a["lat"] > lat) != (b["lat"] > lat), lon < (b["lon"] - a["lon"]) * (lat - a["lat"]) / (b["lat"] - a["lat"]) + a["lon"]).otherwise(False)
+
+
 def point_in_ring(lon, lat, ring: Column, boundary: bool = False) -> Column:
     """Even-odd rule; points on the boundary are inside or outside as asked for."""
     lon, lat = _c(lon), _c(lat)
-
-    def crosses(s: Column) -> Column:
-        a, b = s["a"], s["b"]
-        return F.when((a["lat"] > lat) != (b["lat"] > lat), lon < (b["lon"] - a["lon"]) * (lat - a["lat"]) / (b["lat"] - a["lat"]) + a["lon"]).otherwise(False)
-
-    odd = F.aggregate(pairs(ring), F.lit(False), lambda acc, s: acc != crosses(s))
-    return F.when(F.exists(pairs(ring), lambda s: _on_edge(lon, lat, s)), F.lit(boundary)).otherwise(odd)
+    odd = F.aggregate(pairs(ring), F.lit(False), lambda acc, s: acc != edge_crosses(lon, lat, s))
+    return F.when(F.exists(pairs(ring), lambda s: on_edge(lon, lat, s)), F.lit(boundary)).otherwise(odd)
 
 
 def point_in_polygon(lon, lat, polygon: Column, boundary: bool = False) -> Column:

@@ -8,8 +8,7 @@ from ..functions import columns as fn
 from ..functions import geometry as g
 from ..functions.columns import DRIVE_SPEED
 from ..functions.inputs import LAT, LON, OBS, observations, placed, table
-from ..operators import raster, roads
-from ..operators.places import near_pairs
+from ..operators import areas, raster, roads
 
 SIDE = 40
 #: Keys of a block of SIDE by SIDE nodes.
@@ -120,11 +119,53 @@ def fn23_phrase(spark, sf):
 
 
 def join12_in_polygon(spark, sf):
-    """Points in boxes around suppliers, found by cells and the even-odd rule."""
-    s = placed(table(spark, sf, "supplier"), "s_suppkey").select("s_suppkey", "lon", "lat")
-    hit = near_pairs(observations(spark, sf).select("feature_id", "lon", "lat"), s, 600, 40)
-    ring = g.ring_of(F.col("r.lon") - 0.004, F.col("r.lat") - 0.003, F.col("r.lon") + 0.004, F.col("r.lat") + 0.003)
-    return hit.where(g.point_in_polygon("l.lon", "l.lat", F.array(ring))).select(F.col("l.feature_id").alias("feature_id"), F.col("r.s_suppkey").alias("area_id"))
+    """Points in boxes around suppliers."""
+    s = placed(table(spark, sf, "supplier"), "s_suppkey")
+    ring = g.ring_of(F.col("lon") - 0.004, F.col("lat") - 0.003, F.col("lon") + 0.004, F.col("lat") + 0.003)
+    boxes = s.select(F.col("s_suppkey").alias("area_id"), F.array(F.array(ring)).alias("parts"))
+    return areas.in_polygons(observations(spark, sf).select("feature_id", "lon", "lat"), boxes, "area_id").select("feature_id", "area_id")
+
+
+def _shapes(spark, sf):
+    """An area a supplier, of 0.0004 to 0.12 degrees, its corners on the grid of the positions: a box, a box
+    with a hole, a comb of 3 to 22 teeth, or a triangle and a box apart."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
+    s = s.withColumns({"i": F.col("k") * 7919 % 20000, "j": F.col("k") * 104729 % 15000, "h": F.when(F.col("k") % 25 == 3, F.lit(6000)).otherwise(20 + F.col("k") * F.col("k") % 37 * (F.col("k") % 5 + 1) * 10), "teeth": 3 + F.col("k") % 20})
+    i, j, h, half, wide = F.col("i"), F.col("j"), F.col("h"), F.floor(F.col("h") / 2), F.floor(F.col("h") / F.col("teeth"))
+    at = lambda x, y: g.vertex(77.0 + x / F.lit(100000.0), 28.5 + y / F.lit(100000.0))
+    box = lambda w, so, e, n: F.array(at(w, so), at(e, so), at(e, n), at(w, n), at(w, so))
+    tooth = lambda t: F.array(at(i - h + 2 * t * wide, j + h), at(i - h + (2 * t + 1) * wide, j + h), at(i - h + (2 * t + 1) * wide, j), at(i - h + (2 * t + 2) * wide, j))
+    comb = F.concat(F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("teeth") - 1), tooth)), F.array(at(i - h + 2 * F.col("teeth") * wide, j - h), at(i - h, j - h), at(i - h, j + h)))
+    whole, hole, triangle = box(i - h, j - h, i + h, j + h), box(i - half, j - half, i + half, j + half), F.array(at(i - h, j - h), at(i, j - h), at(i - h, j + h), at(i - h, j - h))
+    kind = F.col("k") % 4
+    parts = F.when(kind == 0, F.array(F.array(whole))).when(kind == 1, F.array(F.array(whole, hole))).when(kind == 2, F.array(F.array(comb))).otherwise(F.array(F.array(triangle), F.array(box(i + 1, j - h, i + h, j + h))))
+    return s.select(F.col("k").alias("area_id"), parts.alias("parts"))
+
+
+_AT = lambda x, y: f"{{'x': 77.0::DOUBLE + ({x}) / 100000.0::DOUBLE, 'y': 28.5::DOUBLE + ({y}) / 100000.0::DOUBLE}}"
+_BOX = lambda w, so, e, n: "[" + ", ".join((_AT(w, so), _AT(e, so), _AT(e, n), _AT(w, n), _AT(w, so))) + "]"
+_TOOTH = "[" + ", ".join((_AT("i - h + 2 * t * w", "j + h"), _AT("i - h + (2 * t + 1) * w", "j + h"), _AT("i - h + (2 * t + 1) * w", "j"), _AT("i - h + (2 * t + 2) * w", "j"))) + "]"
+JOIN12 = f"""
+WITH s0 AS (SELECT s_suppkey AS k, s_suppkey * 7919 % 20000 AS i, s_suppkey * 104729 % 15000 AS j, CASE WHEN s_suppkey % 25 = 3 THEN 6000 ELSE 20 + s_suppkey * s_suppkey % 37 * (s_suppkey % 5 + 1) * 10 END AS h, 3 + s_suppkey % 20 AS teeth FROM supplier),
+s AS (SELECT *, h // 2 AS half, h // teeth AS w FROM s0),
+r AS (SELECT k, {_BOX("i - h", "j - h", "i + h", "j + h")} AS ring FROM s WHERE k % 4 < 2
+  UNION ALL SELECT k, {_BOX("i - half", "j - half", "i + half", "j + half")} FROM s WHERE k % 4 = 1
+  UNION ALL SELECT k, list_concat(flatten(list_transform(range(0, teeth), lambda t: {_TOOTH})), [{_AT("i - h + 2 * teeth * w", "j - h")}, {_AT("i - h", "j - h")}, {_AT("i - h", "j + h")}]) FROM s WHERE k % 4 = 2
+  UNION ALL SELECT k, [{_AT("i - h", "j - h")}, {_AT("i", "j - h")}, {_AT("i - h", "j + h")}, {_AT("i - h", "j - h")}] FROM s WHERE k % 4 = 3
+  UNION ALL SELECT k, {_BOX("i + 1", "j - h", "i + h", "j + h")} FROM s WHERE k % 4 = 3),
+e AS (SELECT k, ring[n].x AS x1, ring[n].y AS y1, ring[n + 1].x AS x2, ring[n + 1].y AS y2 FROM (SELECT k, ring, unnest(range(1, len(ring))) AS n FROM r)),
+b AS (SELECT k, min(x1) AS w, max(x1) AS ea, min(y1) AS so, max(y1) AS n FROM e GROUP BY k),
+p AS (SELECT feature_id, lon, lat, k FROM ({OBS}) JOIN b ON lon BETWEEN w AND ea AND lat BETWEEN so AND n),
+t AS (SELECT feature_id, p.k, bool_or(abs((x2 - x1) * (lat - y1) - (y2 - y1) * (lon - x1)) < 1e-12 AND lon BETWEEN least(x1, x2) AND greatest(x1, x2) AND lat BETWEEN least(y1, y2) AND greatest(y1, y2)) AS on_boundary,
+      count(*) FILTER ((y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1) AS crossed FROM p JOIN e USING (k) GROUP BY ALL)
+SELECT feature_id, k AS area_id, on_boundary FROM t WHERE on_boundary OR crossed % 2 = 1
+"""
+
+
+def join12_polygons(spark, sf):
+    """Points in areas of very unequal sizes, those on a boundary told apart."""
+    points = observations(spark, sf).select("feature_id", "lon", "lat")
+    return areas.in_polygons(points, _shapes(spark, sf), "area_id", boundary=True).select("feature_id", "area_id", "on_boundary")
 
 
 # Rasters: line items give a band of 400 columns
@@ -183,6 +224,7 @@ QUERIES = {
     "pipe8_routes": (pipe8_routes, PIPE8),
     "join10_snap": (join10_snap, f"WITH {_EDGES}, n AS (SELECT DISTINCT a AS id, lon1 AS lon, lat1 AS lat FROM d UNION SELECT DISTINCT b, lon2, lat2 FROM d), o AS ({OBS}), m AS (SELECT feature_id, min(6371008.8 * sqrt(pow(radians(n.lon - o.lon) * cos(radians((o.lat + n.lat) / 2)), 2) + pow(radians(n.lat - o.lat), 2))) AS d FROM o JOIN n ON abs(n.lat - o.lat) < 0.003 AND abs(n.lon - o.lon) < 0.003 GROUP BY 1) SELECT feature_id AS point_id, round(d, 4) AS metres FROM m WHERE d <= 250"),
     "join12_in_polygon": (join12_in_polygon, f"SELECT feature_id, s.k AS area_id FROM ({OBS}) o JOIN (SELECT s_suppkey AS k, {LON.format(k='s_suppkey')} AS x, {LAT.format(k='s_suppkey')} AS y FROM supplier) s ON o.lon > x - 0.004 AND o.lon < x + 0.004 AND o.lat > y - 0.003 AND o.lat < y + 0.003"),
+    "join12_polygons": (join12_polygons, JOIN12),
     "fn14_clip": (fn14_clip, FN14),
     "agg15_coverage": (agg15_coverage, f"WITH {_W}, c AS (SELECT greatest(lon1, 77.0053) AS lon1, greatest(lat1, 28.5027) AS lat1, least(lon2, 77.0218) AS lon2, least(lat2, 28.5204) AS lat2 FROM v WHERE highway <> 'footway'), r AS (SELECT count(*) AS parts FROM c WHERE lon1 <= lon2 AND lat1 <= lat2 AND (lon1 < lon2 OR lat1 < lat2)) SELECT (SELECT count(*) FROM v) AS source_ways, (SELECT 2 * count(*) FROM v) AS source_positions, 0 AS invalid_positions, parts, 2 * parts AS positions FROM r"),
     "win6_labels": (win6_labels, f"WITH {_W} SELECT k AS input_pos, CASE WHEN row_number() OVER (PARTITION BY name ORDER BY k) = 1 THEN name ELSE '' END AS label FROM w"),
