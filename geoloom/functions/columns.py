@@ -165,6 +165,14 @@ def same_place_name(a, b) -> Column:
     return (a == b) | goes_on
 
 
+def name_stem(name) -> Column:
+    """What all names that may say the same have in common: two words or more before the first locality word
+    after them, or the whole name."""
+    words = F.split(_c(name), " ")
+    at = F.filter(F.sequence(F.lit(2), F.greatest(F.size(words) - 1, F.lit(2))), lambda k: F.get(words, k).isin(*LOCALITY_WORDS))
+    return F.when(F.size(at) > 0, F.array_join(F.slice(words, 1, F.get(at, F.lit(0))), " ")).otherwise(_c(name))
+
+
 def phrase_match(text, phrase: str) -> Column:
     """The phrase occurs as whole words, in either case, with any white space between them."""
     quoted = r"\s+".join("\\Q" + w.replace("\\E", "\\E\\\\E\\Q") + "\\E" for w in phrase.split())

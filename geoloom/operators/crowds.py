@@ -16,7 +16,10 @@ def split_keys(left: DataFrame, right: DataFrame, keys: list[str], most: int | N
     split, and there are no more crowded keys than rows on the left / most."""
     most = most or MOST_ROWS
     crowded = left.groupBy(*keys).count().where(F.col("count") > most).select(*(F.col(k).alias(f"_{k}") for k in keys), F.ceil(F.col("count") / most).cast("int").alias("_splits"))
-    if crowded.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+    found = crowded.limit(BROADCAST_KEYS + 1).count()
+    if not found:
+        return left.withColumn("_split", F.lit(0)), right.withColumn("_split", F.lit(0))
+    if found <= BROADCAST_KEYS:
         crowded = F.broadcast(crowded)
     met = [F.col(k) == F.col(f"_{k}") for k in keys]
     names = [f"_{k}" for k in keys]

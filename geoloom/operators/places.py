@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import dedup_distance, distance, same_place_name, text_key
+from ..functions.columns import DEDUP_METRES_PER_DEGREE, LOCALITY_WORDS, dedup_distance, distance, name_stem, same_place_name, text_key
 from ..scratch import Scratch
+from .crowds import split_keys
+from .graphs import connected
 
 # Fixed values that results depend on.
 DEDUP_METRES = 35
@@ -30,6 +33,10 @@ TAXONOMY = (
     (("attraction", "attractions", "landmark", "landmarks"), (("tourism", "attraction"),)),
 )
 
+#: Places of a group that one task decides.
+GROUP_PLACES = 200_000
+
+
 def cell_width(row: Column, step: float) -> Column:
     """Degrees of longitude of the cells of a row of the lattice, at least `step` degrees of latitude wide also
     at the far edge of the row beside it."""
@@ -37,59 +44,154 @@ def cell_width(row: Column, step: float) -> Column:
     return F.lit(step) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-9))
 
 
-def near_pairs(left: DataFrame, right: DataFrame, metres: float, max_latitude: float | None = None) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, metres: float, max_latitude: float | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (l, r: structs of the rows) whose cells touch: cells have a side of `metres` at least, one side
-    takes the nine cells around, and cells are joined by equality. Cells are as wide as their row needs, or all
-    as wide as max_latitude needs where rows are known to lie below it. A residual distance is up to the caller."""
+    takes the nine cells around, and cells are joined by equality, as are the columns of `also`. Cells are as
+    wide as their row needs, or all as wide as max_latitude needs where rows are known to lie below it. Crowded
+    cells are dealt over tasks. A residual distance is up to the caller."""
     step = metres / 111_320 * 1.001
     wide = lambda row: cell_width(row, step) if max_latitude is None else F.lit(step / max(0.1, math.cos(math.radians(max_latitude))))
     cy = F.floor(F.col("lat") / step)
     cx = lambda row: F.floor(F.col("lon") / wide(row))
-    a = left.select(F.struct("*").alias("l"), cx(cy).alias("cx"), cy.alias("cy"))
+    keys = [f"_k{n}" for n in range(len(also))]
+    named = [F.col(c).alias(k) for c, k in zip(also, keys, strict=True)]
+    a = left.select(F.struct("*").alias("l"), cx(cy).alias("cx"), cy.alias("cy"), *named)
     around = F.explode(F.array(*(F.struct((cx(cy + dy) + dx).alias("cx"), (cy + dy).alias("cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
-    b = right.select(F.struct("*").alias("r"), around.alias("c")).select("r", "c.cx", "c.cy")
-    return a.join(b, ["cx", "cy"]).select("l", "r")
+    b = right.select(F.struct("*").alias("r"), around.alias("c"), *named).select("r", "c.cx", "c.cy", *keys)
+    a, b = split_keys(a, b, ["cx", "cy", *keys], by=F.xxhash64(F.to_json("l")))
+    return a.join(b, ["cx", "cy", *keys, "_split"]).select("l", "r")
 
 
 def same_places(places: DataFrame, max_latitude: float | None = None) -> DataFrame:
     """(place_id, other_id) of pairs within 35 m whose names say the same, other being earlier in
     (created_at, place_id). Rows need normalized_name."""
-    p = places.select("place_id", "normalized_name", "lon", "lat", "created_at")
-    pairs = near_pairs(p, p, DEDUP_METRES, max_latitude)
+    p = places.select("place_id", "normalized_name", "lon", "lat", "created_at", name_stem("normalized_name").alias("stem"))
+    pairs = near_pairs(p, p, DEDUP_METRES, max_latitude, ("stem",))
     earlier = F.struct("r.created_at", "r.place_id") < F.struct("l.created_at", "l.place_id")
     close = dedup_distance(F.col("l.lon"), F.col("l.lat"), F.col("r.lon"), F.col("r.lat")) <= DEDUP_METRES
     return pairs.where(earlier & close & same_place_name(F.col("l.normalized_name"), F.col("r.normalized_name"))).select(F.col("l.place_id").alias("place_id"), F.col("r.place_id").alias("other_id"))
 
 
+class _Chosen:
+    """The canonical places of a group so far, by cell and by what they may be called."""
+
+    def __init__(self) -> None:
+        self.step, self.cells = DEDUP_METRES / 111_320 * 1.001, {}
+
+    def _cell(self, lon: float, row: int) -> int:
+        edge = min(90.0, (max(abs(row), abs(row + 1)) + 1) * self.step)
+        return math.floor(lon / (self.step / max(math.cos(math.radians(edge)), 1e-9)))
+
+    @staticmethod
+    def _starts(name: str) -> list[str]:
+        """The shorter names that this one goes on from."""
+        words = name.split(" ")
+        return [" ".join(words[:k]) for k in range(2, len(words)) if words[k] in LOCALITY_WORDS]
+
+    def first(self, name: str, lon: float, lat: float) -> str | None:
+        row, best = math.floor(lat / self.step), None
+        called = [("is", name), ("from", name), *(("is", n) for n in self._starts(name))]
+        for y in (row - 1, row, row + 1):
+            x = self._cell(lon, y)
+            for cell in ((x - 1, y), (x, y), (x + 1, y)):
+                for how in called if cell in self.cells else ():
+                    for at, other_lon, other_lat, ident in self.cells[cell].get(how, ()):
+                        if best is not None and at > best[0]:
+                            break
+                        east = (lon - other_lon) * DEDUP_METRES_PER_DEGREE * math.cos(math.radians((lat + other_lat) / 2))
+                        if math.hypot((lat - other_lat) * DEDUP_METRES_PER_DEGREE, east) <= DEDUP_METRES:
+                            best = (at, ident)
+                            break
+        return best[1] if best else None
+
+    def add(self, at: int, name: str, lon: float, lat: float, ident: str) -> None:
+        row = math.floor(lat / self.step)
+        names = self.cells.setdefault((self._cell(lon, row), row), {})
+        for how in [("is", name), *(("from", n) for n in self._starts(name))]:
+            names.setdefault(how, []).append((at, lon, lat, ident))
+
+
+def _greedy(group: pd.DataFrame) -> pd.DataFrame:
+    """Of one group's places, in order: the first canonical one that each matches, or itself."""
+    chosen, out = _Chosen(), []
+    group = group.sort_values(["created_at", "place_id"])
+    for at, (ident, name, lon, lat) in enumerate(zip(group["place_id"], group["normalized_name"], group["lon"], group["lat"], strict=True)):
+        to = chosen.first(name, lon, lat)
+        if to is None:
+            chosen.add(at, name, lon, lat, ident)
+        out.append(to or ident)
+    return pd.DataFrame({"place_id": group["place_id"], "canonical_id": out})
+
+
+def _groups(places: DataFrame, scratch: Scratch) -> DataFrame:
+    """places with group: no place matches one of another group. Cells of one stem of names are joined with
+    the occupied cells around them, and connected; no pair of places is formed."""
+    step = DEDUP_METRES / 111_320 * 1.001
+    y = F.floor(F.col("lat") / step)
+    x = lambda lon, row: F.floor(lon / cell_width(row, step))
+    p = places.withColumns({"y": y, "x": x(F.col("lon"), y), "stem": name_stem("normalized_name")})
+    node = lambda x, y: F.xxhash64("stem", x, y)
+    cells = scratch.written(p.select("stem", "x", "y").distinct(), "cells")
+    sides = [(F.col("x") + k) * cell_width(F.col("y"), step) for k in (0, 1)]
+    beside = F.explode(F.array(F.struct(F.col("y").alias("y"), (F.col("x") + 1).alias("low"), (F.col("x") + 1).alias("high")), F.struct((F.col("y") + 1).alias("y"), (x(sides[0], F.col("y") + 1) - 1).alias("low"), (x(sides[1], F.col("y") + 1) + 1).alias("high"))))
+    near = cells.select("stem", node("x", "y").alias("a"), beside.alias("n")).select("stem", "a", "n.y", F.explode(F.sequence("n.low", "n.high")).alias("x"))
+    edges = near.join(cells, ["stem", "x", "y"], "left_semi").select("a", node("x", "y").alias("b"))
+    roots = connected(edges, scratch)
+    met = scratch.written(roots, "roots")
+    left, right = split_keys(p.withColumn("node", node("x", "y")), met, ["node"], by=F.xxhash64("place_id"))
+    return left.join(right, ["node", "_split"], "left").select(*places.columns, F.coalesce("root", "node").alias("group"))
+
+
 def canonical_places(places: DataFrame, max_latitude: float | None = None) -> DataFrame:
     """(place_id, canonical_id): in (created_at, place_id) order a place is canonical unless it matches an
     earlier canonical one, of which the first is its canonical. Not components: of A~B~C with A and C apart,
-    A and C are canonical. A round decides all places whose earlier neighbours are decided, at least the
-    earliest of those left, so that there are as many rounds as the longest chain of decisions has places;
-    rounds keep only what is still open."""
+    A and C are canonical.
+
+    Places of one name and position take the decision of the earliest of them. The others are told apart into
+    groups that can't match each other, each of which one task goes through in order; its canonical places lie
+    in an index by cell and name, so that no pairs are formed. Groups of more than GROUP_PLACES are decided in
+    rounds over pairs instead, by all tasks. Places without a name or a position are canonical."""
+    scratch = Scratch(places.sparkSession)
+    columns = ["place_id", "normalized_name", "lon", "lat", "created_at"]
+    some = places.select(*columns).where("normalized_name IS NOT NULL AND lon IS NOT NULL AND lat IS NOT NULL")
+    first = some.groupBy("normalized_name", "lon", "lat").agg(F.min(F.struct("created_at", "place_id")).alias("r")).select("r.place_id", "normalized_name", "lon", "lat", "r.created_at")
+    grouped = scratch.written(_groups(scratch.written(first, "first"), scratch), "grouped")
+    large = scratch.written(grouped.groupBy("group").count().where(F.col("count") > GROUP_PLACES), "large").select("group")
+    kinds = {f.name: f.dataType.simpleString() for f in places.select("place_id").schema}
+    decided = grouped.join(large, "group", "left_anti").groupBy("group").applyInPandas(_greedy, f"place_id {kinds['place_id']}, canonical_id {kinds['place_id']}")
+    if not large.isEmpty():
+        decided = decided.unionByName(in_rounds(grouped.join(large, "group", "left_semi").select(*columns), max_latitude))
+    decided = scratch.written(decided, "decided")
+    to = decided.join(first.select("place_id", "normalized_name", "lon", "lat"), "place_id").select("canonical_id", *(F.col(c).alias(f"_{c}") for c in ("normalized_name", "lon", "lat")))
+    keys = ["_normalized_name", "_lon", "_lat"]
+    named = some.select("place_id", *(F.col(c[1:]).alias(c) for c in keys))
+    left, right = split_keys(named, to, keys, by=F.xxhash64("place_id"))
+    known = left.join(right, [*keys, "_split"]).select("place_id", "canonical_id")
+    none = places.where("normalized_name IS NULL OR lon IS NULL OR lat IS NULL").select("place_id", F.col("place_id").alias("canonical_id"))
+    return known.unionByName(none)
+
+
+def in_rounds(places: DataFrame, max_latitude: float | None = None) -> DataFrame:
+    """The same by rounds over all pairs that match: a round decides all places whose earlier neighbours are
+    decided, at least the earliest of those left, so that there are as many rounds as the longest chain of
+    decisions has places; rounds keep only what is still open."""
     scratch = Scratch(places.sparkSession)
     order = places.select(F.col("place_id").alias("other_id"), F.struct("created_at", "place_id").alias("rank"))
     edges = scratch.written(same_places(places, max_latitude).join(order, "other_id"), "edges")
     # Places with no earlier neighbour are canonical; what a round decides is written as one more part.
     first = edges.select(F.col("other_id").alias("place_id")).distinct().join(edges.select("place_id"), "place_id", "left_anti").withColumn("canonical", F.lit(True))
-    new, left, parts = scratch.written(first, "decided-0"), edges, []
-    while left.limit(1).count():
-        k = len(parts)
-        parts.append(new)
+    new, left, k = scratch.written(first, "rounds/part=0"), edges, 0
+    while not left.isEmpty():
         # Of an open place, the decided neighbours that are canonical settle it; the others no longer count.
         seen = left.join(new.select(F.col("place_id").alias("other_id"), "canonical"), "other_id", "left")
         state = seen.groupBy("place_id").agg(F.bool_or(F.coalesce("canonical", F.lit(False))).alias("hit"), F.bool_or(F.col("canonical").isNull()).alias("waits"))
-        new = scratch.written(state.where("hit OR NOT waits").select("place_id", (~F.col("hit")).alias("canonical")), f"decided-{k + 1}")
+        k += 1
+        new = scratch.written(state.where("hit OR NOT waits").select("place_id", (~F.col("hit")).alias("canonical")), f"rounds/part={k}")
         rest = seen.where("canonical IS NULL").select("place_id", "other_id").join(new.select("place_id"), "place_id", "left_anti")
-        left = scratch.written(rest, f"left-{k + 1}")
-        if k:
-            scratch.remove(f"left-{k}")
-    parts.append(new)
-    decided = parts[0]
-    for part in parts[1:]:
-        decided = decided.unionByName(part)
-    decided = scratch.written(decided, "decided")
-    scratch.remove(*(f"decided-{k}" for k in range(len(parts))))
+        left = scratch.written(rest, f"left-{k}")
+        if k > 1:
+            scratch.remove(f"left-{k - 1}")
+    decided = places.sparkSession.read.schema(new.schema).parquet(scratch.path("rounds"))
     alias = edges.join(decided.where("canonical").select(F.col("place_id").alias("other_id")), "other_id").groupBy("place_id").agg(F.min_by("other_id", "rank").alias("to"))
     alias = alias.join(decided.where("NOT canonical").select("place_id"), "place_id", "left_semi")
     return places.select("place_id").join(alias, "place_id", "left").select("place_id", F.coalesce("to", "place_id").alias("canonical_id"))
