@@ -10,7 +10,7 @@ from ..functions.inputs import BUILDINGS, OBS, buildings, observations, placed,
 from ..operators import surfaces as op
 from ..scratch import Scratch, stored
 from ..sources import readers
-from ..streaming.places import PlaceStore
+from ..streaming.places import PlaceStore, ingest
 
 
 def agg14_hulls(spark, sf):
@@ -85,12 +85,15 @@ def fn18_rings(spark, sf):
 
 
 def str1_places(spark, sf):
-    """Three batches of places, one after the other, against a store."""
+    """A stream of places: a third of them arrives, and is ingested, before the next one does."""
     c = table(spark, sf, "customer").withColumn("k", F.floor(F.col("c_custkey") / 2))
     p = placed(c, "k").select(F.format_string("p%07d", "c_custkey").alias("place_id"), F.concat(F.lit("Block "), "k").alias("name"), fn.ascii_key(F.concat(F.lit("Block "), "k")).alias("normalized_name"), (F.col("lon") + (F.col("c_custkey") % 2) * 0.0001).alias("lon"), "lat", F.col("c_custkey").alias("created_at"))
-    store = PlaceStore(spark, Scratch(spark).path("places"))
+    scratch = Scratch(spark)
+    store = PlaceStore(spark, scratch.path("store"))
     for k in range(3):
-        store.add(p.where(F.col("created_at") % 3 == k), k)
+        p.where(F.col("created_at") % 3 == k).write.parquet(scratch.path(f"arrivals/{k}"))
+        stream = spark.readStream.schema(p.schema).parquet(scratch.path("arrivals/*"))
+        ingest(stream, store, scratch.path("checkpoint")).awaitTermination()
     return store.aliases(2)
 
 

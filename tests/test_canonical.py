@@ -46,6 +46,7 @@ def crowd(n, seed, lat=28.5, metres=250):
 
 def test_a_chain_of_ten_thousand(spark, monkeypatch):
     """Each place matches the next one only; the rounds that connect them grow as a logarithm."""
+    monkeypatch.setattr(graphs, "ONE_TASK", 0)
     monkeypatch.setattr(places, "connected", lambda edges, scratch: graphs.connected(edges, scratch, 20))
     rows = [(f"c{k:05d}", "green park", 0.0, k * 30 * METRE, k) for k in range(10_000)]
     assert got(spark, rows) == {f"c{k:05d}": f"c{k - k % 2:05d}" for k in range(10_000)}
@@ -72,3 +73,19 @@ def test_large_groups_by_rounds(spark, monkeypatch):
     want = plain(rows)
     monkeypatch.setattr(places, "GROUP_PLACES", 30)
     assert got(spark, rows, max_latitude=40) == want
+
+
+def test_components_in_one_task_and_in_rounds(spark, tmp_path, monkeypatch):
+    from geoloom.scratch import Scratch
+
+    dice = random.Random(2)
+    pairs = [(dice.randrange(400), dice.randrange(400)) for _ in range(180)] + [(k, k + 1) for k in range(500, 600)] + [(7, 7)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    root = {}
+    for a, b in pairs * 400:
+        if a != b:
+            root[a] = root[b] = min(root.get(a, a), root.get(b, b))
+    for most in (100_000, 0):
+        monkeypatch.setattr(graphs, "ONE_TASK", most)
+        assert {r.node: r.root for r in graphs.connected(edges, Scratch(spark)).collect()} == root
+        assert graphs.connected(edges.where("a = b"), Scratch(spark)).count() == 0
