@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import DRIVE_SPEED, distance, phrase_match
 from ..functions.geometry import clip_line, pairs, valid_vertex
 from ..scratch import Scratch, stored
+from .overlay import distances, overlay
 from .places import near_pairs
 
 DRIVABLE = ("motorway", "trunk", "primary", "secondary", "tertiary", "unclassified", "residential", "living_street", "service")
@@ -78,6 +79,12 @@ def grid_cell(node: Column) -> Column:
     return F.concat_ws(",", at(1), at(2))
 
 
+def grid_place(node: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of a node of driving_graph."""
+    at = lambda k: F.element_at(F.split(node, ","), k).cast("long") / 1e7
+    return at(1), at(2)
+
+
 def _settle(state: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     """What falls when the nodes of one cell whose distance fell are relaxed, for each leg: nodes of the cell,
     relaxed in their turn, and nodes next to it, which are open. Distances beyond the leg's goal don't count."""
@@ -184,17 +191,8 @@ def routes(waypoints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFram
     pts = w.join(snapped(w, nodes), "point_id", "left")
     legs = pts.select("route_id", "pos", F.col("node_id").alias("start"), F.col("metres").alias("from_metres"), F.lead("node_id").over(order).alias("goal"), F.lead("metres").over(order).alias("to_metres"), F.lead("pos").over(order).alias("next"), "lon", "lat", F.lead("lon").over(order).alias("lon2"), F.lead("lat").over(order).alias("lat2")).where("next IS NOT NULL").withColumn("leg_id", F.concat_ws(":", "route_id", "pos"))
     legs = stored(legs)
-    found = shortest_paths(edges, legs.where("start IS NOT NULL AND goal IS NOT NULL").select("leg_id", "start", "goal"), grid_cell, with_path=False)
+    found = distances(overlay(edges, grid_cell), legs.where("start IS NOT NULL AND goal IS NOT NULL").select("leg_id", "start", "goal"), grid_place)
     j = legs.join(found, "leg_id", "left")
     total = F.sum(F.col("metres") + F.col("from_metres") + F.col("to_metres"))
     out = j.groupBy("route_id").agg(total.alias("metres"), F.count("*").alias("legs"), F.count("metres").alias("found"), F.max(distance("lon", "lat", "lon2", "lat2")).alias("across"), F.max((F.col("lon") != F.col("lon2")) | (F.col("lat") != F.col("lat2"))).alias("moves"))
     return out.where((F.col("found") == F.col("legs")) & F.col("moves") & (F.col("across") <= MOST_EXTENT)).select("route_id", "metres", (F.col("metres") / DRIVE_SPEED).alias("seconds"), "legs")
-
-
-def graph_box(points: list[tuple[float, float]]) -> tuple[float, float, float, float]:
-    """The padded box whose roads a plan needs."""
-    w, s = min(p[0] for p in points), min(p[1] for p in points)
-    e, n = max(p[0] for p in points), max(p[1] for p in points)
-    pad = min(0.08, max(0.01, (n - s) * 0.25 + 0.012))
-    wide = pad / max(0.2, abs(math.cos(math.radians((s + n) / 2))))
-    return w - wide, s - pad, e + wide, n + pad
