@@ -26,6 +26,8 @@ from .crowds import split_keys
 
 #: Searches that a task does in one cell.
 SOURCES_AT_ONCE = 100
+#: Hops back from the goals by which pockets are found.
+HOPS_BACK = 2
 #: The straight line between two nodes, as measured, isn't above this share of the road between them.
 STRAIGHT = 0.99
 
@@ -100,6 +102,20 @@ def _onward(ways: DataFrame, crossings: DataFrame, *keys: str) -> DataFrame:
     return ways.join(step, "dst").groupBy(*keys, F.col("_to").alias("dst")).agg(F.min(F.col("metres") + F.col("_more")).alias("metres"))
 
 
+def _reachable(first: DataFrame, net: Overlay, last: DataFrame, run: Scratch) -> DataFrame:
+    """Without the legs whose goal lies in a pocket that they can't enter: a few hops back from a goal either go
+    on, or have met every entry that leads to it. All other legs may have a way."""
+    back = last.select("goal", "node").distinct()
+    new = back
+    for n in range(HOPS_BACK):
+        step = new.join(net.hops.select(F.col("dst").alias("node"), "src"), "node").select("goal", F.col("src").alias("node")).distinct()
+        new = run.written(step.join(back, ["goal", "node"], "left_anti"), f"new-{n}")
+        back = run.written(back.unionByName(new), f"back-{n}")
+    met = first.join(back.withColumnRenamed("node", "dst"), ["goal", "dst"], "left_semi").select("leg_id")
+    far = first.join(new, "goal", "left_semi").select("leg_id")
+    return first.join(met.unionByName(far).distinct(), "leg_id", "left_semi")
+
+
 def distances(net: Overlay, legs: DataFrame, place: Callable[[Column], tuple[Column, Column]] | None = None) -> DataFrame:
     """(leg_id, metres) of legs (leg_id, start, goal). Legs without a way are left out; a leg whose start is its
     goal, if that is a node of the graph, has 0. `place` gives a node's longitude and latitude: with it, entries
@@ -115,6 +131,7 @@ def distances(net: Overlay, legs: DataFrame, place: Callable[[Column], tuple[Col
     direct = legs.join(out.withColumnsRenamed({"src": "start", "dst": "goal"}), ["start", "goal"]).join(known, "start", "left_semi").select("leg_id", F.col("metres").alias("total"))
     best = run.written(direct, "best-0")
     first = _onward(out, net.crossings, "src").join(legs.withColumnRenamed("start", "src"), "src")
+    first = _reachable(run.written(first, "first"), net, last, run)
     state = run.written(first.select("leg_id", "goal", F.col("dst").alias("node"), "metres", F.lit(True).alias("fresh")), "state-0")
     straight = distance(*place(F.col("node")), *place(F.col("goal"))) * STRAIGHT if place else F.lit(0.0)
     for n in itertools.count(1):
