@@ -1,8 +1,9 @@
 """Building features: normal records, source choice, and heights inferred per tile.
 
 Everything is local to a tile, as neighbours and the model see one tile (and its calibration features)
-only. So rows are keyed by tile throughout, neighbour joins go by (tile, lattice cell) equality, and a
-model is a small table of at most 256 examples per tile."""
+only. So rows are keyed by tile throughout, neighbour joins go by (tile, lattice cell) equality, crowded cells
+being dealt over tasks, and a model is a small table of at most 256 examples per tile, taken at a stride from
+an order that no task holds whole."""
 
 from __future__ import annotations
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import LATTICE_X, LATTICE_Y, NEIGHBOUR_RADIUS, above_base, ascii_key, distance, height_prior, known_height
 from ..scratch import stored
+from .crowds import numbered, split_keys
 from .places import cell_width
 
 RANGE_LOW, RANGE_HIGH, MOST_EXAMPLES = 2.4, 4.0, 256
@@ -70,7 +72,8 @@ def neighbours(left: DataFrame, right: DataFrame, reference_lat: float) -> DataF
     a = _cells(left, reference_lat).select("tile", "cx", "cy", F.struct(*(F.col(c) for c in left.columns)).alias("l"))
     b = _cells(right, reference_lat).select("tile", F.struct(*(F.col(c) for c in right.columns)).alias("r"), F.explode(F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("c"))
     b = b.select("tile", "c.cx", "c.cy", "r")
-    pairs = a.join(b, ["tile", "cx", "cy"]).withColumn("metres", distance("l.lon", "l.lat", "r.lon", "r.lat"))
+    a, b = split_keys(a, b, ["tile", "cx", "cy"], by=F.xxhash64("l"))
+    pairs = a.join(b, ["tile", "cx", "cy", "_split"]).withColumn("metres", distance("l.lon", "l.lat", "r.lon", "r.lat"))
     return pairs.where(F.col("metres") <= NEIGHBOUR_RADIUS).select("tile", "l", "r", "metres")
 
 
@@ -83,7 +86,8 @@ def neighbour_pairs(rows: DataFrame, reference_lat: float) -> DataFrame:
     ahead = ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))
     around = F.explode(F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy"), F.lit(int((i, j) == (0, 0))).alias("own")) for i, j in ahead)))
     b = c.select("tile", one("r"), around.alias("c")).select("tile", "c.cx", "c.cy", "c.own", "r")
-    met = a.join(b, ["tile", "cx", "cy"]).where("own = 0 OR l.id < r.id").withColumn("metres", distance("l.lon", "l.lat", "r.lon", "r.lat"))
+    a, b = split_keys(a, b, ["tile", "cx", "cy"], by=F.xxhash64("l"))
+    met = a.join(b, ["tile", "cx", "cy", "_split"]).where("own = 0 OR l.id < r.id").withColumn("metres", distance("l.lon", "l.lat", "r.lon", "r.lat"))
     turned = F.col("l.id") > F.col("r.id")
     return met.where(F.col("metres") <= NEIGHBOUR_RADIUS).select("tile", F.when(turned, F.col("r")).otherwise(F.col("l")).alias("l"), F.when(turned, F.col("l")).otherwise(F.col("r")).alias("r"), "metres")
 
@@ -102,7 +106,8 @@ def matched_reference(targets: DataFrame, references: DataFrame) -> DataFrame:
     ratio = F.least("a_area", "area") / F.greatest("a_area", "area")
     metres = distance("a_lon", "a_lat", "lon", "lat")
     score = metres / most + (1 - ratio)
-    hits = a.join(b, ["tile", "gx", "gy"]).where((ratio >= 0.45) & (metres <= most) & (score <= 0.75))
+    a, b = split_keys(a, b, ["tile", "gx", "gy"], by=F.xxhash64("a_id"))
+    hits = a.join(b, ["tile", "gx", "gy", "_split"]).where((ratio >= 0.45) & (metres <= most) & (score <= 0.75))
     best = hits.groupBy("tile", "a_id").agg(F.min(F.struct(score.alias("score"), "id", "height", "height_source")).alias("m"))
     return best.select("tile", F.col("a_id").alias("id"), F.col("m.height").alias("ref_height"), F.col("m.height_source").alias("ref_source"))
 
@@ -148,11 +153,11 @@ def predicted(targets: DataFrame, examples: DataFrame) -> DataFrame:
     """(tile, id, estimate, sample_size): weighted mean of the k nearest of at most 256 examples per tile,
     blended with the prior. A tile's model is one row, with its examples as an array; a target meets that row
     and measures the examples where it is, so that nothing is shuffled per pair."""
-    order = Window.partitionBy("tile").orderBy("source_id", "id")
     kind = F.lower(F.when(F.col("building_type") == "", "unknown").otherwise(F.col("building_type")))
-    numbered = examples.join(fitted_models(examples), "tile").withColumn("_i", F.row_number().over(order) - 1).where("_i % stride = 0")
-    kept = F.collect_list(F.struct(*(F.col(f"v{i}") for i in range(1, 7)), F.col("height"), kind.alias("type")))
-    models = numbered.groupBy("tile").agg(F.first("k").alias("k"), F.first("sample_size").alias("sample_size"), *(F.first(f"s{i}").alias(f"s{i}") for i in range(1, 7)), kept.alias("examples"))
+    own = examples.select("tile", "source_id", "id", *(f"v{i}" for i in range(1, 7)), "height", kind.alias("type"))
+    some = numbered(own, "tile", ["source_id", "id"]).join(fitted_models(examples), "tile").where("_i % stride = 0")
+    kept = F.collect_list(F.struct(*(F.col(f"v{i}") for i in range(1, 7)), F.col("height"), F.col("type")))
+    models = some.groupBy("tile").agg(F.first("k").alias("k"), F.first("sample_size").alias("sample_size"), *(F.first(f"s{i}").alias(f"s{i}") for i in range(1, 7)), kept.alias("examples"))
     met = targets.withColumn("_kind", kind).select("tile", "id", "prior", "_kind", *(f"v{i}" for i in range(1, 7))).join(models, "tile")
 
     def measured(x: Column) -> Column:

@@ -1,10 +1,12 @@
-"""Equal keys that hold many rows: dealt over several tasks before a join."""
+"""Groups that hold many rows: dealt over several tasks before a join, numbered in order by many tasks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 #: Rows of a key that one task joins. Up to BROADCAST_KEYS keys with more are sent to all tasks.
 MOST_ROWS, BROADCAST_KEYS = 5_000, 100_000
 
@@ -28,3 +30,19 @@ def split_keys(left: DataFrame, right: DataFrame, keys: list[str], most: int | N
     one = left.join(crowded, met, "left").withColumn("_split", F.pmod(own, splits).cast("int")).drop(*names, "_splits")
     other = right.join(crowded, met, "left").withColumn("_split", F.explode(F.sequence(F.lit(0), splits - 1))).drop(*names, "_splits")
     return one, other
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], name: str = "_i") -> DataFrame:
+    """rows with their place from 0 in the order of their group. Rows are dealt by ranges of (group, order) and
+    written; a place is that in its part plus the group's rows in the parts before, so that no task holds a
+    group. Order columns tell rows apart, or else equal rows may lie either way."""
+    scratch = Scratch(rows.sparkSession)
+    part, within = F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_within")
+    dealt = scratch.written(rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).select("*", part, within), "dealt")
+    ends = dealt.groupBy(F.col(group).alias("_of"), F.col("_part").alias("_at")).agg(F.min("_within").alias("_first"), F.count("*").alias("_own"))
+    before = F.sum("_own").over(Window.partitionBy("_of").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    ends = scratch.written(ends.select("_of", "_at", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift")), "ends")
+    if ends.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        ends = F.broadcast(ends)
+    met = dealt.join(ends, dealt[group].eqNullSafe(ends["_of"]) & (dealt["_part"] == ends["_at"]))
+    return met.select(*(F.col(c) for c in rows.columns), (F.col("_within") + F.col("_shift")).alias(name))
