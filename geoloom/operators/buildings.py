@@ -12,7 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import LATTICE_X, LATTICE_Y, NEIGHBOUR_RADIUS, above_base, ascii_key, distance, height_prior, known_height
+from ..functions.columns import LATTICE_X, LATTICE_Y, NEIGHBOUR_RADIUS, above_base, ascii_key, distance, height_prior, known_height, level_range
+from ..functions.geometry import metrics
 from ..scratch import stored
 from .crowds import numbered, split_keys
 from .places import cell_width
@@ -206,6 +207,41 @@ def inferred_heights(features: DataFrame, center: tuple[float, float]) -> DataFr
     return given.unionByName(guessed)
 
 
+def rendered(features: DataFrame) -> DataFrame:
+    """The records to show (tile, input_pos, 17 fields, geom_type and parts if there): points of interest are
+    points, all else polygons or lines; of equal (source, id, kind) of a tile the first one stays, rows without
+    an id all. Missing texts are empty, numbers 0, flags 0 or 1; names have 160 characters at most; a range of
+    levels is an array of both ends, or empty. Columns that features lack count as missing."""
+    has = lambda c: F.col(c) if c in features.columns else F.lit(None)
+    text = lambda c, n=None: F.coalesce(has(c).cast("string") if n is None else F.substring(has(c).cast("string"), 1, n), F.lit(""))
+    number = lambda c: F.coalesce(F.nanvl(has(c).try_cast("double"), F.lit(0.0)), F.lit(0.0))
+    flag = lambda c: F.coalesce(has(c).cast("boolean"), F.lit(False)).cast("int")
+    fits = F.when(F.col("kind") == "poi", F.col("geom_type") == "Point").otherwise(F.col("geom_type").isin(*RENDERED))
+    fields = {
+        "source_id": text("source_id"), "kind": text("kind"), "building_type": text("building_type"), "road_class": text("road_class"), "source": text("data_source"), "height": number("height"), "min_height": number("min_height"), "levels": number("levels"),
+        "height_source": text("height_source"), "height_kind": text("height_kind"), "height_confidence": text("confidence"), "height_adjusted": flag("adjusted"), "inferred": flag("inferred"), "poi_category": text("poi_category"),
+        "name": text("name", 160), "community": text("community", 160), "level_range": F.when(has("lo").isNotNull() & has("hi").isNotNull(), F.array(has("lo").cast("double"), has("hi").cast("double"))).otherwise(F.array().cast("array<double>")),
+    }
+    shape = [c for c in ("geom_type", "parts") if c in features.columns]
+    rows = features.where(fits).select("tile", "input_pos", *(c.alias(k) for k, c in fields.items()), *shape)
+    return first_of_each(rows, F.concat_ws(":", "tile", "source", "source_id", "kind"), F.col("source_id") == "")
+
+
+def tile_product(features: DataFrame, center: tuple[float, float]) -> tuple[DataFrame, DataFrame]:
+    """(records, statistics) of all tiles at once, of raw features (tile, input_pos, kind, geom_type, parts, ...):
+    normal records, one source for each tile, heights, records to show. Statistics are per tile: features,
+    buildings, pois, inferred, known, and sample_size, the buildings that its model could learn from."""
+    chosen = stored(chosen_features(normalized(features)).withColumn("_range", level_range("range_text")).withColumns({"lo": F.col("_range.lo"), "hi": F.col("_range.hi")}).drop("_range"))
+    measured = chosen.where("kind = 'building'").withColumn("m", metrics("parts"))
+    entries = measured.select(F.col("input_pos").alias("id"), "tile", "source_id", "data_source", "building_type", "community", "real_height", "levels", "min_height", "lo", "hi", "m.area", "m.perimeter", "m.lon", "m.lat", "calibration")
+    heights = inferred_heights(entries, center).select("tile", F.col("id").alias("input_pos"), "height", "height_source", "height_kind", "confidence", "adjusted", "inferred")
+    records = stored(rendered(chosen.where("NOT calibration").join(heights, ["tile", "input_pos"], "left")))
+    is_building = F.col("kind") == "building"
+    counts = records.groupBy("tile").agg(F.count("*").alias("features"), F.count_if(is_building).alias("buildings"), F.count_if(F.col("kind") == "poi").alias("pois"), F.count_if(F.col("inferred") == 1).alias("inferred"), F.count_if(is_building & F.col("height_source").isin("height", "levels")).alias("known"))
+    samples = entries.where(known_height("real_height", "levels")["height"].isNotNull()).groupBy("tile").agg(F.count("*").alias("sample_size"))
+    return records, counts.join(samples, "tile", "left").withColumn("sample_size", F.coalesce("sample_size", F.lit(0)))
+
+
 def tile_stats(features: DataFrame) -> DataFrame:
     """Counts per tile and source."""
     return features.groupBy("tile", "data_source").agg(F.count("*").alias("features"), F.count_if(F.col("kind") == "building").alias("buildings"), F.count_if(F.col("kind") == "poi").alias("pois"))

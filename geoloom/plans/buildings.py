@@ -49,12 +49,13 @@ def pipe1_heights(spark, sf):
     return op.inferred_heights(entries(spark, sf), CENTER).select("source_id", "height", "height_source", "height_kind", "confidence", "adjusted", "inferred")
 
 
-PIPE1 = f"""WITH {_COMMON}, {_MATCH}, {_RANGE}, {_MODEL},
-al AS (SELECT tv.source_id, tv.min_height, coalesce(rh, gh, est.h, CASE WHEN v3 <> 0 THEN v3 * 0.65 + prior * 0.35 ELSE prior END) AS h, CASE WHEN rh IS NOT NULL THEN 'osm-reference-' || rs ELSE coalesce(gs, 'inferred') END AS height_source,
+_HEIGHTS = f"""{_MATCH}, {_RANGE}, {_MODEL},
+al AS (SELECT tv.id, tv.source_id, tv.min_height, coalesce(rh, gh, est.h, CASE WHEN v3 <> 0 THEN v3 * 0.65 + prior * 0.35 ELSE prior END) AS h, CASE WHEN rh IS NOT NULL THEN 'osm-reference-' || rs ELSE coalesce(gs, 'inferred') END AS height_source,
  CASE WHEN rh IS NOT NULL THEN 'matched' WHEN gh IS NOT NULL THEN 'estimated-range' ELSE 'inferred' END AS height_kind, CASE WHEN rh IS NULL AND CASE WHEN gh IS NOT NULL THEN gs = 'hbet-range-neighbor' ELSE est.h IS NOT NULL END THEN 'medium' ELSE 'low' END AS confidence, true AS inferred
  FROM tv LEFT JOIN match USING (id) LEFT JOIN ranged USING (id) LEFT JOIN est USING (id)
- UNION ALL SELECT source_id, min_height, height, hs, CASE WHEN hs = 'levels' THEN 'source-derived' ELSE 'measured' END, CASE WHEN hs = 'levels' THEN 'medium' ELSE 'high' END, hs = 'levels' FROM known WHERE NOT calibration)
-SELECT source_id, round(greatest(h, min_height + 0.5), 1) AS height, height_source, height_kind, confidence, h < min_height + 0.5 AS adjusted, inferred FROM al"""
+ UNION ALL SELECT id, source_id, min_height, height, hs, CASE WHEN hs = 'levels' THEN 'source-derived' ELSE 'measured' END, CASE WHEN hs = 'levels' THEN 'medium' ELSE 'high' END, hs = 'levels' FROM known WHERE NOT calibration),
+heights AS (SELECT id, source_id, round(greatest(h, min_height + 0.5), 1) AS height, height_source, height_kind, confidence, h < min_height + 0.5 AS adjusted, inferred FROM al)"""
+PIPE1 = f"WITH {_COMMON}, {_HEIGHTS} SELECT source_id, height, height_source, height_kind, confidence, adjusted, inferred FROM heights"
 
 
 def join1_neighbours(spark, sf):
@@ -97,20 +98,19 @@ def agg13_model(spark, sf):
 
 
 def _features(spark, sf):
-    """Buildings of three sources and points of interest, with repeated rows, over tiles."""
+    """Buildings of three sources and points of interest, with repeated rows, over tiles, some of which lack the
+    mirror, some OSM's buildings too: each building is a row of a source that its tile has."""
     b = buildings(spark, sf)
-    s = F.element_at(F.array(*map(F.lit, ("openbuildingmap", "openstreetmap", "overture"))), (F.col("input_pos") % 3 + 1).cast("int"))
-    tile = (F.col("input_pos") % 97).cast("string")
-    keep = ~((F.col("data_source") == "openbuildingmap") & (F.col("input_pos") % 97 > 20)) & ~((F.col("data_source") == "openstreetmap") & (F.col("input_pos") % 97 > 50))
-    rows = b.withColumns({"data_source": s, "tile": tile, "geom_type": F.when(F.col("input_pos") % 13 == 0, "Point").otherwise("Polygon"), "name": F.concat(F.lit("B"), "source_id")}).where(keep)
+    number, turn = F.col("input_pos") % 97, F.col("input_pos") % 3
+    s = F.when((number > 50) | (turn == 2), "overture").when((number > 20) | (turn == 1), "openstreetmap").otherwise("openbuildingmap")
+    rows = b.withColumns({"data_source": s, "tile": number.cast("string"), "geom_type": F.when(F.col("input_pos") % 13 == 0, "Point").otherwise("Polygon"), "name": F.concat(F.lit("B"), "source_id")})
     poi = rows.where("input_pos % 5 = 0").withColumns({"kind": F.lit("poi"), "data_source": F.lit("openstreetmap"), "geom_type": F.lit("Point"), "input_pos": F.col("input_pos") + 1000000})
     again = rows.where("input_pos % 4 = 0").withColumns({"input_pos": F.col("input_pos") + 2000000, "name": F.lit("again")})
     blank = rows.where("input_pos % 50 = 0").withColumns({"source_id": F.lit(""), "input_pos": F.col("input_pos") + 3000000})
     return rows.unionByName(poi).unionByName(again).unionByName(blank)
 
 
-_FEATURES = f"""r0 AS (SELECT k, source_id, 'building' AS kind, ['openbuildingmap','openstreetmap','overture'][(k % 3 + 1)::INT] AS ds, (k % 97)::VARCHAR AS tile, CASE WHEN k % 13 = 0 THEN 'Point' ELSE 'Polygon' END AS gt, 'B' || source_id AS name FROM ({BUILDINGS})),
-r AS (SELECT * FROM r0 WHERE NOT (ds = 'openbuildingmap' AND k % 97 > 20) AND NOT (ds = 'openstreetmap' AND k % 97 > 50)),
+_FEATURES = f"""r AS (SELECT k, source_id, 'building' AS kind, CASE WHEN k % 97 > 50 OR k % 3 = 2 THEN 'overture' WHEN k % 97 > 20 OR k % 3 = 1 THEN 'openstreetmap' ELSE 'openbuildingmap' END AS ds, (k % 97)::VARCHAR AS tile, CASE WHEN k % 13 = 0 THEN 'Point' ELSE 'Polygon' END AS gt, 'B' || source_id AS name FROM ({BUILDINGS})),
 feats AS (SELECT * FROM r UNION ALL SELECT k + 1000000, source_id, 'poi', 'openstreetmap', tile, 'Point', name FROM r WHERE k % 5 = 0 UNION ALL SELECT k + 2000000, source_id, kind, ds, tile, gt, 'again' FROM r WHERE k % 4 = 0 UNION ALL SELECT k + 3000000, '', kind, ds, tile, gt, name FROM r WHERE k % 50 = 0),
 norm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tile, ds, source_id, kind ORDER BY k) AS rn FROM feats WHERE CASE WHEN kind = 'poi' THEN gt = 'Point' ELSE gt = 'Polygon' END) WHERE rn = 1 OR source_id = ''),
 src AS (SELECT tile, CASE WHEN count(*) FILTER (ds = 'openbuildingmap') > 0 THEN 'openbuildingmap' WHEN count(*) FILTER (ds = 'openstreetmap' AND kind = 'building') > 0 THEN 'openstreetmap' WHEN count(*) FILTER (ds = 'overture') > 0 THEN 'overture' ELSE 'openstreetmap' END AS source FROM norm GROUP BY tile),
@@ -135,30 +135,42 @@ def agg7_rollup(spark, sf):
 
 
 def pipe2_tiles(spark, sf):
-    """Choice of source, normal records, heights, records to show, counts; all tiles at once."""
-    chosen = op.chosen_features(op.normalized(_features(spark, sf)))
-    lr = fn.level_range("range_text")
-    own = chosen.where("kind = 'building'").withColumn("m", g.metrics("parts")).select(F.col("input_pos").alias("id"), "tile", "source_id", "data_source", "building_type", "community", "real_height", "levels", "min_height", lr["lo"].alias("lo"), lr["hi"].alias("hi"), "m.area", "m.perimeter", "m.lon", "m.lat", "calibration")
-    h = op.inferred_heights(own, CENTER)
-    pois = chosen.where("kind = 'poi'").groupBy("tile").agg(F.count("*").alias("pois"))
-    per = h.groupBy("tile").agg(F.count("*").alias("buildings"), F.count_if("inferred").alias("inferred"), F.count_if(F.col("height_source").isin("height", "levels")).alias("known"))
-    return per.join(pois, "tile", "full_outer").select("tile", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("buildings", "inferred", "known", "pois")))
+    """Statistics of the records to show, of all tiles at once."""
+    return op.tile_product(_features(spark, sf), CENTER)[1]
 
 
-PIPE2 = f"""WITH {_FEATURES}, j AS (SELECT cho.*, b.real_height, b.levels FROM cho JOIN ({BUILDINGS}) b ON b.k = cho.k % 1000000),
-p AS (SELECT tile, count(*) FILTER (kind = 'building' AND NOT calibration) AS buildings, count(*) FILTER (kind = 'building' AND NOT calibration AND NOT (real_height > 1 AND real_height < 1000)) AS inferred, count(*) FILTER (kind = 'building' AND NOT calibration AND ((real_height > 1 AND real_height < 1000) OR (levels > 0 AND levels < 200))) AS known, count(*) FILTER (kind = 'poi') AS pois FROM j GROUP BY tile)
-SELECT * FROM p WHERE buildings + pois > 0"""
+_CHOSEN = f"""{_FEATURES}, e AS (SELECT cho.k AS id, cho.tile, cho.source_id, cho.ds AS data_source, x.* EXCLUDE (id, tile, source_id, data_source, calibration), cho.calibration FROM cho JOIN ({ENTRIES}) x ON x.id = cho.k % 1000000 WHERE cho.kind = 'building'), {_COMMON.removeprefix(f"e AS ({ENTRIES}), ")}, {_HEIGHTS},
+shown AS (SELECT cho.k AS input_pos, cho.tile, cho.source_id, cho.kind, b.building_type, cho.ds AS source, coalesce(h.height, 0.0::DOUBLE) AS height, b.min_height, b.levels, coalesce(h.height_source, '') AS height_source, coalesce(h.height_kind, '') AS height_kind, coalesce(h.confidence, '') AS height_confidence,
+ coalesce(h.adjusted, false)::INT AS height_adjusted, coalesce(h.inferred, false)::INT AS inferred, cho.name, CASE WHEN b.k % 5 = 0 THEN 'Green  Park' ELSE '' END AS community, CASE WHEN b.k % 4 = 1 THEN '2.0-9.0' ELSE '' END AS level_range, cho.gt AS geom_type
+ FROM cho JOIN ({BUILDINGS}) b ON b.k = cho.k % 1000000 LEFT JOIN heights h ON h.id = cho.k AND cho.kind = 'building' WHERE NOT cho.calibration)"""
+PIPE2 = f"""WITH {_CHOSEN}, n AS (SELECT tile, count(*) AS sample_size FROM known GROUP BY tile)
+SELECT tile, count(*) AS features, count(*) FILTER (kind = 'building') AS buildings, count(*) FILTER (kind = 'poi') AS pois, count(*) FILTER (inferred = 1) AS inferred, count(*) FILTER (kind = 'building' AND height_source IN ('height', 'levels')) AS known, coalesce(any_value(sample_size), 0) AS sample_size FROM shown LEFT JOIN n USING (tile) GROUP BY tile"""
 
 
-def prj2_render(spark, sf):
-    """Rendered records: the first of each (source, id, kind), numbers and flags filled in."""
-    h = op.inferred_heights(entries(spark, sf), CENTER).join(entries(spark, sf).select("tile", "id", "data_source"), ["tile", "id"])
-    r = op.first_of_each(h.withColumn("source_id", F.when(F.col("id") % 10 == 0, "").otherwise(F.concat(F.lit("g"), F.floor(F.col("id") / 4)))), F.concat_ws(":", "data_source", "source_id"), F.col("source_id") == "", "id")
-    return r.select("id", "source_id", F.col("adjusted").cast("int").alias("adjusted"), F.col("inferred").cast("int").alias("inferred"))
+def pipe2_records(spark, sf):
+    """The records to show, of all tiles at once."""
+    return op.tile_product(_features(spark, sf), CENTER)[0].withColumn("level_range", F.array_join("level_range", "-")).drop("parts", "road_class", "poi_category")
 
 
-PRJ2 = f"""WITH q AS ({PIPE1}), z AS (SELECT b.k AS id, CASE WHEN k % 10 = 0 THEN '' ELSE 'g' || (k // 4) END AS source_id, q.adjusted, q.inferred, b.data_source FROM q JOIN ({BUILDINGS}) b ON b.source_id = q.source_id)
-SELECT id, source_id, adjusted::INT AS adjusted, inferred::INT AS inferred FROM (SELECT *, row_number() OVER (PARTITION BY data_source, source_id ORDER BY id) AS rn FROM z) WHERE rn = 1 OR source_id = ''"""
+def prj2_render(spark, sf):
+    """Records of buildings with their heights and of points of interest, with repeated ids and geometries that
+    don't fit the kind."""
+    h = op.inferred_heights(entries(spark, sf), CENTER).drop("source_id")
+    b = buildings(spark, sf).select(F.col("input_pos").alias("id"), "levels", "min_height", "building_type")
+    k = F.col("id")
+    f = h.join(entries(spark, sf).select("tile", "id", "data_source", "lo", "hi"), ["tile", "id"]).join(b, "id")
+    kind = F.when(k % 6 == 0, "poi").otherwise("building")
+    shape = F.when((k % 6 == 0) & (k % 12 != 0) | (k % 13 == 0), "Point").when(k % 5 == 0, "MultiPolygon").when(k % 17 == 0, "GeometryCollection").otherwise("Polygon")
+    f = f.withColumns({"input_pos": k, "kind": kind, "geom_type": shape, "source_id": F.when(k % 10 == 0, F.lit(None)).otherwise(F.concat(F.lit("g"), F.floor(k / 4))), "name": F.repeat(F.concat(F.lit("N"), k, F.lit(" ")), 40), "community": F.lit(None).cast("string"), "tile": F.lit("t")})
+    r = op.rendered(f)
+    return r.select("input_pos", "source_id", "kind", "building_type", "road_class", "source", "height", "min_height", "levels", "height_source", "height_kind", "height_confidence", "height_adjusted", "inferred", "poi_category", "name", "community", F.array_join("level_range", "-").alias("level_range"), "geom_type")
+
+
+PRJ2 = f"""WITH {_COMMON}, {_HEIGHTS}, z AS (SELECT b.k AS input_pos, CASE WHEN k % 10 = 0 THEN '' ELSE 'g' || (k // 4) END AS source_id, CASE WHEN k % 6 = 0 THEN 'poi' ELSE 'building' END AS kind, b.building_type, '' AS road_class, b.data_source AS source, h.height, b.min_height, b.levels, h.height_source, h.height_kind, h.confidence AS height_confidence,
+ h.adjusted::INT AS height_adjusted, h.inferred::INT AS inferred, '' AS poi_category, left(repeat('N' || k || ' ', 40), 160) AS name, '' AS community, CASE WHEN k % 4 = 1 THEN '2.0-9.0' ELSE '' END AS level_range, CASE WHEN k % 6 = 0 AND k % 12 <> 0 OR k % 13 = 0 THEN 'Point' WHEN k % 5 = 0 THEN 'MultiPolygon' WHEN k % 17 = 0 THEN 'GeometryCollection' ELSE 'Polygon' END AS geom_type
+ FROM heights h JOIN ({BUILDINGS}) b ON b.k = h.id),
+y AS (SELECT * FROM z WHERE CASE WHEN kind = 'poi' THEN geom_type = 'Point' ELSE geom_type IN ('Polygon', 'MultiPolygon') END)
+SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY source, source_id, kind ORDER BY input_pos) AS rn FROM y) WHERE rn = 1 OR source_id = ''"""
 
 
 def join5_prefix(spark, sf):
@@ -206,6 +218,7 @@ QUERIES = {
     "agg6_tile_stats": (agg6_tile_stats, f"WITH {_FEATURES} SELECT tile, ds AS data_source, count(*) AS features, count(*) FILTER (kind = 'building') AS buildings, count(*) FILTER (kind = 'poi') AS pois FROM norm GROUP BY ALL"),
     "agg7_rollup": (agg7_rollup, f"WITH {_FEATURES}, p AS (SELECT ds, source_id, min_by(tile, k) AS tile, max_by(k % 3 = 0, k) AS inf FROM feats WHERE source_id <> '' GROUP BY ALL) SELECT ds AS data_source, count(*) AS features, count(*) FILTER (inf) AS inferred, count(DISTINCT tile) AS tiles FROM p GROUP BY 1"),
     "pipe2_tiles": (pipe2_tiles, PIPE2),
+    "pipe2_records": (pipe2_records, f"WITH {_CHOSEN} SELECT * FROM shown"),
     "join5_prefix": (join5_prefix, f"WITH t AS (SELECT DISTINCT {_quadkey_sql('lon', 'lat')} AS quadkey FROM (SELECT {LON.format(k='c_custkey')} AS lon, {LAT.format(k='c_custkey')} AS lat FROM customer)), f AS (SELECT left({_quadkey_sql('lon', 'lat')}, (s_suppkey % 5 + 9)::INT) AS q, 'f' || s_suppkey AS filename FROM (SELECT s_suppkey, {LON.format(k='s_suppkey')} AS lon, {LAT.format(k='s_suppkey')} AS lat FROM supplier)) SELECT quadkey, filename, (row_number() OVER (PARTITION BY quadkey ORDER BY length(q) DESC, filename))::INT AS rank FROM t JOIN f ON starts_with(quadkey, q)"),
     "src1_scan": (src1_scan, f"SELECT source_id FROM ({BUILDINGS}) WHERE w <= 77.12 AND e >= 77.05 AND so <= 28.6 AND n >= 28.53 AND NOT (k % 3 = 0 AND k % 2 = 0)"),
     "fn11_metrics": (fn11_metrics, f"SELECT id, round(area, 3) AS area, round(perimeter, 4) AS perimeter, round(lon, 7) AS lon, round(lat, 7) AS lat FROM ({ENTRIES})"),
