@@ -62,13 +62,20 @@ FROM o WHERE sqrt(pow(s[1].lon - s[2].lon, 2) + pow(s[1].lat - s[2].lat, 2)) >=
 
 
 def fil10_valid(spark, sf):
-    """Every seventh footprint is a bow tie, every eleventh open, every thirteenth flat."""
+    """Every seventh footprint is a bow tie, every eleventh open, every thirteenth flat; of the others some have
+    holes that are nested, meet, or lie outside, and some sound holes, or parts that touch."""
     b = buildings(spark, sf).select(F.col("input_pos").alias("feature_id"), "parts")
     r = F.col("parts")[0][0]
     k = F.col("feature_id")
     bow = F.array(r[0], r[2], r[1], g.vertex(r[3]["lon"], 2 * r[3]["lat"] - r[0]["lat"]), r[0])
     ring = F.when(k % 7 == 0, bow).when(k % 11 == 0, F.slice(r, 1, 4)).when(k % 13 == 0, F.array(r[0], r[1], r[0], r[0])).otherwise(r)
-    _, bad = op.validated(b.withColumn("parts", F.array(F.array(ring))))
+    x, y = (lambda f: r[0]["lon"] + (r[1]["lon"] - r[0]["lon"]) * f), (lambda f: r[0]["lat"] + (r[2]["lat"] - r[0]["lat"]) * f)
+    box = lambda low, high: g.ring_of(x(low), y(low), x(high), y(high))
+    none = F.array().cast(f"array<array<{g.VERTEX}>>")
+    holes = F.when(k % 17 == 0, F.array(box(0.1, 0.9), box(0.2, 0.3))).when(k % 19 == 0, F.array(box(0.1, 0.5), box(0.4, 0.8))).when(k % 23 == 0, F.array(box(0.2, 0.4), box(1.2, 1.4))).when(k % 5 == 0, F.array(box(0.1, 0.3), box(0.5, 0.7))).otherwise(none)
+    parts = F.array(F.concat(F.array(ring), F.when((k % 7 == 0) | (k % 11 == 0) | (k % 13 == 0), none).otherwise(holes)))
+    more = F.when(k % 3 == 0, F.array(F.array(g.ring_of(r[1]["lon"], r[1]["lat"], r[1]["lon"] + 0.001, r[2]["lat"])))).otherwise(F.array().cast(g.PARTS))
+    _, bad = op.validated(b.withColumn("parts", F.concat(parts, more)))
     return bad.select("feature_id", "reason")
 
 
@@ -101,7 +108,7 @@ QUERIES = {
     "agg14_hulls": (agg14_hulls, AGG14),
     "pipe4_surface": (pipe4_surface, f"{_NODES} SELECT row, col, round((p[1].value + p[2].value + p[3].value + p[4].value) / 4, 4) AS value FROM q"),
     "pipe5_contours": (pipe5_contours, PIPE5),
-    "fil10_valid": (fil10_valid, "SELECT p_partkey AS feature_id, CASE WHEN p_partkey % 7 = 0 THEN 'edges meet' WHEN p_partkey % 11 = 0 THEN 'open ring' ELSE 'no area' END AS reason FROM part WHERE p_partkey % 7 = 0 OR p_partkey % 11 = 0 OR p_partkey % 13 = 0"),
+    "fil10_valid": (fil10_valid, "SELECT k AS feature_id, CASE WHEN k % 7 = 0 THEN 'edges meet' WHEN k % 11 = 0 THEN 'open ring' WHEN k % 13 = 0 THEN 'no area' WHEN k % 17 = 0 THEN 'nested holes' WHEN k % 19 = 0 THEN 'rings meet' ELSE 'hole outside' END AS reason FROM (SELECT p_partkey AS k FROM part) WHERE k % 7 = 0 OR k % 11 = 0 OR k % 13 = 0 OR k % 17 = 0 OR k % 19 = 0 OR k % 23 = 0"),
     "fn18_rings": (fn18_rings, f"SELECT k AS relation_id, CASE WHEN k % 6 = 0 THEN 2 ELSE 1 END AS rings, 5 AS n, round((e - w) * (n - so) * pow(pi() * 6371008.8 / 180, 2) * cos(radians((so * 3 + n * 2) / 5)), 2) AS area FROM ({BUILDINGS}) WHERE k % 10 <> 0"),
     "str1_places": (str1_places, f"WITH p AS (SELECT c_custkey AS c, c_custkey // 2 AS k, c_custkey % 3 AS b FROM customer), q AS (SELECT x.c AS a, y.c AS o FROM p x JOIN p y ON x.k = y.k AND x.c <> y.c AND (y.b < x.b OR (y.b = x.b AND y.c < x.c))) SELECT printf('p%07d', a) AS place_id, printf('p%07d', o) AS canonical_id FROM q"),
 }
