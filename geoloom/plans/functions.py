@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as fn
 from ..functions import geometry as g
 from ..functions.inputs import BUILDINGS, LAT, LON, OBS, buildings, observations, placed, table
+from ..operators import coverage
 from ..scratch import Scratch
 from ..sources import readers, web
 
@@ -115,11 +116,28 @@ def fn22_longitudes(spark, sf):
 
 
 def win9_coverage(spark, sf):
-    """The tiles within a ring of each supplier's, nearest first."""
-    s = placed(table(spark, sf, "supplier"), "s_suppkey").select("s_suppkey", fn.tile_x("lon", 14).alias("cx"), fn.tile_y("lat", 14).alias("cy"))
-    d = F.sequence(F.lit(-1), F.lit(1))
-    t = s.select("s_suppkey", "cx", "cy", F.explode(d).alias("dx")).select("*", F.explode(d).alias("dy"))
-    return t.select("s_suppkey", (F.col("cx") + F.col("dx")).alias("x"), (F.col("cy") + F.col("dy")).alias("y"), F.greatest(F.abs("dx"), F.abs("dy")).alias("ring"))
+    """The tiles within a ring of each supplier's."""
+    s = placed(table(spark, sf, "supplier"), "s_suppkey").select("s_suppkey", "lon", "lat", F.lit(1).alias("radius"))
+    return coverage.ring_tiles(s, "s_suppkey").select("s_suppkey", "x", "y", "ring")
+
+
+def win9_extents(spark, sf):
+    """The tiles of boxes around suppliers, from one to tens of thousands, some over the date line."""
+    k = F.col("s_suppkey")
+    s = placed(table(spark, sf, "supplier"), "s_suppkey").withColumns({"lon": F.col("lon") + F.when(k % 10 == 0, 102.9).otherwise(0.0), "hx": F.when(k % 50 == 7, 2.0).otherwise((1 + k % 7) / 100), "hy": F.when(k % 50 == 7, 1.5).otherwise((k % 5) / 125)})
+    boxes = s.select("s_suppkey", fn.wrap_longitude(F.col("lon") - F.col("hx")).alias("west"), (F.col("lat") - F.col("hy")).alias("south"), fn.wrap_longitude(F.col("lon") + F.col("hx")).alias("east"), (F.col("lat") + F.col("hy")).alias("north"))
+    return coverage.box_tiles(boxes, "s_suppkey").withColumn("distance", F.round("distance", 6))
+
+
+_WRAP = lambda x: f"(({x} + 180) - 360 * floor(({x} + 180) / 360) - 180)"
+_COLUMN = lambda x: f"greatest(0, least(16383, floor(({x} + 180) / 360 * 16384)))::BIGINT"
+_ROW = lambda y: f"greatest(0, least(16383, floor((1 - asinh(tan(radians({y}))) / pi()) / 2 * 16384)))::BIGINT"
+WIN9 = f"""WITH s AS (SELECT s_suppkey, {LON.format(k='s_suppkey')} + CASE WHEN s_suppkey % 10 = 0 THEN 102.9::DOUBLE ELSE 0.0::DOUBLE END AS lon, {LAT.format(k='s_suppkey')} AS lat, CASE WHEN s_suppkey % 50 = 7 THEN 2.0::DOUBLE ELSE (1 + s_suppkey % 7) / 100.0::DOUBLE END AS hx, CASE WHEN s_suppkey % 50 = 7 THEN 1.5::DOUBLE ELSE (s_suppkey % 5) / 125.0::DOUBLE END AS hy FROM supplier),
+b AS (SELECT s_suppkey, {_WRAP("(lon - hx)")} AS w, lat - hy AS so, {_WRAP("(lon + hx)")} AS e, lat + hy AS n FROM s),
+m AS (SELECT *, w + (e - w + CASE WHEN w > e THEN 360 ELSE 0 END) / 2 AS mid FROM b),
+t AS (SELECT s_suppkey, {_COLUMN("w")} AS x0, {_COLUMN("e")} + CASE WHEN w > e THEN 16384 ELSE 0 END AS x1, {_ROW("n")} AS y0, {_ROW("so")} AS y1, {_COLUMN(_WRAP("mid"))} AS cx, {_ROW("(so + n) / 2")} AS cy FROM m),
+u AS (SELECT s_suppkey, x, y, (x - (cx + CASE WHEN cx < x0 THEN 16384 ELSE 0 END)) ** 2 + (y - cy) ** 2 AS d FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM t), LATERAL (SELECT unnest(range(y0, y1 + 1)) AS y))
+SELECT s_suppkey, x % 16384 AS x, y, round(sqrt(d), 6) AS distance, row_number() OVER (PARTITION BY s_suppkey ORDER BY d, u.x, y) AS rank FROM u"""
 
 
 def win11_thin(spark, sf):
@@ -297,6 +315,7 @@ QUERIES = {
     "fn21_coordinates": (fn21_coordinates, f"SELECT feature_id, CASE feature_id % 4 WHEN 1 THEN -printf('%.5f', lon)::DOUBLE WHEN 3 THEN NULL ELSE printf('%.5f', lon)::DOUBLE END AS lon, CASE feature_id % 4 WHEN 1 THEN -printf('%.5f', lat)::DOUBLE WHEN 3 THEN NULL ELSE printf('%.5f', lat)::DOUBLE END AS lat FROM ({OBS})"),
     "fn22_longitudes": (fn22_longitudes, f"WITH x AS (SELECT feature_id, lon * 7 - 300 AS x FROM ({OBS})), y AS (SELECT *, x - 360 AS wr FROM x) SELECT feature_id, round(CASE WHEN x >= 180 THEN wr ELSE x END, 6) AS wrapped, round(x, 6) AS near, round(CASE WHEN x >= 180 THEN -179 - wr ELSE -179 - x + 360 END, 6) AS delta FROM y"),
     "win9_coverage": (win9_coverage, f"WITH t AS (SELECT s_suppkey, {_XY} FROM (SELECT s_suppkey, {LON.format(k='s_suppkey')} AS lon, {LAT.format(k='s_suppkey')} AS lat FROM supplier)), d AS (SELECT unnest([-1, 0, 1]) AS d) SELECT s_suppkey, x + a.d AS x, y + b.d AS y, greatest(abs(a.d), abs(b.d)) AS ring FROM t, d a, d b"),
+    "win9_extents": (win9_extents, WIN9),
     "win11_thin": (win11_thin, "WITH l AS (SELECT l_orderkey, list_sort(list(l_partkey)) AS p, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_orderkey, CASE WHEN n <= 4 THEN array_to_string(p, ',') ELSE array_to_string(list_transform([0, 1, 2, 3], lambda i: p[floor(i * (n - 1) / 3 + 0.5)::INT + 1]), ',') END AS kept FROM l"),
     "fil5_meets_box": (fil5_meets_box, f"SELECT source_id FROM ({BUILDINGS}) WHERE (w <= 77.0503 AND e >= 77.05 AND so <= 28.5503 AND n >= 28.55) OR (w <= 77.14 AND e >= 77.1 AND so <= 28.56 AND n >= 28.52)"),
     "pipe9_pin_areas": (pipe9_pin_areas, f"SELECT k AS s_suppkey, round(6371008.8 * 6371008.8 / 2 * abs(radians(0.01) * (2 + 2 * sin(radians(lat))) - radians(0.01) * (2 + 2 * sin(radians(lat + 0.01)))), 2) AS area FROM (SELECT s_suppkey AS k, {LAT.format(k='s_suppkey')} AS lat FROM supplier)"),
