@@ -5,23 +5,34 @@ broadcast."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import longitude_near, normal_time, strict_number, wrap_longitude
 from ..scratch import stored
 
+#: Up to so many requests are sent to all tasks.
+ASKED = 10_000
+
 # Fields
 
 
+def _profiled(features: DataFrame, properties: str, any_numeric: bool, *by: str) -> DataFrame:
+    """(by, key, numeric, temporal, first_time, last_time) of a map<string,string> column."""
+    cells = features.select(*by, F.explode(F.map_entries(properties)).alias("e")).select(*by, "e.key", "e.value").where("value IS NOT NULL AND trim(value) <> ''")
+    is_year = F.regexp_like("key", F.lit(r"(?i)(?:^|[_\s-])year(?:$|[_\s-])|year$"))
+    time = F.when(is_year, normal_time("value", "year")).otherwise(normal_time("value", "time"))
+    numeric = F.bool_or if any_numeric else F.bool_and
+    return cells.groupBy(*by, "key").agg(numeric(strict_number("value").isNotNull()).alias("numeric"), F.bool_and(time.isNotNull()).alias("temporal"), F.min(time).alias("first_time"), F.max(time).alias("last_time"))
+
+
 def profile_fields(features: DataFrame, properties: str = "props", any_numeric: bool = False) -> DataFrame:
     """(key, numeric, temporal, categorical) of a map<string,string> column, over all rows. Numeric and
     temporal need every value that isn't missing; with any_numeric one number is enough."""
-    cells = features.select(F.explode(F.map_entries(properties)).alias("e")).select("e.key", "e.value").where("value IS NOT NULL AND trim(value) <> ''")
-    is_year = F.regexp_like("key", F.lit(r"(?i)(?:^|[_\s-])year(?:$|[_\s-])|year$"))
-    is_time = F.when(is_year, normal_time("value", "year").isNotNull()).otherwise(normal_time("value", "time").isNotNull())
-    numeric = F.bool_or if any_numeric else F.bool_and
-    per = cells.groupBy("key").agg(numeric(strict_number("value").isNotNull()).alias("numeric"), F.bool_and(is_time).alias("temporal"))
+    per = _profiled(features, properties, any_numeric).select("key", "numeric", "temporal")
     return per.withColumn("categorical", ~F.col("numeric") & ~F.col("temporal"))
 
 
@@ -291,6 +302,45 @@ def inventory(features: DataFrame) -> DataFrame:
     return features.groupBy("dataset_id").agg(F.count("*").alias("feature_count"), F.array_join(F.array_sort(F.collect_set("geom_type")), ",").alias("geometry_types"), F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"))
 
 
+def gated(features: DataFrame, requests: DataFrame) -> DataFrame:
+    """(dataset_id, passed, reason, features, in_scope, shown): whether each dataset can be shown as its request
+    asks, and if not, why. features have dataset_id, geom_type, lon, lat and props, a map of texts; requests
+    (one for each dataset) dataset_id, visualization, field, west, south, east, north, reference_time and
+    population_year, all but the first two nullable. Reasons, of which the first that holds is given:
+
+    `no observations`; `invalid scope` (some sides lack, or lie beyond the map or the wrong way round; west >
+    east goes over the date line); `several times` (any field of times has more than one); `no numeric field`
+    (the field isn't one, of all the dataset's values); `unknown visualization`; `no field for a heatmap`; `not
+    points` (points and heatmaps need nothing but points); `no polygons` (a choropleth needs one); `other year`
+    (the one asked for isn't that of the observations); `nothing in scope`; `no value in scope` (no number of
+    the field). Scopes are never widened, and missing values aren't 0.
+
+    All datasets at once: fields and features are added up by dataset before they are shuffled, so that a large
+    dataset is no task's work."""
+    point, polygon = F.col("geom_type") == "Point", F.col("geom_type").isin("Polygon", "MultiPolygon")
+    sides = [F.col(c) for c in ("west", "south", "east", "north")]
+    given = reduce(or_, (c.isNotNull() for c in sides))
+    fine = F.coalesce(reduce(and_, (c.isNotNull() for c in sides)) & sides[0].between(-180, 180) & sides[2].between(-180, 180) & (sides[1] >= -90) & (sides[3] <= 90) & (sides[1] < sides[3]) & (sides[0] != sides[2]), F.lit(False))
+    asked = requests.withColumns({"scoped": given, "scope_ok": ~given | fine})
+    met = features.select("dataset_id", "geom_type", "lon", "lat", "props").join(F.broadcast(asked) if requests.limit(ASKED + 1).count() <= ASKED else asked, "dataset_id")
+    along = F.when(sides[0] <= sides[2], F.col("lon").between(sides[0], sides[2])).otherwise((F.col("lon") >= sides[0]) | (F.col("lon") <= sides[2]))
+    inside = ~F.col("scoped") | (F.col("scope_ok") & F.coalesce(along & F.col("lat").between(sides[1], sides[3]), F.lit(False)))
+    has_value = F.col("field").isNull() | (F.col("field") == "") | strict_number(F.try_element_at("props", F.col("field"))).isNotNull()
+    per = met.groupBy("dataset_id").agg(F.count("*").alias("features"), F.count_if(~F.coalesce(point, F.lit(False))).alias("others"), F.count_if(polygon).alias("polygons"), F.count_if(inside).alias("in_scope"), F.count_if(inside & has_value).alias("shown"))
+    fields = _profiled(features, "props", False, "dataset_id")
+    several = fields.groupBy("dataset_id").agg(F.bool_or(F.col("temporal") & (F.col("first_time") != F.col("last_time"))).alias("several"), F.collect_set(F.when(F.col("numeric"), F.col("key"))).alias("numeric_fields"))
+    j = asked.join(per, "dataset_id", "left").join(several, "dataset_id", "left").fillna(0, ["features", "others", "polygons", "in_scope", "shown"])
+    field = F.when(F.col("field") != "", F.col("field"))
+    kind, year = F.coalesce("visualization", F.lit("")), F.col("population_year").cast("string")
+    reason = F.when(F.col("features") == 0, "no observations").when(~F.col("scope_ok"), "invalid scope").when(F.coalesce("several", F.lit(False)), "several times")
+    reason = reason.when(field.isNotNull() & ~F.coalesce(F.array_contains("numeric_fields", field), F.lit(False)), "no numeric field")
+    reason = reason.when(~kind.isin("points", "heatmap", "choropleth"), "unknown visualization").when((kind == "heatmap") & field.isNull(), "no field for a heatmap")
+    reason = reason.when(kind.isin("points", "heatmap") & (F.col("others") > 0), "not points").when((kind == "choropleth") & (F.col("polygons") == 0), "no polygons")
+    reason = reason.when(year.isNotNull() & (F.coalesce(F.substring("reference_time", 1, 4), F.lit("")) != year), "other year")
+    reason = reason.when(F.col("in_scope") == 0, "nothing in scope").when(F.col("shown") == 0, "no value in scope")
+    return j.select("dataset_id", reason.isNull().alias("passed"), reason.alias("reason"), "features", "in_scope", "shown")
+
+
 def compared(a: DataFrame, b: DataFrame, field: str, key: str = "feature_id") -> DataFrame:
     """(key, side, delta): which of two versions has a feature, and how its value differs."""
     x, y = a.select(key, F.col(field).alias("_a"), F.lit(True).alias("_in_a")), b.select(key, F.col(field).alias("_b"), F.lit(True).alias("_in_b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
-from ..functions.inputs import BUILDINGS, LAT, LON, OBS, buildings, observations, table
+from ..functions.inputs import BUILDINGS, LAT, LON, OBS, buildings, observations, placed, table
 from ..operators import layers as op
 
 _R = lambda c, d=6: F.round(c, d).alias(c)
@@ -155,7 +155,36 @@ def pipe11_gate(spark, sf):
     return c.select(F.explode(F.array(F.struct(F.lit("numeric field").alias("check"), (F.col("numbers") > 0).alias("passed"), F.col("numbers").alias("n")), F.struct(F.lit("in scope").alias("check"), (F.col("in_scope") > 0).alias("passed"), F.col("in_scope").alias("n")), F.struct(F.lit("point geometry").alias("check"), (F.col("points") > 0).alias("passed"), F.col("points").alias("n")))).alias("r")).select("r.*")
 
 
+def pipe11_datasets(spark, sf):
+    """The customers of each nation as a dataset, some with odd geometries, fields or times, and a request for
+    each; one for a dataset that isn't there."""
+    k, c = F.col("c_nationkey"), F.col("c_custkey")
+    p = placed(table(spark, sf, "customer"), "c_custkey").where(k != 24)
+    props = F.create_map(F.lit("value"), F.when(k % 7 == 3, F.lit("n/a")).otherwise(F.col("c_acctbal").cast("string")), F.lit("gaps"), F.when(F.col("lon") > 77.15, F.col("c_acctbal").cast("string")), F.lit("day"), F.when((k % 5 == 4) & (c % 2 == 0), F.lit("2024-02-01")).otherwise("2024-01-01"))
+    shape = F.when((k % 6 == 1) & (c % 5 == 0), "MultiPoint").when(k % 6 == 2, "Polygon").otherwise("Point")
+    f = p.select(k.alias("dataset_id"), shape.alias("geom_type"), "lon", "lat", props.alias("props"))
+    n = F.col("n_nationkey")
+    kind = F.when(n % 6 == 2, "choropleth").when(n % 8 == 3, "chart").when(n % 11 == 10, "choropleth").otherwise("heatmap")
+    field = F.when(n % 9 == 8, F.lit(None)).when(n % 9 == 7, "").when(n == 22, "gaps").when(n == 6, "none").otherwise("value")
+    west, east = F.when(n % 4 == 0, 77.05).when(n == 5, 10.0).when(n == 22, 77.0).when(n == 18, 77.3), F.when(n % 4 == 0, 77.1).when(n == 5, 20.0).when(n == 22, 77.14).when(n == 18, 77.0)
+    scoped = west.isNotNull()
+    asked = table(spark, sf, "nation").select(n.alias("dataset_id"), kind.alias("visualization"), field.alias("field"), west.alias("west"), F.when(scoped, F.when(n == 12, 30.0).otherwise(28.0)).alias("south"), east.alias("east"), F.when(scoped, 29.0).alias("north"), F.when(n != 13, "2024-01-01").alias("reference_time"), F.when(n.isin(0, 13, 17), F.when(n == 17, 2023).otherwise(2024)).alias("population_year"))
+    return op.gated(f, asked)
+
+
+PIPE11 = f"""WITH p AS (SELECT c_nationkey AS k, c_custkey AS c, c_acctbal AS v, {LON.format(k='c_custkey')} AS lon, {LAT.format(k='c_custkey')} AS lat FROM customer WHERE c_nationkey <> 24),
+r AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 6 = 2 THEN 'choropleth' WHEN n_nationkey % 8 = 3 THEN 'chart' WHEN n_nationkey % 11 = 10 THEN 'choropleth' ELSE 'heatmap' END AS kind, CASE WHEN n_nationkey % 9 IN (7, 8) THEN NULL WHEN n_nationkey = 22 THEN 'gaps' WHEN n_nationkey = 6 THEN 'none' ELSE 'value' END AS field,
+ CASE WHEN n_nationkey % 4 = 0 THEN 77.05::DOUBLE WHEN n_nationkey = 5 THEN 10 WHEN n_nationkey = 22 THEN 77 WHEN n_nationkey = 18 THEN 77.3::DOUBLE END AS w, CASE WHEN n_nationkey % 4 = 0 THEN 77.1::DOUBLE WHEN n_nationkey = 5 THEN 20 WHEN n_nationkey = 22 THEN 77.14::DOUBLE WHEN n_nationkey = 18 THEN 77 END AS e FROM nation),
+j AS (SELECT r.k, kind, field, c, v, lon, CASE WHEN w IS NULL THEN true WHEN r.k = 12 THEN false WHEN w <= e THEN lon BETWEEN w AND e ELSE lon >= w OR lon <= e END AS inside FROM r LEFT JOIN p USING (k)),
+g AS (SELECT k, any_value(kind) AS kind, any_value(field) AS field, count(c) AS features, count(DISTINCT CASE WHEN k % 5 = 4 THEN c % 2 END) AS days, count(*) FILTER (k % 6 = 2 OR (k % 6 = 1 AND c % 5 = 0)) AS others, count(*) FILTER (c IS NOT NULL AND k % 6 = 2) AS polygons, count(*) FILTER (lon > 77.15) AS gaps,
+ count(*) FILTER (c IS NOT NULL AND inside) AS in_scope, count(*) FILTER (c IS NOT NULL AND inside AND CASE field WHEN 'value' THEN k % 7 <> 3 WHEN 'gaps' THEN lon > 77.15 WHEN 'none' THEN false ELSE true END) AS shown FROM j GROUP BY k),
+h AS (SELECT *, CASE WHEN features = 0 THEN 'no observations' WHEN k = 12 THEN 'invalid scope' WHEN days > 1 THEN 'several times' WHEN field = 'none' OR (field = 'value' AND k % 7 = 3) OR (field = 'gaps' AND gaps = 0) THEN 'no numeric field' WHEN kind = 'chart' THEN 'unknown visualization' WHEN kind = 'heatmap' AND field IS NULL THEN 'no field for a heatmap'
+ WHEN kind = 'heatmap' AND others > 0 THEN 'not points' WHEN kind = 'choropleth' AND polygons = 0 THEN 'no polygons' WHEN k IN (13, 17) THEN 'other year' WHEN in_scope = 0 THEN 'nothing in scope' WHEN shown = 0 THEN 'no value in scope' END AS reason FROM g)
+SELECT k AS dataset_id, reason IS NULL AS passed, reason, features, in_scope, shown FROM h"""
+
+
 QUERIES = {
+    "pipe11_datasets": (pipe11_datasets, PIPE11),
     "agg5_density_grid": (agg5_density_grid, GRID),
     "fil1_number_range": (fil1_number_range, "SELECT c_custkey AS feature_id, c_acctbal AS value FROM customer WHERE c_acctbal BETWEEN 100 AND 5000"),
     "agg1_fields": (agg1_fields, f"""WITH c AS (SELECT unnest([{_KEYS}]) AS kv FROM events), v AS (SELECT kv[1] AS key, kv[2] AS value FROM c), w AS (SELECT * FROM v WHERE value IS NOT NULL AND trim(value) <> ''),
