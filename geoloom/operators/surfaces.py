@@ -205,3 +205,17 @@ def validated(polygons: DataFrame, key: str = "feature_id") -> tuple[DataFrame,
         named = F.when(F.col("rank") == rank, name).otherwise(named)
     out = simple.join(worst, F.col(key) == F.col("_key"), "left").withColumn("reason", F.coalesce("reason", named)).drop("_key", "rank")
     return out.where("reason IS NULL").drop("reason"), out.where("reason IS NOT NULL")
+
+
+def pin_areas(pins: DataFrame, key: str) -> DataFrame:
+    """(key, area, pin_ids, reason) of pins (key, pos, pin_id, lon, lat): the square metres inside the ring of
+    an area's pins in the order in which they were set, or why it has none: `too few pins` below three, or what
+    `validated` finds in the ring (pins that cross when they are joined: `edges meet`)."""
+    each = pins.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "pin_id", "lon", "lat"))).alias("_pins"))
+    path = F.transform("_pins", lambda p: vertex(p["lon"], p["lat"]))
+    ids = F.transform("_pins", lambda p: p["pin_id"]).alias("pin_ids")
+    rings = each.select(key, ids, F.array(F.array(F.concat(path, F.slice(path, 1, 1)))).alias("parts"))
+    few = rings.where(F.size("pin_ids") < 3).select(key, F.lit(None).cast("double").alias("area"), "pin_ids", F.lit("too few pins").alias("reason"))
+    good, bad = validated(rings.where(F.size("pin_ids") >= 3), key)
+    measured = good.select(key, ring_area(F.col("parts")[0][0]).alias("area"), "pin_ids", F.lit(None).cast("string").alias("reason"))
+    return measured.unionByName(bad.select(key, F.lit(None).cast("double").alias("area"), "pin_ids", "reason")).unionByName(few)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fn
 from ..functions import geometry as g
-from ..functions.inputs import BUILDINGS, OBS, buildings, observations, placed, table
+from ..functions.inputs import BUILDINGS, LAT, OBS, buildings, observations, placed, table
 from ..operators import surfaces as op
 from ..scratch import Scratch, stored
 from ..sources import readers
@@ -79,6 +79,22 @@ def fil10_valid(spark, sf):
     return bad.select("feature_id", "reason")
 
 
+def pipe9_rings(spark, sf):
+    """Pins around suppliers: of some too few, of some crossing or in a row, of the others a rectangle."""
+    s = placed(table(spark, sf, "supplier"), "s_suppkey")
+    k, i = F.col("s_suppkey"), F.col("pos")
+    pins = s.select("s_suppkey", F.col("lon").alias("x"), F.col("lat").alias("y"), F.explode(F.sequence(F.lit(0), F.when(k % 7 == 0, F.lit(1)).otherwise(3))).alias("pos"))
+    east, north = F.when(i.isin(1, 2), 0.01).otherwise(0.0), F.when(i >= 2, 0.01).otherwise(0.0)
+    crossing = F.when(i == 1, 0.01).when(i == 3, 0.02).otherwise(0.0)
+    lat = F.when(k % 5 == 0, crossing).when(k % 11 == 0, 0.0).otherwise(north)
+    pins = pins.select("s_suppkey", "pos", F.concat_ws("-", k, i).alias("pin_id"), (F.col("x") + F.when(k % 11 == 0, i / 1000).otherwise(east)).alias("lon"), (F.col("y") + lat).alias("lat"))
+    return op.pin_areas(pins, "s_suppkey").select("s_suppkey", F.round("area", 2).alias("area"), F.array_join("pin_ids", ",").alias("pin_ids"), "reason")
+
+
+PIPE9 = f"""SELECT k AS s_suppkey, CASE WHEN reason IS NULL THEN round(6371008.8 * 6371008.8 / 2 * abs(radians(0.01) * (2 + 2 * sin(radians(lat))) - radians(0.01) * (2 + 2 * sin(radians(lat + 0.01)))), 2) END AS area, CASE WHEN k % 7 = 0 THEN k || '-0,' || k || '-1' ELSE k || '-0,' || k || '-1,' || k || '-2,' || k || '-3' END AS pin_ids, reason
+FROM (SELECT s_suppkey AS k, {LAT.format(k='s_suppkey')} AS lat, CASE WHEN s_suppkey % 7 = 0 THEN 'too few pins' WHEN s_suppkey % 5 = 0 AND s_suppkey % 11 <> 0 THEN 'edges meet' WHEN s_suppkey % 11 = 0 AND s_suppkey % 5 <> 0 THEN 'no area' WHEN s_suppkey % 55 = 0 THEN 'edges meet' END AS reason FROM supplier)"""
+
+
 def fn18_rings(spark, sf):
     """Footprints cut into two lines each, one of them reversed, stitched again; every sixth has a hole, and
     every tenth has inner lines only."""
@@ -109,6 +125,7 @@ QUERIES = {
     "pipe4_surface": (pipe4_surface, f"{_NODES} SELECT row, col, round((p[1].value + p[2].value + p[3].value + p[4].value) / 4, 4) AS value FROM q"),
     "pipe5_contours": (pipe5_contours, PIPE5),
     "fil10_valid": (fil10_valid, "SELECT k AS feature_id, CASE WHEN k % 7 = 0 THEN 'edges meet' WHEN k % 11 = 0 THEN 'open ring' WHEN k % 13 = 0 THEN 'no area' WHEN k % 17 = 0 THEN 'nested holes' WHEN k % 19 = 0 THEN 'rings meet' ELSE 'hole outside' END AS reason FROM (SELECT p_partkey AS k FROM part) WHERE k % 7 = 0 OR k % 11 = 0 OR k % 13 = 0 OR k % 17 = 0 OR k % 19 = 0 OR k % 23 = 0"),
+    "pipe9_rings": (pipe9_rings, PIPE9),
     "fn18_rings": (fn18_rings, f"SELECT k AS relation_id, CASE WHEN k % 6 = 0 THEN 2 ELSE 1 END AS rings, 5 AS n, round((e - w) * (n - so) * pow(pi() * 6371008.8 / 180, 2) * cos(radians((so * 3 + n * 2) / 5)), 2) AS area FROM ({BUILDINGS}) WHERE k % 10 <> 0"),
     "str1_places": (str1_places, f"WITH p AS (SELECT c_custkey AS c, c_custkey // 2 AS k, c_custkey % 3 AS b FROM customer), q AS (SELECT x.c AS a, y.c AS o FROM p x JOIN p y ON x.k = y.k AND x.c <> y.c AND (y.b < x.b OR (y.b = x.b AND y.c < x.c))) SELECT printf('p%07d', a) AS place_id, printf('p%07d', o) AS canonical_id FROM q"),
 }
