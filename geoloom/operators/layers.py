@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import longitude_near, normal_time, strict_number, wrap_longitude
+from ..functions.geometry import pairs
 from ..scratch import stored
 
+#: Fields that an inventory names.
+LISTED_FIELDS = 16
 #: Up to so many requests are sent to all tasks.
 ASKED = 10_000
 
@@ -216,12 +219,13 @@ def average_duplicates(points: DataFrame, field: str) -> DataFrame:
 # Extents and grids
 
 
-def extent(arcs: DataFrame) -> DataFrame:
-    """One row (west, south, east, north) of rows (a, b, lat): segments from longitude a to b the short way.
+def extent(arcs: DataFrame, *by: str) -> DataFrame:
+    """One row (by, west, south, east, north), or one for each group, of rows (by, a, b, lat): segments from
+    longitude a to b the short way.
     The longitudes are the complement of the largest gap between arcs, so that a layer across the
     antimeridian stays narrow. Arcs are merged by millionths of a degree (about a tenth of a metre, below
     which gaps don't count), those within hundredths, and these with what reaches them from the west: what one
-    task orders is 36 001 rows at most."""
+    task orders is 36 001 rows of a group at most."""
     d = F.col("b") - F.col("a")
     end = F.col("a") + F.when(F.abs(d) == 360, d).when(d > 180, d - 360).when(d < -180, d + 360).otherwise(d)
     length = F.abs(end - F.col("a"))
@@ -229,19 +233,20 @@ def extent(arcs: DataFrame) -> DataFrame:
     pieces = F.when(length >= 360, F.array(F.struct(F.lit(0.0).alias("s"), F.lit(360.0).alias("e"))))
     pieces = pieces.when(start + length <= 360, F.array(F.struct(start.alias("s"), (start + length).alias("e"))))
     pieces = pieces.otherwise(F.array(F.struct(start.alias("s"), F.lit(360.0).alias("e")), F.struct(F.lit(0.0).alias("s"), (start + length - 360).alias("e"))))
-    spans = arcs.select(F.explode(pieces).alias("p"), "lat").select("p.s", "p.e", "lat")
-    fine = spans.groupBy(F.floor(F.col("s") * 1e6).alias("f")).agg(F.min("s").alias("s"), F.max("e").alias("e")).withColumn("cell", F.floor(F.col("f") / 10_000))
+    spans = arcs.select(*by, F.explode(pieces).alias("p")).select(*by, "p.s", "p.e")
+    fine = spans.groupBy(*by, F.floor(F.col("s") * 1e6).alias("f")).agg(F.min("s").alias("s"), F.max("e").alias("e")).withColumn("cell", F.floor(F.col("f") / 10_000))
     fine = stored(fine)
-    coarse = fine.groupBy("cell").agg(F.max("e").alias("e")).withColumn("_one", F.lit(1))
-    west = F.broadcast(coarse.select("cell", F.max("e").over(Window.partitionBy("_one").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)).alias("before")))
-    within = Window.partitionBy("cell").orderBy("f").rowsBetween(Window.unboundedPreceding, -1)
-    reached = fine.join(west, "cell").select("s", F.greatest("before", F.max("e").over(within)).alias("e"))
-    around = fine.agg(F.max("e").alias("e"), (F.min("s") + 360).alias("s")).where("s IS NOT NULL")
-    gaps = reached.where("s > e").unionByName(around.select("s", "e")).select((F.col("s") - F.col("e")).alias("gap"), "e", F.col("s").alias("next"))
-    best = gaps.agg(F.max(F.struct("gap", (-F.col("e")).alias("k"), "next", "e")).alias("g"))
-    lats = arcs.agg(F.min("lat").alias("south"), F.max("lat").alias("north"))
+    coarse = fine.groupBy(*by, "cell").agg(F.max("e").alias("e")).withColumn("_one", F.lit(1))
+    west = coarse.select(*by, "cell", F.max("e").over(Window.partitionBy("_one", *by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    within = Window.partitionBy(*by, "cell").orderBy("f").rowsBetween(Window.unboundedPreceding, -1)
+    reached = fine.join(west if by else F.broadcast(west), [*by, "cell"]).select(*by, "s", F.greatest("before", F.max("e").over(within)).alias("e"))
+    around = fine.groupBy(*by).agg(F.max("e").alias("e"), (F.min("s") + 360).alias("s")).where("s IS NOT NULL")
+    gaps = reached.where("s > e").unionByName(around.select(*by, "s", "e")).select(*by, (F.col("s") - F.col("e")).alias("gap"), "e", F.col("s").alias("next"))
+    best = gaps.groupBy(*by).agg(F.max(F.struct("gap", (-F.col("e")).alias("k"), "next", "e")).alias("g"))
+    lats = arcs.groupBy(*by).agg(F.min("lat").alias("south"), F.max("lat").alias("north"))
     wide = F.col("g.gap") <= 1e-10
-    return best.crossJoin(lats).where("g IS NOT NULL").select(F.when(wide, -180.0).otherwise(wrap_longitude(F.col("g.next") - 180)).alias("west"), "south", F.when(wide, 180.0).otherwise(wrap_longitude(F.col("g.e") - 180)).alias("east"), "north")
+    met = best.join(lats, list(by)) if by else best.crossJoin(lats)
+    return met.where("g IS NOT NULL").select(*by, F.when(wide, -180.0).otherwise(wrap_longitude(F.col("g.next") - 180)).alias("west"), "south", F.when(wide, 180.0).otherwise(wrap_longitude(F.col("g.e") - 180)).alias("east"), "north")
 
 
 def plain_extent(points: DataFrame) -> DataFrame:
@@ -302,6 +307,25 @@ def inventory(features: DataFrame) -> DataFrame:
     return features.groupBy("dataset_id").agg(F.count("*").alias("feature_count"), F.array_join(F.array_sort(F.collect_set("geom_type")), ",").alias("geometry_types"), F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"))
 
 
+def layer_inventory(features: DataFrame, matching: Column | None = None) -> DataFrame:
+    """(dataset_id, feature_count, matching_count, geometry_types, west, south, east, north, numeric_fields,
+    categorical_fields) of many layers at once. features (a row each) have dataset_id, geom_type, parts and props,
+    a map of texts; `matching` is the layers' filter. Types are sorted; bounds are narrow over the antimeridian
+    and null without a position; fields are the first LISTED_FIELDS, by name, with names of 128 characters at
+    most: numeric ones have nothing but numbers, categorical ones are neither those nor times."""
+    path = F.flatten("parts")
+    lines = F.when(F.col("geom_type").isin("Point", "MultiPoint"), F.array().cast("array<array<struct<a:double,b:double,lat:double>>>")).otherwise(F.transform(path, lambda r: F.transform(pairs(r), lambda s: F.struct(s["a"]["lon"].alias("a"), s["b"]["lon"].alias("b"), s["a"]["lat"].alias("lat")))))
+    points = F.transform(F.flatten(path), lambda p: F.struct(p["lon"].alias("a"), p["lon"].alias("b"), p["lat"].alias("lat")))
+    arcs = features.select("dataset_id", F.explode(F.concat(points, F.flatten(lines))).alias("s")).select("dataset_id", "s.a", "s.b", "s.lat")
+    counts = features.groupBy("dataset_id").agg(F.count("*").alias("feature_count"), F.count_if(F.coalesce(matching, F.lit(False)) if matching is not None else F.lit(True)).alias("matching_count"), F.array_sort(F.collect_set("geom_type")).alias("geometry_types"))
+    short = F.char_length("key") <= 128
+    first = lambda ok: F.slice(F.array_sort(F.collect_list(F.when(short & ok, F.col("key")))), 1, LISTED_FIELDS)
+    fields = _profiled(features, "props", False, "dataset_id").groupBy("dataset_id").agg(first(F.col("numeric")).alias("numeric_fields"), first(~F.col("numeric") & ~F.col("temporal")).alias("categorical_fields"))
+    none = F.array().cast("array<string>")
+    j = counts.join(extent(arcs, "dataset_id"), "dataset_id", "left").join(fields, "dataset_id", "left")
+    return j.withColumns({c: F.coalesce(c, none) for c in ("numeric_fields", "categorical_fields")}).select("dataset_id", "feature_count", "matching_count", "geometry_types", "west", "south", "east", "north", "numeric_fields", "categorical_fields")
+
+
 def gated(features: DataFrame, requests: DataFrame) -> DataFrame:
     """(dataset_id, passed, reason, features, in_scope, shown): whether each dataset can be shown as its request
     asks, and if not, why. features have dataset_id, geom_type, lon, lat and props, a map of texts; requests

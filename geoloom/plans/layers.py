@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
+from ..functions import geometry as g
 from ..functions.inputs import BUILDINGS, LAT, LON, OBS, buildings, observations, placed, table
 from ..operators import layers as op
 
@@ -93,6 +94,25 @@ INVENTORY = f"""WITH a AS ({OBS}), b AS ({BUILDINGS}), u AS (SELECT 'customers-'
 SELECT d AS dataset_id, count(*) AS feature_count, any_value(t) AS geometry_types, round(min(lon), 6) AS west, round(min(lat), 6) AS south, round(max(lon), 6) AS east, round(max(lat), 6) AS north FROM u GROUP BY d"""
 
 
+def agg12_layers(spark, sf):
+    """Layers of customers by segment, one of them over the antimeridian, and of buildings by type, with their
+    fields, and how many features have a value above 1000."""
+    k = F.col("feature_id")
+    o = observations(spark, sf).withColumn("lon", F.when(F.col("category") == "HOUSEHOLD", fn.wrap_longitude(F.col("lon") + 102.9)).otherwise(F.col("lon")))
+    props = F.create_map(F.lit("value"), F.col("value").cast("string"), F.lit("category"), F.col("category"), F.lit("day"), F.lit("2024-01-01"), F.lit("mixed"), F.when(k % 2 == 0, F.lit("1")).otherwise("one"), F.lit("blank"), F.lit(" "))
+    a = o.select(F.concat(F.lit("customers-"), "category").alias("dataset_id"), F.when(k % 4 == 0, "MultiPoint").otherwise("Point").alias("geom_type"), g.point_parts("lon", "lat").alias("parts"), props.alias("props"), "value")
+    b = buildings(spark, sf).select(F.concat(F.lit("buildings-"), "building_type").alias("dataset_id"), F.lit("Polygon").alias("geom_type"), "parts", F.create_map(F.lit("levels"), F.col("levels").cast("string")).alias("props"), F.lit(None).cast("double").alias("value"))
+    listed = op.layer_inventory(a.unionByName(b), F.col("value") > 1000)
+    return listed.select("dataset_id", "feature_count", "matching_count", F.array_join("geometry_types", ",").alias("geometry_types"), *(_R(c) for c in ("west", "south", "east", "north")), F.array_join("numeric_fields", ",").alias("numeric_fields"), F.array_join("categorical_fields", ",").alias("categorical_fields"))
+
+
+_TURN = lambda x: f"CASE WHEN {x} >= 180 THEN {x} - 360 ELSE {x} END"
+AGG12 = f"""WITH a AS (SELECT *, lon + CASE WHEN category = 'HOUSEHOLD' THEN 102.9::DOUBLE ELSE 0.0::DOUBLE END AS x FROM ({OBS})), b AS ({BUILDINGS})
+SELECT 'customers-' || category AS dataset_id, count(*) AS feature_count, count(*) FILTER (value > 1000) AS matching_count, string_agg(DISTINCT CASE WHEN feature_id % 4 = 0 THEN 'MultiPoint' ELSE 'Point' END, ',' ORDER BY CASE WHEN feature_id % 4 = 0 THEN 'MultiPoint' ELSE 'Point' END) AS geometry_types,
+ round({_TURN("min(x)")}, 6) AS west, round(min(lat), 6) AS south, round({_TURN("max(x)")}, 6) AS east, round(max(lat), 6) AS north, 'value' AS numeric_fields, 'category,mixed' AS categorical_fields FROM a GROUP BY category
+UNION ALL SELECT 'buildings-' || building_type, count(*), 0, 'Polygon', round(min(w), 6), round(min(so), 6), round(max(e), 6), round(max(n), 6), 'levels', '' FROM b GROUP BY building_type"""
+
+
 def win7_category_codes(spark, sf):
     """Codes of texts, of numbers, and of true and false, each in the order of their JSON."""
     p = table(spark, sf, "part").select("p_brand", "p_size", (F.col("p_partkey") % 2 == 0).alias("even"))
@@ -200,6 +220,7 @@ SELECT b.bin, round(lo * (1 - b.bin / bins) + hi * (b.bin / bins), 6) AS low, ro
     "agg9_hotspots": (agg9_hotspots, "WITH s AS (SELECT c_acctbal AS v, row_number() OVER (ORDER BY c_acctbal) - 1 AS k, count(*) OVER () AS n FROM customer), t AS (SELECT v FROM s WHERE k = floor((n - 1) * 0.9)) SELECT c_custkey AS feature_id, c_acctbal AS value FROM customer, t WHERE c_acctbal >= v"),
     "agg10_average_duplicates": (agg10_average_duplicates, "SELECT l_orderkey % 500 AS lon, l_partkey % 50 AS lat, round(avg(l_quantity), 6) AS value FROM lineitem GROUP BY 1, 2"),
     "agg11_time_values": (agg11_time_values, "SELECT DISTINCT strftime(ts, '%Y-%m-%d') || 'T00:00:00.000Z' AS time FROM events"),
+    "agg12_layers": (agg12_layers, AGG12),
     "agg12_inventory": (agg12_inventory, INVENTORY),
     "fil2_typed_equal": (fil2_typed_equal, "SELECT c_custkey AS feature_id, c_custkey % 3 = 0 AS is_false, c_custkey % 3 = 1 AS is_text, c_custkey % 3 = 2 AS is_zero FROM customer"),
     "fil3_typed_compare": (fil3_typed_compare, "SELECT c_custkey AS feature_id, c_custkey % 4 >= 2 AND c_acctbal >= 1000 AS at_least, c_custkey % 4 > 0 AS not_x, c_custkey % 4 >= 2 AND c_acctbal < 0 AS below FROM customer"),
