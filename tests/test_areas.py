@@ -71,6 +71,10 @@ def test_nothing_to_join(spark):
 
 
 def test_inside_of_a_large_polygon_is_few_keys(spark):
-    a = spark.createDataFrame([("b", [[[{"lon": float(x), "lat": float(y)} for x, y in star(0, 0, 50, 2000, random.Random(1))]]])], f"area string, parts {PARTS}")
+    """A circle of 2000 edges: cells lie along it, the inside is few of them, and none keeps many edges."""
+    ring = [(50 * math.cos(math.pi * k / 1000), 50 * math.sin(math.pi * k / 1000)) for k in range(2000)]
+    a = spark.createDataFrame([("b", [[[{"lon": x, "lat": y} for x, y in [*ring, ring[0]]]]])], f"area string, parts {PARTS}")
     cells = areas.covers(a, "area").collect()
-    assert max(len(c.edges) for c in cells) < 1000 and sum(c.inside for c in cells) < len(cells) and {c.z for c in cells if c.inside} - {c.z for c in cells if not c.inside}
+    area = {flag: sum((360 / 2**c.z) ** 2 for c in cells if c.inside == flag) for flag in (True, False)}
+    assert len(cells) < 2000 and max(len(c.edges) for c in cells) < 300
+    assert area[True] > 0.9 * math.pi * 2500 and area[False] < 0.1 * math.pi * 2500
