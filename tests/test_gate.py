@@ -67,5 +67,25 @@ def test_pin_areas(spark):
     rows = [(k, p, f"{k}{p}", x, y) for k, pins in areas.items() for p, x, y in pins]
     pins = spark.createDataFrame(rows, "area_id string, pos int, pin_id string, lon double, lat double").orderBy(F.desc("pin_id"))
     got = {r.area_id: r for r in surfaces.pin_areas(pins, "area_id").collect()}
-    assert {k: r.reason for k, r in got.items()} == {"square": None, "backwards": None, "crossing": "edges meet", "two": "too few pins", "row": "no area", "twice": "edges meet"}
+    assert {k: r.reason for k, r in got.items()} == {"square": None, "backwards": None, "crossing": "edges meet", "two": "too few pins", "row": "no area", "twice": "no area"}
     assert got["square"].area == pytest.approx(1.2364e10, rel=1e-3) and got["square"].pin_ids == ["square0", "square1", "square2", "square3"] and got["two"].area is None
+
+
+def test_layer_inventory(spark):
+    """Bounds are narrow over the antimeridian, by dataset; edges count, not only vertices; fields by their values."""
+    from geoloom.functions.geometry import PARTS
+
+    at = lambda *ps: [[[{"lon": float(x), "lat": float(y)} for x, y in ps]]]
+    rows = [
+        ("across", "Point", at((179.5, 1)), {"n": "1", "c": "x", "t": "2020-01-01", "m": "1"}, True), ("across", "Point", at((-179.0, 2)), {"n": "2", "c": "y", "t": "2020-01-02", "m": "one"}, False),
+        ("line", "LineString", at((170, 0), (-170, 5)), {}, None), ("line", "LineString", at((-175, 0), (-160, 9)), None, True),
+        ("plain", "Polygon", at((0, 0), (10, 0), (10, 10), (0, 0)), {"k" * 129: "1", **{f"f{k:02d}": "1" for k in range(20)}}, True), ("empty", "Point", [], {}, True),
+    ]
+    df = spark.createDataFrame(rows, f"dataset_id string, geom_type string, parts {PARTS}, props map<string,string>, shown boolean")
+    got = {r.dataset_id: r for r in layers.layer_inventory(df, F.col("shown")).collect()}
+    assert {k: (r.feature_count, r.matching_count, r.geometry_types) for k, r in got.items()} == {"across": (2, 1, ["Point"]), "line": (2, 1, ["LineString"]), "plain": (1, 1, ["Polygon"]), "empty": (1, 1, ["Point"])}
+    bounds = {k: (r.west, r.south, r.east, r.north) for k, r in got.items()}
+    assert bounds == {"across": (179.5, 1.0, -179.0, 2.0), "line": (170.0, 0.0, -160.0, 9.0), "plain": (0.0, 0.0, 10.0, 10.0), "empty": (None,) * 4}
+    assert (got["across"].numeric_fields, got["across"].categorical_fields) == (["n"], ["c", "m"])
+    assert got["plain"].numeric_fields == [f"f{k:02d}" for k in range(16)] and got["line"].categorical_fields == []
+    assert {r.dataset_id: r.matching_count for r in layers.layer_inventory(df).collect()} == {"across": 2, "line": 2, "plain": 1, "empty": 1}
