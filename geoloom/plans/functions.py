@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
@@ -235,12 +238,22 @@ SRC11 = f"""SELECT 'customers' AS layer, feature_id::VARCHAR AS feature_id, 'Poi
 SELECT 'suppliers', 's "' || s_suppkey || '"', 'LineString', round({LON.format(k='s_suppkey')} + 0.5, 6), round({LAT.format(k='s_suppkey')}, 6), s_name FROM supplier"""
 
 
+def _hex_wkb(order: str):
+    """A polygon's ring as hexadecimal WKB, in little or big byte order."""
+
+    def text(paths: pd.Series) -> pd.Series:
+        head = lambda n: struct.pack(f"{order}BIII", order == "<", 3, 1, n)
+        return paths.map(lambda path: (head(len(path)) + b"".join(struct.pack(f"{order}dd", p["lon"], p["lat"]) for p in path)).hex())
+
+    return F.pandas_udf(text, "string")
+
+
 def src9_geometries(spark, sf):
-    """Footprints as WKT and as hexadecimal WKB, decoded."""
+    """Footprints as WKT and as hexadecimal WKB of both byte orders, decoded."""
     b = buildings(spark, sf)
     v = F.col("parts")[0][0]
     wkt = F.concat(F.lit("SRID=4326;POLYGON (("), F.array_join(F.transform(v, lambda p: F.concat_ws(" ", p["lon"], p["lat"])), ", "), F.lit("))"))
-    rows = b.select(F.col("input_pos").alias("id"), F.when(F.col("input_pos") % 10 == 0, "not a geometry").otherwise(wkt).alias("geom"))
+    rows = b.select(F.col("input_pos").alias("id"), F.when(F.col("input_pos") % 10 == 0, "not a geometry").when(F.col("input_pos") % 10 < 4, _hex_wkb("<")(v)).when(F.col("input_pos") % 10 < 6, F.upper(_hex_wkb(">")(v))).otherwise(wkt).alias("geom"))
     good, _ = readers.decode_geometries(rows, "id", "geom")
     return good.select("id", "geom_type", F.size(F.col("parts")[0][0]).alias("n"), F.round(g.metrics("parts")["area"], 2).alias("area"))
 
