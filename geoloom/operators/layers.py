@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import longitude_near, normal_time, strict_number, wrap_longitude
-from ..functions.geometry import pairs
+from ..functions.geometry import pairs, representative, vertices
 from ..scratch import stored
 
+#: Ways to show a layer, besides surfaces and contours.
+MODES = ("points", "density", "heatmap", "choropleth", "extrusion", "flow", "tactical")
 #: Fields that an inventory names.
 LISTED_FIELDS = 16
 #: Up to so many requests are sent to all tasks.
@@ -307,6 +309,61 @@ def inventory(features: DataFrame) -> DataFrame:
     return features.groupBy("dataset_id").agg(F.count("*").alias("feature_count"), F.array_join(F.array_sort(F.collect_set("geom_type")), ",").alias("geometry_types"), F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"))
 
 
+def _shape(*kinds: str) -> Column:
+    return F.col("geom_type").isin(*kinds, *(f"Multi{k}" for k in kinds))
+
+
+def layer_mode(features: DataFrame, mode: str, field: str | None = None, metres: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(shown, legend) of a filtered layer (feature_id, geom_type, parts and, if there is a field, its numbers as
+    value, null where missing) in one of MODES.
+
+    points, heatmap, tactical: a point for each geometry's representative (of a MultiPoint all). choropleth and
+    extrusion: polygons; where the layer has none, counts of its points in grid cells. flow: lines. density:
+    counts of all representatives in grid cells. Features of other geometry are left out and counted, as are
+    those without a value, never taken as 0; without a field the value is 1. Cells don't encode the field.
+
+    shown has value, weight, heat_weight and height (extrusions of polygons by a field in metres have their own);
+    legend is one row: mode, geometry_type, title, unit (`features`, `features/cell`, or null for the layer's
+    own), input_count, incompatible, missing, shown, min, mid, max, and caveats, an array of: `grid counts`,
+    `field not encoded`, `incompatible geometry`, `missing values`, `index height` or `metre height`, `scaled by
+    maximum` or `relative weights`, `given lines only`, `nothing shown`, `constant`.
+    Flow without a line, and polygon modes without a polygon or point, are errors, as in no mode are invented."""
+    if mode not in MODES:
+        raise ValueError(f"unsupported mode {mode}")
+    points, polygons, lines = _shape("Point"), _shape("Polygon"), _shape("LineString")
+    has = features.agg(*(F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in (("point", points), ("polygon", polygons), ("line", lines)))).first()
+    areal = mode in ("choropleth", "extrusion")
+    if mode == "flow" and not has.line:
+        raise ValueError("flow needs lines")
+    if areal and not has.polygon and not has.point:
+        raise ValueError(f"{mode} needs polygons, or points to count")
+    grid = mode == "density" or areal and not has.polygon
+    fits = (points if grid else polygons) if areal else lines if mode == "flow" else F.lit(True)
+    valued = grid or field is None
+    marked = features.withColumns({"_fits": F.coalesce(fits, F.lit(False)), "value": F.lit(1.0) if valued else F.col("value").cast("double")})
+    counts = marked.agg(F.count("*").alias("input_count"), F.count_if(~F.col("_fits")).alias("incompatible"), F.count_if(F.col("_fits") & F.col("value").isNull()).alias("missing"))
+    kept = marked.where("_fits AND value IS NOT NULL").drop("_fits")
+    if areal and not grid or mode == "flow":
+        shapes, kind = kept, "LineString" if mode == "flow" else "Polygon"
+    else:
+        places = F.when(F.col("geom_type") == "MultiPoint", vertices("parts")).otherwise(F.array(representative("geom_type", "parts")))
+        at = kept.select("feature_id", "value", F.explode(places).alias("p")).where("p IS NOT NULL").select("feature_id", "value", "p.lon", "p.lat")
+        shapes, kind = (density_grid(at).withColumn("value", F.col("count").cast("double")), "Polygon") if grid else (at, "Point")
+    own = metres and mode == "extrusion" and not grid and field is not None
+    shown = weights(stored(shapes), "value", own)
+    ends = shown.agg(F.count("*").alias("shown"), F.min("value").alias("min"), F.max("value").alias("max"))
+    low, high = F.col("min"), F.col("max")
+    said = {
+        "grid counts": F.lit(grid), "field not encoded": F.lit(grid and field is not None), "incompatible geometry": F.col("incompatible") > 0, "missing values": F.col("missing") > 0, "index height": F.lit(mode == "extrusion" and not own), "metre height": F.lit(own),
+        "scaled by maximum": F.lit(mode == "heatmap") & (low >= 0), "relative weights": F.lit(mode == "heatmap") & (low < 0), "given lines only": F.lit(mode == "flow"), "nothing shown": F.col("shown") == 0, "constant": low == high,
+    }
+    caveats = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in said.items())), lambda x: x.isNotNull())
+    title = "Feature count" if valued else field
+    unit = "features/cell" if grid else "features" if field is None else None
+    legend = counts.crossJoin(ends).select(F.lit(mode).alias("mode"), F.lit(kind).alias("geometry_type"), F.lit(title).alias("title"), F.lit(unit).cast("string").alias("unit"), "input_count", "incompatible", "missing", "shown", "min", ((low + high) / 2).alias("mid"), "max", caveats.alias("caveats"))
+    return shown, legend
+
+
 def layer_inventory(features: DataFrame, matching: Column | None = None) -> DataFrame:
     """(dataset_id, feature_count, matching_count, geometry_types, west, south, east, north, numeric_fields,
     categorical_fields) of many layers at once. features (a row each) have dataset_id, geom_type, parts and props,

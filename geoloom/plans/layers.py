@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
@@ -168,6 +171,37 @@ def pipe3_heatmap(spark, sf):
     return op.weights(f, "value").select("feature_id", "category", _R("heat_weight"), _R("height", 3))
 
 
+def _mixed(spark, sf):
+    """Customers as points, a tenth of them as lines, and buildings with a number of levels, or none."""
+    k = F.col("feature_id")
+    line = F.array(F.array(F.array(g.vertex("lon", "lat"), g.vertex(F.col("lon") + 0.001, "lat"))))
+    o = observations(spark, sf).select(F.concat(F.lit("c"), k).alias("feature_id"), F.when(k % 10 == 0, "LineString").otherwise("Point").alias("geom_type"), F.when(k % 10 == 0, line).otherwise(g.point_parts("lon", "lat")).alias("parts"), "value")
+    b = buildings(spark, sf).select(F.concat(F.lit("b"), "input_pos").alias("feature_id"), F.lit("Polygon").alias("geom_type"), "parts", F.nullif("levels", F.lit(0.0)).alias("value"))
+    return o.unionByName(b)
+
+
+def pipe3_modes(spark, sf):
+    """Legends of one layer in all modes but the grid's, which agg5_density_grid counts."""
+    f = _mixed(spark, sf)
+    found = [op.layer_mode(f, m, "value", m == "extrusion")[1] for m in op.MODES if m != "density"]
+    return reduce(DataFrame.unionByName, found).withColumn("caveats", F.array_join("caveats", ", ")).withColumns({c: F.round(c, 4) for c in ("min", "mid", "max")})
+
+
+def pipe3_extrusion(spark, sf):
+    """Heights of the buildings, once as metres and once as an index, and of lines as flow."""
+    f = _mixed(spark, sf)
+    parts = [(n, op.layer_mode(f, m, "value", metres)[0]) for n, m, metres in (("metres", "extrusion", True), ("index", "extrusion", False), ("flow", "flow", False))]
+    return reduce(DataFrame.unionByName, (d.select(F.lit(n).alias("layer"), "feature_id", _R("weight"), _R("height", 3)) for n, d in parts))
+
+
+_MIXED = f"""t AS (SELECT 'c' || feature_id AS id, CASE WHEN feature_id % 10 = 0 THEN 'l' ELSE 'p' END AS kind, value AS v FROM ({OBS}) UNION ALL SELECT 'b' || k, 'a', nullif(levels, 0) FROM ({BUILDINGS}))"""
+PIPE3 = f"""WITH {_MIXED}, m AS (SELECT unnest([{{'mode': 'points', 'kinds': 'pla', 'g': 'Point'}}, {{'mode': 'heatmap', 'kinds': 'pla', 'g': 'Point'}}, {{'mode': 'tactical', 'kinds': 'pla', 'g': 'Point'}}, {{'mode': 'choropleth', 'kinds': 'a', 'g': 'Polygon'}}, {{'mode': 'extrusion', 'kinds': 'a', 'g': 'Polygon'}}, {{'mode': 'flow', 'kinds': 'l', 'g': 'LineString'}}], recursive := true)),
+c AS (SELECT mode, g, count(*) AS n, count(*) FILTER (NOT contains(kinds, kind)) AS bad, count(*) FILTER (contains(kinds, kind) AND v IS NULL) AS missing, count(v) FILTER (contains(kinds, kind)) AS shown, min(v) FILTER (contains(kinds, kind)) AS lo, max(v) FILTER (contains(kinds, kind)) AS hi FROM m, t GROUP BY ALL)
+SELECT mode, g AS geometry_type, 'value' AS title, NULL::VARCHAR AS unit, n AS input_count, bad AS incompatible, missing, shown, round(lo, 4) AS min, round((lo + hi) / 2, 4) AS mid, round(hi, 4) AS max,
+ concat_ws(', ', CASE WHEN bad > 0 THEN 'incompatible geometry' END, CASE WHEN missing > 0 THEN 'missing values' END, CASE WHEN mode = 'extrusion' THEN 'metre height' END, CASE WHEN mode = 'heatmap' THEN CASE WHEN lo >= 0 THEN 'scaled by maximum' ELSE 'relative weights' END END, CASE WHEN mode = 'flow' THEN 'given lines only' END, CASE WHEN lo = hi THEN 'constant' END) AS caveats FROM c"""
+_SHOWN = f"WITH {_MIXED}, e AS (SELECT kind, min(v) AS lo, max(v) AS hi FROM t GROUP BY kind), w AS (SELECT t.*, CASE WHEN lo = hi THEN 0.5 ELSE (v - lo) / (hi - lo) END AS w FROM t JOIN e USING (kind) WHERE v IS NOT NULL) SELECT l AS layer, id AS feature_id, round(w, 6) AS weight, round(CASE WHEN l = 'metres' THEN greatest(v, 0) ELSE w * 1500 END, 3) AS height FROM w JOIN (VALUES ('metres', 'a'), ('index', 'a'), ('flow', 'l')) x(l, k) ON k = kind"
+
+
 def pipe11_gate(spark, sf):
     """Checks of a dataset before it is shown."""
     o = observations(spark, sf).withColumn("inside", F.col("lon").between(77.0, 77.1))
@@ -231,6 +265,8 @@ SELECT b.bin, round(lo * (1 - b.bin / bins) + hi * (b.bin / bins), 6) AS low, ro
     "win7_category_codes": (win7_category_codes, "WITH v AS (SELECT DISTINCT 'p_brand' AS field, p_brand AS value FROM part UNION ALL SELECT DISTINCT 'p_size', p_size::VARCHAR FROM part UNION ALL SELECT DISTINCT 'even', (p_partkey % 2 = 0)::VARCHAR FROM part) SELECT field, value, ((dense_rank() OVER (PARTITION BY field ORDER BY value) - 1) % 7)::INT AS code FROM v"),
     "win8_weights": (win8_weights, "WITH e AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer) SELECT c_custkey AS feature_id, round((c_acctbal - lo) / (hi - lo), 6) AS weight, round(CASE WHEN lo >= 0 THEN c_acctbal / hi ELSE (c_acctbal - lo) / (hi - lo) END, 6) AS heat_weight, round((c_acctbal - lo) / (hi - lo) * 1500, 3) AS height FROM customer, e"),
     "set4_compare": (set4_compare, "SELECT c_custkey AS feature_id, CASE WHEN c_acctbal >= 6000 THEN 'b' WHEN c_acctbal <= 2000 THEN 'a' ELSE 'both' END AS side, CASE WHEN c_acctbal > 2000 AND c_acctbal < 6000 THEN 1.0::DOUBLE END AS delta FROM customer"),
+    "pipe3_modes": (pipe3_modes, PIPE3),
+    "pipe3_extrusion": (pipe3_extrusion, _SHOWN),
     "pipe3_heatmap": (pipe3_heatmap, "WITH f AS (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_acctbal >= 0), e AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM f) SELECT c_custkey AS feature_id, c_mktsegment AS category, round(c_acctbal / hi, 6) AS heat_weight, round((c_acctbal - lo) / (hi - lo) * 1500, 3) AS height FROM f, e"),
     "pipe11_gate": (pipe11_gate, f"WITH o AS ({OBS}) SELECT 'numeric field' AS check, count(value) > 0 AS passed, count(value) AS n FROM o UNION ALL SELECT 'in scope', count(*) FILTER (lon BETWEEN 77.0 AND 77.1) > 0, count(*) FILTER (lon BETWEEN 77.0 AND 77.1) FROM o UNION ALL SELECT 'point geometry', count(*) > 0, count(*) FROM o"),
 }
