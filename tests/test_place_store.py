@@ -6,7 +6,6 @@ from pathlib import Path
 
 import pytest
 
-from geoloom.functions.columns import LOCALITY_WORDS  # noqa: F401
 from geoloom.scratch import Scratch, stored, temporary
 from geoloom.streaming import places as streaming
 
