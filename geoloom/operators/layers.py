@@ -128,12 +128,20 @@ def in_boxes(features: DataFrame, *boxes, lon: str = "lon", lat: str = "lat") ->
 
 
 def contained(inner: tuple[Column, Column, Column, Column], outer: tuple[float, float, float, float]) -> Column:
-    """A box lies in another one, longitudes taken modulo a turn."""
+    """A box lies in another one, longitudes taken modulo a turn. Each end is compared with the outer box
+    moved by its turns, as differences of longitudes lose the digits that tell an end on the boundary."""
     w, s, e, n = inner
-    ow, os_, oe, on = outer
-    width, start = F.pmod(F.lit(oe - ow), F.lit(360.0)), F.pmod(w - ow, F.lit(360.0))
+    ow, os_, oe, on = map(float, outer)
     whole = F.lit(oe - ow >= 360)
-    return (s >= os_) & (n <= on) & (whole | ((start <= width) & (start + F.pmod(e - w, F.lit(360.0)) <= width)))
+    while oe < ow:
+        oe += 360
+
+    def turn(x: Column) -> Column:
+        k = F.floor((x - ow) / 360)
+        return F.coalesce(*(F.when(x.between(ow + (k + d) * 360, oe + (k + d) * 360), k + d) for d in (0, 1, -1)))
+
+    in_order = F.coalesce(e - turn(e) * 360 >= w - turn(w) * 360 - 1e-9, F.lit(False))
+    return (s >= os_) & (n <= on) & (whole | F.when(w.isNotNull() & e.isNotNull(), in_order))
 
 
 # Statistics
