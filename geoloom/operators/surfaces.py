@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import longitude_delta, wrap_longitude
-from ..functions.geometry import VERTEX, edge_crosses, on_edge, pairs, point_in_ring, ring_area, valid_vertex, vertex
+from ..functions.geometry import VERTEX, edge_crosses, on_edge, pairs, point_in_ring, ring_area, valid_vertex, vertex, without_area
 from .layers import average_duplicates, plain_extent
 from ..scratch import stored
 
@@ -146,7 +146,7 @@ def _unrolled(polygon: Column) -> Column:
 def validated(polygons: DataFrame, key: str = "feature_id") -> tuple[DataFrame, DataFrame]:
     """(valid, rejects with reason) of polygons (key, parts). In this order: vertices in range (`coordinates`),
     four of them at least (`vertices`), rings closed (`open ring`), not once round the globe (`round the globe`)
-    and with an area (`no area`); edges of a ring meet at their joint ends only (`edges meet`), those of two
+    and with an area beyond rounding (`no area`); edges of a ring meet at their joint ends only (`edges meet`), those of two
     rings of a polygon nowhere (`rings meet`); holes lie in the exterior (`hole outside`), and not in each other
     (`nested holes`). Polygons of one feature are not compared.
 
@@ -157,7 +157,7 @@ def validated(polygons: DataFrame, key: str = "feature_id") -> tuple[DataFrame,
     turned = lambda r: F.aggregate(pairs(r), F.lit(0.0), lambda acc, s: acc + longitude_delta(s["a"]["lon"], s["b"]["lon"]))
     reason = F.when(F.exists(F.flatten(rings), lambda p: ~F.coalesce(valid_vertex(p), F.lit(False))), "coordinates")
     reason = reason.when(F.exists(rings, lambda r: (F.size(r) < 4)), "vertices").when(F.exists(rings, lambda r: r[0] != F.try_element_at(r, F.lit(-1))), "open ring")
-    reason = reason.when(F.exists(rings, lambda r: F.abs(turned(r)) > 1e-9), "round the globe").when(F.exists(rings, lambda r: ring_area(r) <= 0), "no area")
+    reason = reason.when(F.exists(rings, lambda r: F.abs(turned(r)) > 1e-9), "round the globe").when(F.exists(rings, without_area), "no area")
     simple = stored(polygons.withColumn("reason", reason))
     each = simple.where("reason IS NULL").select(key, F.posexplode("parts").alias("part", "rings")).where(F.size("rings") > 0)
     each = each.select(key, "part", F.posexplode(_unrolled(F.col("rings"))).alias("ring", "path"))
