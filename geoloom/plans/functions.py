@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fn
 from ..functions import geometry as g
-from ..functions.inputs import BUILDINGS, LAT, LON, OBS, buildings, observations, placed, table
+from ..functions.inputs import BUILDINGS, LAT, LON, OBS, buildings, observations, placed, spread_observations, table
 from ..operators import coverage
 from ..scratch import Scratch
 from ..sources import readers, web
@@ -84,8 +84,8 @@ def fn15_sub_line(spark, sf):
 
 
 def fn16_circle(spark, sf):
-    o = observations(spark, sf)
-    ring = g.circle("lon", "lat", F.lit(500.0))
+    o = spread_observations(spark, sf).withColumn("ring", g.circle("lon", "lat", F.lit(500.0)))
+    ring = F.col("ring")
     return o.select("feature_id", F.size(ring).alias("n"), F.round(g.ring_area(ring), 0).alias("area"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fn
 from ..functions import geometry as g
-from ..functions.inputs import BUILDINGS, LAT, LON, OBS, buildings, observations, placed, table
+from ..functions.inputs import BUILDINGS, LAT, LON, OBS, buildings, observations, placed, spread_observations, table
 from ..operators import layers as op
 
 _R = lambda c, d=6: F.round(c, d).alias(c)
@@ -175,7 +175,7 @@ def _mixed(spark, sf):
     """Customers as points, a tenth of them as lines, and buildings with a number of levels, or none."""
     k = F.col("feature_id")
     line = F.array(F.array(F.array(g.vertex("lon", "lat"), g.vertex(F.col("lon") + 0.001, "lat"))))
-    o = observations(spark, sf).select(F.concat(F.lit("c"), k).alias("feature_id"), F.when(k % 10 == 0, "LineString").otherwise("Point").alias("geom_type"), F.when(k % 10 == 0, line).otherwise(g.point_parts("lon", "lat")).alias("parts"), "value")
+    o = spread_observations(spark, sf).select(F.concat(F.lit("c"), k).alias("feature_id"), F.when(k % 10 == 0, "LineString").otherwise("Point").alias("geom_type"), F.when(k % 10 == 0, line).otherwise(g.point_parts("lon", "lat")).alias("parts"), "value")
     b = buildings(spark, sf).select(F.concat(F.lit("b"), "input_pos").alias("feature_id"), F.lit("Polygon").alias("geom_type"), "parts", F.nullif("levels", F.lit(0.0)).alias("value"))
     return o.unionByName(b)
 
