@@ -13,10 +13,34 @@ def _plan(df):
 
 @pytest.mark.parametrize("name", ["fn11_metrics", "fn13_representatives", "fil5_meets_box", "fn18_rings", "fn16_circle"])
 def test_rows_are_dealt_before_work(spark, small, name):
-    assert "REPARTITION_BY_COL" in _plan(QUERIES[name](spark, small))
+    assert "REPARTITION_BY_NUM" in _plan(QUERIES[name](spark, small))
 
 
 @pytest.mark.parametrize("name", ["join1_neighbours", "join2_reference", "join12_in_polygon", "join12_polygons"])
 def test_joins_over_cells_send_nothing_through_the_driver(spark, small, name):
     plan = _plan(QUERIES[name](spark, small))
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "NestedLoop" not in plan
+
+
+def test_targets_of_a_crowded_tile_are_dealt(spark, monkeypatch):
+    """One tile of 600 targets: with splits of 50 no task measures all of them, and the estimates are the same."""
+    from pyspark.sql import functions as F
+
+    from geoloom.operators import buildings, crowds
+
+    seen = []
+    split = crowds.split_keys
+
+    def watched(*args, **kwargs):
+        one, other = split(*args, **kwargs)
+        seen.append(one.select("_split").distinct().count())
+        return one, other
+
+    v = [((F.col("id") * (i + 3)) % 17 / 3.0).alias(f"v{i}") for i in range(1, 7)]
+    rows = spark.range(640).select("id", F.lit("t").alias("tile"), F.format_string("s%04d", "id").alias("source_id"), F.lit("house").alias("building_type"), *v, (F.col("id") % 30 + 3.0).alias("height"), F.lit(6.0).alias("prior"))
+    run = lambda: {r.id: r.estimate for r in buildings.predicted(rows.where("id >= 40"), rows.where("id < 40")).collect()}
+    whole = run()
+    monkeypatch.setattr(crowds, "MOST_ROWS", 50)
+    monkeypatch.setattr(buildings, "split_keys", watched)
+    assert run() == whole and len(whole) == 600
+    assert seen[-1] > 6
