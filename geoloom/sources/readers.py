@@ -259,7 +259,7 @@ def decode_geometries(rows: DataFrame, key: str, column: str) -> tuple[DataFrame
 def assembled_rings(members: DataFrame) -> DataFrame:
     """(relation_id, parts) of relation members (relation_id, pos, role, path: array of vertices): lines are
     stitched at their ends into rings; inner rings go to the first outer one; relations without an outer ring
-    are left out. A relation is one group, as large as its members."""
+    are left out. A relation is one row, as large as its members; a batch has many."""
 
     def stitch(lines: list) -> list:
         left, rings = [list(x) for x in lines if len(x) >= 2], []
@@ -277,18 +277,21 @@ def assembled_rings(members: DataFrame) -> DataFrame:
                 rings.append(ring)
         return rings
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        paths = lambda rows: [[(p["lon"], p["lat"]) for p in path] for path in rows.path]
-        outer, inner = stitch(paths(pdf[pdf.role != "inner"])), stitch(paths(pdf[pdf.role == "inner"]))
+    def polygons(members: list) -> list | None:
+        lines = lambda inner: [[(p["lon"], p["lat"]) for p in m["path"]] for m in members if (m["role"] == "inner") == inner]
+        outer = [[r] for r in stitch(lines(False))]
         if not outer:
-            return pd.DataFrame({"relation_id": pd.Series([], dtype="int64"), "parts": pd.Series([], dtype=object)})
-        polygons = [[r] for r in outer]
-        polygons[0] += inner
-        return pd.DataFrame({"relation_id": [pdf.relation_id.iloc[0]], "parts": [[[[{"lon": a, "lat": b} for a, b in ring] for ring in polygon] for polygon in polygons]]})
+            return None
+        outer[0] += stitch(lines(True))
+        return [[[{"lon": a, "lat": b} for a, b in ring] for ring in polygon] for polygon in outer]
 
-    run.__annotations__ = {"pdf": pd.DataFrame, "return": pd.DataFrame}
-    return members.groupBy("relation_id").applyInPandas(run, f"relation_id long, parts {PARTS}")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = batch.assign(parts=[polygons(list(members)) for members in batch["_members"]])
+            yield made.loc[made["parts"].notna(), ["relation_id", "parts"]]
+
+    each = members.groupBy("relation_id").agg(F.array_sort(F.collect_list(F.struct("pos", "role", "path"))).alias("_members"))
+    return each.mapInPandas(run, f"relation_id long, parts {PARTS}")
 
 
 # Export

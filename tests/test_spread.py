@@ -44,3 +44,14 @@ def test_targets_of_a_crowded_tile_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(buildings, "split_keys", watched)
     assert run() == whole and len(whole) == 600
     assert seen[-1] > 6
+
+
+def test_relations_are_stitched_in_batches(spark):
+    from geoloom.sources.readers import assembled_rings
+
+    a, b, c = ({"lon": x, "lat": y} for x, y in ((0.0, 0.0), (1.0, 0.0), (0.0, 1.0)))
+    rows = [(1, 2, "outer", [a, c]), (1, 1, "outer", [a, b, c]), (2, 1, "inner", [a, b, c, a]), (3, 1, None, [a, b, c, a]), (3, 2, "inner", [a, b, c, a])]
+    out = assembled_rings(spark.createDataFrame(rows, "relation_id long, pos int, role string, path array<struct<lon:double,lat:double>>"))
+    plan = _plan(out)
+    assert "MapInPandas" in plan and "FlatMapGroups" not in plan
+    assert {r.relation_id: [len(p) for p in r.parts] for r in out.collect()} == {1: [1], 3: [2]}
