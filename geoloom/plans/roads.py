@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as fn
 from ..functions import geometry as g
 from ..functions.columns import DRIVE_SPEED
-from ..functions.inputs import LAT, LON, OBS, observations, placed, table
+from ..functions.inputs import LAT, LON, OBS, observations, placed, spread, table
 from ..operators import areas, raster, roads
 
 SIDE = 40
@@ -120,7 +120,7 @@ def fn23_phrase(spark, sf):
 
 def join12_in_polygon(spark, sf):
     """Points in boxes around suppliers."""
-    s = placed(table(spark, sf, "supplier"), "s_suppkey")
+    s = placed(spread(table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey"), "s_suppkey")
     ring = g.ring_of(F.col("lon") - 0.004, F.col("lat") - 0.003, F.col("lon") + 0.004, F.col("lat") + 0.003)
     boxes = s.select(F.col("s_suppkey").alias("area_id"), F.array(F.array(ring)).alias("parts"))
     return areas.in_polygons(observations(spark, sf).select("feature_id", "lon", "lat"), boxes, "area_id").select("feature_id", "area_id")
@@ -129,7 +129,7 @@ def join12_in_polygon(spark, sf):
 def _shapes(spark, sf):
     """An area a supplier, of 0.0004 to 0.12 degrees, its corners on the grid of the positions: a box, a box
     with a hole, a comb of 3 to 22 teeth, or a triangle and a box apart."""
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
+    s = spread(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k")), "k")
     s = s.withColumns({"i": F.col("k") * 7919 % 20000, "j": F.col("k") * 104729 % 15000, "h": F.when(F.col("k") % 25 == 3, F.lit(6000)).otherwise(20 + F.col("k") * F.col("k") % 37 * (F.col("k") % 5 + 1) * 10), "teeth": 3 + F.col("k") % 20})
     i, j, h, half, wide = F.col("i"), F.col("j"), F.col("h"), F.floor(F.col("h") / 2), F.floor(F.col("h") / F.col("teeth"))
     at = lambda x, y: g.vertex(77.0 + x / F.lit(100000.0), 28.5 + y / F.lit(100000.0))
