@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import longitude_delta, wrap_longitude
-from ..functions.geometry import VERTEX, edge_crosses, on_edge, pairs, point_in_ring, ring_area, valid_vertex, vertex, without_area
+from ..functions.geometry import VERTEX, _let, edge_crosses, on_edge, pairs, point_in_ring, ring_area, valid_vertex, vertex, without_area
 from .layers import average_duplicates, plain_extent
 from ..scratch import stored
 
 GRID, LEVELS = 16, 7
+#: Edges of a feature up to which all pairs are looked at in its row.
+ROW_EDGES = 64
 
 
 def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
@@ -143,23 +145,39 @@ def _unrolled(polygon: Column) -> Column:
     return F.concat(F.array(roll(polygon[0])), holes)
 
 
-def validated(polygons: DataFrame, key: str = "feature_id") -> tuple[DataFrame, DataFrame]:
-    """(valid, rejects with reason) of polygons (key, parts). In this order: vertices in range (`coordinates`),
-    four of them at least (`vertices`), rings closed (`open ring`), not once round the globe (`round the globe`)
-    and with an area beyond rounding (`no area`); edges of a ring meet at their joint ends only (`edges meet`), those of two
-    rings of a polygon nowhere (`rings meet`); holes lie in the exterior (`hole outside`), and not in each other
-    (`nested holes`). Polygons of one feature are not compared.
+def _apart(a: Column, b: Column) -> Column:
+    """The boxes of two segments don't touch."""
+    ends = lambda s, c: (F.least(s["a"][c], s["b"][c]), F.greatest(s["a"][c], s["b"][c]))
+    return reduce(or_, (ends(p, c)[0] > ends(q, c)[1] + 1e-9 for c in ("lon", "lat") for p, q in ((a, b), (b, a))))
 
-    Edges are dealt over the cells of a lattice on their polygon, some sixteen times as many as it has edges, and meet within
-    a cell; a hole's first vertex meets the exterior's edges in its row of cells, and other holes whose box
-    holds it. No ring is compared with another one wholly, and a polygon of many edges is many keys."""
-    rings = F.flatten("parts")
-    turned = lambda r: F.aggregate(pairs(r), F.lit(0.0), lambda acc, s: acc + longitude_delta(s["a"]["lon"], s["b"]["lon"]))
-    reason = F.when(F.exists(F.flatten(rings), lambda p: ~F.coalesce(valid_vertex(p), F.lit(False))), "coordinates")
-    reason = reason.when(F.exists(rings, lambda r: (F.size(r) < 4)), "vertices").when(F.exists(rings, lambda r: r[0] != F.try_element_at(r, F.lit(-1))), "open ring")
-    reason = reason.when(F.exists(rings, lambda r: F.abs(turned(r)) > 1e-9), "round the globe").when(F.exists(rings, without_area), "no area")
-    simple = stored(polygons.withColumn("reason", reason))
-    each = simple.where("reason IS NULL").select(key, F.posexplode("parts").alias("part", "rings")).where(F.size("rings") > 0)
+
+def _rank(polygon: Column) -> Column:
+    """The number of the first rule on rings that a polygon breaks: 1 edges meet, 2 rings meet, 3 hole outside,
+    4 nested holes. All pairs of its edges are looked at."""
+    edge = lambda i, n: lambda s, k: F.struct(i.alias("ring"), n.alias("n"), k.alias("k"), s.alias("s"))
+    joint = lambda a, b: (b["k"] - a["k"] <= 1) | ((a["k"] == 0) & (b["k"] == a["n"] - 2))
+    cross = lambda a, b: ~_apart(a["s"], b["s"]) & _meet(a["s"], b["s"])
+
+    def met(edges: Column, pair) -> Column:
+        after = lambda x: F.slice(edges, x + 2, F.size(edges))
+        return F.exists(F.transform(edges, lambda a, x: F.exists(after(x), lambda b: pair(a, b) & cross(a, b))), lambda hit: hit)
+
+    def of(rings: Column) -> Column:
+        edges = F.flatten(F.transform(rings, lambda r, i: F.transform(pairs(r), edge(i, F.size(r)))))
+        own = lambda a, b: (a["ring"] == b["ring"]) & ~joint(a, b)
+        other = lambda a, b: a["ring"] != b["ring"]
+        holes = F.slice(rings, F.lit(2), F.size(rings))
+        held = lambda h, r: point_in_ring(h[0]["lon"], h[0]["lat"], r, True)
+        outside = F.exists(holes, lambda h: ~held(h, rings[0]))
+        nested = F.exists(F.transform(holes, lambda h, i: F.exists(F.transform(holes, lambda r, j: (i != j) & held(h, r)), lambda v: v)), lambda v: v)
+        return _let(edges, lambda e: F.when(met(e, own), 1).when((F.size(rings) > 1) & met(e, other), 2).when(outside, 3).when(nested, 4))
+
+    return _let(_unrolled(polygon), of)
+
+
+def _ranked(large: DataFrame, key: str) -> DataFrame:
+    """(_key, _worst) of features that break a rule on rings, by cells of lattices."""
+    each = large.select(key, F.posexplode("parts").alias("part", "rings")).where(F.size("rings") > 0)
     each = each.select(key, "part", F.posexplode(_unrolled(F.col("rings"))).alias("ring", "path"))
     edges = each.select(key, "part", "ring", F.size("path").alias("n"), F.col("path")[0].alias("first"), F.posexplode(pairs(F.col("path"))).alias("k", "s"))
     ends = [f(f"s.a.{c}", f"s.b.{c}") for c in ("lat", "lon") for f in (F.least, F.greatest)]
@@ -199,11 +217,38 @@ def validated(polygons: DataFrame, key: str = "feature_id") -> tuple[DataFrame,
     hit = points.alias("p").join(boxes.alias("e"), same("p", "e", "row", "column") & (F.col("p.ring") != F.col("e.ring")) & lon.between(F.col("e.low_lon"), F.col("e.high_lon")) & lat.between(F.col("e.low_lat"), F.col("e.high_lat")))
     hit = stored(hit.select(F.col(f"p.{key}").alias("_key"), F.col("p.first").alias("first"), F.col("e.path").alias("path")))
     nested = hit.where(point_in_ring("first.lon", "first.lat", F.col("path"), True)).select("_key", F.lit(4).alias("rank"))
-    worst = found.unionByName(nested).unionByName(outside).groupBy("_key").agg(F.min("rank").alias("rank"))
+    return found.unionByName(nested).unionByName(outside).groupBy("_key").agg(F.min("rank").alias("_worst"))
+
+
+def validated(polygons: DataFrame, key: str = "feature_id") -> tuple[DataFrame, DataFrame]:
+    """(valid, rejects with reason) of polygons (key, parts). In this order: vertices in range (`coordinates`),
+    four of them at least (`vertices`), rings closed (`open ring`), not once round the globe (`round the globe`)
+    and with an area beyond rounding (`no area`); edges of a ring meet at their joint ends only (`edges meet`), those of two
+    rings of a polygon nowhere (`rings meet`); holes lie in the exterior (`hole outside`), and not in each other
+    (`nested holes`). Polygons of one feature are not compared.
+
+    All pairs of edges of a feature with ROW_EDGES at most are looked at in its row, and nothing is shuffled. Of larger ones
+    edges are dealt over the cells of a lattice on their polygon, some sixteen times as many as it has edges, and meet within
+    a cell; a hole's first vertex meets the exterior's edges in its row of cells, and other holes whose box
+    holds it. No ring is compared with another one wholly, and a polygon of many edges is many keys."""
+    rings = F.flatten("parts")
+    turned = lambda r: F.aggregate(pairs(r), F.lit(0.0), lambda acc, s: acc + longitude_delta(s["a"]["lon"], s["b"]["lon"]))
+    reason = F.when(F.exists(F.flatten(rings), lambda p: ~F.coalesce(valid_vertex(p), F.lit(False))), "coordinates")
+    reason = reason.when(F.exists(rings, lambda r: (F.size(r) < 4)), "vertices").when(F.exists(rings, lambda r: r[0] != F.try_element_at(r, F.lit(-1))), "open ring")
+    reason = reason.when(F.exists(rings, lambda r: F.abs(turned(r)) > 1e-9), "round the globe").when(F.exists(rings, without_area), "no area")
+    few = F.coalesce(F.aggregate(rings, F.lit(0), lambda acc, r: acc + F.size(r)) <= ROW_EDGES, F.lit(True))
+    rank = F.array_min(F.transform(F.filter("parts", lambda p: F.size(p) > 0), _rank))
+    simple = polygons.withColumn("reason", reason).withColumn("_few", few)
+    simple = stored(simple.withColumn("rank", F.when(F.col("reason").isNull() & F.col("_few"), rank)))
     named = F.lit(None).cast("string")
-    for rank, name in enumerate(("edges meet", "rings meet", "hole outside", "nested holes"), 1):
-        named = F.when(F.col("rank") == rank, name).otherwise(named)
-    out = simple.join(worst, F.col(key) == F.col("_key"), "left").withColumn("reason", F.coalesce("reason", named)).drop("_key", "rank")
+    for at, name in enumerate(("edges meet", "rings meet", "hole outside", "nested holes"), 1):
+        named = F.when(F.col("rank") == at, name).otherwise(named)
+    large = simple.where("reason IS NULL AND NOT _few")
+    if large.isEmpty():
+        out = simple
+    else:
+        out = simple.join(_ranked(large, key), F.col(key) == F.col("_key"), "left").withColumn("rank", F.coalesce("rank", "_worst")).drop("_key", "_worst")
+    out = out.withColumn("reason", F.coalesce("reason", named)).drop("rank", "_few")
     return out.where("reason IS NULL").drop("reason"), out.where("reason IS NOT NULL")
 
 

@@ -60,3 +60,14 @@ def test_many_holes(spark, nested):
     rows = [(1, [[[{"lon": float(x), "lat": float(y)} for x, y in r] for r in p] for p in parts])]
     _, bad = surfaces.validated(spark.createDataFrame(rows, f"feature_id int, parts {PARTS}"))
     assert [r.reason for r in bad.collect()] == ["nested holes"] * nested
+
+
+def test_small_features_are_seen_in_their_rows(spark, small, monkeypatch):
+    """Without a lattice the same reasons; the lattice isn't even built."""
+    from geoloom.plans.surfaces import fil10_valid
+
+    monkeypatch.setattr(surfaces, "_ranked", lambda *a: pytest.fail("a lattice for small features"))
+    in_rows = sorted(map(tuple, fil10_valid(spark, small).collect()))
+    monkeypatch.undo()
+    monkeypatch.setattr(surfaces, "ROW_EDGES", 0)
+    assert in_rows and in_rows == sorted(map(tuple, fil10_valid(spark, small).collect()))
