@@ -89,3 +89,20 @@ def test_components_in_one_task_and_in_rounds(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(graphs, "ONE_TASK", most)
         assert {r.node: r.root for r in graphs.connected(edges, Scratch(spark)).collect()} == root
         assert graphs.connected(edges.where("a = b"), Scratch(spark)).count() == 0
+
+
+def test_groups_go_by_in_batches(spark, monkeypatch):
+    """Many groups a batch, groups over the ends of batches, the same canonical places; no task a group."""
+    rows = [(f"p{k:04d}", f"block {k // 4}", 77.0 + (k // 4) * 0.01 + k % 4 * 0.0002, 28.5, k) for k in range(400)]
+    p = spark.createDataFrame(rows, "place_id string, normalized_name string, lon double, lat double, created_at long")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        made = []
+        run = type(p).mapInPandas
+        monkeypatch.setattr(type(p), "mapInPandas", lambda self, *a, **k: made.append(a) or run(self, *a, **k))
+        got = {r.place_id: r.canonical_id for r in places.canonical_places(p).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    # 0.0002 degrees of longitude are some 20 m: the third and fourth place of a block are apart from the first.
+    assert got == {f"p{k:04d}": f"p{k - k % 2:04d}" for k in range(400)} and len(made) == 1
